@@ -91,7 +91,23 @@ ROLE_SQL = {
                o_orderdate + to_hours(CAST(o_orderkey % 72 AS BIGINT)) AS updated_at,
                ['AML.T00' || lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0')] AS atlas_techniques
         FROM orders""",
+    "call_log": """
+        SELECT l_shipdate AS created_at, 't' || CAST(l_orderkey % 4 AS VARCHAR) AS tenant_id,
+               CAST(l_orderkey AS VARCHAR) AS investigation_id,
+               'model-' || CAST(l_suppkey % 4 AS VARCHAR) AS model_id,
+               CASE l_suppkey % 4 WHEN 0 THEN 'tier0' WHEN 1 THEN 'tier1' WHEN 2 THEN 'tier1_plus'
+                    ELSE 'tier2' END AS model_tier,
+               'task-' || CAST(l_linenumber AS VARCHAR) AS task_type,
+               CAST(l_quantity * 100 AS BIGINT) AS input_tokens,
+               CAST(ROUND(l_tax * 10000) AS BIGINT) AS output_tokens,
+               l_extendedprice / 10000.0 AS cost_usd, l_quantity * 37.0 AS latency_ms,
+               CASE WHEN l_returnflag = 'R' THEN 'error' ELSE 'success' END AS status,
+               1.0 - l_discount * 5 AS confidence
+        FROM lineitem""",
 }
+ROLE_SQL["investigations"] = (
+    "SELECT *, json_object('severity', severity, 'classification', classification, 'alert_title', alert_title, "
+    "'confidence', confidence) AS graph_state FROM (" + ROLE_SQL["investigations"] + ")")
 
 
 def with_roles(body: str, *roles: str) -> str:

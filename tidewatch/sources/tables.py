@@ -216,4 +216,32 @@ def investigations(spark, sf_dir) -> DataFrame:
         (F.col("o_orderdate") + F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0),
                                                 (key % 72).cast("int"))).alias("updated_at"),
         F.array(F.concat(F.lit("AML.T00"), F.lpad(_s(F.col("o_custkey") % 60), 2, "0"))).alias("atlas_techniques"),
+    ).withColumn("graph_state", F.to_json(F.struct("severity", "classification", "alert_title", "confidence")))
+
+
+# ---------------------------------------------------------------------------
+# Model-call log on ``lineitem``
+# ---------------------------------------------------------------------------
+
+CALLS_NOW = "1998-08-02 00:30:00"
+TIERS = ("tier0", "tier1", "tier1_plus", "tier2")
+
+
+def call_log(spark, sf_dir) -> DataFrame:
+    """Model-call log (A-05, A-15..A-18, P-40): one call per line item."""
+    li = read(spark, sf_dir, "lineitem")
+    m = F.col("l_suppkey") % 4
+    return li.select(
+        F.col("l_shipdate").alias("created_at"),
+        F.concat(F.lit("t"), _s(F.col("l_orderkey") % 4)).alias("tenant_id"),
+        _s(F.col("l_orderkey")).alias("investigation_id"),
+        F.concat(F.lit("model-"), _s(m)).alias("model_id"),
+        F.when(m == 0, "tier0").when(m == 1, "tier1").when(m == 2, "tier1_plus").otherwise("tier2").alias("model_tier"),
+        F.concat(F.lit("task-"), _s(F.col("l_linenumber"))).alias("task_type"),
+        (F.col("l_quantity") * 100).cast("bigint").alias("input_tokens"),
+        F.round(F.col("l_tax") * 10000).cast("bigint").alias("output_tokens"),
+        (F.col("l_extendedprice") / F.lit(10000.0)).alias("cost_usd"),
+        (F.col("l_quantity") * F.lit(37.0)).alias("latency_ms"),
+        F.when(F.col("l_returnflag") == "R", "error").otherwise("success").alias("status"),
+        (F.lit(1.0) - F.col("l_discount") * 5).alias("confidence"),
     )
