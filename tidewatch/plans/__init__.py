@@ -1,4 +1,4 @@
 """Named queries over the driver's tables (``queries()``/``oracle_sql()``)."""
 
-from tidewatch.plans import reports_q, rules_q  # noqa: F401  (register on import)
+from tidewatch.plans import exposure_q, reports_q, rules_q  # noqa: F401  (register on import)
 from tidewatch.plans.registry import HEADLINE, ORACLES, QUERIES  # noqa: F401

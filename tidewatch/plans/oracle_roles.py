@@ -89,8 +89,33 @@ ROLE_SQL = {
                o_totalprice / 100000.0 AS total_cost_usd,
                o_orderdate AS created_at,
                o_orderdate + to_hours(CAST(o_orderkey % 72 AS BIGINT)) AS updated_at,
-               ['AML.T00' || lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0')] AS atlas_techniques
+               ['AML.T00' || lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0')] AS atlas_techniques,
+               'asset-' || CAST(o_custkey % 100 + 1 AS VARCHAR) AS asset_id
         FROM orders""",
+    "findings": """
+        SELECT l_orderkey * 10 + l_linenumber AS finding_id,
+               CASE WHEN l_linenumber = 7 THEN 'qualys' WHEN l_linenumber % 4 = 0 THEN 'wiz'
+                    WHEN l_linenumber % 4 = 1 THEN 'snyk' WHEN l_linenumber % 4 = 2 THEN 'garak'
+                    ELSE 'art' END AS source_tool,
+               'Exposure ' || CAST(l_partkey % 997 AS VARCHAR) AS title,
+               'asset-' || CAST(l_suppkey AS VARCHAR) AS asset_id,
+               CASE WHEN l_discount >= 0.08 THEN 'CRITICAL' WHEN l_discount >= 0.05 THEN 'HIGH'
+                    WHEN l_discount >= 0.02 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+               CASE l_partkey % 5 WHEN 0 THEN 'edge' WHEN 1 THEN 'orbital' WHEN 2 THEN 'demo'
+                    WHEN 3 THEN 'public' ELSE 's3' END AS resource_type,
+               CASE l_partkey % 6 WHEN 0 THEN 'torch' WHEN 1 THEN 'onnxruntime-gpu' WHEN 2 THEN 'lodash'
+                    WHEN 3 THEN 'requests' ELSE 'numpy' END AS package_name,
+               'pip' AS package_manager, l_quantity / 5.0 AS exploitability_score,
+               CASE l_partkey % 8 WHEN 0 THEN 'escalation' WHEN 1 THEN 'tool_use' WHEN 2 THEN 'prompt_injection'
+                    WHEN 3 THEN 'extraction' WHEN 4 THEN 'exfiltration' WHEN 5 THEN 'jailbreak'
+                    WHEN 6 THEN 'encoding' ELSE 'other' END AS probe_type,
+               CASE l_partkey % 5 WHEN 0 THEN 'poisoning' WHEN 1 THEN 'evasion' WHEN 2 THEN 'extraction'
+                    WHEN 3 THEN 'inference' ELSE 'other' END AS attack_type,
+               l_discount * 10 AS success_rate,
+               CASE l_suppkey % 4 WHEN 0 THEN 'Zone0_Safety' WHEN 1 THEN 'Zone1_EdgeInference'
+                    WHEN 2 THEN 'Zone2_SCADA' ELSE 'Zone3_Enterprise' END AS deployment_zone,
+               l_shipdate AS detected_at, 't' || CAST(l_orderkey % 4 AS VARCHAR) AS tenant_id
+        FROM lineitem""",
     "call_log": """
         SELECT l_shipdate AS created_at, 't' || CAST(l_orderkey % 4 AS VARCHAR) AS tenant_id,
                CAST(l_orderkey AS VARCHAR) AS investigation_id,

@@ -216,6 +216,7 @@ def investigations(spark, sf_dir) -> DataFrame:
         (F.col("o_orderdate") + F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0),
                                                 (key % 72).cast("int"))).alias("updated_at"),
         F.array(F.concat(F.lit("AML.T00"), F.lpad(_s(F.col("o_custkey") % 60), 2, "0"))).alias("atlas_techniques"),
+        F.concat(F.lit("asset-"), _s(F.col("o_custkey") % 100 + 1)).alias("asset_id"),
     ).withColumn("graph_state", F.to_json(F.struct("severity", "classification", "alert_title", "confidence")))
 
 
@@ -245,3 +246,39 @@ def call_log(spark, sf_dir) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "error").otherwise("success").alias("status"),
         (F.lit(1.0) - F.col("l_discount") * 5).alias("confidence"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Scanner findings on ``lineitem``
+# ---------------------------------------------------------------------------
+
+def findings(spark, sf_dir) -> DataFrame:
+    """Raw scanner findings (P-02..P-06, S-11): one per line item; line 7 comes from an unsupported tool."""
+    li = read(spark, sf_dir, "lineitem")
+    ln, pk, sk = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    disc = F.col("l_discount")
+    return li.select(
+        (F.col("l_orderkey") * 10 + ln).alias("finding_id"),
+        F.when(ln == 7, "qualys").when(ln % 4 == 0, "wiz").when(ln % 4 == 1, "snyk")
+         .when(ln % 4 == 2, "garak").otherwise("art").alias("source_tool"),
+        F.concat(F.lit("Exposure "), _s(pk % 997)).alias("title"),
+        F.concat(F.lit("asset-"), _s(sk)).alias("asset_id"),
+        F.when(disc >= 0.08, "CRITICAL").when(disc >= 0.05, "HIGH").when(disc >= 0.02, "MEDIUM")
+         .otherwise("LOW").alias("severity"),
+        F.when(pk % 5 == 0, "edge").when(pk % 5 == 1, "orbital").when(pk % 5 == 2, "demo")
+         .when(pk % 5 == 3, "public").otherwise("s3").alias("resource_type"),
+        F.when(pk % 6 == 0, "torch").when(pk % 6 == 1, "onnxruntime-gpu").when(pk % 6 == 2, "lodash")
+         .when(pk % 6 == 3, "requests").otherwise("numpy").alias("package_name"),
+        F.lit("pip").alias("package_manager"),
+        (F.col("l_quantity") / F.lit(5.0)).alias("exploitability_score"),
+        F.when(pk % 8 == 0, "escalation").when(pk % 8 == 1, "tool_use").when(pk % 8 == 2, "prompt_injection")
+         .when(pk % 8 == 3, "extraction").when(pk % 8 == 4, "exfiltration").when(pk % 8 == 5, "jailbreak")
+         .when(pk % 8 == 6, "encoding").otherwise("other").alias("probe_type"),
+        F.when(pk % 5 == 0, "poisoning").when(pk % 5 == 1, "evasion").when(pk % 5 == 2, "extraction")
+         .when(pk % 5 == 3, "inference").otherwise("other").alias("attack_type"),
+        (disc * 10).alias("success_rate"),
+        F.when(sk % 4 == 0, "Zone0_Safety").when(sk % 4 == 1, "Zone1_EdgeInference").when(sk % 4 == 2, "Zone2_SCADA")
+         .otherwise("Zone3_Enterprise").alias("deployment_zone"),
+        F.col("l_shipdate").alias("detected_at"),
+        F.concat(F.lit("t"), _s(F.col("l_orderkey") % 4)).alias("tenant_id"),
+    )
