@@ -328,5 +328,6 @@ def row_digest(*cols: Column) -> Column:
 
 
 def stable_order_key(seed: int | str, key: Column) -> Column:
-    """Repeatable pseudo-random order (replaces ``random.sample``)."""
-    return F.xxhash64(F.lit(str(seed)), key.cast("string"))
+    """Repeatable pseudo-random order (replaces ``random.sample``): md5 of seed and key,
+    a hex string that orders identically in any engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))

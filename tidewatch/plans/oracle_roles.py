@@ -90,8 +90,24 @@ ROLE_SQL = {
                o_orderdate AS created_at,
                o_orderdate + to_hours(CAST(o_orderkey % 72 AS BIGINT)) AS updated_at,
                ['AML.T00' || lpad(CAST(o_custkey % 60 AS VARCHAR), 2, '0')] AS atlas_techniques,
-               'asset-' || CAST(o_custkey % 100 + 1 AS VARCHAR) AS asset_id
+               'asset-' || CAST(o_custkey % 100 + 1 AS VARCHAR) AS asset_id,
+               '10.' || CAST(o_custkey % 256 AS VARCHAR) || '.' || CAST(o_orderkey % 256 AS VARCHAR) || '.7' AS src_ip,
+               'family-' || CAST(o_custkey % 7 AS VARCHAR) AS rule_family,
+               CASE o_custkey % 3 WHEN 0 THEN 'server' WHEN 1 THEN 'workstation' ELSE 'ot_device' END AS asset_class
         FROM orders""",
+    "decision_log": """
+        SELECT 't' || CAST(l_orderkey % 4 AS VARCHAR) AS tenant_id, 'family-' || CAST(l_orderkey % 7 AS VARCHAR) AS rule_family,
+               CAST(l_orderkey AS VARCHAR) AS investigation_id, 'fp-' || CAST(l_orderkey % 60 AS VARCHAR) AS pattern_id,
+               CASE WHEN l_linenumber % 2 = 1 THEN 'shadow' ELSE 'analyst' END AS type,
+               CASE WHEN l_returnflag = 'R' THEN 'true_positive' ELSE 'false_positive' END AS decision,
+               l_shipdate + to_hours(CAST(l_linenumber AS BIGINT)) AS ts
+        FROM lineitem""",
+    "closures": """
+        SELECT CAST(doc_id AS VARCHAR) AS alert_id, source AS rule_family, lang AS severity,
+               CASE WHEN n_chars > 5000 THEN 'high' ELSE 'low' END AS asset_criticality,
+               quality = 1 AS auto_closed, toxic = 0 AS truly_fp, 'fp-' || CAST(doc_id % 60 AS VARCHAR) AS pattern_id,
+               TIMESTAMP '2024-01-31 00:00:00' - to_days(CAST(doc_id % 90 AS BIGINT)) AS pattern_created_at
+        FROM labels JOIN documents USING (doc_id)""",
     "findings": """
         SELECT l_orderkey * 10 + l_linenumber AS finding_id,
                CASE WHEN l_linenumber = 7 THEN 'qualys' WHEN l_linenumber % 4 = 0 THEN 'wiz'

@@ -217,6 +217,10 @@ def investigations(spark, sf_dir) -> DataFrame:
                                                 (key % 72).cast("int"))).alias("updated_at"),
         F.array(F.concat(F.lit("AML.T00"), F.lpad(_s(F.col("o_custkey") % 60), 2, "0"))).alias("atlas_techniques"),
         F.concat(F.lit("asset-"), _s(F.col("o_custkey") % 100 + 1)).alias("asset_id"),
+        F.concat(F.lit("10."), _s(F.col("o_custkey") % 256), F.lit("."), _s(key % 256), F.lit(".7")).alias("src_ip"),
+        F.concat(F.lit("family-"), _s(F.col("o_custkey") % 7)).alias("rule_family"),
+        F.when(F.col("o_custkey") % 3 == 0, "server").when(F.col("o_custkey") % 3 == 1, "workstation")
+         .otherwise("ot_device").alias("asset_class"),
     ).withColumn("graph_state", F.to_json(F.struct("severity", "classification", "alert_title", "confidence")))
 
 
@@ -282,3 +286,41 @@ def findings(spark, sf_dir) -> DataFrame:
         F.col("l_shipdate").alias("detected_at"),
         F.concat(F.lit("t"), _s(F.col("l_orderkey") % 4)).alias("tenant_id"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Decision log (shadow vs analyst) on ``lineitem``; closures on ``labels`` + ``documents``
+# ---------------------------------------------------------------------------
+
+def decision_log(spark, sf_dir) -> DataFrame:
+    """Shadow and analyst decisions per investigation (J-11, A-25, A-26)."""
+    li = read(spark, sf_dir, "lineitem")
+    key = F.col("l_orderkey")
+    return li.select(
+        F.concat(F.lit("t"), _s(key % 4)).alias("tenant_id"),
+        F.concat(F.lit("family-"), _s(key % 7)).alias("rule_family"),
+        _s(key).alias("investigation_id"),
+        F.concat(F.lit("fp-"), _s(key % 60)).alias("pattern_id"),
+        F.when(F.col("l_linenumber") % 2 == 1, "shadow").otherwise("analyst").alias("type"),
+        F.when(F.col("l_returnflag") == "R", "true_positive").otherwise("false_positive").alias("decision"),
+        (F.col("l_shipdate") + F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.col("l_linenumber")))
+        .alias("ts"),
+    )
+
+
+def closures(spark, sf_dir) -> DataFrame:
+    """Auto-closure outcomes (A-24, W-05): decision = quality, truth = toxic."""
+    lab = read(spark, sf_dir, "labels")
+    doc = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    j = lab.join(doc, "doc_id")
+    return j.select(
+        _s("doc_id").alias("alert_id"),
+        F.col("source").alias("rule_family"),
+        F.col("lang").alias("severity"),
+        F.when(F.col("n_chars") > 5000, "high").otherwise("low").alias("asset_criticality"),
+        (F.col("quality") == 1).alias("auto_closed"),
+        (F.col("toxic") == 0).alias("truly_fp"),
+        F.concat(F.lit("fp-"), _s(F.col("doc_id") % 60)).alias("pattern_id"),
+        (F.lit(EVENTS_NOW).cast("timestamp_ntz")
+         - F.make_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("doc_id") % 90).cast("int"))).alias("pattern_created_at"),
+    )
