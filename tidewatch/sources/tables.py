@@ -324,3 +324,37 @@ def closures(spark, sf_dir) -> DataFrame:
         (F.lit(EVENTS_NOW).cast("timestamp_ntz")
          - F.make_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("doc_id") % 90).cast("int"))).alias("pattern_created_at"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Audit events on ``events`` (W-01..W-15, A-21, A-35)
+# ---------------------------------------------------------------------------
+
+AUDIT_TYPES = {"click": "investigation.state_changed", "view": "alert.classified", "purchase": "response.executed",
+               "signup": "approval.requested", "error": "injection.detected"}
+
+
+def audit_events(spark, sf_dir) -> DataFrame:
+    """Audit events to be chained: five tenants (user_id % 5), ordered by time then id."""
+    from tidewatch.operators.audit import EVENT_CATEGORY
+    from tidewatch.functions.exprs import lookup
+    e = read(spark, sf_dir, "events")
+    etype = lookup(AUDIT_TYPES, F.col("event_type"))
+    k = _k()
+    stamp = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+    return e.select(
+        F.concat(F.lit("aud-"), _s("event_id")).alias("audit_id"),
+        F.concat(F.lit("t"), _s(F.col("user_id") % 5)).alias("tenant_id"),
+        stamp.alias("timestamp"), stamp.alias("ingested_at"),
+        etype.alias("event_type"), lookup(EVENT_CATEGORY, etype).alias("event_category"),
+        F.lit("info").alias("severity"), F.lit("agent").alias("actor_type"),
+        F.concat(F.lit("user-"), _s("user_id")).alias("actor_id"),
+        F.array().cast("array<string>").alias("actor_permissions"),
+        F.concat(F.lit("inv-"), _s(F.col("event_id") % 997)).alias("investigation_id"),
+        F.lit("").alias("alert_id"), F.array().cast("array<string>").alias("entity_ids"),
+        F.to_json(F.struct(F.col("value"), k.alias("k"))).alias("context"),
+        F.when(F.col("event_type") == "view", F.concat(F.lit('{"classification":"'), F.when(k % 2 == 0, "true_positive")
+                                                         .otherwise("false_positive"), F.lit('"}')))
+         .otherwise(F.lit("{}")).alias("decision"),
+        F.lit("{}").alias("outcome"), F.lit("1.0").alias("record_version"),
+    )
