@@ -1,4 +1,4 @@
 """Named queries over the driver's tables (``queries()``/``oracle_sql()``)."""
 
-from tidewatch.plans import audit_q, exposure_q, fp_q, reports_q, rules_q, text_q  # noqa: F401  (register on import)
+from tidewatch.plans import audit_q, exposure_q, fp_q, reports_q, retrieval_q, rules_q, text_q  # noqa: F401,E501
 from tidewatch.plans.registry import HEADLINE, ORACLES, QUERIES  # noqa: F401

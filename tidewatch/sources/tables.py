@@ -358,3 +358,22 @@ def audit_events(spark, sf_dir) -> DataFrame:
          .otherwise(F.lit("{}")).alias("decision"),
         F.lit("{}").alias("outcome"), F.lit("1.0").alias("record_version"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Incident vectors on ``embeddings`` (J-15, R-01..R-03, W-07, W-08, E-25)
+# ---------------------------------------------------------------------------
+
+def vectors(spark, sf_dir) -> DataFrame:
+    """Past-incident vectors with payload: two versions per document (v1/v2), label = technique family."""
+    e = read(spark, sf_dir, "embeddings")
+    vid = F.col("vec_id")
+    return e.select(
+        _s(vid).alias("id"), F.col("embedding").alias("vec"), F.col("label"),
+        F.concat(F.lit("t"), _s(vid % 4)).alias("tenant_id"),
+        (vid % 400).cast("double").alias("age_days"),
+        F.array(F.concat(F.lit("AML.T00"), _s(F.col("label") + 10))).alias("techniques"),
+        (vid % 13 == 0).alias("rare_important"),
+        F.concat(F.lit("doc-"), _s(F.floor(vid / 2))).alias("doc_id"),
+        F.concat(F.lit("v"), _s(vid % 2 + 1)).alias("version"),
+    )
