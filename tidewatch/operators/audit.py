@@ -23,6 +23,8 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from tidewatch.session import ship_package
 from pyspark.sql import types as T
 
 from tidewatch.functions.exprs import stable_order_key
@@ -135,6 +137,7 @@ def build_chain(events: DataFrame, order: Sequence[str] = ("timestamp", "audit_i
     ``events`` carries the stored event columns (all of AUDIT_SCHEMA except sequence,
     previous_hash and record_hash). Genesis rows (sequence 0, 64 zeros) are added per tenant.
     """
+    ship_package(events.sparkSession)
     ev = events.select(*_EVENT_FIELDS).withColumn("_genesis", F.lit(1))
     if with_genesis:
         ev = genesis_rows(events).select(*_EVENT_FIELDS, "_genesis").unionByName(ev)
@@ -161,11 +164,13 @@ def verify_chain(records: DataFrame) -> DataFrame:
     Returns only records with errors: (tenant_id, sequence_number, audit_id, errors ARRAY<STRING>).
     The predecessor lookup is an equi-join on (tenant, seq) — parallel even for one huge tenant.
     """
-    r = records.select("tenant_id", "sequence_number", "audit_id", "previous_hash", "record_hash",
-                       record_digest().alias("_expected"))
-    prev = records.select("tenant_id", (F.col("sequence_number") + 1).alias("sequence_number"),
+    # explicit aliases give every side of the self-join its own attribute ids
+    r = records.select(*[F.col(c).alias(c) for c in ("tenant_id", "sequence_number", "audit_id", "previous_hash",
+                                                     "record_hash")], record_digest().alias("_expected"))
+    prev = records.select(F.col("tenant_id").alias("tenant_id"),
+                          (F.col("sequence_number") + 1).alias("sequence_number"),
                           F.col("record_hash").alias("_prev_hash"), F.lit(True).alias("_has_prev"))
-    first = records.groupBy("tenant_id").agg(F.min("sequence_number").alias("_first"))
+    first = records.groupBy(F.col("tenant_id").alias("tenant_id")).agg(F.min("sequence_number").alias("_first"))
     j = r.join(prev, ["tenant_id", "sequence_number"], "left").join(first, "tenant_id")
     is_first = F.col("sequence_number") == F.col("_first")
     errs = F.array_compact(F.array(

@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from tidewatch.session import ship_package
 from pyspark.sql import types as T
 
 from tidewatch.functions.exprs import incident_score, jaccard
@@ -93,6 +95,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str
                 rows_per_block: int = 20000, queries_per_chunk: int = 2000) -> DataFrame:
     """J-15 exact: for each query the ``k`` most cosine-similar corpus rows (score >= threshold,
     equal filter payload), ties broken by corpus id. Returns (query_id, corpus_id, score, rank)."""
+    ship_package(corpus.sparkSession)
     n_c = corpus.count()
     n_q = queries.count()
     B = max(1, math.ceil(n_c / rows_per_block))

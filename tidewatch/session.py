@@ -41,8 +41,40 @@ def get_session(master: str | None = None, app: str = "tidewatch",
 
 
 def apply_runtime_defaults(spark: SparkSession) -> None:
-    """Runtime-settable defaults (safe on a session created elsewhere)."""
+    """Runtime-settable defaults (safe on a session created elsewhere), and make sure the
+    executors' Python workers can import this package (Pandas-function operators)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Distribute the ``tidewatch`` package to executors once per SparkContext.
+
+    Python functions given to ``mapInPandas``/``applyInPandas`` are pickled by reference to
+    their module, so workers must be able to import it. A cluster normally installs the
+    package; this covers sessions that only have it on the driver's path.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="tidewatch-pkg-"), "tidewatch.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, files in os.walk(pkg_dir):
+            if "__pycache__" in base:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
