@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import cidr_contains, col_type, shift, stable_order_key, time_lit
+from tidewatch.functions.exprs import col_type, ipv4_to_long, shift, stable_order_key, time_lit
 from tidewatch.operators.common import bounded_collect, first_per_key
 
 # ---------------------------------------------------------------------------
@@ -93,19 +93,49 @@ def scope_matches(pattern_family: Column, pattern_tenant: Column, pattern_asset:
     return ok(pattern_family, family) & ok(pattern_tenant, tenant) & ok(pattern_asset, asset_class)
 
 
-def entity_score(patterns: Column, entities: Column) -> Column:
-    """Share of entity patterns matched by at least one entity value of the pattern's type.
-
-    ``entities`` is MAP<type, ARRAY<value>>; a pattern matches by anchored regex or CIDR.
-    """
+def prepare_patterns(patterns: DataFrame) -> DataFrame:
+    """Validate and anchor every regex ONCE per pattern row (the small side), and turn CIDRs
+    into integer ranges, so the per-(alert, pattern) work is a plain match and two comparisons."""
+    def anchor(r):
+        ok = (F.coalesce(r, F.lit("")) != "") & valid_regex(r)
+        return F.when(ok, F.concat(F.lit("(?i)^(?:"), r, F.lit(")")))
+    eps = F.transform(F.coalesce("entity_patterns", F.array().cast(
+        "array<struct<type:string,value_regex:string,value_cidr:string>>")), lambda ep: F.struct(
+        ep["type"].alias("type"), anchor(ep["value_regex"]).alias("re"), ep["value_cidr"].alias("cidr")))
+    p = patterns.withColumn("title_re", anchor(F.col("alert_name_regex"))).withColumn("_eps", eps)
+    # CIDR bounds per entity pattern: computed with plain column arithmetic on the exploded small table
+    def bounds(ep):
+        c = ep["cidr"]
+        base = ipv4_to_long(F.split(c, "/").getItem(0))
+        bits = F.split(c, "/").getItem(1).cast("int")
+        size = F.when((bits >= 0) & (bits <= 32), F.pow(F.lit(2), F.lit(32) - bits).cast("bigint"))
+        lo = base - F.pmod(base, size)
+        return F.struct(ep["type"].alias("type"), ep["re"].alias("re"),
+                        F.when(F.coalesce(c, F.lit("")) != "", lo).alias("lo"),
+                        F.when(F.coalesce(c, F.lit("")) != "", lo + size).alias("hi"))
+    return p.withColumn("entity_checks", F.transform("_eps", bounds)).drop("_eps")
+
+
+def parse_entities(entities: Column) -> Column:
+    """MAP<type, ARRAY<value>> -> MAP<type, ARRAY<STRUCT<v, ip>>> with the IPv4 value parsed once."""
+    return F.transform_values(entities, lambda k, arr: F.transform(
+        arr, lambda v: F.struct(v.alias("v"), ipv4_to_long(v).alias("ip"))))
+
+
+def entity_score(checks: Column, entities: Column) -> Column:
+    """Share of entity patterns matched by at least one entity value of the pattern's type
+    (anchored regex, or IPv4 inside the CIDR range). ``entities`` comes from ``parse_entities``."""
     def hit(ep):
         vals = F.coalesce(entities[F.concat(ep["type"], F.lit("s"))], entities[ep["type"]],
-                          F.array().cast("array<string>"))
-        return F.exists(vals, lambda v: (F.coalesce(ep["value_regex"], F.lit("")) != "") & anchored_match(v, ep["value_regex"])
-                        | ((F.coalesce(ep["value_cidr"], F.lit("")) != "") & F.coalesce(cidr_contains(ep["value_cidr"], v),
-                                                                                        F.lit(False))))
-    n = F.size(patterns)
-    return F.when(n > 0, F.aggregate(patterns, F.lit(0), lambda acc, ep: acc + F.when(hit(ep), 1).otherwise(0)) / n) \
+                          F.array().cast("array<struct<v:string,ip:bigint>>"))
+
+        def one(e):
+            by_re = ep["re"].isNotNull() & F.coalesce(F.regexp_like(e["v"], ep["re"]), F.lit(False))
+            by_cidr = ep["lo"].isNotNull() & F.coalesce((e["ip"] >= ep["lo"]) & (e["ip"] < ep["hi"]), F.lit(False))
+            return by_re | by_cidr
+        return F.exists(vals, one)
+    n = F.size(checks)
+    return F.when(n > 0, F.aggregate(checks, F.lit(0), lambda acc, ep: acc + F.when(hit(ep), 1).otherwise(0)) / n) \
         .otherwise(F.lit(0.0))
 
 
@@ -134,16 +164,23 @@ def match_fp_patterns(alerts: DataFrame, patterns: DataFrame, *, threshold: floa
     p = patterns.where(F.col("status").isin(*MATCHABLE_STATUSES))
     if killed_patterns is not None:
         p = p.join(killed_patterns.select("pattern_id"), "pattern_id", "left_anti")
-    p = p.select("tenant_id", "pattern_id", "alert_name_regex", "entity_patterns", "scope_rule_family",
-                 "scope_tenant_id", "scope_asset_class")
-    j = alerts.select("alert_id", "tenant_id", "alert_title", "entities", "rule_family", "asset_class") \
-        .join(p, "tenant_id")
+    p = prepare_patterns(p).select("tenant_id", "pattern_id", "title_re", "entity_checks", "scope_rule_family",
+                                   "scope_tenant_id", "scope_asset_class")
+    j = alerts.select("alert_id", "tenant_id", "alert_title", parse_entities(F.col("entities")).alias("entities"),
+                      "rule_family", "asset_class").join(p, "tenant_id")
     j = j.where(scope_matches(F.col("scope_rule_family"), F.col("scope_tenant_id"), F.col("scope_asset_class"),
                               F.col("rule_family"), F.col("tenant_id"), F.col("asset_class")))
-    title_score = F.when((F.coalesce(F.col("alert_name_regex"), F.lit("")) != "")
-                         & anchored_match(F.col("alert_title"), F.col("alert_name_regex")), 1.0).otherwise(0.0)
-    conf = F.when(F.size(F.coalesce("entity_patterns", F.array())) == 0, title_score) \
-        .otherwise((title_score + entity_score(F.col("entity_patterns"), F.col("entities"))) / 2)
+    title_score = F.when(F.col("title_re").isNotNull()
+                         & F.coalesce(F.regexp_like(F.coalesce("alert_title", F.lit("")), F.col("title_re")),
+                                      F.lit(False)), 1.0).otherwise(0.0)
+    j = j.withColumn("_title", title_score)
+    if not isinstance(threshold, Column) and threshold > 0.5:
+        # confidence = title (no entity checks) or (title + entity) / 2 with title in {0, 1} and
+        # entity <= 1: any threshold above 0.5 needs the title to match, so the (interpreted)
+        # entity checks only run on pairs that passed the cheap title regex. Exact.
+        j = j.where(F.col("_title") == 1.0)
+    conf = F.when(F.size("entity_checks") == 0, F.col("_title")) \
+        .otherwise((F.col("_title") + entity_score(F.col("entity_checks"), F.col("entities"))) / 2)
     scored = j.select("alert_id", "tenant_id", "pattern_id", conf.alias("confidence")) \
         .where(F.col("confidence") >= (threshold if isinstance(threshold, Column) else F.lit(threshold)))
     best = scored.groupBy("alert_id", "tenant_id").agg(

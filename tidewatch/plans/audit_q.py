@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import audit as AU
 from tidewatch.plans.registry import register
+from tidewatch.session import checkpoint_dir
 from tidewatch.sources import tables as TB
 
 AUDIT_EVENTS_SQL = """
@@ -25,7 +26,10 @@ WITH ev AS (
 
 
 def chain(spark, sf):
-    return AU.build_chain(TB.audit_events(spark, sf))
+    """The built chain is the stored audit table: checkpointed (reliably, in the session's
+    checkpoint folder) so verification and reports read it instead of re-chaining."""
+    checkpoint_dir(spark)
+    return AU.build_chain(TB.audit_events(spark, sf)).checkpoint(eager=True)
 
 
 def _w15(spark, sf):
