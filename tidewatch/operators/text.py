@@ -348,7 +348,7 @@ def summary_entities(text) -> Column:
 
 def sentences(text) -> Column:
     """Split after . ! ? followed by whitespace; trimmed, empties dropped."""
-    return F.filter(F.transform(F.split(_c(text), RE_SENTENCE_BOUNDARY), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(_c(text), RE_SENTENCE_BOUNDARY), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def _is_instruction(s: Column) -> Column:

@@ -377,3 +377,85 @@ def vectors(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("doc-"), _s(F.floor(vid / 2))).alias("doc_id"),
         F.concat(F.lit("v"), _s(vid % 2 + 1)).alias("version"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Raw vendor alerts on ``orders`` (S-01 .. S-06): JSON text as each SIEM sends it
+# ---------------------------------------------------------------------------
+
+def vendor_alerts(spark, sf_dir) -> DataFrame:
+    """One raw alert per order, as Sentinel, Elastic or Splunk JSON (by order key % 3).
+
+    Includes heartbeats/health checks (key % 97 == 0), CSV and list annotations, missing
+    severities and the Elastic rule-level threat fallback, so every adapter branch is exercised."""
+    o = read(spark, sf_dir, "orders")
+    key, cust, pri = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
+    title = F.concat(F.lit("Suspicious sign-in pattern "), _s(cust % 40))
+    tenant = F.concat(F.lit("t"), _s(cust % 4))
+    ip = F.concat(F.lit("10."), _s(cust % 256), F.lit("."), _s(key % 256), F.lit(".7"))
+    hb = key % 97 == 0
+    sentinel = F.to_json(F.struct(
+        F.concat(F.lit("S-"), _s(key)).alias("SystemAlertId"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("TimeGenerated"),
+        F.when(hb, F.lit(" Heartbeat")).otherwise(title).alias("AlertName"),
+        F.lit("Sign-in anomaly").alias("Description"),
+        F.when(pri == "1-URGENT", "High").when(pri == "2-HIGH", "Medium").when(pri == "3-MEDIUM", "Low")
+         .when(pri == "4-NOT SPECIFIED", "Informational").otherwise("").alias("Severity"),
+        F.when(cust % 2 == 0, F.lit("InitialAccess, Execution")).otherwise(F.lit("Persistence,,")).alias("Tactics"),
+        F.when(cust % 3 == 0, F.lit("")).otherwise(F.lit("T1078, T1059.001")).alias("Techniques"),
+        F.concat(F.lit('[{"$id":"1","Type":"ip","Address":"'), ip, F.lit('"}]')).alias("Entities"),
+        F.lit("Azure Sentinel").alias("ProductName"), tenant.alias("TenantId")))
+    tactic = lambda n: F.struct(F.lit(n).alias("name"))
+    sub = lambda i: F.struct(F.lit(i).alias("id"))
+    tech = lambda i, subs: F.struct(F.lit(i).alias("id"), F.array(*[sub(x) for x in subs]).alias("subtechnique"))
+    params = F.when(cust % 3 == 0, F.array().cast("array<struct<tactic:struct<name:string>,technique:array<struct<id:string,subtechnique:array<struct<id:string>>>>>>")) \
+        .otherwise(F.array(F.struct(tactic("Initial Access").alias("tactic"),
+                                    F.array(tech("T1078", ["T1078.004"]), tech("T1078", [])).alias("technique")),
+                           F.struct(tactic("Initial Access").alias("tactic"),
+                                    F.array(tech("T1110", [])).alias("technique"))))
+    rule_threat = F.array(F.struct(tactic("Credential Access").alias("tactic"),
+                                   F.array(tech("T1110", ["T1110.001"])).alias("technique")))
+    elastic = F.to_json(F.struct(
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("@timestamp"),
+        F.struct(F.struct(F.concat(F.lit("E-"), _s(key)).alias("id"),
+                          F.when(hb, F.lit("Test Alert")).otherwise(title).alias("name"),
+                          F.lit("Rule hit").alias("description"),
+                          F.when(pri == "1-URGENT", "critical").when(pri == "2-HIGH", "HIGH ")
+                           .when(pri == "3-MEDIUM", "medium").when(pri == "4-NOT SPECIFIED", "bogus").alias("severity"),
+                          rule_threat.alias("threat")).alias("rule"),
+                 F.struct(F.when(key % 11 == 0, F.concat(F.lit("orig-"), _s(cust % 9))).alias("user")).alias("original_event"))
+        .alias("signal"),
+        F.struct(F.struct(F.struct(F.struct(params.alias("threat")).alias("parameters")).alias("rule")).alias("alert"))
+        .alias("kibana"),
+        F.when(key % 2 == 1, F.array(tenant)).alias("kibana.space_ids"), tenant.alias("tenant_id"),
+        F.struct(F.lit("endpoint").alias("type")).alias("agent"),
+        F.struct(F.concat(F.lit("web-"), _s(key % 50)).alias("name"),
+                 F.struct(F.lit("linux").alias("family")).alias("os")).alias("host"),
+        F.when(key % 2 == 0, F.struct(F.concat(F.lit("svc-"), _s(cust % 9)).alias("name"),
+                                      F.when(key % 4 == 0, F.lit("corp")).alias("domain"))).alias("user"),
+        F.struct(ip.alias("ip")).alias("source"),
+        F.when(key % 5 == 0, F.struct(F.concat(F.lit("10.9.9."), _s(key % 256)).alias("ip"))).alias("destination"),
+        F.when(key % 7 == 0, F.struct(_s(key % 30000).alias("pid"), F.lit("cmd.exe /c whoami").alias("command_line")))
+        .alias("process")))
+    epoch = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    splunk = F.to_json(F.struct(
+        F.concat(F.lit("N-"), _s(key)).alias("event_id"),
+        F.when(key % 10 == 0, F.concat(_s(epoch), F.lit(".5"))).otherwise(_s(epoch)).alias("_time"),
+        F.when(hb, F.lit("Health Check - indexers")).otherwise(title).alias("search_name"),
+        F.lit("Notable").alias("description"),
+        F.when(pri == "1-URGENT", "critical").when(pri == "2-HIGH", "High").when(pri == "3-MEDIUM", "medium")
+         .when(pri == "4-NOT SPECIFIED", "info").otherwise("").alias("urgency"),
+        ip.alias("src"), ip.alias("src_ip"), F.concat(F.lit("10.9.9."), _s(key % 256)).alias("dest"),
+        F.concat(F.lit("host-"), _s(cust % 20)).alias("src_host"), F.concat(F.lit("u"), _s(cust % 30)).alias("user"),
+        F.when(key % 7 == 0, F.lit("powershell.exe")).alias("process_name"),
+        F.when(key % 7 == 0, _s(key % 30000)).alias("process_id"),
+        tenant.alias("tenant_id")))
+    # the tactic field is a JSON list for some events and a CSV string for others
+    tactic = F.when(key % 2 == 0, F.lit('["initial-access","execution"]')) \
+        .otherwise(F.lit('"persistence, privilege-escalation"'))
+    ann = F.concat(F.lit(',"annotations":{"mitre_attack":{"mitre_tactic":'), tactic,
+                   F.lit(',"mitre_technique_id":"T1078,T1548"}}}'))
+    splunk = F.regexp_replace(splunk, r"\}$", ann)
+    src = F.when(key % 3 == 0, "sentinel").when(key % 3 == 1, "elastic").otherwise("splunk")
+    raw = F.when(key % 3 == 0, sentinel).when(key % 3 == 1, elastic).otherwise(splunk)
+    return o.select(src.alias("source"), raw.alias("raw"))
