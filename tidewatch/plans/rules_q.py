@@ -339,10 +339,24 @@ def _d12(spark, sf):
     d = all_detections(spark, sf)
     return tidy(d.groupBy("rule_id").agg(F.count(F.lit(1)).alias("detections"),
                                          F.count_distinct("entity_id").alias("entities"),
-                                         F.sum("confidence").alias("confidence_sum")))
+                                         F.sum("confidence").alias("confidence_sum")), places=4)
 
 
-register("d12_run_all_rules", None, headline=True)(_d12)
+def _d12_sql() -> str:
+    from tidewatch.plans.registry import ORACLES
+    ent = {"d01_training_data_poisoning": "user_id", "d02_model_extraction": "user_id",
+           "d03_prompt_injection": "user_id", "d04_adversarial_evasion": "edge_node_id",
+           "d05_oracle_dos": "edge_node_id", "d06_supply_chain": "entity_id",
+           "d07_insider_exfiltration": "caller_identity", "d08_alert_flood": "''",
+           "d09_sensor_spoofing": "edge_node_id", "d10_partner_compromise": "partner_id",
+           "d11_edge_compromise": "edge_node_id"}
+    parts = [f"SELECT rule_id, CAST({e} AS VARCHAR) AS entity_id, confidence FROM ({ORACLES[q]})"
+             for q, e in ent.items()]
+    return ("SELECT rule_id, CAST(COUNT(*) AS BIGINT) AS detections, CAST(COUNT(DISTINCT entity_id) AS BIGINT) AS entities, "
+            "ROUND(SUM(confidence), 4) AS confidence_sum FROM (" + " UNION ALL ".join(parts) + ") GROUP BY rule_id")
+
+
+register("d12_run_all_rules", _d12_sql(), headline=True)(_d12)
 
 
 def _p39(spark, sf):
