@@ -300,3 +300,43 @@ def categorise_events(events: DataFrame, type_col: str = "event_type") -> tuple[
     e = events.withColumn("event_category", cat)
     return e.where(F.col("event_category").isNotNull()), \
         e.where(F.col("event_category").isNull()).withColumn("error", F.lit("unknown event type"))
+
+
+def list_events(records: DataFrame, tenant: str, *, event_type: str | None = None, date_from: str | None = None,
+                date_to: str | None = None, limit: int = 100) -> DataFrame:
+    """P-15: tenant is mandatory; optional type and ISO date range; newest first; limit capped at 1000."""
+    r = records.where(F.col("tenant_id") == tenant)
+    if event_type:
+        r = r.where(F.col("event_type") == event_type)
+    if date_from:
+        r = r.where(F.col("timestamp") >= date_from)
+    if date_to:
+        r = r.where(F.col("timestamp") <= date_to)
+    return r.orderBy(F.desc("timestamp"), F.desc("sequence_number")).limit(min(int(limit), 1000))
+
+
+def search_events(records: DataFrame, *, actor: str | None = None, event_type: str | None = None,
+                  tenant: str | None = None, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+    """P-16: case-insensitive actor substring, type, tenant and date range."""
+    r = records
+    if actor:
+        r = r.where(F.lower(F.col("actor_id")).contains(actor.lower()))
+    if event_type:
+        r = r.where(F.col("event_type") == event_type)
+    if tenant:
+        r = r.where(F.col("tenant_id") == tenant)
+    if date_from:
+        r = r.where(F.col("timestamp") >= date_from)
+    if date_to:
+        r = r.where(F.col("timestamp") <= date_to)
+    return r
+
+
+def audit_stats(records: DataFrame, today: str) -> DataFrame:
+    """A-22: counts by event type and by actor (GROUPING SETS, one pass) with today's count."""
+    g = (records.groupingSets([["event_type"], ["actor_id"], []], "event_type", "actor_id")
+         .agg(F.count(F.lit(1)).alias("count"),
+              F.count_if(F.substring("timestamp", 1, 10) == today).alias("today"), F.grouping_id().alias("gid")))
+    dim = F.when(F.col("gid") == 1, "event_type").when(F.col("gid") == 2, "actor_id").otherwise("total")
+    return g.select(dim.alias("dimension"), F.when(F.col("gid") == 3, F.lit(""))
+                    .otherwise(F.coalesce("event_type", "actor_id")).alias("key"), "count", "today")

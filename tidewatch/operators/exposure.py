@@ -253,3 +253,37 @@ def sla_breaches(exposures: DataFrame, now, *, at_risk_hours: int = 24) -> DataF
                         .otherwise("on_track"))
             .withColumn("escalation_level", F.when(over > 168, 3).when(over > 72, 2).when(over > 0, 1).otherwise(0))
             .where(F.col("sla_state") != "on_track"))
+
+
+def weekly_risk_trend(exposures: DataFrame, now, *, days: int = 180,
+                      open_statuses: tuple[str, ...] = ("Open", "InProgress")) -> DataFrame:
+    """E-12: weekly (Monday) counts by severity, mean/max score and severity-weighted risk posture
+    over open exposures of the last 180 days, with week-over-week change (lag over the weekly rows,
+    at most 27 of them)."""
+    from pyspark.sql import Window
+    dt = col_type(exposures, "ts")
+    e = exposures.where((F.col("ts") > time_lit(shift(now, days=days), dt)) & (F.col("ts") < time_lit(now, dt))
+                        & F.col("status").isin(*open_statuses))
+    weight = F.when(F.col("severity") == "CRITICAL", 4).when(F.col("severity") == "HIGH", 3) \
+        .when(F.col("severity") == "MEDIUM", 2).otherwise(1)
+    g = e.groupBy(F.date_trunc("week", F.col("ts")).alias("week")).agg(
+        F.count(F.lit(1)).alias("total_exposures"),
+        *[F.count_if(F.col("severity") == s).alias(f"{s.lower()}_count") for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")],
+        F.round(F.avg("ctem_score"), 1).alias("avg_ctem_score"), F.max("ctem_score").alias("max_ctem_score"),
+        F.round(F.sum(F.col("ctem_score") * weight) / F.greatest(F.count(F.lit(1)), F.lit(1)), 1).alias("risk_posture_score"))
+    prev = F.lag("risk_posture_score").over(Window.orderBy("week"))
+    has_prev = prev.isNotNull() & (prev != 0)
+    return (g.withColumn("week_over_week_change", F.when(has_prev, F.round(F.col("risk_posture_score") - prev, 1)))
+            .withColumn("trend", F.when(has_prev & (F.col("risk_posture_score") < prev), "IMPROVING").otherwise("DEGRADING")))
+
+
+def new_assets(observations: DataFrame, now, *, recent_days: int = 7, prior_days: int = 30,
+               asset_col: str = "asset_id", ts_col: str = "ts") -> DataFrame:
+    """E-17: assets seen in the last 7 days that were not seen in the 30 days before (anti-join)."""
+    dt = col_type(observations, ts_col)
+    start = shift(now, days=recent_days)
+    recent = observations.where((F.col(ts_col) >= time_lit(start, dt)) & (F.col(ts_col) < time_lit(now, dt))) \
+        .groupBy(asset_col).agg(F.min(ts_col).alias("first_seen"))
+    prior = observations.where((F.col(ts_col) >= time_lit(shift(start, days=prior_days), dt))
+                               & (F.col(ts_col) < time_lit(start, dt))).select(asset_col).distinct()
+    return recent.join(prior, asset_col, "left_anti")

@@ -502,3 +502,48 @@ def detections_to_alerts(det: DataFrame) -> DataFrame:
         F.array().cast("array<string>").alias("tactics"), techniques.alias("techniques"),
         F.lit("").alias("entities_raw"), F.lit("").alias("product"), F.col("tenant_id"),
         payload.alias("raw_payload"))
+
+
+# ---------------------------------------------------------------------------
+# E-01 richer poisoning rule (documented form), E-04 binned oracle health
+# ---------------------------------------------------------------------------
+
+def training_data_poisoning_detailed(audit: DataFrame, now, *, actions=SUSPICIOUS_ACTIONS,
+                                     deviation_threshold: float = 3.0, distinct_threshold: int = 5,
+                                     count_threshold: int = 50, high_ratio: float = 10.0,
+                                     no_baseline_ratio: float = 999.0) -> DataFrame:
+    """E-01: D-01 with distinct actions, the distinct source-IP set and first/last action time;
+    severity High when the ratio exceeds 10; no baseline => ratio 999. One scan:
+    baseline ``[now-30d, now-1d]``, current ``(now-24h, now)``."""
+    dt = col_type(audit, "ts")
+    cur = (F.col("ts") > time_lit(shift(now, hours=24), dt)) & (F.col("ts") < time_lit(now, dt))
+    base = (F.col("ts") >= time_lit(shift(now, days=30), dt)) & (F.col("ts") <= time_lit(shift(now, days=1), dt))
+    g = (audit.where(F.col("action").isin(*actions) & (F.col("ts") >= time_lit(shift(now, days=30), dt))
+                     & (F.col("ts") < time_lit(now, dt)))
+         .groupBy("tenant_id", "user_id")
+         .agg(F.count_if(cur).alias("today_count"),
+              F.count_distinct(F.when(cur, F.col("target_resource"))).alias("distinct_tables"),
+              F.count_distinct(F.when(cur, F.col("action"))).alias("distinct_actions"),
+              F.array_sort(F.collect_set(F.when(cur, F.col("source_ip")))).alias("source_ips"),
+              F.min(F.when(cur, F.col("ts"))).alias("earliest_action"),
+              F.max(F.when(cur, F.col("ts"))).alias("latest_action"),
+              (F.count_if(base) / F.lit(30.0)).alias("avg_daily"))
+         .where(F.col("today_count") > 0))
+    dev = F.when(F.col("avg_daily") > 0, F.col("today_count") / F.col("avg_daily")).otherwise(F.lit(no_baseline_ratio))
+    g = g.withColumn("deviation_factor", dev)
+    fired = g.where((F.col("deviation_factor") > deviation_threshold) | (F.col("distinct_tables") > distinct_threshold)
+                    | (F.col("today_count") > count_threshold))
+    return _base("D-01", fired).withColumn(
+        "severity", F.when(F.col("deviation_factor") > high_ratio, "High").otherwise("Medium")).withColumn(
+        "confidence", F.least(F.lit(0.95), F.lit(0.5) + F.col("deviation_factor") / 20.0))
+
+
+def oracle_health_bins(oracle: DataFrame, now, *, hours: int = 24, width: str = "5 minutes") -> DataFrame:
+    """E-04: per node and 5-minute bin over the last ``hours``: checks, failures, errors, latency."""
+    w = oracle.where(in_window(oracle, "ts", shift(now, hours=hours), now))
+    return (w.groupBy("edge_node_id", F.window("ts", width).alias("bin"))
+            .agg(F.count(F.lit(1)).alias("checks"), F.count_if(F.col("check_result") == "fail").alias("failures"),
+                 F.count_if(F.col("error_state").isNotNull()).alias("errors"),
+                 F.avg("latency_ms").alias("avg_latency_ms"), F.max("latency_ms").alias("max_latency_ms"))
+            .select("edge_node_id", F.col("bin.start").alias("bin_start"), "checks", "failures", "errors",
+                    "avg_latency_ms", "max_latency_ms"))
