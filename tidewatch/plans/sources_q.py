@@ -63,3 +63,39 @@ register("p01_validate_canonical", f"""
 WITH e AS ({S06_SQL})
 SELECT source, CAST(COUNT(*) AS BIGINT) AS valid, CAST(0 AS BIGINT) AS rejected FROM e GROUP BY source
 """)(_p01)
+
+
+def _t01(spark, sf):
+    from tidewatch.operators.entities import parse_entities_df
+    from tidewatch.session import checkpoint_dir
+    checkpoint_dir(spark)
+    # the canonical alert table is a stored stage (alerts.normalized); parsing reads it
+    c = AD.union_sources(TB.vendor_alerts(spark, sf)).select("source", "entities_raw", "raw_payload") \
+        .checkpoint(eager=True)
+    p = parse_entities_df(c, "entities_raw", "raw_payload", "p")
+    ents = p.select("source", F.explode("p.entities").alias("e")) \
+        .groupBy("source", F.col("e.entity_type").alias("entity_type")).agg(F.count(F.lit(1)).alias("entities"))
+    errs = p.select("source", F.lit("parse_error").alias("entity_type"), F.size("p.parse_errors").alias("n")) \
+        .groupBy("source", "entity_type").agg(F.sum("n").cast("bigint").alias("entities"))
+    return ents.unionByName(errs)
+
+
+register("t01_entity_parse", """
+WITH o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 97 <> 0)
+, s AS (SELECT COUNT(*) AS n FROM o WHERE k % 3 = 0)
+, e AS (SELECT COUNT(*) AS n, SUM((k % 2 = 0)::INT + (k % 11 = 0)::INT) AS acc, SUM(1 + (k % 5 = 0)::INT) AS ip,
+               SUM((k % 7 = 0)::INT) AS proc FROM o WHERE k % 3 = 1)
+, p AS (SELECT COUNT(*) AS n, SUM((k % 7 = 0)::INT) AS proc FROM o WHERE k % 3 = 2)
+SELECT 'sentinel' AS source, 'ip' AS entity_type, CAST(n AS BIGINT) AS entities FROM s
+UNION ALL SELECT 'elastic', 'host', CAST(n AS BIGINT) FROM e
+UNION ALL SELECT 'elastic', 'account', CAST(acc AS BIGINT) FROM e
+UNION ALL SELECT 'elastic', 'ip', CAST(ip AS BIGINT) FROM e
+UNION ALL SELECT 'elastic', 'process', CAST(proc AS BIGINT) FROM e
+UNION ALL SELECT 'splunk', 'ip', CAST(2 * n AS BIGINT) FROM p
+UNION ALL SELECT 'splunk', 'host', CAST(n AS BIGINT) FROM p
+UNION ALL SELECT 'splunk', 'account', CAST(n AS BIGINT) FROM p
+UNION ALL SELECT 'splunk', 'process', CAST(proc AS BIGINT) FROM p
+UNION ALL SELECT 'sentinel', 'parse_error', CAST(0 AS BIGINT)
+UNION ALL SELECT 'elastic', 'parse_error', CAST(0 AS BIGINT)
+UNION ALL SELECT 'splunk', 'parse_error', CAST(0 AS BIGINT)
+""")(_t01)
