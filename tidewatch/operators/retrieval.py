@@ -19,10 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.session import ship_package
 from pyspark.sql import types as T
 
 from tidewatch.functions.exprs import incident_score, jaccard
+from tidewatch.session import ship_package
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType()),
@@ -164,3 +164,55 @@ def retrieval_quality(hits: DataFrame, relevant_counts: DataFrame, relevance: Co
                  F.avg(F.coalesce(F.col("hit1"), F.lit(0))).alias("hit_at_1"),
                  F.avg(F.coalesce(F.col("hit3"), F.lit(0))).alias("hit_at_3"),
                  F.avg("ndcg").alias("ndcg_at_5"))
+
+
+# ---------------------------------------------------------------------------
+# X-03 pluggable embedding function, X-04 embedding migration
+# ---------------------------------------------------------------------------
+
+CURRENT_EMBEDDING_VERSION = "2"
+
+
+def hashing_embedder(dim: int = 64):
+    """X-03: a deterministic text -> unit vector function as an Arrow-batched Pandas UDF
+    (feature hashing of lower-cased word tokens over the whole text). Any other
+    ``pandas_udf(array<float>)`` model can be passed to ``migrate_embeddings`` instead."""
+    import re as _re
+    import zlib
+
+    token = _re.compile(r"\w+", _re.UNICODE)
+
+    @F.pandas_udf("array<float>")
+    def embed(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            v = np.zeros(dim, dtype=np.float64)
+            if t:
+                for w in token.findall(t.lower()):
+                    h = zlib.crc32(w.encode("utf-8"))
+                    v[h % dim] += 1.0 if (h >> 16) & 1 else -1.0
+            n = np.linalg.norm(v)
+            out.append((v / n if n > 0 else v).astype(np.float32))
+        return pd.Series(out)
+    return embed
+
+
+def migrate_embeddings(points: DataFrame, embed_udf, *, target_version: str = CURRENT_EMBEDDING_VERSION,
+                       model_id: str = "hashing-64", dims: int = 64, id_col: str = "id",
+                       text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """X-04: re-embed every point that has no ``{id}_v{target}`` twin yet (left anti-join, so a
+    re-run after a failure only does the rest: idempotent by id); rows without text are counted
+    and skipped. Returns (new points to append, progress counters)."""
+    ship_package(points.sparkSession)
+    new_id = F.concat(F.col(id_col).cast("string"), F.lit(f"_v{target_version}"))
+    src = points.where(~F.col(id_col).cast("string").endswith(f"_v{target_version}"))
+    done = points.select(F.col(id_col).cast("string").alias("_nid"))
+    todo = src.withColumn("_nid", new_id).join(done, "_nid", "left_anti")
+    has_text = F.col(text_col).isNotNull() & (F.trim(F.col(text_col)) != "")
+    migrated = (todo.where(has_text)
+                .select(F.col("_nid").alias(id_col), embed_udf(F.col(text_col)).alias("vector"),
+                        F.lit(model_id).alias("embedding_model_id"), F.lit(dims).alias("embedding_dimensions"),
+                        F.lit(target_version).alias("embedding_version")))
+    progress = todo.agg(F.count(F.lit(1)).alias("pending"), F.count_if(has_text).alias("migrated"),
+                        F.count_if(~has_text).alias("skipped_no_text"))
+    return migrated, progress

@@ -146,3 +146,24 @@ SELECT CAST(COUNT(*) AS BIGINT) AS queries, ROUND(AVG(hit1), 6) AS hit_at_1, ROU
        ROUND(AVG(CASE WHEN n > 0 THEN dcg / idcg ELSE 0 END), 6) AS ndcg_at_5
 FROM pq JOIN idc USING (label)
 """)(_e25)
+
+
+def _x04(spark, sf):
+    docs = TB.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    new, progress = RT.migrate_embeddings(docs, RT.hashing_embedder(64))
+    stats = new.agg(F.count(F.lit(1)).alias("written"),
+                    F.count_if(F.abs(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)) - 1) < 1e-4)
+                    .alias("unit_vectors"),
+                    F.min(F.size("vector")).cast("bigint").alias("min_dims"))
+    return progress.crossJoin(stats)
+
+
+register("x04_embedding_migration", """
+SELECT CAST(COUNT(*) AS BIGINT) AS pending,
+       CAST(COUNT(*) FILTER (WHERE text IS NOT NULL AND trim(text) <> '') AS BIGINT) AS migrated,
+       CAST(COUNT(*) FILTER (WHERE text IS NULL OR trim(text) = '') AS BIGINT) AS skipped_no_text,
+       CAST(COUNT(*) FILTER (WHERE text IS NOT NULL AND trim(text) <> '') AS BIGINT) AS written,
+       CAST(COUNT(*) FILTER (WHERE text IS NOT NULL AND trim(text) <> '') AS BIGINT) AS unit_vectors,
+       CAST(64 AS BIGINT) AS min_dims
+FROM documents
+""")(_x04)
