@@ -153,3 +153,13 @@ def ioc_rows(df: DataFrame, text_col: str, tenant: Column, loaded_at: Column, so
             .withColumn("ioc_type", F.lit(typ)).withColumn("confidence", F.lit(conf))
         out = p if out is None else out.unionByName(p)
     return out
+
+
+def feed_status(sources: DataFrame, loads: DataFrame, iocs: DataFrame) -> DataFrame:
+    """J-20: every configured source, its latest load (max_by over load time) and IOC count;
+    two left joins, sources without loads or IOCs still listed."""
+    latest = loads.groupBy("source").agg(F.max("loaded_at").alias("last_loaded_at"),
+                                         F.max_by("status", "loaded_at").alias("last_status"))
+    counts = iocs.groupBy("source").agg(F.count(F.lit(1)).alias("ioc_count"))
+    return sources.join(latest, "source", "left").join(counts, "source", "left") \
+        .withColumn("ioc_count", F.coalesce("ioc_count", F.lit(0)))

@@ -88,3 +88,44 @@ def batch_sla(jobs: DataFrame, now, submitted_col: str = "submitted_at", hours:
     dt = col_type(jobs, submitted_col)
     limit = time_lit(now, dt) - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(hours))
     return jobs.withColumn("sla_expired", F.col(submitted_col) < limit)
+
+
+# ---------------------------------------------------------------------------
+# P-22 task tier routing (table-wide)
+# ---------------------------------------------------------------------------
+
+# Fixed values (must equal the reference): base tier per task type.
+TASK_TIER = {
+    "ioc_extraction": "tier_0", "log_summarisation": "tier_0", "entity_normalisation": "tier_0",
+    "fp_suggestion": "tier_0", "alert_classification": "tier_0", "severity_assessment": "tier_0",
+    "investigation": "tier_1", "ctem_correlation": "tier_1", "atlas_reasoning": "tier_1",
+    "attack_path_analysis": "tier_1", "incident_report": "tier_1", "playbook_selection": "tier_1",
+    "fp_pattern_training": "tier_2", "playbook_generation": "tier_2", "agent_red_team": "tier_2",
+    "detection_rule_generation": "tier_2", "retrospective_analysis": "tier_2", "threat_landscape_summary": "tier_2",
+}
+TIER_ORDER = {"tier_0": 0, "tier_1": 1, "tier_1_plus": 2, "tier_2": 3}
+TIME_BUDGET_FLOOR_S, CONTEXT_ESCALATION_TOKENS, LOW_CONFIDENCE = 3, 100_000, 0.6
+
+
+def route_tasks(tasks: DataFrame) -> DataFrame:
+    """P-22: base tier, then the override chain (time budget < 3 s -> tier 0; else critical with
+    reasoning -> at least tier 1; context > 100k on tier 0 -> tier 1; low previous confidence on
+    critical/high -> tier 1+), with the reason trail joined by '; '."""
+    base = lookup(TASK_TIER, F.col("task_type"), "tier_1")
+    rank = lambda c: lookup(TIER_ORDER, c)
+    fast = F.col("time_budget_seconds") < TIME_BUDGET_FLOOR_S
+    crit = ~fast & (F.col("alert_severity") == "critical") & F.col("requires_reasoning")
+    t1 = F.when(fast, F.lit("tier_0")).when(crit & (rank(base) < 1), F.lit("tier_1")).otherwise(base)
+    ctx = (F.col("context_tokens") > CONTEXT_ESCALATION_TOKENS) & (t1 == "tier_0")
+    t2 = F.when(ctx, F.lit("tier_1")).otherwise(t1)
+    low = F.col("previous_confidence").isNotNull() & (F.col("previous_confidence") < LOW_CONFIDENCE) \
+        & F.col("alert_severity").isin("critical", "high")
+    tier = F.when(low, F.lit("tier_1_plus")).otherwise(t2)
+    reasons = F.array_compact(F.array(
+        F.concat(F.lit("base="), base),
+        F.when(fast, F.lit("time_budget<3s→tier_0")),
+        F.when(crit & (rank(base) < 1), F.lit("critical+reasoning→min_tier_1")),
+        F.when(ctx, F.lit("context>100k→tier_1")),
+        F.when(low, F.lit("low_confidence_escalation→tier_1+"))))
+    return tasks.withColumn("tier", tier).withColumn("reason", F.array_join(reasons, "; ")) \
+        .withColumn("use_extended_thinking", tier == "tier_1_plus")

@@ -152,3 +152,91 @@ SELECT r.asset_id, COALESCE(g.consequences, '') AS consequences, COALESCE(g.wors
             WHEN 'downtime' THEN 'MEDIUM' ELSE 'LOW' END AS consequence_severity, g.asset_id IS NOT NULL AS path_found
 FROM res2 r LEFT JOIN agg g ON r.asset_id = g.asset_id
 """)(_j12)
+
+
+# ---------------------------------------------------------------- J-16 / J-04 / P-24 / P-25 / J-20
+INV = TB.INVESTIGATIONS_NOW
+
+
+def _playbooks(spark, sf):
+    p = TB.read(spark, sf, "part")
+    sev = F.element_at(F.array(*[F.lit(s) for s in ("critical", "high", "medium", "low", "informational")]),
+                       (F.col("p_size") % 5 + 1).cast("int"))
+    return p.select(F.concat(F.lit("pb-"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("playbook_id"),
+                    sev.alias("severity"))
+
+
+def _j16(spark, sf):
+    alerts = TB.investigations(spark, sf).where(F.col("state") == "awaiting_human")
+    return EN.select_playbooks(alerts, _playbooks(spark, sf), 3).select(
+        "alert_id", "playbook_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+from tidewatch.plans.oracle_roles import with_roles  # noqa: E402
+
+register("j16_playbooks_by_severity", with_roles("""
+, pb AS (SELECT 'pb-' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS playbook_id,
+                ['critical', 'high', 'medium', 'low', 'informational'][p_size % 5 + 1] AS severity FROM part)
+, j AS (SELECT a.alert_id, p.playbook_id, ROW_NUMBER() OVER (PARTITION BY a.alert_id ORDER BY p.playbook_id) AS rank
+        FROM investigations a JOIN pb p ON a.severity = p.severity WHERE a.state = 'awaiting_human')
+SELECT alert_id, playbook_id, CAST(rank AS BIGINT) AS rank FROM j WHERE rank <= 3
+""", "investigations"))(_j16)
+
+
+def _profiles(spark, sf):
+    c = TB.read(spark, sf, "customer")
+    upd = time_lit(INV) - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0), (F.col("c_custkey") % 48).cast("int"))
+    return c.where(F.col("c_custkey") % 7 != 0).select(
+        F.concat(F.lit("t"), (F.col("c_custkey") % 4).cast("string")).alias("tenant_id"),
+        F.concat(F.lit("asset-"), (F.col("c_custkey") % 100 + 1).cast("string")).alias("entity_id"),
+        (F.col("c_custkey") % 10).cast("int").alias("priority"), upd.alias("updated_at"))
+
+
+def _p25(spark, sf):
+    inv = TB.investigations(spark, sf).where(F.col("state") != "closed") \
+        .select("alert_id", "tenant_id", F.col("asset_id").alias("entity_id"))
+    prof = _profiles(spark, sf)
+    prof = prof.groupBy("tenant_id", "entity_id").agg(F.max_by("priority", "updated_at").alias("priority"),
+                                                      F.max("updated_at").alias("updated_at"))
+    er = EN.entity_risk(inv, prof, INV)
+    return EN.alert_risk(er).groupBy("risk_state").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+register("p25_alert_risk_rollup", with_roles(f"""
+, prof0 AS (SELECT 't' || CAST(c_custkey % 4 AS VARCHAR) AS tenant_id,
+                   'asset-' || CAST(c_custkey % 100 + 1 AS VARCHAR) AS entity_id, c_custkey % 10 AS priority,
+                   {ts(INV)} - to_hours(CAST(c_custkey % 48 AS BIGINT)) AS updated_at
+            FROM customer WHERE c_custkey % 7 <> 0)
+, prof AS (SELECT tenant_id, entity_id, arg_max(priority, updated_at) AS priority, MAX(updated_at) AS updated_at
+           FROM prof0 GROUP BY tenant_id, entity_id)
+, e AS (SELECT i.alert_id, p.priority,
+               EXTRACT(EPOCH FROM ({ts(INV)} - p.updated_at)) / 3600.0 AS fresh
+        FROM investigations i LEFT JOIN prof p ON i.tenant_id = p.tenant_id AND i.asset_id = p.entity_id
+        WHERE i.state <> 'closed')
+, r AS (SELECT alert_id, CASE WHEN priority IS NULL THEN 0 WHEN fresh > 24 THEN 1 WHEN priority < 3 THEN 2
+                              WHEN priority < 6 THEN 3 ELSE 4 END AS rk FROM e)
+, a AS (SELECT alert_id, MAX(rk) AS rk FROM r GROUP BY alert_id)
+SELECT CASE rk WHEN 0 THEN 'no_baseline' WHEN 1 THEN 'unknown' WHEN 2 THEN 'low' WHEN 3 THEN 'medium' ELSE 'high' END
+       AS risk_state, CAST(COUNT(*) AS BIGINT) AS alerts FROM a GROUP BY 1
+""", "investigations"))(_p25)
+
+
+def _j20(spark, sf):
+    iocs = ioc_table(spark, sf)
+    sources = spark.range(4).select(F.concat(F.lit("feed-"), F.col("id").cast("string")).alias("source"))
+    loads = iocs.select("source", "loaded_at", F.when(F.col("expires_at") > time_lit(NOW), "ok").otherwise("stale")
+                        .alias("status"))
+    f = EN.feed_status(sources, loads, iocs)
+    return f.select("source", F.date_format("last_loaded_at", "yyyy-MM-dd").alias("last_loaded_at"), "last_status",
+                    F.col("ioc_count").cast("bigint").alias("ioc_count"))
+
+
+register("j20_feed_status", IOC_SQL + f"""
+, s AS (SELECT 'feed-' || CAST(i AS VARCHAR) AS source FROM range(4) t(i))
+, l AS (SELECT source, MAX(loaded_at) AS last_loaded_at,
+               arg_max(CASE WHEN expires_at > {ts(NOW)} THEN 'ok' ELSE 'stale' END, loaded_at) AS last_status,
+               COUNT(*) AS n FROM iocs GROUP BY source)
+SELECT s.source, strftime(l.last_loaded_at, '%Y-%m-%d') AS last_loaded_at, l.last_status,
+       CAST(COALESCE(l.n, 0) AS BIGINT) AS ioc_count
+FROM s LEFT JOIN l ON s.source = l.source
+""")(_j20)

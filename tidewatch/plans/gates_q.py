@@ -104,3 +104,41 @@ SELECT DISTINCT t AS tactic FROM (
               ELSE CASE WHEN o_orderkey % 2 = 0 THEN ['initial-access', 'execution'] ELSE ['persistence', 'privilege-escalation'] END
          END AS ts FROM orders WHERE o_orderkey % 97 <> 0), unnest(ts) AS u(t)
 """)(_u07)
+
+
+TASKS7 = ["ioc_extraction", "investigation", "fp_pattern_training", "alert_classification", "incident_report",
+          "unknown_task", "agent_red_team"]
+
+
+def _tasks(spark, sf):
+    li = TB.read(spark, sf, "lineitem")
+    task = F.element_at(F.array(*[F.lit(t) for t in TASKS7]), F.col("l_linenumber"))
+    sev = F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "high").otherwise("medium")
+    return li.select(task.alias("task_type"), (F.col("l_quantity") / 5.0).alias("time_budget_seconds"),
+                     sev.alias("alert_severity"), (F.col("l_linestatus") == "O").alias("requires_reasoning"),
+                     (F.col("l_extendedprice") * 2).alias("context_tokens"),
+                     F.when(F.col("l_discount") > 0.05, F.col("l_tax") * 10).alias("previous_confidence"))
+
+
+def _p22(spark, sf):
+    r = GT.route_tasks(_tasks(spark, sf))
+    return r.groupBy("tier", "reason").agg(F.count(F.lit(1)).alias("tasks"))
+
+
+register("p22_task_tier_routing", f"""
+WITH t AS (
+  SELECT list_extract({[t for t in TASKS7]!r}::VARCHAR[], l_linenumber) AS task_type, l_quantity / 5.0 AS budget,
+         CASE WHEN l_returnflag = 'R' THEN 'critical' WHEN l_returnflag = 'A' THEN 'high' ELSE 'medium' END AS sev,
+         l_linestatus = 'O' AS reasoning, l_extendedprice * 2 AS ctx,
+         CASE WHEN l_discount > 0.05 THEN l_tax * 10 END AS prev FROM lineitem)
+, b AS (SELECT *, CASE {" ".join(f"WHEN task_type = '{k}' THEN '{v}'" for k, v in GT.TASK_TIER.items())} ELSE 'tier_1' END AS base FROM t)
+, c AS (SELECT *, budget < 3 AS fast, budget >= 3 AND sev = 'critical' AND reasoning AND base = 'tier_0' AS crit FROM b)
+, d AS (SELECT *, CASE WHEN fast THEN 'tier_0' WHEN crit THEN 'tier_1' ELSE base END AS t1 FROM c)
+, e AS (SELECT *, ctx > 100000 AND t1 = 'tier_0' AS ctxx, prev IS NOT NULL AND prev < 0.6 AND sev IN ('critical', 'high') AS low FROM d)
+, f AS (SELECT CASE WHEN low THEN 'tier_1_plus' WHEN ctxx THEN 'tier_1' ELSE t1 END AS tier,
+               concat_ws('; ', 'base=' || base, CASE WHEN fast THEN 'time_budget<3s→tier_0' END,
+                         CASE WHEN crit THEN 'critical+reasoning→min_tier_1' END,
+                         CASE WHEN ctxx THEN 'context>100k→tier_1' END,
+                         CASE WHEN low THEN 'low_confidence_escalation→tier_1+' END) AS reason FROM e)
+SELECT tier, reason, CAST(COUNT(*) AS BIGINT) AS tasks FROM f GROUP BY tier, reason
+""")(_p22)
