@@ -386,3 +386,18 @@ def closed_by_pattern(investigations: DataFrame, revoked: DataFrame) -> DataFram
 def days_until_expiry(expiry: Column, now) -> Column:
     """P-17: max(0, days to expiry)."""
     return F.greatest(F.lit(0), F.datediff(expiry.cast("date"), F.lit(str(now)[:10]).cast("date")))
+
+
+def pattern_summary(patterns: DataFrame, now) -> DataFrame:
+    """A-33 (with P-17): total, active, pending approval and active patterns expiring within 14 days."""
+    days = days_until_expiry(F.col("expiry_date"), now)
+    return patterns.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "active").alias("active"),
+                        F.count_if(F.col("status") == "pending_approval").alias("pending"),
+                        F.count_if((F.col("status") == "active") & days.isNotNull() & (days <= 14)).alias("expiring_soon"))
+
+
+def canary_cycle_summary(decisions: DataFrame) -> DataFrame:
+    """A-37: slices evaluated, promotions and rollbacks of one evaluation cycle."""
+    return decisions.agg(F.count(F.lit(1)).alias("slices_evaluated"),
+                         F.count_if(F.col("decision") == "promote").alias("promotions"),
+                         F.count_if(F.col("decision") == "rollback").alias("rollbacks"))

@@ -179,3 +179,22 @@ def dual_trigger_batches(df: DataFrame, key: str, ts: str, *, count_threshold: i
     schema = T.StructType(df.schema.fields + [T.StructField("batch_no", T.LongType()),
                                               T.StructField("closed_by_count", T.BooleanType())])
     return e.mapInPandas(_batch_stream(count_threshold, time_threshold_hours * 3600.0), schema)
+
+
+def zip_results(tasks: DataFrame, results: DataFrame) -> DataFrame:
+    """J-17: batch results matched to tasks by position within the job (full outer join on
+    (job_id, pos)); a result that is not a valid success, or has no task at its position, is an
+    error; otherwise the task type decides the outcome."""
+    j = results.join(tasks, ["job_id", "pos"], "left")
+    ok = (F.col("status") == "success") & F.coalesce(F.col("valid"), F.lit(False))
+    outcome = (F.when(~ok, "error").when(F.col("task_type").isNull(), "error")
+               .when(F.col("task_type") == "fp_pattern_generation", "fp_pattern_stored")
+               .when(F.col("task_type") == "playbook_generation", "playbook_published").otherwise("error"))
+    return j.withColumn("outcome", outcome)
+
+
+def result_summary(zipped: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """A-36: stored / published / error counts."""
+    return zipped.groupBy(*keys).agg(F.count_if(F.col("outcome") == "fp_pattern_stored").alias("fp_patterns_stored"),
+                                     F.count_if(F.col("outcome") == "playbook_published").alias("playbooks_published"),
+                                     F.count_if(F.col("outcome") == "error").alias("errors"))

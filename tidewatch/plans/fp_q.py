@@ -320,3 +320,46 @@ SELECT slice_id, ROUND(precision, 6) AS precision,
             WHEN created_at <= {ts(CALLS, days=7)} AND precision >= 0.98 THEN 'promote' ELSE 'continue' END AS decision
 FROM j
 """, "decision_log"))(_p34)
+
+
+# ---------------------------------------------------------------- A-33 / A-37
+def _patterns_with_expiry(spark, sf):
+    p = fp_patterns(spark, sf)
+    from tidewatch.functions.exprs import time_lit
+    off = F.conv(F.substring(F.md5(F.col("pattern_id")), 2, 1), 16, 10).cast("int") * 3 - 10
+    return p.withColumn("expiry_date", time_lit(INV) + F.make_interval(F.lit(0), F.lit(0), F.lit(0), off))
+
+
+def _a33(spark, sf):
+    return FP.pattern_summary(_patterns_with_expiry(spark, sf), INV)
+
+
+register("a33_fp_pattern_summary", with_roles(f"""
+, g AS (SELECT tenant_id, substr(alert_title, 1, 50) AS group_key FROM investigations
+        WHERE state = 'closed' AND classification = 'false_positive' AND updated_at < {ts(INV)}
+        GROUP BY 1, 2 HAVING COUNT(*) >= 3)
+, p AS (SELECT *, 'fp-' || substr(md5(tenant_id || '|' || group_key), 1, 10) AS pattern_id FROM g)
+, q AS (SELECT *, substr(md5(pattern_id), 1, 1) AS h,
+               {ts(INV)} + to_days(CAST(('0x' || substr(md5(pattern_id), 2, 1))::INTEGER * 3 - 10 AS BIGINT)) AS expiry FROM p)
+, s AS (SELECT CASE WHEN h IN ('0','1','2','3','4','5') THEN 'approved' WHEN h IN ('6','7','8','9') THEN 'active'
+                    WHEN h IN ('a','b') THEN 'shadow' WHEN h = 'c' THEN 'pending_review' ELSE 'expired' END AS status,
+               GREATEST(0, date_diff('day', CAST({ts(INV)} AS DATE), CAST(expiry AS DATE))) AS days FROM q)
+SELECT CAST(COUNT(*) AS BIGINT) AS total, CAST(COUNT(*) FILTER (WHERE status = 'active') AS BIGINT) AS active,
+       CAST(COUNT(*) FILTER (WHERE status = 'pending_approval') AS BIGINT) AS pending,
+       CAST(COUNT(*) FILTER (WHERE status = 'active' AND days <= 14) AS BIGINT) AS expiring_soon FROM s
+""", "investigations"))(_a33)
+
+
+def _a37(spark, sf):
+    return FP.canary_cycle_summary(_p34(spark, sf))
+
+
+def _a37_sql():
+    from tidewatch.plans.registry import ORACLES
+    return ("SELECT CAST(COUNT(*) AS BIGINT) AS slices_evaluated, "
+            "CAST(COUNT(*) FILTER (WHERE decision = 'promote') AS BIGINT) AS promotions, "
+            "CAST(COUNT(*) FILTER (WHERE decision = 'rollback') AS BIGINT) AS rollbacks FROM ("
+            + ORACLES["p34_canary_decision"] + ")")
+
+
+register("a37_canary_cycle_summary", _a37_sql())(_a37)

@@ -115,3 +115,24 @@ SELECT event_type, strftime(to_timestamp((p + 1) * 3600), '%Y-%m-%d %H:%M:%S') A
        CAST(b - p - 1 AS BIGINT) AS silent_buckets
 FROM l WHERE b - p > 1
 """)(_st11)
+
+
+def _a36(spark, sf):
+    c = TB.call_log(spark, sf).select("task_type", "created_at", "investigation_id", "status", "confidence")
+    b = SQ.dual_trigger_batches(c, "task_type", "created_at", order_cols=("investigation_id",))
+    from pyspark.sql import Window
+    job = F.concat_ws("#", "task_type", F.col("batch_no").cast("string"))
+    w = Window.partitionBy("task_type", "batch_no").orderBy("created_at", "investigation_id")
+    b = b.withColumn("job_id", job).withColumn("pos", F.row_number().over(w) - 1)
+    kind = F.when(F.col("task_type").isin("task-1", "task-2", "task-3"), "fp_pattern_generation") \
+        .when(F.col("task_type").isin("task-4", "task-5"), "playbook_generation").otherwise("other")
+    tasks = b.select("job_id", "pos", kind.alias("task_type"))
+    results = b.select("job_id", "pos", "status", (F.col("confidence") >= 0.7).alias("valid"))
+    # jobs whose number is a multiple of 3 returned one result more than they had tasks
+    extra = b.groupBy("job_id", "batch_no").agg(F.count(F.lit(1)).alias("n")).where(F.col("batch_no") % 3 == 0) \
+        .select("job_id", F.col("n").alias("pos"), F.lit("success").alias("status"), F.lit(True).alias("valid"))
+    z = SQ.zip_results(tasks, results.unionByName(extra))
+    return SQ.result_summary(z.withColumn("task_family", F.split("job_id", "#").getItem(0)), ("task_family",))
+
+
+register("a36_batch_result_summary", None)(_a36)

@@ -99,3 +99,19 @@ UNION ALL SELECT 'sentinel', 'parse_error', CAST(0 AS BIGINT)
 UNION ALL SELECT 'elastic', 'parse_error', CAST(0 AS BIGINT)
 UNION ALL SELECT 'splunk', 'parse_error', CAST(0 AS BIGINT)
 """)(_t01)
+
+
+def _u06(spark, sf):
+    c = AD.union_sources(TB.vendor_alerts(spark, sf))
+    merged = F.array_distinct(F.concat("techniques", "tactics"))
+    return c.groupBy("source", F.size(merged).cast("bigint").alias("n_items")).agg(F.count(F.lit(1)).alias("alerts"))
+
+
+register("u06_ordered_distinct_merge", f"""
+WITH e AS ({S06_SQL})
+SELECT source, CAST(len(list_distinct(
+         (CASE WHEN techniques = '' THEN []::VARCHAR[] ELSE string_split(techniques, '|') END)
+      || (CASE WHEN tactics = '' THEN []::VARCHAR[] ELSE string_split(tactics, '|') END))) AS BIGINT) AS n_items,
+       CAST(COUNT(*) AS BIGINT) AS alerts
+FROM e GROUP BY ALL
+""")(_u06)
