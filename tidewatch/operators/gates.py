@@ -129,3 +129,32 @@ def route_tasks(tasks: DataFrame) -> DataFrame:
         F.when(low, F.lit("low_confidence_escalation→tier_1+"))))
     return tasks.withColumn("tier", tier).withColumn("reason", F.array_join(reasons, "; ")) \
         .withColumn("use_extended_thinking", tier == "tier_1_plus")
+
+
+# ---------------------------------------------------------------------------
+# P-23 degradation level from provider health
+# ---------------------------------------------------------------------------
+
+# Fixed values (must equal the reference): level -> (confidence override, extended thinking, max tier, alert ops)
+DEGRADATION_POLICIES = {
+    "full_capability": (0.0, True, "tier_1_plus", False),
+    "secondary_active": (0.95, False, "tier_1", True),
+    "deterministic_only": (1.0, False, "tier_0", True),
+}
+
+
+def degradation_levels(health: DataFrame, keys: tuple[str, ...] = ("bucket",)) -> DataFrame:
+    """P-23: per bucket, full capability while the primary provider is up, secondary_active when
+    only the secondary is, deterministic_only otherwise; with the level's policy columns.
+
+    ``health``: (bucket..., provider in {primary, secondary}, available boolean); a provider
+    with no row in a bucket counts as available."""
+    g = health.groupBy(*keys).agg(
+        F.coalesce(F.min(F.when(F.col("provider") == "primary", F.col("available").cast("int"))), F.lit(1)).alias("_p"),
+        F.coalesce(F.min(F.when(F.col("provider") == "secondary", F.col("available").cast("int"))), F.lit(1)).alias("_s"))
+    level = F.when(F.col("_p") == 1, "full_capability").when(F.col("_s") == 1, "secondary_active") \
+        .otherwise("deterministic_only")
+    g = g.withColumn("degradation_level", level).drop("_p", "_s")
+    for i, name in enumerate(("confidence_threshold_override", "extended_thinking_available", "max_tier", "alert_ops")):
+        g = g.withColumn(name, lookup({k: v[i] for k, v in DEGRADATION_POLICIES.items()}, F.col("degradation_level")))
+    return g

@@ -142,3 +142,33 @@ WITH t AS (
                          CASE WHEN low THEN 'low_confidence_escalation→tier_1+' END) AS reason FROM e)
 SELECT tier, reason, CAST(COUNT(*) AS BIGINT) AS tasks FROM f GROUP BY tier, reason
 """)(_p22)
+
+
+def _p23(spark, sf):
+    from tidewatch.operators import sequences as SQ
+    c = TB.call_log(spark, sf).select(
+        F.when(F.col("model_id").isin("model-0", "model-1"), "primary").otherwise("secondary").alias("provider"),
+        "created_at", F.concat_ws("|", "investigation_id", "task_type").alias("tie"),
+        (F.col("status") == "success").alias("ok"))
+    runs = SQ.failure_runs(c, "provider", "created_at", "ok", "tie")
+    last = runs.groupBy("provider", F.to_date("created_at").alias("bucket")).agg(
+        F.max_by("failure_run", F.struct("created_at", "tie")).alias("run"))
+    health = last.select("bucket", "provider", (F.col("run") < 5).alias("available"))
+    d = GT.degradation_levels(health)
+    return d.groupBy("degradation_level", "max_tier").agg(F.count(F.lit(1)).alias("days"))
+
+
+register("p23_degradation_levels", with_roles("""
+, e AS (SELECT CASE WHEN model_id IN ('model-0', 'model-1') THEN 'primary' ELSE 'secondary' END AS provider,
+               created_at, investigation_id || '|' || task_type AS tie, status = 'success' AS ok FROM call_log)
+, g AS (SELECT *, SUM(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY provider ORDER BY created_at, tie
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM e)
+, r AS (SELECT *, SUM(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY provider, grp ORDER BY created_at, tie
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)
+, l AS (SELECT provider, CAST(created_at AS DATE) AS bucket, arg_max(run, (created_at, tie)) AS run FROM r GROUP BY 1, 2)
+, h AS (SELECT bucket, COALESCE(MIN(CASE WHEN provider = 'primary' THEN (run < 5)::INT END), 1) AS p,
+               COALESCE(MIN(CASE WHEN provider = 'secondary' THEN (run < 5)::INT END), 1) AS s FROM l GROUP BY bucket)
+, v AS (SELECT CASE WHEN p = 1 THEN 'full_capability' WHEN s = 1 THEN 'secondary_active' ELSE 'deterministic_only' END AS lvl FROM h)
+SELECT lvl AS degradation_level, CASE lvl WHEN 'full_capability' THEN 'tier_1_plus' WHEN 'secondary_active' THEN 'tier_1'
+       ELSE 'tier_0' END AS max_tier, CAST(COUNT(*) AS BIGINT) AS days FROM v GROUP BY lvl
+""", "call_log"))(_p23)
