@@ -163,3 +163,20 @@ def feed_status(sources: DataFrame, loads: DataFrame, iocs: DataFrame) -> DataFr
     counts = iocs.groupBy("source").agg(F.count(F.lit(1)).alias("ioc_count"))
     return sources.join(latest, "source", "left").join(counts, "source", "left") \
         .withColumn("ioc_count", F.coalesce("ioc_count", F.lit(0)))
+
+
+def rule_crosswalk(spark) -> DataFrame:
+    """Explicit ATLAS <-> ATT&CK crosswalk from the detection rules' technique pairs (Q9: the
+    reference's column-based crosswalk is empty, so the mapping is an explicit table)."""
+    from tidewatch.operators.rules import RULES
+    pairs = sorted({(m.atlas_technique, m.attack_technique) for m in RULES.values() if m.attack_technique})
+    return spark.createDataFrame([(a, t, "ATLAS") for a, t in pairs], "atlas_id string, attack_id string, framework string")
+
+
+def technique_crosswalk(items: DataFrame, crosswalk: DataFrame, technique_col: str = "atlas_techniques",
+                        key: str = "investigation_id") -> DataFrame:
+    """J-06: each technique of each item (exploded) joined to the crosswalk; framework compared
+    case-insensitively (Q9); exact mappings carry confidence 1.0 and source 'taxonomy'."""
+    cw = crosswalk.where(F.lower(F.col("framework")) == "atlas").select("atlas_id", "attack_id")
+    ex = items.select(key, F.explode(technique_col).alias("atlas_id"))
+    return ex.join(cw, "atlas_id").withColumn("confidence", F.lit(1.0)).withColumn("source", F.lit("taxonomy"))

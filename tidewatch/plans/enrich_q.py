@@ -240,3 +240,24 @@ SELECT s.source, strftime(l.last_loaded_at, '%Y-%m-%d') AS last_loaded_at, l.las
        CAST(COALESCE(l.n, 0) AS BIGINT) AS ioc_count
 FROM s LEFT JOIN l ON s.source = l.source
 """)(_j20)
+
+
+def _j06(spark, sf):
+    inv = TB.investigations(spark, sf)
+    m = EN.technique_crosswalk(inv, EN.rule_crosswalk(spark))
+    return m.groupBy("atlas_id", "attack_id").agg(F.count(F.lit(1)).alias("investigations"))
+
+
+def _j06_sql() -> str:
+    from tidewatch.operators.rules import RULES
+    pairs = sorted({(m.atlas_technique, m.attack_technique) for m in RULES.values() if m.attack_technique})
+    values = ", ".join(f"('{a}', '{t}')" for a, t in pairs)
+    return with_roles(f"""
+, cw AS (SELECT * FROM (VALUES {values}) t(atlas_id, attack_id))
+, ex AS (SELECT unnest(atlas_techniques) AS atlas_id FROM investigations)
+SELECT ex.atlas_id, cw.attack_id, CAST(COUNT(*) AS BIGINT) AS investigations FROM ex JOIN cw USING (atlas_id)
+GROUP BY 1, 2
+""", "investigations")
+
+
+register("j06_technique_crosswalk", _j06_sql())(_j06)
