@@ -149,3 +149,17 @@ SELECT investigation_id, CAST(COUNT(*) AS BIGINT) AS events,
        CAST(COUNT(DISTINCT event_category) AS BIGINT) AS categories
 FROM seq GROUP BY investigation_id
 """)(_a35)
+
+
+def _s18(spark, sf):
+    c = AU.with_month(chain(spark, sf))
+    parts = c.select("month", "tenant_id").distinct()
+    exports = c.select("month").distinct().withColumn("verified", F.col("month") != "2023-12")
+    holds = spark.createDataFrame([("t-legal",)], "tenant_id string")
+    return AU.droppable_months(parts, exports, holds, "2024-03")
+
+
+register("s18_droppable_months", AUDIT_EVENTS_SQL + """
+SELECT DISTINCT m AS month FROM (SELECT substr(timestamp, 1, 7) AS m FROM ev UNION ALL SELECT '1970-01')
+WHERE m < '2024-02' AND m <> '2023-12'
+""")(_s18)

@@ -363,3 +363,41 @@ def _a37_sql():
 
 
 register("a37_canary_cycle_summary", _a37_sql())(_a37)
+
+
+A33_BASE = f"""
+, g AS (SELECT tenant_id, substr(alert_title, 1, 50) AS group_key FROM investigations
+        WHERE state = 'closed' AND classification = 'false_positive' AND updated_at < {ts(INV)}
+        GROUP BY 1, 2 HAVING COUNT(*) >= 3)
+, p AS (SELECT *, 'fp-' || substr(md5(tenant_id || '|' || group_key), 1, 10) AS pattern_id FROM g)
+, q AS (SELECT *, substr(md5(pattern_id), 1, 1) AS h,
+               {ts(INV)} + to_days(CAST(('0x' || substr(md5(pattern_id), 2, 1))::INTEGER * 3 - 10 AS BIGINT)) AS expiry FROM p)
+, s AS (SELECT pattern_id, tenant_id, group_key, expiry,
+               CASE WHEN h IN ('0','1','2','3','4','5') THEN 'approved' WHEN h IN ('6','7','8','9') THEN 'active'
+                    WHEN h IN ('a','b') THEN 'shadow' WHEN h = 'c' THEN 'pending_review' ELSE 'expired' END AS status,
+               GREATEST(0, date_diff('day', CAST({ts(INV)} AS DATE), CAST(expiry AS DATE))) AS days FROM q)
+"""
+
+
+def _p17(spark, sf):
+    p = _patterns_with_expiry(spark, sf)
+    hit = p.where((F.col("status") == "approved") & F.lower("alert_name_regex").contains("pattern 1"))
+    return hit.select("pattern_id", F.col("alert_name_regex").alias("group_key"),
+                      FP.days_until_expiry(F.col("expiry_date"), INV).cast("bigint").alias("days_until_expiry"))
+
+
+register("p17_fp_pattern_search", with_roles(A33_BASE + """
+SELECT pattern_id, group_key, CAST(days AS BIGINT) AS days_until_expiry FROM s
+WHERE status = 'approved' AND contains(lower(group_key), 'pattern 1')
+""", "investigations"))(_p17)
+
+
+def _p32(spark, sf):
+    e = FP.expired_patterns(_patterns_with_expiry(spark, sf), INV)
+    return e.groupBy("status").agg(F.count(F.lit(1)).alias("patterns"))
+
+
+register("p32_expired_patterns", with_roles(A33_BASE + f"""
+SELECT status, CAST(COUNT(*) AS BIGINT) AS patterns FROM s
+WHERE expiry < {ts(INV)} AND status NOT IN ('expired', 'revoked', 'deprecated') GROUP BY status
+""", "investigations"))(_p32)
