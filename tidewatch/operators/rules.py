@@ -547,3 +547,44 @@ def oracle_health_bins(oracle: DataFrame, now, *, hours: int = 24, width: str =
                  F.avg("latency_ms").alias("avg_latency_ms"), F.max("latency_ms").alias("max_latency_ms"))
             .select("edge_node_id", F.col("bin.start").alias("bin_start"), "checks", "failures", "errors",
                     "avg_latency_ms", "max_latency_ms"))
+
+
+# ---------------------------------------------------------------------------
+# E-03 phrase-based NL-interface rule (documented form)
+# ---------------------------------------------------------------------------
+
+# Fixed values (must equal the reference's documented lists; matched against lower-cased text,
+# so entries with capitals can never match — kept as written).
+NL_INJECTION_PHRASES = (
+    "ignore previous instructions", "ignore all instructions", "disregard your instructions", "forget your rules",
+    "you are now", "new persona", "override safety", "bypass filter", "system prompt", "reveal your prompt",
+    "DAN mode", "developer mode", "jailbreak", "pretend you are", "act as if you have no restrictions",
+    "hypothetically if you could", "for educational purposes only", "ignore the above",
+)
+NL_ESCALATION_PHRASES = (
+    "execute command", "run script", "modify setpoint", "change parameter", "override alarm", "disable safety",
+    "bypass interlock", "adjust pressure", "increase temperature", "open valve", "close valve", "shutdown",
+)
+
+
+def nl_query_threats(queries: DataFrame, now=None, *, lookback_hours: int | None = 1,
+                     long_query_tokens: int = 4000) -> DataFrame:
+    """E-03: phrase counts (injection, escalation) per query; fires on any phrase, the safety
+    filter or more than 4000 tokens; threat type, severity and technique as documented."""
+    q = queries
+    if now is not None and lookback_hours is not None:
+        dt = col_type(q, "ts")
+        q = q.where((F.col("ts") > time_lit(shift(now, hours=lookback_hours), dt)) & (F.col("ts") <= time_lit(now, dt)))
+    low = F.lower(F.coalesce(F.col("query_text"), F.lit("")))
+    inj = sum(F.contains(low, F.lit(p)).cast("int") for p in NL_INJECTION_PHRASES)
+    esc = sum(F.contains(low, F.lit(p)).cast("int") for p in NL_ESCALATION_PHRASES)
+    q = q.withColumn("injection_matches", inj).withColumn("escalation_matches", esc)
+    safety = F.coalesce(F.col("safety_filter_triggered"), F.lit(False))
+    fired = q.where((F.col("injection_matches") > 0) | (F.col("escalation_matches") > 0) | safety
+                    | (F.col("token_count") > long_query_tokens))
+    i, e = F.col("injection_matches") > 0, F.col("escalation_matches") > 0
+    return (fired.withColumn("threat_type", F.when(e & i, "Injection+Escalation").when(e, "Prescriptive_Escalation")
+                             .when(i, "Prompt_Injection").when(F.col("token_count") > long_query_tokens, "Suspicious_Length")
+                             .otherwise("Safety_Filter_Triggered"))
+            .withColumn("severity", F.when(e, "High").when(i & safety, "High").when(i, "Medium").otherwise("Low"))
+            .withColumn("atlas_technique", F.when(i, "AML.T0051").otherwise("AML.T0054")))

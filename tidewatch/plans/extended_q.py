@@ -156,3 +156,30 @@ SELECT CASE gid WHEN 1 THEN 'event_type' WHEN 2 THEN 'actor_id' ELSE 'total' END
        CASE WHEN gid = 3 THEN '' ELSE COALESCE(event_type, actor_id) END AS key,
        CAST(n AS BIGINT) AS count, CAST(today AS BIGINT) AS today FROM g
 """)(_a22)
+
+
+def _e03(spark, sf):
+    c = TB.read(spark, sf, "conversations")
+    q = c.select(F.col("conv_id").cast("string").alias("user_id"), "turn", F.col("text").alias("query_text"),
+                 (F.col("role") == "system").alias("safety_filter_triggered"),
+                 F.floor(F.length("text") / 4).cast("bigint").alias("token_count"))
+    t = R.nl_query_threats(q)
+    return t.groupBy("threat_type", "severity", "atlas_technique").agg(F.count(F.lit(1)).alias("queries"))
+
+
+def _e03_sql() -> str:
+    inj = " + ".join(f"contains(lower(text), '{p}')::INT" for p in R.NL_INJECTION_PHRASES)
+    esc = " + ".join(f"contains(lower(text), '{p}')::INT" for p in R.NL_ESCALATION_PHRASES)
+    return f"""
+WITH q AS (SELECT {inj} AS i, {esc} AS e, role = 'system' AS s, CAST(floor(length(text) / 4) AS BIGINT) AS tok FROM conversations)
+, f AS (SELECT * FROM q WHERE i > 0 OR e > 0 OR s OR tok > 4000)
+SELECT CASE WHEN e > 0 AND i > 0 THEN 'Injection+Escalation' WHEN e > 0 THEN 'Prescriptive_Escalation'
+            WHEN i > 0 THEN 'Prompt_Injection' WHEN tok > 4000 THEN 'Suspicious_Length' ELSE 'Safety_Filter_Triggered' END
+         AS threat_type,
+       CASE WHEN e > 0 THEN 'High' WHEN i > 0 AND s THEN 'High' WHEN i > 0 THEN 'Medium' ELSE 'Low' END AS severity,
+       CASE WHEN i > 0 THEN 'AML.T0051' ELSE 'AML.T0054' END AS atlas_technique, CAST(COUNT(*) AS BIGINT) AS queries
+FROM f GROUP BY ALL
+"""
+
+
+register("e03_nl_query_threats", _e03_sql())(_e03)
