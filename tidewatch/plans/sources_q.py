@@ -115,3 +115,17 @@ SELECT source, CAST(len(list_distinct(
        CAST(COUNT(*) AS BIGINT) AS alerts
 FROM e GROUP BY ALL
 """)(_u06)
+
+
+def _e21(spark, sf):
+    d = AD.data_quality(AD.union_sources(TB.vendor_alerts(spark, sf)))
+    return d.groupBy("source", F.round("data_quality_score", 6).alias("data_quality_score"),
+                     F.size("dq_warnings").cast("bigint").alias("warnings")).agg(F.count(F.lit(1)).alias("alerts"))
+
+
+register("e21_alert_data_quality", f"""
+WITH e AS ({S06_SQL})
+, w AS (SELECT source, (tactics = '' AND techniques = '') AS no_mitre FROM e)
+SELECT source, ROUND(1.0 - CASE WHEN no_mitre THEN 0.1 ELSE 0 END, 6) AS data_quality_score,
+       CAST(no_mitre::INT AS BIGINT) AS warnings, CAST(COUNT(*) AS BIGINT) AS alerts FROM w GROUP BY ALL
+""")(_e21)

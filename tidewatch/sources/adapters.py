@@ -260,3 +260,29 @@ def validate_canonical(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = alerts.where(~(ts_ok & sev_ok)).withColumn(
         "error", F.when(~sev_ok, "invalid severity").otherwise("invalid timestamp"))
     return good, bad
+
+
+def data_quality(alerts: DataFrame) -> DataFrame:
+    """E-21: per alert: errors (missing required fields, -0.3 each), warnings (source, entities,
+    MITRE mapping, severity, timestamp shape, tenant) and the score floored at 0."""
+    def empty(c):
+        return F.col(c).isNull() | (F.col(c).cast("string") == "")
+    req = [(c, empty(c)) for c in ("alert_id", "title", "timestamp")]
+    ents = F.coalesce(F.col("entities_raw"), F.lit(""))
+    no_ents = (ents == "") | (ents == "[]")
+    bad_ents = ~no_ents & ~ents.startswith("[")
+    no_mitre = (F.size(F.coalesce("tactics", F.array())) == 0) & (F.size(F.coalesce("techniques", F.array())) == 0)
+    errors = F.array_compact(F.array(*[F.when(m, F.lit(f"Missing required field: {c}")) for c, m in req]))
+    warnings = F.array_compact(F.array(
+        F.when(empty("source"), F.lit("Missing source field — cannot identify adapter")),
+        F.when(no_ents, F.lit("Empty entities_raw field - IOC extraction will use fallback")),
+        F.when(bad_ents, F.lit("entities_raw doesn't look like JSON array")),
+        F.when(no_mitre, F.lit("No MITRE tactics or techniques mapped to this alert")),
+        F.when(~F.coalesce(F.col("severity"), F.lit("")).isin(*CANONICAL_SEVERITIES),
+               F.concat(F.lit("Unexpected severity value: "), F.coalesce(F.col("severity"), F.lit("")))),
+        F.when(~empty("timestamp") & ~F.col("timestamp").contains("T"), F.lit("Timestamp may not be in ISO 8601 format")),
+        F.when(empty("tenant_id"), F.lit("Missing tenant_id — will use 'default'"))))
+    score = (F.lit(1.0) - F.lit(0.3) * F.size(errors) - F.when(empty("source"), 0.1).otherwise(0.0)
+             - F.when(no_ents, 0.2).when(bad_ents, 0.1).otherwise(0.0) - F.when(no_mitre, 0.1).otherwise(0.0))
+    return alerts.withColumn("dq_errors", errors).withColumn("dq_warnings", warnings) \
+        .withColumn("valid", F.size(errors) == 0).withColumn("data_quality_score", F.greatest(F.lit(0.0), score))
