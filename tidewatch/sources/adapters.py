@@ -174,38 +174,48 @@ def elastic_to_canonical(raw: DataFrame, col: str = "raw") -> DataFrame:
 # S-04 / S-05 Splunk
 # ---------------------------------------------------------------------------
 
-def _list_or_csv(v: Column, path: str) -> Column:
+SPLUNK_FIELDS = ("event_id", "sid", "_time", "search_name", "rule_title", "description", "urgency", "src", "src_ip",
+                 "dest", "dest_ip", "src_host", "dest_host", "user", "src_user", "dest_user", "process_name",
+                 "process", "process_id", "process_exec", "source", "tenant_id")
+# String-typed fields keep a nested list's raw JSON text, so "list or CSV" is decided per value.
+SPLUNK_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in SPLUNK_FIELDS] + [
+    T.StructField("annotations", T.StructType([T.StructField("mitre_attack", T.StructType([
+        T.StructField("mitre_tactic", T.StringType()), T.StructField("mitre_technique_id", T.StringType())]))]))])
+
+
+def _list_or_csv(value: Column) -> Column:
     """A JSON field that may be a list or a CSV string -> trimmed non-empty strings."""
-    as_list = F.try_variant_get(v, path, "array<string>")
-    as_str = F.try_variant_get(v, path, "string")
-    items = F.coalesce(F.transform(as_list, lambda x: F.trim(x)), F.transform(F.split(as_str, ","), lambda x: F.trim(x)))
+    as_list = F.from_json(value, "array<string>")
+    items = F.when(F.ltrim(value).startswith("["), F.transform(as_list, lambda x: F.trim(x))) \
+        .otherwise(F.transform(F.split(value, ","), lambda x: F.trim(x)))
     return F.coalesce(F.filter(items, lambda x: x != ""), F.array().cast("array<string>"))
 
 
-def splunk_entities(v: Column) -> Column:
+def splunk_entities(a: str = "a") -> Column:
     """S-05: src/src_ip, dest/dest_ip ips, src/dest hosts, users, process; first-seen de-dup
     across all those fields (a value already used by an earlier field is skipped)."""
-    def s(path):
-        return F.try_variant_get(v, path, "string")
+    from tidewatch.operators.text import let
     fields = [("src", "ip"), ("src_ip", "ip"), ("dest", "ip"), ("dest_ip", "ip"), ("src_host", "host"),
               ("dest_host", "host"), ("user", "account"), ("src_user", "account"), ("dest_user", "account")]
-    vals = F.array(*[F.struct(s(f"$.{f}").alias("v"), F.lit(t).alias("t")) for f, t in fields])
-    kept = F.filter(vals, lambda x, i: _nonempty(x["v"]) & ~F.exists(
-        F.slice(vals, 1, i), lambda y: _nonempty(y["v"]) & (y["v"] == x["v"])))
+    vals = F.array(*[F.struct(F.col(f"{a}.{f}").alias("v"), F.lit(t).alias("t")) for f, t in fields])
+    # bind the candidate array once: referenced inside the lambda it would be rebuilt per element
+    kept = let(vals, lambda vs: F.filter(vs, lambda x, i: _nonempty(x["v"]) & ~F.exists(
+        F.slice(vs, 1, i), lambda y: _nonempty(y["v"]) & (y["v"] == x["v"]))))
     ents = F.transform(kept, lambda x: F.when(x["t"] == "ip", _entity(Type=F.lit("ip"), Address=x["v"]))
                        .when(x["t"] == "host", _entity(Type=F.lit("host"), HostName=x["v"]))
                        .otherwise(_entity(Type=F.lit("account"), Name=x["v"])))
-    pname = F.coalesce(s("$.process_name"), s("$.process"))
-    proc = F.when(_nonempty(pname), F.array(_entity(Type=F.lit("process"), ProcessId=F.coalesce(s("$.process_id"), F.lit("")),
-                                                     CommandLine=F.coalesce(s("$.process_exec"), F.lit(""))))) \
+    pname = F.coalesce(F.col(f"{a}.process_name"), F.col(f"{a}.process"))
+    proc = F.when(_nonempty(pname), F.array(_entity(Type=F.lit("process"),
+                                                     ProcessId=F.coalesce(F.col(f"{a}.process_id"), F.lit("")),
+                                                     CommandLine=F.coalesce(F.col(f"{a}.process_exec"), F.lit(""))))) \
         .otherwise(F.array().cast(T.ArrayType(ENTITY)))
     allents = F.concat(ents, proc)
     return F.to_json(F.transform(allents, lambda e, i: e.withField("`$id`", (i + 1).cast("string"))))
 
 
-def splunk_time(v: Column) -> Column:
+def splunk_time(raw: Column) -> Column:
     """Epoch seconds -> ISO 8601 with +00:00 (fraction only when present); otherwise as given."""
-    raw = F.coalesce(F.try_variant_get(v, "$._time", "string"), F.lit(""))
+    raw = F.coalesce(raw, F.lit(""))
     num = raw.try_cast("double")
     ts = F.timestamp_micros((num * 1_000_000).cast("bigint"))
     frac = F.when(num != F.floor(num), F.concat(F.lit("."), F.date_format(ts, "SSSSSS"))).otherwise(F.lit(""))
@@ -215,24 +225,21 @@ def splunk_time(v: Column) -> Column:
 
 def splunk_to_canonical(raw: DataFrame, col: str = "raw") -> DataFrame:
     """Drop ``Health*`` searches; urgency map; epoch-or-ISO time; list-or-CSV annotations."""
-    a = raw.select(F.col(col).alias("raw_payload"), F.try_parse_json(F.col(col)).alias("v"))
-    v = F.col("v")
-    sname = F.coalesce(F.try_variant_get(v, "$.search_name", "string"), F.lit(""))
-    a = a.where(a.v.isNotNull() & ~sname.startswith(HEALTH_PREFIX))
-    urg = F.try_variant_get(v, "$.urgency", "string")
+    a = raw.select(F.col(col).alias("raw_payload"), F.from_json(F.col(col), SPLUNK_SCHEMA).alias("a"))
+    sname = F.coalesce(F.col("a.search_name"), F.lit(""))
+    a = a.where(F.col("a").isNotNull() & ~sname.startswith(HEALTH_PREFIX))
+    urg = F.col("a.urgency")
     return a.select(
-        F.coalesce(F.try_variant_get(v, "$.event_id", "string"), F.try_variant_get(v, "$.sid", "string"),
-                   F.lit("")).alias("alert_id"),
-        F.lit("splunk").alias("source"), splunk_time(v).alias("timestamp"),
-        F.when(sname != "", sname).otherwise(F.coalesce(F.try_variant_get(v, "$.rule_title", "string"), F.lit("")))
-         .alias("title"),
-        F.coalesce(F.try_variant_get(v, "$.description", "string"), F.lit("")).alias("description"),
+        F.coalesce(F.col("a.event_id"), F.col("a.sid"), F.lit("")).alias("alert_id"),
+        F.lit("splunk").alias("source"), splunk_time(F.col("a._time")).alias("timestamp"),
+        F.when(sname != "", sname).otherwise(F.coalesce(F.col("a.rule_title"), F.lit(""))).alias("title"),
+        F.coalesce(F.col("a.description"), F.lit("")).alias("description"),
         F.when(_nonempty(urg), lookup(URGENCY_MAP, F.lower(F.trim(urg)), "medium")).otherwise("medium").alias("severity"),
-        _list_or_csv(v, "$.annotations.mitre_attack.mitre_tactic").alias("tactics"),
-        _list_or_csv(v, "$.annotations.mitre_attack.mitre_technique_id").alias("techniques"),
-        splunk_entities(v).alias("entities_raw"),
-        F.coalesce(F.try_variant_get(v, "$.source", "string"), F.lit("splunk_es")).alias("product"),
-        F.coalesce(F.try_variant_get(v, "$.tenant_id", "string"), F.lit("default")).alias("tenant_id"), "raw_payload")
+        _list_or_csv(F.col("a.annotations.mitre_attack.mitre_tactic")).alias("tactics"),
+        _list_or_csv(F.col("a.annotations.mitre_attack.mitre_technique_id")).alias("techniques"),
+        splunk_entities().alias("entities_raw"),
+        F.coalesce(F.col("a.source"), F.lit("splunk_es")).alias("product"),
+        F.coalesce(F.col("a.tenant_id"), F.lit("default")).alias("tenant_id"), "raw_payload")
 
 
 # ---------------------------------------------------------------------------
