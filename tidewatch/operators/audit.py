@@ -340,3 +340,13 @@ def audit_stats(records: DataFrame, today: str) -> DataFrame:
     dim = F.when(F.col("gid") == 1, "event_type").when(F.col("gid") == 2, "actor_id").otherwise("total")
     return g.select(dim.alias("dimension"), F.when(F.col("gid") == 3, F.lit(""))
                     .otherwise(F.coalesce("event_type", "actor_id")).alias("key"), "count", "today")
+
+
+def stream_lag(offsets: DataFrame, stored: DataFrame, threshold: int = 1000) -> DataFrame:
+    """J-18: per tenant, produced offset vs the stored table's max sequence (left join of two
+    aggregates); lag above ``threshold`` is flagged."""
+    o = offsets.groupBy("tenant_id").agg(F.max("offset").alias("stream_offset"))
+    s = stored.groupBy("tenant_id").agg(F.max("sequence_number").alias("table_max_seq"))
+    j = o.join(s, "tenant_id", "left").withColumn("table_max_seq", F.coalesce("table_max_seq", F.lit(0)))
+    return j.withColumn("lag", F.col("stream_offset") - F.col("table_max_seq")) \
+        .withColumn("lagging", F.col("lag") > threshold)

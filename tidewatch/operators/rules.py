@@ -588,3 +588,14 @@ def nl_query_threats(queries: DataFrame, now=None, *, lookback_hours: int | None
                              .otherwise("Safety_Filter_Triggered"))
             .withColumn("severity", F.when(e, "High").when(i & safety, "High").when(i, "Medium").otherwise("Low"))
             .withColumn("atlas_technique", F.when(i, "AML.T0051").otherwise("AML.T0054")))
+
+
+def unregistered_models(running: DataFrame, registry: DataFrame, *, hash_col: str = "model_weight_hash",
+                        registry_hash_col: str = "model_hash") -> DataFrame:
+    """E-05: nodes running a model hash that is not a production hash of the registry.
+
+    NOT IN semantics are made explicit: null hashes on either side never match (left anti on
+    non-null keys), so one null in the registry does not silence the rule."""
+    prod = registry.where((F.col("stage") == "Production") & F.col(registry_hash_col).isNotNull()) \
+        .select(F.col(registry_hash_col).alias(hash_col)).distinct()
+    return running.where(F.col(hash_col).isNotNull()).join(prod, hash_col, "left_anti")

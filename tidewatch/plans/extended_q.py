@@ -183,3 +183,63 @@ FROM f GROUP BY ALL
 
 
 register("e03_nl_query_threats", _e03_sql())(_e03)
+
+
+def _s07(spark, sf):
+    from tidewatch.sources import adapters as AD
+    new, mark = AD.incremental_read(TB.read(spark, sf, "events").select("event_id", "ts"), "ts", "2024-01-29 12:00:00")
+    return mark.select("rows_read", F.date_format("next_high_water_mark", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("next_high_water_mark"))
+
+
+register("s07_incremental_read", """
+SELECT CAST(COUNT(*) AS BIGINT) AS rows_read,
+       strftime(COALESCE(MAX(ts), TIMESTAMP '2024-01-29 12:00:00'), '%Y-%m-%d %H:%M:%S.%f') AS next_high_water_mark
+FROM events WHERE ts > TIMESTAMP '2024-01-29 12:00:00'
+""")(_s07)
+
+
+def _j18(spark, sf):
+    e = TB.read(spark, sf, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("tenant_id"),
+                                            "ts")
+    from pyspark.sql import Window
+    # produced offsets: every event; stored: the chain up to the ingestion cut-off (sequence = rank in tenant)
+    offsets = e.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("offset"))
+    stored = e.where(F.col("ts") < F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")).groupBy("tenant_id") \
+        .agg(F.count(F.lit(1)).alias("sequence_number"))
+    return AU.stream_lag(offsets, stored, threshold=300).select(
+        "tenant_id", F.col("stream_offset").cast("bigint").alias("stream_offset"),
+        F.col("table_max_seq").cast("bigint").alias("table_max_seq"), F.col("lag").cast("bigint").alias("lag"), "lagging")
+
+
+register("j18_stream_lag", """
+WITH e AS (SELECT 't' || CAST(user_id % 5 AS VARCHAR) AS tenant_id, ts FROM events)
+, o AS (SELECT tenant_id, COUNT(*) AS off FROM e GROUP BY tenant_id)
+, s AS (SELECT tenant_id, COUNT(*) AS seq FROM e WHERE ts < TIMESTAMP '2024-01-25 00:00:00' GROUP BY tenant_id)
+SELECT o.tenant_id, CAST(off AS BIGINT) AS stream_offset, CAST(COALESCE(seq, 0) AS BIGINT) AS table_max_seq,
+       CAST(off - COALESCE(seq, 0) AS BIGINT) AS lag, off - COALESCE(seq, 0) > 300 AS lagging
+FROM o LEFT JOIN s ON o.tenant_id = s.tenant_id
+""")(_j18)
+
+
+def _e05(spark, sf):
+    e = TB.read(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    running = e.select(F.concat(F.lit("node-"), (F.col("user_id") % 20).cast("string")).alias("edge_node_id"),
+                       F.when(F.col("event_type") != "signup", F.md5(F.concat(F.lit("model-"), (k % 12).cast("string"))))
+                       .alias("model_weight_hash")).distinct()
+    reg = TB.model_registry(spark, sf).withColumn("model_hash", F.when(
+        F.col("model_version").cast("bigint") % 9 != 0, F.md5(F.col("model_name"))))
+    u = R.unregistered_models(running, reg)
+    return u.groupBy("model_weight_hash").agg(F.count_distinct("edge_node_id").alias("nodes"))
+
+
+register("e05_unregistered_model_hash", with_roles("""
+, running AS (SELECT DISTINCT 'node-' || CAST(user_id % 20 AS VARCHAR) AS edge_node_id,
+                     CASE WHEN event_type <> 'signup' THEN md5('model-' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 12 AS VARCHAR)) END
+                       AS model_weight_hash FROM events)
+, prod AS (SELECT CASE WHEN CAST(model_version AS BIGINT) % 9 <> 0 THEN md5(model_name) END AS h
+           FROM model_registry WHERE stage = 'Production')
+SELECT model_weight_hash, CAST(COUNT(DISTINCT edge_node_id) AS BIGINT) AS nodes FROM running
+WHERE model_weight_hash IS NOT NULL AND model_weight_hash NOT IN (SELECT h FROM prod WHERE h IS NOT NULL)
+GROUP BY model_weight_hash
+""", "model_registry"))(_e05)

@@ -293,3 +293,13 @@ def data_quality(alerts: DataFrame) -> DataFrame:
              - F.when(no_ents, 0.2).when(bad_ents, 0.1).otherwise(0.0) - F.when(no_mitre, 0.1).otherwise(0.0))
     return alerts.withColumn("dq_errors", errors).withColumn("dq_warnings", warnings) \
         .withColumn("valid", F.size(errors) == 0).withColumn("data_quality_score", F.greatest(F.lit(0.0), score))
+
+
+def incremental_read(df: DataFrame, ts_col: str, high_water_mark) -> tuple[DataFrame, DataFrame]:
+    """S-07 batch form: rows strictly after the stored high-water mark (pushed to the scan), and
+    the next mark = max(ts) of what was read (unchanged when nothing new arrived)."""
+    from tidewatch.functions.exprs import col_type, time_lit
+    new = df.where(F.col(ts_col) > time_lit(high_water_mark, col_type(df, ts_col)))
+    mark = new.agg(F.count(F.lit(1)).alias("rows_read"),
+                   F.coalesce(F.max(ts_col), time_lit(high_water_mark, col_type(df, ts_col))).alias("next_high_water_mark"))
+    return new, mark
