@@ -180,3 +180,18 @@ def technique_crosswalk(items: DataFrame, crosswalk: DataFrame, technique_col: s
     cw = crosswalk.where(F.lower(F.col("framework")) == "atlas").select("atlas_id", "attack_id")
     ex = items.select(key, F.explode(technique_col).alias("atlas_id"))
     return ex.join(cw, "atlas_id").withColumn("confidence", F.lit(1.0)).withColumn("source", F.lit("taxonomy"))
+
+
+def deep_retrieval(case_techniques: DataFrame, case_entities: DataFrame, case_iocs: DataFrame,
+                   intel: DataFrame, entity_detail: DataFrame, case_col: str = "case_id") -> DataFrame:
+    """J-07: second pass per case — intel for every technique (left join, 'unavailable' when the
+    intel table has none) and deep context only for entities that also matched an IOC in the same
+    case (semi-join), again defaulting to 'unavailable'."""
+    t = case_techniques.join(intel, "technique_id", "left").select(
+        case_col, F.lit("technique_intel").alias("type"), F.col("technique_id").alias("key"),
+        F.coalesce(F.col("detail"), F.lit("unavailable")).alias("detail"))
+    hot = case_entities.join(case_iocs.select(case_col, "value").distinct(), [case_col, "value"], "left_semi")
+    e = hot.join(entity_detail, "value", "left").select(
+        case_col, F.lit("entity_deep_context").alias("type"), F.col("value").alias("key"),
+        F.coalesce(F.col("detail"), F.lit("unavailable")).alias("detail"))
+    return t.unionByName(e)

@@ -261,3 +261,33 @@ GROUP BY 1, 2
 
 
 register("j06_technique_crosswalk", _j06_sql())(_j06)
+
+
+def _j07(spark, sf):
+    from tidewatch.operators.rules import RULES
+    inv = TB.investigations(spark, sf)
+    techs = inv.select(F.col("investigation_id").alias("case_id"), F.explode("atlas_techniques").alias("technique_id"))
+    intel = spark.createDataFrame(sorted({(m.atlas_technique, m.threat_model_ref) for m in RULES.values()}),
+                                  "technique_id string, detail string")
+    ents = inv.select(F.col("investigation_id").alias("case_id"), F.explode(F.array("asset_id", "src_ip")).alias("value"))
+    # case IOCs: the investigation's own entity values that the IOC feed knows (tenant-scoped)
+    live = ioc_table(spark, sf).select("tenant_id", "value")
+    hits = inv.select(F.col("investigation_id").alias("case_id"), "tenant_id",
+                      F.explode(F.array("asset_id", "src_ip")).alias("value")).join(live, ["tenant_id", "value"], "left_semi")
+    detail = live.select("value", F.lit("known-ioc").alias("detail")).distinct()
+    d = EN.deep_retrieval(techs, ents, hits.drop("tenant_id"), intel, detail)
+    return d.groupBy("type", "detail").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _j07_sql() -> str:
+    from tidewatch.operators.rules import RULES
+    values = ", ".join(f"('{a}', '{r}')" for a, r in sorted({(m.atlas_technique, m.threat_model_ref) for m in RULES.values()}))
+    return with_roles(f"""
+, intel AS (SELECT * FROM (VALUES {values}) t(technique_id, detail))
+, t AS (SELECT unnest(atlas_techniques) AS technique_id FROM investigations)
+SELECT 'technique_intel' AS type, COALESCE(i.detail, 'unavailable') AS detail, CAST(COUNT(*) AS BIGINT) AS rows
+FROM t LEFT JOIN intel i USING (technique_id) GROUP BY 2
+""", "investigations")
+
+
+register("j07_deep_retrieval", _j07_sql())(_j07)
