@@ -287,3 +287,28 @@ def new_assets(observations: DataFrame, now, *, recent_days: int = 7, prior_days
     prior = observations.where((F.col(ts_col) >= time_lit(shift(start, days=prior_days), dt))
                                & (F.col(ts_col) < time_lit(start, dt))).select(asset_col).distinct()
     return recent.join(prior, asset_col, "left_anti")
+
+
+def campaign_gaps(validations: DataFrame, alerts: DataFrame) -> DataFrame:
+    """E-08: per campaign, the documented gap analysis (validations LEFT JOIN alerts seen during the
+    campaign window on exposure = alert title) computed from per-validation match counts instead of
+    the joined pairs: a validation with m matching alerts stands for max(m, 1) joined rows.
+
+    ``validations``: (campaign_id, validation_id, exposure_id, ts, exploitable, detection_evaded,
+    physical_consequence_demonstrated); ``alerts``: (alert_title, ts)."""
+    v = validations.where(F.col("exploitable"))
+    win = v.groupBy("campaign_id").agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"))
+    keys = v.select("campaign_id", "exposure_id").distinct().join(win, "campaign_id")
+    a = alerts.select(F.col("alert_title").alias("exposure_id"), F.col("ts").alias("alert_ts"))
+    m = (keys.join(a, "exposure_id").where(F.col("alert_ts").between(F.col("start_time"), F.col("end_time")))
+         .groupBy("campaign_id", "exposure_id").agg(F.count(F.lit(1)).alias("m")))
+    j = v.join(m, ["campaign_id", "exposure_id"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
+    rows = F.greatest(F.col("m"), F.lit(1))
+    ev, phys = F.col("detection_evaded"), F.col("physical_consequence_demonstrated")
+    g = j.groupBy("campaign_id").agg(
+        F.sum(rows).alias("total_tests"), F.sum("m").alias("detected_count"),
+        F.sum(F.when(ev & ~phys, rows).otherwise(0)).alias("detection_gaps"),
+        F.sum(F.when(ev & phys, rows).otherwise(0)).alias("critical_gaps"),
+        F.sum(F.when(~ev & (F.col("m") == 0), 1).otherwise(0)).alias("timing_gaps"))
+    return g.withColumn("exploitable_count", F.col("total_tests")).withColumn(
+        "detection_rate", F.round(F.col("detected_count") * 100.0 / F.greatest(F.col("exploitable_count"), F.lit(1)), 1))

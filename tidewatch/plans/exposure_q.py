@@ -226,3 +226,41 @@ register("e10_sla_breaches", with_roles(EXPOSURE_TABLE_SQL + f"""
 SELECT sla_state, CAST(escalation_level AS BIGINT) AS escalation_level, CAST(COUNT(*) AS BIGINT) AS count
 FROM c WHERE sla_state <> 'on_track' GROUP BY sla_state, escalation_level
 """, "findings"))(_e10)
+
+
+def _e08(spark, sf):
+    f = TB.findings(spark, sf)
+    n = EX.normalise(f.where(F.lower("source_tool").isin(*EX.KNOWN_TOOLS)))
+    v = n.select(F.concat(F.lit("camp-"), (F.col("finding_id") % 20).cast("string")).alias("campaign_id"),
+                 F.col("finding_id").alias("validation_id"), F.col("title").alias("exposure_id"), "ts",
+                 (F.col("exploitability_score") >= 0.3).alias("exploitable"),
+                 (F.col("severity") == "LOW").alias("detection_evaded"),
+                 (F.col("physical_consequence") == "safety_life").alias("physical_consequence_demonstrated"))
+    alerts = f.where(F.col("source_tool") == "qualys").select(F.col("title").alias("alert_title"),
+                                                              F.col("detected_at").alias("ts"))
+    g = EX.campaign_gaps(v, alerts)
+    return tidy(g.select("campaign_id", *[F.col(c).cast("bigint").alias(c) for c in (
+        "total_tests", "exploitable_count", "detected_count", "detection_gaps", "critical_gaps", "timing_gaps")],
+        "detection_rate"))
+
+
+register("e08_campaign_gap_analysis", with_roles(NORMALISE_SQL + """
+, cr AS (SELECT 'camp-' || CAST(finding_id % 20 AS VARCHAR) AS campaign_id, finding_id, title AS exposure_id, ts,
+                severity_ = 'LOW' AS evaded, consequence = 'safety_life' AS phys
+         FROM normalised WHERE expl_score >= 0.3)
+, win AS (SELECT campaign_id, MIN(ts) AS s, MAX(ts) AS e FROM cr GROUP BY campaign_id)
+, alerts AS (SELECT title AS alert_title, detected_at AS ts FROM findings WHERE source_tool = 'qualys')
+, ga AS (
+  SELECT cr.campaign_id, a.alert_title IS NOT NULL AS detected,
+         CASE WHEN cr.evaded AND cr.phys THEN 'CRITICAL_GAP' WHEN cr.evaded THEN 'DETECTION_GAP'
+              WHEN NOT cr.evaded AND a.alert_title IS NULL THEN 'TIMING_GAP' ELSE 'DETECTED' END AS gap_type
+  FROM cr JOIN win ON cr.campaign_id = win.campaign_id
+  LEFT JOIN alerts a ON cr.exposure_id = a.alert_title AND a.ts BETWEEN win.s AND win.e)
+SELECT campaign_id, CAST(COUNT(*) AS BIGINT) AS total_tests, CAST(COUNT(*) AS BIGINT) AS exploitable_count,
+       CAST(COUNT(*) FILTER (WHERE detected) AS BIGINT) AS detected_count,
+       CAST(COUNT(*) FILTER (WHERE gap_type = 'DETECTION_GAP') AS BIGINT) AS detection_gaps,
+       CAST(COUNT(*) FILTER (WHERE gap_type = 'CRITICAL_GAP') AS BIGINT) AS critical_gaps,
+       CAST(COUNT(*) FILTER (WHERE gap_type = 'TIMING_GAP') AS BIGINT) AS timing_gaps,
+       ROUND(ROUND(COUNT(*) FILTER (WHERE detected) * 100.0 / GREATEST(COUNT(*), 1), 1), 6) AS detection_rate
+FROM ga GROUP BY campaign_id
+""", "findings"))(_e08)
