@@ -476,3 +476,90 @@ def json_shape_errors(text, required: Sequence[str], types: Mapping[str, str] |
         errs.append(F.when(v.isNotNull() & F.try_variant_get(v, f"$.{k}", "variant").isNotNull() & ~ok,
                            F.lit(f"Field '{k}' expected {typ}")))
     return F.array_compact(F.array(*errs))
+
+
+# ---------------------------------------------------------------------------
+# E-22 section-aware chunking with one-paragraph overlap
+# ---------------------------------------------------------------------------
+
+# Fixed values (must equal the reference's documented chunker)
+RE_SECTION_HEADER = r"^(#{1,3})\s+(.+)$"
+CHUNK_IOC_PATTERNS = {
+    "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
+    "domain": r"\b(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}\b",
+    "sha256": r"\b[a-fA-F0-9]{64}\b",
+    "sha1": r"\b[a-fA-F0-9]{40}\b",
+    "md5": r"\b[a-fA-F0-9]{32}\b",
+    "cve": r"CVE-\d{4}-\d{4,7}",
+    "mitre_technique": r"T\d{4}(?:\.\d{3})?",
+    "email": r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b",
+    "url": r"https?://[^\s<>\"{}|\\^`\[\]]+",
+}
+FP_DOMAINS = ("microsoft.com", "github.com", "google.com", "example.com", "windows.net", "azure.com", "office.com",
+              "outlook.com", "amazonaws.com", "cloudfront.net", "googleapis.com")
+RFC1918_PREFIXES = ("10.", "192.168.", "172.")
+
+
+def _prefixer(prefix: str):
+    return lambda m: F.concat(F.lit(prefix), m)
+
+
+def chunk_iocs(text) -> Column:
+    """Typed IOC strings ("type:value") of one chunk, de-duplicated and sorted."""
+    t = _c(text)
+    parts = []
+    for typ, pat in CHUNK_IOC_PATTERNS.items():
+        found = extract_all(t, pat)
+        if typ == "domain":
+            found = F.filter(found, lambda m: ~F.array_contains(_lits(FP_DOMAINS), F.lower(m)))
+        if typ == "ipv4":
+            found = F.filter(found, lambda m: ~(m.startswith("10.") | m.startswith("192.168.") | m.startswith("172.")))
+        prefix = typ + ":"
+        parts.append(F.transform(found, _prefixer(prefix)))
+    return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+
+def chunk_documents(docs: DataFrame, doc_col: str = "doc_id", text_col: str = "text", *,
+                    max_chunk_tokens: int = 512) -> DataFrame:
+    """E-22: split each document into markdown sections; a section longer than ``max_chunk_tokens``
+    (4 chars per token) is filled paragraph by paragraph, carrying the last paragraph into the
+    next chunk. One row per chunk: (doc, chunk_index, section, content, iocs, mitre techniques).
+
+    Lines are numbered with ``posexplode`` and sections with a running header count over the
+    document's own lines, so every window holds at most one document."""
+    from pyspark.sql import Window
+    lines = docs.select(doc_col, F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    hdr = F.regexp_extract("line", RE_SECTION_HEADER, 2)
+    is_h = F.col("line").rlike(RE_SECTION_HEADER)
+    w = Window.partitionBy(doc_col).orderBy("pos")
+    lines = lines.withColumn("is_h", is_h).withColumn("sec", F.sum(F.col("is_h").cast("int")).over(
+        w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("hname", F.when(F.col("is_h"), F.trim(hdr)))
+    secs = (lines.groupBy(doc_col, "sec")
+            .agg(F.max("hname").alias("hname"),
+                 F.array_sort(F.collect_list(F.when(~F.col("is_h"), F.struct("pos", "line")))).alias("ls"))
+            .where(F.size("ls") > 0)
+            .select(doc_col, "sec", F.coalesce("hname", F.lit("Introduction")).alias("section"),
+                    F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("content")))
+    paras = F.split(F.col("content"), "\n\n")
+    st = "struct<chunks:array<string>,cur:array<string>,len:int>"
+
+    def step(acc, p):
+        ptok = F.floor(F.length(p) / 4).cast("int")
+        flush = (acc["len"] + ptok > max_chunk_tokens) & (F.size(acc["cur"]) > 0)
+        last = F.element_at(acc["cur"], -1)
+        chunks = F.when(flush, F.concat(acc["chunks"], F.array(F.array_join(acc["cur"], "\n\n")))).otherwise(acc["chunks"])
+        cur = F.when(flush, F.array(last)).otherwise(acc["cur"])
+        ln = F.when(flush, F.floor(F.length(last) / 4).cast("int")).otherwise(acc["len"])
+        return F.struct(chunks.alias("chunks"), F.concat(cur, F.array(p)).alias("cur"), (ln + ptok).alias("len"))
+
+    filled = F.aggregate(paras, F.struct(F.array().cast("array<string>").alias("chunks"),
+                                         F.array().cast("array<string>").alias("cur"), F.lit(0).alias("len")).cast(st),
+                         step, lambda acc: F.when(F.size(acc["cur"]) > 0, F.concat(
+                             acc["chunks"], F.array(F.array_join(acc["cur"], "\n\n")))).otherwise(acc["chunks"]))
+    pieces = F.when(F.floor(F.length("content") / 4) <= max_chunk_tokens, F.array(F.col("content"))).otherwise(filled)
+    ch = secs.select(doc_col, "sec", "section", F.posexplode(pieces).alias("k", "raw"))
+    wi = Window.partitionBy(doc_col).orderBy("sec", "k")
+    ch = ch.withColumn("chunk_index", F.row_number().over(wi) - 1)
+    return ch.select(doc_col, "chunk_index", "section", F.trim(F.col("raw")).alias("content"),
+                     chunk_iocs("raw").alias("iocs_in_chunk"),
+                     F.array_sort(F.array_distinct(extract_all("raw", r"T\d{4}(?:\.\d{3})?"))).alias("mitre_techniques_in_chunk"))

@@ -175,3 +175,13 @@ SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS chars, CAST(length(substr(
        md5(substr(text, 1, budget * 4)) AS kept_md5
 FROM c
 """)(_t17)
+
+
+def _e22(spark, sf):
+    c = TX.chunk_documents(_docs(spark, sf))
+    per_doc = c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("iocs_in_chunk")).alias("iocs"))
+    return per_doc.groupBy("chunks").agg(F.count(F.lit(1)).alias("documents"),
+                                         F.sum("iocs").cast("bigint").alias("iocs"))
+
+
+register("e22_document_chunking", None)(_e22)
