@@ -216,3 +216,18 @@ def migrate_embeddings(points: DataFrame, embed_udf, *, target_version: str = CU
     progress = todo.agg(F.count(F.lit(1)).alias("pending"), F.count_if(has_text).alias("migrated"),
                         F.count_if(~has_text).alias("skipped_no_text"))
     return migrated, progress
+
+
+def assemble_context(candidates: DataFrame, budget_tokens: int = 4096, chars_per_token: int = 4) -> DataFrame:
+    """E-26: cross-store de-duplication (best score per query and document, then store name),
+    source attribution kept, and the token budget enforced by a running sum in score order:
+    an item is kept while the total including it stays within the budget.
+
+    ``candidates``: (query_id, doc_id, store, score, text). Windows are per query (bounded)."""
+    best = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), F.asc("store"))
+    d = candidates.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1).drop("_r")
+    d = d.withColumn("tokens", F.floor(F.length("text") / chars_per_token).cast("bigint"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
+    d = d.withColumn("position", F.row_number().over(order)).withColumn(
+        "tokens_so_far", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.where(F.col("tokens_so_far") <= budget_tokens)

@@ -167,3 +167,39 @@ SELECT CAST(COUNT(*) AS BIGINT) AS pending,
        CAST(64 AS BIGINT) AS min_dims
 FROM documents
 """)(_x04)
+
+
+def _e26(spark, sf):
+    v = _vec(spark, sf)
+    hits = RT.cosine_topk(v, v, 5, exclude_self=True)
+    q = v.select(F.col("id").alias("query_id"), "tenant_id", "techniques")
+    c = v.select(F.col("id").alias("corpus_id"), "tenant_id", "techniques", "age_days", "rare_important")
+    hist = RT.relevance_rerank(hits, q, c, 5)
+    docs = TB.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    cand = (hits.select("query_id", F.col("corpus_id").alias("doc_id"), F.lit("semantic").alias("store"), "score")
+            .unionByName(hist.select("query_id", F.col("corpus_id").alias("doc_id"), F.lit("history").alias("store"),
+                                     F.col("composite").alias("score")))
+            .join(docs, "doc_id"))
+    ctx = RT.assemble_context(cand)
+    return ctx.groupBy("query_id").agg(F.count(F.lit(1)).alias("items"), F.sum("tokens").cast("bigint").alias("tokens"),
+                                       F.count_if(F.col("store") == "history").alias("from_history"))
+
+
+def _e26_sql() -> str:
+    from tidewatch.plans.registry import ORACLES
+    return f"""
+WITH sem AS ({ORACLES['j15_cosine_top5']}), hist AS ({ORACLES['r02_similar_incidents']})
+, cand AS (SELECT query_id, corpus_id AS doc_id, 'semantic' AS store, score FROM sem
+           UNION ALL SELECT query_id, corpus_id, 'history', composite FROM hist)
+, d AS (SELECT c.*, CAST(floor(length(t.text) / 4) AS BIGINT) AS tokens,
+               ROW_NUMBER() OVER (PARTITION BY c.query_id, c.doc_id ORDER BY c.score DESC, c.store) AS r
+        FROM cand c JOIN documents t ON CAST(t.doc_id AS VARCHAR) = c.doc_id)
+, k AS (SELECT *, SUM(tokens) OVER (PARTITION BY query_id ORDER BY score DESC, doc_id
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM d WHERE r = 1)
+SELECT query_id, CAST(COUNT(*) AS BIGINT) AS items, CAST(SUM(tokens) AS BIGINT) AS tokens,
+       CAST(COUNT(*) FILTER (WHERE store = 'history') AS BIGINT) AS from_history
+FROM k WHERE so_far <= 4096 GROUP BY query_id
+"""
+
+
+register("e26_context_assembly", _e26_sql())(_e26)
