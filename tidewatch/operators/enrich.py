@@ -195,3 +195,50 @@ def deep_retrieval(case_techniques: DataFrame, case_entities: DataFrame, case_io
         case_col, F.lit("entity_deep_context").alias("type"), F.col("value").alias("key"),
         F.coalesce(F.col("detail"), F.lit("unavailable")).alias("detail"))
     return t.unionByName(e)
+
+
+# ---------------------------------------------------------------------------
+# E-20 STIX 2.1 indicators -> IOC documents
+# ---------------------------------------------------------------------------
+
+# Fixed values (must equal the documented parser): pattern -> indicator type, first match wins.
+STIX_PATTERNS = (
+    (r"ipv4-addr:value\s*=\s*'([^']+)'", "ipv4"),
+    (r"ipv6-addr:value\s*=\s*'([^']+)'", "ipv6"),
+    (r"domain-name:value\s*=\s*'([^']+)'", "domain"),
+    (r"file:hashes\.'SHA-256'\s*=\s*'([^']+)'", "file_hash_sha256"),
+    (r"file:hashes\.'SHA-1'\s*=\s*'([^']+)'", "file_hash_sha1"),
+    (r"file:hashes\.'MD5'\s*=\s*'([^']+)'", "file_hash_md5"),
+    (r"url:value\s*=\s*'([^']+)'", "url"),
+    (r"email-addr:value\s*=\s*'([^']+)'", "email"),
+)
+STIX_SCHEMA = ("struct<id:string,pattern:string,confidence:int,labels:array<string>,description:string,"
+               "valid_from:string,valid_until:string,created_by_ref:string,"
+               "kill_chain_phases:array<struct<kill_chain_name:string,phase_name:string>>>")
+
+
+def stix_to_iocs(raw: DataFrame, col: str = "raw") -> DataFrame:
+    """E-20: indicator JSON -> (indicator_type, indicator_value, confidence default 50, severity from
+    labels, MITRE ids from mitre-attack kill-chain phases, validity); unparseable patterns dropped."""
+    s = raw.select(F.from_json(F.col(col), STIX_SCHEMA).alias("s")).where(F.col("s").isNotNull())
+    p = F.coalesce(F.col("s.pattern"), F.lit(""))
+    typ, val = F.lit("unknown"), F.lit("")
+    for rx, name in reversed(STIX_PATTERNS):
+        hit = p.rlike("(?i)" + rx)
+        typ = F.when(hit, F.lit(name)).otherwise(typ)
+        val = F.when(hit, F.regexp_extract(p, "(?i)" + rx, 1)).otherwise(val)
+    labels = F.coalesce(F.col("s.labels"), F.array().cast("array<string>"))
+    sev = (F.when(F.array_contains(labels, "malicious-activity"), "high")
+           .when(F.array_contains(labels, "anomalous-activity"), "medium")
+           .when(F.array_contains(labels, "benign"), "low").otherwise("medium"))
+    mitre = F.filter(F.transform(F.filter(F.coalesce(F.col("s.kill_chain_phases"), F.array()),
+                                          lambda ph: ph["kill_chain_name"] == "mitre-attack"),
+                                 lambda ph: F.regexp_extract(ph["phase_name"], r"[Tt]\d{4}(?:\.\d{3})?", 0)),
+                     lambda m: m != "")
+    out = s.select(F.concat(F.lit("stix-"), F.coalesce(F.col("s.id"), F.lit(""))).alias("doc_id"),
+                   typ.alias("indicator_type"), val.alias("indicator_value"),
+                   F.coalesce(F.col("s.confidence"), F.lit(50)).alias("confidence"), sev.alias("severity"),
+                   mitre.alias("mitre_techniques"), F.col("s.valid_from").alias("first_seen"),
+                   F.col("s.valid_until").alias("expiry"),
+                   F.array(F.coalesce(F.col("s.created_by_ref"), F.lit("unknown"))).alias("sources"))
+    return out.where(F.col("indicator_value") != "")

@@ -291,3 +291,39 @@ FROM t LEFT JOIN intel i USING (technique_id) GROUP BY 2
 
 
 register("j07_deep_retrieval", _j07_sql())(_j07)
+
+
+def stix_feed(spark, sf):
+    """STIX 2.1 indicators published from the IOC table (the feed format the loader accepts)."""
+    i = ioc_table(spark, sf)
+    pattern = (F.when(F.col("ioc_type") == "ip", F.concat(F.lit("[ipv4-addr:value = '"), F.col("value"), F.lit("']")))
+               .when(F.col("ioc_type") == "dns", F.concat(F.lit("[domain-name:value = '"), F.col("value"), F.lit("']")))
+               .when(F.length("value") == 64, F.concat(F.lit("[file:hashes.'SHA-256' = '"), F.col("value"), F.lit("']")))
+               .otherwise(F.concat(F.lit("[file:hashes.'SHA-1' = '"), F.col("value"), F.lit("']"))))
+    kc = F.when(F.col("confidence") >= 70, F.array(
+        F.struct(F.lit("mitre-attack").alias("kill_chain_name"), F.lit("t1071.001--web-protocols").alias("phase_name")),
+        F.struct(F.lit("lockheed").alias("kill_chain_name"), F.lit("delivery").alias("phase_name"))))
+    return i.select(F.to_json(F.struct(
+        F.concat(F.lit("indicator--"), F.md5(F.concat_ws("|", "tenant_id", "value"))).alias("id"), pattern.alias("pattern"),
+        F.col("confidence").cast("int").alias("confidence"),
+        F.array(F.when(F.col("confidence") >= 70, "malicious-activity").otherwise("anomalous-activity")).alias("labels"),
+        F.date_format("loaded_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("valid_from"),
+        F.date_format("expires_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("valid_until"),
+        F.col("source").alias("created_by_ref"), kc.alias("kill_chain_phases"))).alias("raw"))
+
+
+def _e20(spark, sf):
+    d = EN.stix_to_iocs(stix_feed(spark, sf))
+    return d.select("indicator_type", "indicator_value", F.col("confidence").cast("bigint").alias("confidence"),
+                    "severity", F.array_join("mitre_techniques", ",").alias("mitre"), "expiry")
+
+
+register("e20_stix_to_iocs", IOC_SQL + """
+SELECT CASE WHEN ioc_type = 'ip' THEN 'ipv4' WHEN ioc_type = 'dns' THEN 'domain'
+            WHEN length(value) = 64 THEN 'file_hash_sha256' ELSE 'file_hash_sha1' END AS indicator_type,
+       value AS indicator_value, CAST(confidence AS BIGINT) AS confidence,
+       CASE WHEN confidence >= 70 THEN 'high' ELSE 'medium' END AS severity,
+       CASE WHEN confidence >= 70 THEN 't1071.001' ELSE '' END AS mitre,
+       strftime(expires_at, '%Y-%m-%dT%H:%M:%SZ') AS expiry
+FROM iocs
+""")(_e20)
