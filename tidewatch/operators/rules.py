@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import (SAFETY_RELEVANT_RULES, confidence_floor, in_window, shift,
+from tidewatch.functions.exprs import (SAFETY_RELEVANT_RULES, confidence_floor, epoch_seconds, in_window, shift,
                                        time_lit, trust_downgrade, trust_level, col_type)
 
 # ---------------------------------------------------------------------------
@@ -599,3 +599,34 @@ def unregistered_models(running: DataFrame, registry: DataFrame, *, hash_col: st
     prod = registry.where((F.col("stage") == "Production") & F.col(registry_hash_col).isNotNull()) \
         .select(F.col(registry_hash_col).alias(hash_col)).distinct()
     return running.where(F.col(hash_col).isNotNull()).join(prod, hash_col, "left_anti")
+
+
+EXTRACTION_THRESHOLD, AUTOMATION_GAP_MS = 100, 500
+EXTRACTION_ENDPOINTS = ("%predict%", "%forecast%", "%inference%", "%query%", "%nl-query%")
+
+
+def extraction_by_gap(api: DataFrame, now, *, threshold: int = EXTRACTION_THRESHOLD,
+                      gap_ms: float = AUTOMATION_GAP_MS, lookback_hours: int = 6,
+                      endpoints=EXTRACTION_ENDPOINTS) -> DataFrame:
+    """E-02: per caller over the last 6 h on model endpoints: count, distinct endpoints, median gap
+    between consecutive calls (lag, exact median), session span; automation = median gap < 500 ms or
+    > 2 endpoints; tiered confidence, reported above 0.65. The lag window is per caller inside the
+    time-filtered slice."""
+    from pyspark.sql import Window
+    dt = col_type(api, "ts")
+    like = F.lit(False)
+    for p in endpoints:
+        like = like | F.col("endpoint").like(p)
+    w = api.where((F.col("ts") > time_lit(shift(now, hours=lookback_hours), dt)) & (F.col("ts") < time_lit(now, dt)) & like)
+    gap = (epoch_seconds(F.col("ts")) - epoch_seconds(F.lag("ts").over(Window.partitionBy("caller_identity").orderBy("ts")))) * 1000
+    g = (w.withColumn("gap_ms", gap).groupBy("caller_identity")
+         .agg(F.count(F.lit(1)).alias("query_count"), F.count_distinct("endpoint").alias("distinct_endpoints"),
+              F.percentile("gap_ms", 0.5).alias("median_gap_ms"),
+              ((epoch_seconds(F.max("ts")) - epoch_seconds(F.min("ts"))) / 60.0).alias("session_window_min"))
+         .where(F.col("query_count") > threshold))
+    med = F.coalesce(F.col("median_gap_ms"), F.lit(9999.0))
+    g = g.where((med < gap_ms) | (F.col("distinct_endpoints") > 2))
+    conf = (F.when((F.col("query_count") > 500) & (med < 200), 0.95)
+            .when((F.col("query_count") > 200) & (F.col("distinct_endpoints") > 3), 0.85)
+            .when(F.col("query_count") > threshold, 0.70).otherwise(0.50))
+    return g.withColumn("confidence", conf).where(F.col("confidence") > 0.65)

@@ -243,3 +243,23 @@ SELECT model_weight_hash, CAST(COUNT(DISTINCT edge_node_id) AS BIGINT) AS nodes
 WHERE model_weight_hash IS NOT NULL AND model_weight_hash NOT IN (SELECT h FROM prod WHERE h IS NOT NULL)
 GROUP BY model_weight_hash
 """, "model_registry"))(_e05)
+
+
+def _e02(spark, sf):
+    d = R.extraction_by_gap(TB.api_log(spark, sf), NOW)
+    return tidy(d.select("caller_identity", "query_count", "distinct_endpoints", "median_gap_ms", "confidence"))
+
+
+register("e02_extraction_by_call_gap", with_roles(f"""
+, w AS (SELECT caller_identity, endpoint, ts FROM api_log
+        WHERE ts > {ts(hours=6)} AND ts < {ts()} AND (endpoint LIKE '%predict%' OR endpoint LIKE '%forecast%'
+          OR endpoint LIKE '%inference%' OR endpoint LIKE '%query%' OR endpoint LIKE '%nl-query%'))
+, g AS (SELECT *, EXTRACT(EPOCH FROM (ts - LAG(ts) OVER (PARTITION BY caller_identity ORDER BY ts))) * 1000 AS gap FROM w)
+, s AS (SELECT caller_identity, COUNT(*) AS n, COUNT(DISTINCT endpoint) AS de, quantile_cont(gap, 0.5) AS med
+        FROM g GROUP BY caller_identity HAVING COUNT(*) > 100)
+, f AS (SELECT *, COALESCE(med, 9999.0) AS m2 FROM s WHERE COALESCE(med, 9999.0) < 500 OR de > 2)
+, c AS (SELECT *, CASE WHEN n > 500 AND m2 < 200 THEN 0.95 WHEN n > 200 AND de > 3 THEN 0.85 WHEN n > 100 THEN 0.70
+                        ELSE 0.50 END AS conf FROM f)
+SELECT caller_identity, CAST(n AS BIGINT) AS query_count, CAST(de AS BIGINT) AS distinct_endpoints,
+       ROUND(med, 6) AS median_gap_ms, ROUND(conf, 6) AS confidence FROM c WHERE conf > 0.65
+""", "api_log"))(_e02)

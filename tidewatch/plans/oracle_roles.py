@@ -23,7 +23,8 @@ ROLE_SQL = {
         FROM events""",
     "api_log": f"""
         SELECT 'default' AS tenant_id, ts, CAST(user_id AS VARCHAR) AS caller_identity,
-               '/api/' || CAST({K} AS VARCHAR) AS endpoint, event_type AS method
+               '/v1/' || ['predict', 'forecast', 'inference', 'nl-query', 'status'][{K} % 5 + 1] || '/' || CAST({K} AS VARCHAR)
+                 AS endpoint, event_type AS method
         FROM events""",
     "inference_log": f"""
         SELECT 'default' AS tenant_id, ts, {NODE} AS edge_node_id,

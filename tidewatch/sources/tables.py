@@ -78,7 +78,9 @@ def api_log(spark, sf_dir) -> DataFrame:
     return e.select(
         F.lit("default").alias("tenant_id"), "ts",
         _s("user_id").alias("caller_identity"),
-        F.concat(F.lit("/api/"), _s(_k())).alias("endpoint"),
+        F.concat(F.lit("/v1/"), F.element_at(F.array(*[F.lit(x) for x in ("predict", "forecast", "inference", "nl-query",
+                                                                         "status")]), (_k() % 5 + 1).cast("int")),
+                 F.lit("/"), _s(_k())).alias("endpoint"),
         F.col("event_type").alias("method"),
     )
 
