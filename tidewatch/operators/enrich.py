@@ -242,3 +242,21 @@ def stix_to_iocs(raw: DataFrame, col: str = "raw") -> DataFrame:
                    F.col("s.valid_until").alias("expiry"),
                    F.array(F.coalesce(F.col("s.created_by_ref"), F.lit("unknown"))).alias("sources"))
     return out.where(F.col("indicator_value") != "")
+
+
+def asset_inventory(observations: DataFrame, overrides: DataFrame | None = None, default_zone: str = "Zone3_Enterprise") -> DataFrame:
+    """E-16: one row per asset from the union of telemetry observations
+    (asset_id, source, ts, ok, detail): sources seen, first/last seen, event and failure counts,
+    failure rate, the latest detail (max_by ts), a class from the sources, and the zone from the
+    override table (left join) else the default."""
+    g = observations.groupBy("asset_id").agg(
+        F.array_sort(F.collect_set("source")).alias("sources"), F.min("ts").alias("first_seen"),
+        F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("events"),
+        F.count_if(~F.col("ok")).alias("failures"), F.max_by("detail", F.struct("ts", "source", "detail")).alias("latest_detail"))
+    g = g.withColumn("failure_rate", F.col("failures") / F.col("events")).withColumn(
+        "asset_class", F.when(F.array_contains("sources", "sensor"), "ot_gateway")
+        .when(F.array_contains("sources", "inference"), "edge_inference").otherwise("edge_node"))
+    if overrides is not None:
+        g = g.join(overrides.select("asset_id", F.col("zone").alias("_z")), "asset_id", "left")
+        return g.withColumn("zone", F.coalesce("_z", F.lit(default_zone))).drop("_z")
+    return g.withColumn("zone", F.lit(default_zone))

@@ -327,3 +327,35 @@ SELECT CASE WHEN ioc_type = 'ip' THEN 'ipv4' WHEN ioc_type = 'dns' THEN 'domain'
        strftime(expires_at, '%Y-%m-%dT%H:%M:%SZ') AS expiry
 FROM iocs
 """)(_e20)
+
+
+def _e16(spark, sf):
+    inf = TB.inference_log(spark, sf).select(F.col("edge_node_id").alias("asset_id"), F.lit("inference").alias("source"),
+                                              "ts", (F.col("physics_check_result") != "fail").alias("ok"),
+                                              F.format_number("confidence_score", 3).alias("detail"))
+    orc = TB.oracle_log(spark, sf).select(F.col("edge_node_id").alias("asset_id"), F.lit("oracle").alias("source"), "ts",
+                                           F.col("error_state").isNull().alias("ok"), F.col("check_result").alias("detail"))
+    sen = TB.sensor_log(spark, sf).select(F.col("edge_node_id").alias("asset_id"), F.lit("sensor").alias("source"), "ts",
+                                           (F.col("protocol_violations") == 0).alias("ok"), F.col("connection_state").alias("detail"))
+    obs = inf.unionByName(orc).unionByName(sen)
+    ov = spark.createDataFrame([("node-0", "Zone0_Safety"), ("node-7", "Zone1_EdgeInference")], "asset_id string, zone string")
+    inv = EN.asset_inventory(obs, ov)
+    return tidy(inv.select("asset_id", F.array_join("sources", ",").alias("sources"), "events", "failures", "failure_rate",
+                           "latest_detail", "asset_class", "zone"))
+
+
+register("e16_asset_inventory", with_roles("""
+, obs AS (SELECT edge_node_id AS asset_id, 'inference' AS source, ts, physics_check_result <> 'fail' AS ok,
+                 printf('%.3f', confidence_score) AS detail FROM inference_log
+          UNION ALL SELECT edge_node_id, 'oracle', ts, error_state IS NULL, check_result FROM oracle_log
+          UNION ALL SELECT edge_node_id, 'sensor', ts, protocol_violations = 0, connection_state FROM sensor_log)
+, g AS (SELECT asset_id, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, COUNT(*) AS events,
+               COUNT(*) FILTER (WHERE NOT ok) AS failures, arg_max(detail, (ts, source, detail)) AS latest_detail
+        FROM obs GROUP BY asset_id)
+, ov AS (SELECT * FROM (VALUES ('node-0', 'Zone0_Safety'), ('node-7', 'Zone1_EdgeInference')) t(asset_id, zone))
+SELECT g.asset_id, sources, CAST(events AS BIGINT) AS events, CAST(failures AS BIGINT) AS failures,
+       ROUND(failures / events, 6) AS failure_rate, latest_detail,
+       CASE WHEN contains(sources, 'sensor') THEN 'ot_gateway' WHEN contains(sources, 'inference') THEN 'edge_inference'
+            ELSE 'edge_node' END AS asset_class, COALESCE(ov.zone, 'Zone3_Enterprise') AS zone
+FROM g LEFT JOIN ov ON g.asset_id = ov.asset_id
+""", "inference_log", "oracle_log", "sensor_log"))(_e16)
