@@ -260,3 +260,37 @@ def asset_inventory(observations: DataFrame, overrides: DataFrame | None = None,
         g = g.join(overrides.select("asset_id", F.col("zone").alias("_z")), "asset_id", "left")
         return g.withColumn("zone", F.coalesce("_z", F.lit(default_zone))).drop("_z")
     return g.withColumn("zone", F.lit(default_zone))
+
+
+# ---------------------------------------------------------------------------
+# E-19 behaviour-analytics context
+# ---------------------------------------------------------------------------
+
+# Fixed values (must equal the documented mapping), in their documented order.
+ANOMALY_DESCRIPTIONS = (
+    ("FirstTimeUserConnectedViaCountry", "User connected from a country for the first time"),
+    ("FirstTimeConnectionToApplication", "User accessed this application for the first time"),
+    ("CountryUncommonlyConnectedFromAmongPeers", "Connection from a country uncommon among the user's peer group"),
+    ("FirstTimeUserAccessedResource", "User accessed this resource for the first time"),
+    ("ActivityAtypicalComparedToUserHistory", "Activity is atypical compared to the user's baseline behaviour"),
+    ("ApplicationUncommonlyAccessedAmongPeers", "Application is uncommon among the user's peer group"),
+    ("ActionUncommonlyPerformedByUser", "This action type is unusual for this user"),
+    ("FirstTimeUserUsedDevice", "User used this device for the first time"),
+    ("DeviceUncommonlyUsedAmongPeers", "Device is uncommon among the user's peer group"),
+)
+
+
+def behaviour_context(records: DataFrame) -> DataFrame:
+    """E-19: priority bands (0-2 low, 3-5 medium, 6-7 high, 8-10 critical, else unknown) and the
+    descriptions of the insight flags that are exactly true, in the documented order; malformed
+    insight JSON counts as no insights."""
+    ins = F.coalesce(F.from_json(F.col("ActivityInsights"), "map<string,boolean>"),
+                     F.create_map().cast("map<string,boolean>"))
+    p = F.coalesce(F.col("InvestigationPriority").cast("int"), F.lit(0))
+    band = (F.when(p.between(0, 2), "low").when(p.between(3, 5), "medium").when(p.between(6, 7), "high")
+            .when(p.between(8, 10), "critical").otherwise("unknown"))
+    anomalies = F.array_compact(F.array(*[F.when(F.coalesce(ins[k], F.lit(False)), F.lit(d)) for k, d in ANOMALY_DESCRIPTIONS]))
+    return records.select("UserPrincipalName", "SourceIPAddress", p.alias("investigation_priority"),
+                          band.alias("risk_level"), anomalies.alias("anomalies"),
+                          F.coalesce(ins["FirstTimeUserConnectedViaCountry"], F.lit(False)).alias("is_first_time_country"),
+                          F.coalesce(ins["ActivityAtypicalComparedToUserHistory"], F.lit(False)).alias("is_atypical_for_user"))

@@ -359,3 +359,30 @@ SELECT g.asset_id, sources, CAST(events AS BIGINT) AS events, CAST(failures AS B
             ELSE 'edge_node' END AS asset_class, COALESCE(ov.zone, 'Zone3_Enterprise') AS zone
 FROM g LEFT JOIN ov ON g.asset_id = ov.asset_id
 """, "inference_log", "oracle_log", "sensor_log"))(_e16)
+
+
+def _e19(spark, sf):
+    e = TB.read(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    flags = F.to_json(F.struct(*[((k % (i + 2)) == 0).alias(name) for i, (name, _) in enumerate(EN.ANOMALY_DESCRIPTIONS)]))
+    rec = e.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("UserPrincipalName"),
+                   F.lit("10.0.0.1").alias("SourceIPAddress"),
+                   (F.floor(F.col("value")) % 12).cast("int").alias("InvestigationPriority"), flags.alias("ActivityInsights"))
+    b = EN.behaviour_context(rec)
+    return b.groupBy("risk_level", F.size("anomalies").cast("bigint").alias("n_anomalies")).agg(
+        F.count(F.lit(1)).alias("records"))
+
+
+def _e19_sql() -> str:
+    n = " + ".join(f"(CAST(json_extract_string(props, '$.k') AS BIGINT) % {i + 2} = 0)::INT"
+                   for i in range(len(EN.ANOMALY_DESCRIPTIONS)))
+    return f"""
+WITH r AS (SELECT CAST(floor(value) AS BIGINT) % 12 AS p, {n} AS n FROM events)
+SELECT CASE WHEN p BETWEEN 0 AND 2 THEN 'low' WHEN p BETWEEN 3 AND 5 THEN 'medium' WHEN p BETWEEN 6 AND 7 THEN 'high'
+            WHEN p BETWEEN 8 AND 10 THEN 'critical' ELSE 'unknown' END AS risk_level,
+       CAST(n AS BIGINT) AS n_anomalies, CAST(COUNT(*) AS BIGINT) AS records
+FROM r GROUP BY ALL
+"""
+
+
+register("e19_behaviour_context", _e19_sql())(_e19)
