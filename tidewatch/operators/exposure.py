@@ -312,3 +312,42 @@ def campaign_gaps(validations: DataFrame, alerts: DataFrame) -> DataFrame:
         F.sum(F.when(~ev & (F.col("m") == 0), 1).otherwise(0)).alias("timing_gaps"))
     return g.withColumn("exploitable_count", F.col("total_tests")).withColumn(
         "detection_rate", F.round(F.col("detected_count") * 100.0 / F.greatest(F.col("exploitable_count"), F.lit(1)), 1))
+
+
+# Fixed values (must equal the documented technique list).
+KNOWN_TECHNIQUES = (
+    ("AML.T0020", "TM-01", "Poison Training Data"),
+    ("AML.T0043", "TM-03/06/08", "Craft Adversarial Data"),
+    ("AML.T0015", "TM-07/17", "Evade ML Model"),
+    ("AML.T0044", "TM-04/11", "Full ML Model Access"),
+    ("AML.T0044.001", "TM-12", "Query-Based Model Extraction"),
+    ("AML.T0051", "TM-10", "LLM Prompt Injection"),
+    ("AML.T0054", "TM-10", "LLM Jailbreak"),
+    ("AML.T0029", "TM-09/14", "Denial of ML Service"),
+    ("AML.T0010", "TM-05/15", "ML Supply Chain Compromise"),
+    ("AML.T0018", "TM-05", "Backdoor ML Model"),
+    ("AML.T0035.001", "TM-04", "Physical Access to ML Model"),
+    ("AML.T0035.002", "TM-11", "Insider Access to ML Model"),
+    ("AML.T0014", "TM-20", "Discover ML Model Ontology"),
+    ("AML.T0024", "TM-13", "Infer Training Data Membership"),
+    ("AML.T0048.003", "TM-02", "Exploit via Model-Serving Interface"),
+)
+
+
+def coverage_matrix(known: DataFrame, ctem: DataFrame, runtime: DataFrame, validation: DataFrame) -> DataFrame:
+    """E-14: technique list LEFT JOIN three evidence aggregates (atlas_technique, n); coverage score
+    = number of evidence kinds; status FULL / DETECTION_ONLY / DISCOVERY_ONLY / NO_COVERAGE."""
+    def agg(df, name):
+        return df.where(F.coalesce(F.col("atlas_technique"), F.lit("")) != "").groupBy("atlas_technique") \
+            .agg(F.count(F.lit(1)).alias(name))
+    j = (known.join(agg(ctem, "ctem_findings"), "atlas_technique", "left")
+         .join(agg(runtime, "runtime_alerts"), "atlas_technique", "left")
+         .join(agg(validation, "validation_tests"), "atlas_technique", "left"))
+    hc, hr, hv = (F.col(c).isNotNull() for c in ("ctem_findings", "runtime_alerts", "validation_tests"))
+    return j.select("atlas_technique", "threat_model_ref", "technique_name",
+                    hc.alias("has_ctem_discovery"), F.coalesce("ctem_findings", F.lit(0)).alias("ctem_findings"),
+                    hr.alias("has_runtime_detection"), F.coalesce("runtime_alerts", F.lit(0)).alias("runtime_alerts"),
+                    hv.alias("has_red_team_validation"),
+                    (hc.cast("int") + hr.cast("int") + hv.cast("int")).alias("coverage_score"),
+                    F.when(hc & hr & hv, "FULL_COVERAGE").when(hr, "DETECTION_ONLY").when(hc, "DISCOVERY_ONLY")
+                    .otherwise("NO_COVERAGE").alias("coverage_status"))

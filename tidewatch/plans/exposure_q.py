@@ -142,6 +142,7 @@ EXPOSURE_TABLE_SQL = NORMALISE_SQL + f"""
          COALESCE(o.tool, n.tool) AS source_tool, COALESCE(o.asset_id, n.asset_id) AS asset_id,
          COALESCE(o.tenant_id, n.tenant_id) AS tenant_id,
          CASE WHEN o.exposure_key IS NOT NULL THEN o.sla_deadline ELSE n.sla_deadline END AS sla_deadline,
+         CASE WHEN o.exposure_key IS NOT NULL THEN o.atlas_technique ELSE n.atlas_technique END AS atlas_technique,
          CASE WHEN n.exposure_key IS NOT NULL AND o.exposure_key IS NOT NULL THEN 'updated'
               WHEN n.exposure_key IS NOT NULL THEN 'inserted' ELSE 'unchanged' END AS change
   FROM old o FULL OUTER JOIN inc n ON o.exposure_key = n.exposure_key)

@@ -263,3 +263,46 @@ register("e02_extraction_by_call_gap", with_roles(f"""
 SELECT caller_identity, CAST(n AS BIGINT) AS query_count, CAST(de AS BIGINT) AS distinct_endpoints,
        ROUND(med, 6) AS median_gap_ms, ROUND(conf, 6) AS confidence FROM c WHERE conf > 0.65
 """, "api_log"))(_e02)
+
+
+def _e14(spark, sf):
+    from tidewatch.functions.exprs import time_lit
+    ex = exposure_table(spark, sf)
+    dt = ex.schema["ts"].dataType
+    ctem = ex.where((F.col("ts") > time_lit(R.shift(XNOW, days=90), dt)) & (F.col("ts") < time_lit(XNOW, dt))) \
+        .select("atlas_technique")
+    runtime = all_detections(spark, sf).select("atlas_technique")
+    known = spark.createDataFrame(list(EX.KNOWN_TECHNIQUES), "atlas_technique string, threat_model_ref string, technique_name string")
+    val = spark.createDataFrame([], "atlas_technique string")
+    m = EX.coverage_matrix(known, ctem, runtime, val)
+    return m.select("atlas_technique", F.col("ctem_findings").cast("bigint").alias("ctem_findings"),
+                    F.col("runtime_alerts").cast("bigint").alias("runtime_alerts"),
+                    F.col("coverage_score").cast("bigint").alias("coverage_score"), "coverage_status")
+
+
+def _e14_sql() -> str:
+    from tidewatch.operators.rules import RULES
+    from tidewatch.plans.registry import ORACLES
+    tech = {f"d{m.rule_id[-2:]}": m.atlas_technique for m in RULES.values()}
+    parts = []
+    for q in ("d01_training_data_poisoning", "d02_model_extraction", "d03_prompt_injection", "d04_adversarial_evasion",
+              "d05_oracle_dos", "d07_insider_exfiltration", "d08_alert_flood", "d09_sensor_spoofing",
+              "d10_partner_compromise", "d11_edge_compromise"):
+        parts.append(f"SELECT '{tech[q[:3]]}' AS t FROM ({ORACLES[q]})")
+    parts.append(f"SELECT CASE finding WHEN 'promotion' THEN 'AML.T0010' ELSE 'AML.T0018' END FROM ({ORACLES['d06_supply_chain']})")
+    values = ", ".join(f"('{a}')" for a, _, _ in EX.KNOWN_TECHNIQUES)
+    return with_roles(EXPOSURE_TABLE_SQL + f"""
+, ctem AS (SELECT atlas_technique AS t, COUNT(*) AS n FROM exposures
+           WHERE ts > {ts(XNOW, days=90)} AND ts < {ts(XNOW)} AND atlas_technique <> '' GROUP BY 1)
+, rt AS (SELECT t, COUNT(*) AS n FROM ({' UNION ALL '.join(parts)}) GROUP BY t)
+, k AS (SELECT * FROM (VALUES {values}) v(t))
+SELECT k.t AS atlas_technique, CAST(COALESCE(ctem.n, 0) AS BIGINT) AS ctem_findings,
+       CAST(COALESCE(rt.n, 0) AS BIGINT) AS runtime_alerts,
+       CAST((ctem.n IS NOT NULL)::INT + (rt.n IS NOT NULL)::INT AS BIGINT) AS coverage_score,
+       CASE WHEN rt.n IS NOT NULL THEN 'DETECTION_ONLY' WHEN ctem.n IS NOT NULL THEN 'DISCOVERY_ONLY'
+            ELSE 'NO_COVERAGE' END AS coverage_status
+FROM k LEFT JOIN ctem ON k.t = ctem.t LEFT JOIN rt ON k.t = rt.t
+""", "findings")
+
+
+register("e14_coverage_matrix", _e14_sql())(_e14)
