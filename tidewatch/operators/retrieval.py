@@ -231,3 +231,45 @@ def assemble_context(candidates: DataFrame, budget_tokens: int = 4096, chars_per
     d = d.withColumn("position", F.row_number().over(order)).withColumn(
         "tokens_so_far", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return d.where(F.col("tokens_so_far") <= budget_tokens)
+
+
+def embedding_text(docs: DataFrame) -> Column:
+    """E-23: the text to embed, built per ``doc_type`` from its meaningful fields (lines joined by
+    newlines, empty parts dropped; unknown types: space-joined string fields longer than 10 chars).
+    Missing columns count as empty."""
+    cols = set(docs.columns)
+
+    def s(c):
+        return F.coalesce(F.col(c).cast("string"), F.lit("")) if c in cols else F.lit("")
+
+    def lst(c, n=None):
+        if c not in cols:
+            return F.lit("")
+        a = F.coalesce(F.col(c), F.array().cast("array<string>"))
+        return F.array_join(F.slice(a, 1, n) if n else a, ", ")
+
+    def lines(*parts):
+        return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), "\n")
+    steps = (F.transform(F.coalesce(F.col("steps"), F.array()), lambda st: F.concat(
+        F.lit("Step "), st["step"].cast("string"), F.lit(": "), st["action"], F.lit(" - "), st["description"]))
+        if "steps" in cols else F.array().cast("array<string>"))
+    t = F.col("doc_type")
+    fallback = F.array_join(F.filter(F.array(*[s(c) for c in sorted(cols) if dict(docs.dtypes)[c] == "string"]),
+                                     lambda v: F.length(v) > 10), " ")
+    return (F.when(t == "mitre_technique", lines(
+                F.concat(F.lit("MITRE ATT&CK Technique "), s("technique_id"), F.lit(": "), s("technique_name")),
+                s("description"), F.concat(F.lit("Detection: "), s("detection")),
+                F.concat(F.lit("Platforms: "), lst("platforms")), F.concat(F.lit("Used by: "), lst("groups_using", 5))))
+            .when(t == "mitre_group", lines(
+                F.concat(F.lit("Threat Group: "), s("group_name")), F.concat(F.lit("Aliases: "), lst("aliases")),
+                s("description"), F.concat(F.lit("Target sectors: "), lst("target_sectors"))))
+            .when(t == "threat_intel_report", lines(
+                s("title"), s("summary"), F.concat(F.lit("Threat actors: "), lst("threat_actors")),
+                F.concat(F.lit("MITRE techniques: "), lst("mitre_techniques")), s("detection_guidance")))
+            .when(t == "playbook", F.array_join(F.filter(F.concat(F.array(
+                s("title"), F.concat(F.lit("Category: "), s("category")),
+                F.concat(F.lit("MITRE techniques: "), lst("mitre_techniques"))), steps), lambda p: p != ""), "\n"))
+            .when(t == "incident_memory", lines(
+                F.concat(F.lit("Alert: "), s("alert_name")), s("investigation_summary"),
+                F.concat(F.lit("Classification: "), s("classification")), s("lessons_learned")))
+            .otherwise(fallback))

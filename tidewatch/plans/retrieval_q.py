@@ -203,3 +203,28 @@ FROM k WHERE so_far <= 4096 GROUP BY query_id
 
 
 register("e26_context_assembly", _e26_sql())(_e26)
+
+
+def _e23(spark, sf):
+    d = TB.read(spark, sf, "documents").select(
+        F.lit("threat_intel_report").alias("doc_type"), F.col("source").alias("title"), F.col("text").alias("summary"),
+        F.array(F.col("lang")).alias("threat_actors"), F.array().cast("array<string>").alias("mitre_techniques"))
+    inv = TB.investigations(spark, sf).select(F.lit("incident_memory").alias("doc_type"),
+                                              F.col("alert_title").alias("alert_name"), "classification")
+    a = d.select(RT.embedding_text(d).alias("t"))
+    b = inv.select(RT.embedding_text(inv).alias("t"))
+    u = a.unionByName(b)
+    return u.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("t")).cast("bigint").alias("chars"),
+                 F.count_if(F.col("t").contains("Threat actors: ")).alias("reports"))
+
+
+from tidewatch.plans.oracle_roles import with_roles  # noqa: E402
+
+register("e23_embedding_text", with_roles("""
+, a AS (SELECT concat_ws(chr(10), NULLIF(source, ''), NULLIF(text, ''), 'Threat actors: ' || lang, 'MITRE techniques: ') AS t
+        FROM documents)
+, b AS (SELECT concat_ws(chr(10), 'Alert: ' || alert_title, 'Classification: ' || classification) AS t FROM investigations)
+, u AS (SELECT t FROM a UNION ALL SELECT t FROM b)
+SELECT CAST(COUNT(*) AS BIGINT) AS docs, CAST(SUM(length(t)) AS BIGINT) AS chars,
+       CAST(COUNT(*) FILTER (WHERE contains(t, 'Threat actors: ')) AS BIGINT) AS reports FROM u
+""", "investigations"))(_e23)
