@@ -351,3 +351,35 @@ def coverage_matrix(known: DataFrame, ctem: DataFrame, runtime: DataFrame, valid
                     (hc.cast("int") + hr.cast("int") + hv.cast("int")).alias("coverage_score"),
                     F.when(hc & hr & hv, "FULL_COVERAGE").when(hr, "DETECTION_ONLY").when(hc, "DISCOVERY_ONLY")
                     .otherwise("NO_COVERAGE").alias("coverage_status"))
+
+
+def weekly_triage(exposures: DataFrame, runtime_counts: DataFrame, now, *, days: int = 90,
+                  open_statuses: tuple[str, ...] = ("Open", "InProgress"), boost: float = 1.5) -> DataFrame:
+    """E-07: open exposures of the last 90 days LEFT JOIN runtime alert counts by technique;
+    score x1.5 when seen at runtime, SLA status, days open and the 7-level triage priority.
+
+    ``runtime_counts``: (atlas_technique, runtime_alerts) — one row per technique."""
+    dt = col_type(exposures, "ts")
+    nowc = time_lit(now, dt)
+    e = exposures.where(F.col("status").isin(*open_statuses) & (F.col("ts") > time_lit(shift(now, days=days), dt))
+                        & (F.col("ts") < nowc))
+    j = e.join(runtime_counts, "atlas_technique", "left")
+    seen = F.col("runtime_alerts").isNotNull()
+    sla = (F.when(nowc > F.col("sla_deadline"), "BREACHED")
+           .when(hours_between(F.col("sla_deadline"), nowc) < 24, "AT_RISK").otherwise("ON_TRACK"))
+    sev = F.col("severity")
+    j = j.withColumn("adjusted_score", F.when(seen, F.col("ctem_score") * boost).otherwise(F.col("ctem_score"))) \
+        .withColumn("sla_status", sla) \
+        .withColumn("days_open", F.floor(hours_between(nowc, F.col("ts")) / 24).cast("int"))
+    return j.withColumn("triage_priority", F.when((sev == "CRITICAL") & (F.col("sla_status") == "BREACHED"), 1)
+                        .when(sev == "CRITICAL", 2).when((sev == "HIGH") & (F.col("sla_status") == "BREACHED"), 3)
+                        .when((sev == "HIGH") & seen, 4).when(sev == "HIGH", 5).when(sev == "MEDIUM", 6).otherwise(7))
+
+
+def runtime_correlation(exposures: DataFrame, alerts: DataFrame) -> DataFrame:
+    """E-09: exposures whose technique is also seen in runtime alerts. Instead of emitting every
+    (exposure, alert) pair of a technique, each exposure carries the technique's alert count and
+    latest alert (max_by): one aggregate of the alerts, one equi-join."""
+    a = alerts.where(F.coalesce(F.col("atlas_technique"), F.lit("")) != "").groupBy("atlas_technique").agg(
+        F.count(F.lit(1)).alias("runtime_alerts"), F.max_by("alert_title", F.struct("ts", "alert_title")).alias("latest_alert"))
+    return exposures.join(a, "atlas_technique").withColumn("combined_severity", F.lit("CRITICAL"))

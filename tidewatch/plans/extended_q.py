@@ -306,3 +306,61 @@ FROM k LEFT JOIN ctem ON k.t = ctem.t LEFT JOIN rt ON k.t = rt.t
 
 
 register("e14_coverage_matrix", _e14_sql())(_e14)
+
+
+def _runtime_counts(spark, sf):
+    d = all_detections(spark, sf)
+    return d.where(F.col("atlas_technique") != "").groupBy("atlas_technique").agg(
+        F.count(F.lit(1)).alias("runtime_alerts"))
+
+
+def _e07(spark, sf):
+    t = EX.weekly_triage(exposure_table(spark, sf), _runtime_counts(spark, sf), XNOW)
+    return tidy(t.groupBy("triage_priority", "sla_status").agg(F.count(F.lit(1)).alias("exposures"),
+                                                                F.sum("adjusted_score").alias("adjusted_score"),
+                                                                F.sum("days_open").cast("bigint").alias("days_open")))
+
+
+def _rt_sql() -> str:
+    from tidewatch.operators.rules import RULES
+    from tidewatch.plans.registry import ORACLES
+    tech = {f"d{m.rule_id[-2:]}": m.atlas_technique for m in RULES.values()}
+    parts = [f"SELECT '{tech[q[:3]]}' AS t, alert_title_ FROM (SELECT *, '' AS alert_title_ FROM ({ORACLES[q]}))"
+             for q in ("d01_training_data_poisoning", "d02_model_extraction", "d03_prompt_injection",
+                       "d04_adversarial_evasion", "d05_oracle_dos", "d07_insider_exfiltration", "d08_alert_flood",
+                       "d09_sensor_spoofing", "d10_partner_compromise", "d11_edge_compromise")]
+    parts.append("SELECT CASE finding WHEN 'promotion' THEN 'AML.T0010' ELSE 'AML.T0018' END, '' FROM ("
+                 + ORACLES["d06_supply_chain"] + ")")
+    return f", rt AS (SELECT t AS atlas_technique, COUNT(*) AS runtime_alerts FROM ({' UNION ALL '.join(parts)}) GROUP BY t)"
+
+
+def _e07_sql() -> str:
+    return with_roles(EXPOSURE_TABLE_SQL + _rt_sql() + f"""
+, e AS (SELECT x.*, rt.runtime_alerts FROM exposures x LEFT JOIN rt ON x.atlas_technique = rt.atlas_technique
+        WHERE x.status IN ('Open', 'InProgress') AND x.ts > {ts(XNOW, days=90)} AND x.ts < {ts(XNOW)})
+, f AS (SELECT *, CASE WHEN runtime_alerts IS NOT NULL THEN ctem_score * 1.5 ELSE ctem_score END AS adj,
+               CASE WHEN {ts(XNOW)} > sla_deadline THEN 'BREACHED'
+                    WHEN EXTRACT(EPOCH FROM (sla_deadline - {ts(XNOW)})) / 3600.0 < 24 THEN 'AT_RISK' ELSE 'ON_TRACK' END AS sla,
+               CAST(floor(EXTRACT(EPOCH FROM ({ts(XNOW)} - ts)) / 3600.0 / 24) AS BIGINT) AS days_open FROM e)
+, g AS (SELECT *, CASE WHEN severity = 'CRITICAL' AND sla = 'BREACHED' THEN 1 WHEN severity = 'CRITICAL' THEN 2
+                       WHEN severity = 'HIGH' AND sla = 'BREACHED' THEN 3 WHEN severity = 'HIGH' AND runtime_alerts IS NOT NULL THEN 4
+                       WHEN severity = 'HIGH' THEN 5 WHEN severity = 'MEDIUM' THEN 6 ELSE 7 END AS pr FROM f)
+SELECT CAST(pr AS BIGINT) AS triage_priority, sla AS sla_status, CAST(COUNT(*) AS BIGINT) AS exposures,
+       ROUND(SUM(adj), 6) AS adjusted_score, CAST(SUM(days_open) AS BIGINT) AS days_open FROM g GROUP BY ALL
+""", "findings")
+
+
+register("e07_weekly_triage", _e07_sql())(_e07)
+
+
+def _e09(spark, sf):
+    alerts = all_detections(spark, sf).select("atlas_technique", F.col("alert_title"), F.col("detected_at").alias("ts"))
+    c = EX.runtime_correlation(exposure_table(spark, sf), alerts)
+    return c.groupBy("atlas_technique").agg(F.count(F.lit(1)).alias("exposures"),
+                                            F.max("runtime_alerts").cast("bigint").alias("runtime_alerts"))
+
+
+register("e09_exposure_runtime_correlation", with_roles(EXPOSURE_TABLE_SQL + _rt_sql() + """
+SELECT x.atlas_technique, CAST(COUNT(*) AS BIGINT) AS exposures, CAST(MAX(rt.runtime_alerts) AS BIGINT) AS runtime_alerts
+FROM exposures x JOIN rt ON x.atlas_technique = rt.atlas_technique GROUP BY x.atlas_technique
+""", "findings"))(_e09)
