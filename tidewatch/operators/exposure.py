@@ -383,3 +383,34 @@ def runtime_correlation(exposures: DataFrame, alerts: DataFrame) -> DataFrame:
     a = alerts.where(F.coalesce(F.col("atlas_technique"), F.lit("")) != "").groupBy("atlas_technique").agg(
         F.count(F.lit(1)).alias("runtime_alerts"), F.max_by("alert_title", F.struct("ts", "alert_title")).alias("latest_alert"))
     return exposures.join(a, "atlas_technique").withColumn("combined_severity", F.lit("CRITICAL"))
+
+
+VALIDATION_TYPES = ("manual_red_team", "adversarial_ml", "full_campaign")
+
+
+def campaign_effectiveness(validations: DataFrame, now, *, days: int = 365) -> DataFrame:
+    """E-13: per campaign over the last year (listed validation types): tests, exploitable,
+    evaded, physical-consequence counts, distinct types, and exploit/evasion/detection rates."""
+    dt = col_type(validations, "ts")
+    v = validations.where((F.col("ts") > time_lit(shift(now, days=days), dt)) & (F.col("ts") < time_lit(now, dt))
+                          & F.col("validation_type").isin(*VALIDATION_TYPES))
+    g = v.groupBy("campaign_id").agg(
+        F.count(F.lit(1)).alias("total_tests"), F.count_if("exploitable").alias("exploitable_findings"),
+        F.count_if("detection_evaded").alias("detection_evaded_count"),
+        F.count_if("physical_consequence_demonstrated").alias("physical_consequence_count"),
+        F.count_distinct("validation_type").alias("unique_types"))
+    ex = F.greatest(F.col("exploitable_findings"), F.lit(1))
+    tot = F.greatest(F.col("total_tests"), F.lit(1))
+    return (g.withColumn("exploit_rate", F.round(F.col("exploitable_findings") * 100.0 / tot, 1))
+            .withColumn("evasion_rate", F.round(F.col("detection_evaded_count") * 100.0 / ex, 1))
+            .withColumn("detection_rate", F.round((F.col("exploitable_findings") - F.col("detection_evaded_count")) * 100.0 / ex, 1)))
+
+
+def new_detection_gaps(validations: DataFrame, now, *, hours: int = 1) -> DataFrame:
+    """E-15: validations of the last hour that evaded detection, with gap severity
+    (physical consequence -> CRITICAL, low exploit complexity -> HIGH, else MEDIUM)."""
+    dt = col_type(validations, "ts")
+    v = validations.where((F.col("ts") > time_lit(shift(now, hours=hours), dt)) & (F.col("ts") <= time_lit(now, dt))
+                          & F.col("detection_evaded"))
+    return v.withColumn("gap_severity", F.when(F.col("physical_consequence_demonstrated"), "CRITICAL")
+                        .when(F.col("exploit_complexity") == "low", "HIGH").otherwise("MEDIUM"))

@@ -265,3 +265,59 @@ SELECT campaign_id, CAST(COUNT(*) AS BIGINT) AS total_tests, CAST(COUNT(*) AS BI
        ROUND(ROUND(COUNT(*) FILTER (WHERE detected) * 100.0 / GREATEST(COUNT(*), 1), 1), 6) AS detection_rate
 FROM ga GROUP BY campaign_id
 """, "findings"))(_e08)
+
+
+def validations(spark, sf):
+    """Red-team validations derived from the normalised findings (campaign = finding id % 20)."""
+    n = EX.normalise(TB.findings(spark, sf).where(F.lower("source_tool").isin(*EX.KNOWN_TOOLS)))
+    vt = F.when(F.col("source_tool").isin("garak", "art"), "adversarial_ml").when(F.col("source_tool") == "wiz", "full_campaign") \
+        .otherwise("manual_red_team")
+    return n.select(F.concat(F.lit("camp-"), (F.col("finding_id") % 20).cast("string")).alias("campaign_id"),
+                    F.col("finding_id").alias("validation_id"), F.col("title").alias("exposure_id"), "ts",
+                    (F.col("exploitability_score") >= 0.3).alias("exploitable"),
+                    (F.col("severity") == "LOW").alias("detection_evaded"),
+                    (F.col("physical_consequence") == "safety_life").alias("physical_consequence_demonstrated"),
+                    vt.alias("validation_type"),
+                    F.when(F.col("exploitability_score") >= 0.7, "low").otherwise("high").alias("exploit_complexity"))
+
+
+VALIDATIONS_SQL = NORMALISE_SQL + """
+, val AS (SELECT 'camp-' || CAST(finding_id % 20 AS VARCHAR) AS campaign_id, finding_id AS validation_id, ts,
+                 expl_score >= 0.3 AS exploitable, severity_ = 'LOW' AS evaded, consequence = 'safety_life' AS phys,
+                 CASE WHEN tool IN ('garak', 'art') THEN 'adversarial_ml' WHEN tool = 'wiz' THEN 'full_campaign'
+                      ELSE 'manual_red_team' END AS vtype,
+                 CASE WHEN expl_score >= 0.7 THEN 'low' ELSE 'high' END AS complexity
+          FROM normalised)
+"""
+
+
+def _e13(spark, sf):
+    c = EX.campaign_effectiveness(validations(spark, sf), NOW)
+    return tidy(c.select("campaign_id", *[F.col(x).cast("bigint").alias(x) for x in (
+        "total_tests", "exploitable_findings", "detection_evaded_count", "physical_consequence_count", "unique_types")],
+        "exploit_rate", "evasion_rate", "detection_rate"))
+
+
+register("e13_campaign_effectiveness", with_roles(VALIDATIONS_SQL + f"""
+, g AS (SELECT campaign_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE exploitable) AS ex, COUNT(*) FILTER (WHERE evaded) AS ev,
+               COUNT(*) FILTER (WHERE phys) AS ph, COUNT(DISTINCT vtype) AS ut
+        FROM val WHERE ts > {ts(NOW, days=365)} AND ts < {ts(NOW)}
+          AND vtype IN ('manual_red_team', 'adversarial_ml', 'full_campaign') GROUP BY campaign_id)
+SELECT campaign_id, CAST(n AS BIGINT) AS total_tests, CAST(ex AS BIGINT) AS exploitable_findings,
+       CAST(ev AS BIGINT) AS detection_evaded_count, CAST(ph AS BIGINT) AS physical_consequence_count,
+       CAST(ut AS BIGINT) AS unique_types, ROUND(ROUND(ex * 100.0 / GREATEST(n, 1), 1), 6) AS exploit_rate,
+       ROUND(ROUND(ev * 100.0 / GREATEST(ex, 1), 1), 6) AS evasion_rate,
+       ROUND(ROUND((ex - ev) * 100.0 / GREATEST(ex, 1), 1), 6) AS detection_rate FROM g
+""", "findings"))(_e13)
+
+
+def _e15(spark, sf):
+    g = EX.new_detection_gaps(validations(spark, sf), NOW)
+    return g.groupBy("gap_severity").agg(F.count(F.lit(1)).alias("gaps"))
+
+
+register("e15_new_detection_gaps", with_roles(VALIDATIONS_SQL + f"""
+SELECT CASE WHEN phys THEN 'CRITICAL' WHEN complexity = 'low' THEN 'HIGH' ELSE 'MEDIUM' END AS gap_severity,
+       CAST(COUNT(*) AS BIGINT) AS gaps
+FROM val WHERE ts > {ts(NOW, hours=1)} AND ts <= {ts(NOW)} AND evaded GROUP BY 1
+""", "findings"))(_e15)
