@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import col_type, ipv4_to_long, shift, stable_order_key, time_lit
-from tidewatch.operators.common import bounded_collect, first_per_key
+from tidewatch.operators.common import bounded_collect
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference)

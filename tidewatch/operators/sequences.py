@@ -20,11 +20,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from tidewatch.session import ship_package
 from pyspark.sql import types as T
 
 from tidewatch.functions.exprs import epoch_seconds
+from tidewatch.session import ship_package
 
 # Fixed values (must equal the reference)
 TENANT_HOURLY_QUOTA = {"premium": 500, "standard": 100, "trial": 20}
@@ -66,7 +65,6 @@ def failure_runs(df: DataFrame, key: str, ts: str, ok_col: str, tie: str,
         Window.partitionBy(key, "_day", "_grp").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)))
     day = e.groupBy(key, "_day").agg(
         F.count(F.lit(1)).alias("_n"), F.max("_grp").alias("_succ"),
-        F.count_if(~F.col(ok_col) & (F.col("_grp") == F.col("_grp"))).alias("_fails"),
         F.max_by("_run", F.struct(ts, tie)).alias("_trail"))
     wd = Window.partitionBy(key).orderBy("_day")
     prev = wd.rowsBetween(Window.unboundedPreceding, -1)
@@ -74,9 +72,8 @@ def failure_runs(df: DataFrame, key: str, ts: str, ok_col: str, tie: str,
            .withColumn("_last_succ", F.max(F.when(F.col("_succ") > 0, F.col("_day"))).over(prev)))
     anchor = day.select(key, F.col("_day").alias("_last_succ"), F.col("_trail").alias("_a_trail"),
                         F.col("_ncum").alias("_a_ncum"))
-    first = day.select(key, "_day", F.min("_day").over(Window.partitionBy(key)).alias("_first"),
-                       (F.col("_ncum") - F.col("_n")).alias("_before"), "_last_succ")
-    carry = (first.join(anchor, [key, "_last_succ"], "left")
+    before = day.select(key, "_day", (F.col("_ncum") - F.col("_n")).alias("_before"), "_last_succ")
+    carry = (before.join(anchor, [key, "_last_succ"], "left")
              .select(key, "_day", F.when(F.col("_last_succ").isNull(), F.col("_before"))
                      .otherwise(F.col("_a_trail") + F.col("_before") - F.col("_a_ncum")).alias("_carry")))
     out = e.join(carry, [key, "_day"], "left").withColumn(
