@@ -129,3 +129,20 @@ WITH e AS ({S06_SQL})
 SELECT source, ROUND(1.0 - CASE WHEN no_mitre THEN 0.1 ELSE 0 END, 6) AS data_quality_score,
        CAST(no_mitre::INT AS BIGINT) AS warnings, CAST(COUNT(*) AS BIGINT) AS alerts FROM w GROUP BY ALL
 """)(_e21)
+
+
+def _e24(spark, sf):
+    c = AD.union_sources(TB.vendor_alerts(spark, sf))
+    # a rule catalogue is small: the distinct rule titles per tactic are bounded by its size
+    idx = c.select(F.explode("tactics").alias("tactic"), F.col("title").alias("rule")).distinct() \
+        .groupBy("tactic").agg(F.array_sort(F.collect_list("rule")).alias("rules"))
+    return idx.select("tactic", F.size("rules").cast("bigint").alias("rules"),
+                      F.element_at("rules", 1).alias("first_rule"))
+
+
+register("e24_tactic_rule_index", f"""
+WITH e AS ({S06_SQL})
+, x AS (SELECT DISTINCT unnest(CASE WHEN tactics = '' THEN []::VARCHAR[] ELSE string_split(tactics, '|') END) AS tactic,
+               title AS rule FROM e)
+SELECT tactic, CAST(COUNT(*) AS BIGINT) AS rules, MIN(rule) AS first_rule FROM x GROUP BY tactic
+""")(_e24)
