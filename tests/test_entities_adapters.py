@@ -56,3 +56,15 @@ def test_splunk_contract(spark):
     assert (a.timestamp, a.severity, a.tactics, a.techniques) == \
         ("2024-01-01T00:00:00+00:00", "informational", ["a", "b"], ["T1", "T2"])
     assert [e["Type"] for e in json.loads(a.entities_raw)] == ["ip", "account"]
+
+
+def test_firewall_normalise(spark):
+    rows = [("2024-01-01T00:00:00", "10.0.0.5", "1234", "8.8.8.8", None, "tcp", "Reject",
+             "cat=a;cat=b app=web", None, None, "v")]
+    df = spark.createDataFrame(rows, "TimeGenerated string, SourceIP string, SourcePort string, DestinationIP string, "
+                                     "DestinationPort string, Protocol string, DeviceAction string, "
+                                     "AdditionalExtensions string, DeviceEventClassID string, ApplicationProtocol string, "
+                                     "DeviceVendor string")
+    r = AD.normalise_network(df).collect()[0]
+    assert (r.action, r.direction, r.threat_name, r.application, r.protocol, r.destination_port) == \
+        ("deny", "outbound", "b", "web", "TCP", 0)

@@ -146,3 +146,49 @@ WITH e AS ({S06_SQL})
                title AS rule FROM e)
 SELECT tactic, CAST(COUNT(*) AS BIGINT) AS rules, MIN(rule) AS first_rule FROM x GROUP BY tactic
 """)(_e24)
+
+
+def firewall_log(spark, sf):
+    """Firewall records on ``events`` (CEF-style columns)."""
+    e = TB.read(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    act = F.element_at(F.array(*[F.lit(a) for a in ("accept", "Drop", "reset-both", "Block", "weird")]),
+                       (F.col("event_id") % 5 + 1).cast("int"))
+    src = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("10.1."), (F.col("user_id") % 250).cast("string"), F.lit(".9"))) \
+        .otherwise(F.concat(F.lit("203.0."), (F.col("user_id") % 250).cast("string"), F.lit(".9")))
+    dst = F.when(k % 2 == 0, F.concat(F.lit("192.168.0."), (k % 250).cast("string"))) \
+        .otherwise(F.concat(F.lit("198.51.100."), (k % 250).cast("string")))
+    ext = F.when(k % 4 == 0, F.concat(F.lit("cat=malware;app=ssl proto=6"))) \
+        .when(k % 4 == 1, F.lit("attack=sqli appcat=web")).when(k % 4 == 2, F.lit("act=x;  y=1")).otherwise(F.lit(""))
+    return e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("TimeGenerated"), src.alias("SourceIP"),
+                    (k * 7).cast("string").alias("SourcePort"), dst.alias("DestinationIP"), F.lit("443").alias("DestinationPort"),
+                    F.lit("tcp").alias("Protocol"), act.alias("DeviceAction"), ext.alias("AdditionalExtensions"),
+                    F.when(F.col("event_type") == "error", F.lit("sig-1")).alias("DeviceEventClassID"),
+                    F.lit("https").alias("ApplicationProtocol"), F.lit("acme").alias("DeviceVendor"))
+
+
+def _e18(spark, sf):
+    n = AD.normalise_network(firewall_log(spark, sf))
+    return n.groupBy("action", "direction", F.coalesce("threat_name", F.lit("-")).alias("threat_name"),
+                     "application").agg(F.count(F.lit(1)).alias("events"))
+
+
+register("e18_firewall_normalise", """
+WITH e AS (SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+, f AS (SELECT ['accept', 'Drop', 'reset-both', 'Block', 'weird'][event_id % 5 + 1] AS act,
+               CASE WHEN user_id % 3 = 0 THEN '10.1.' ELSE '203.0.' END AS src,
+               CASE WHEN k % 2 = 0 THEN '192.168.0.' ELSE '198.51.100.' END AS dst,
+               CASE WHEN k % 4 = 0 THEN 'cat=malware;app=ssl proto=6' WHEN k % 4 = 1 THEN 'attack=sqli appcat=web'
+                    WHEN k % 4 = 2 THEN 'act=x;  y=1' ELSE '' END AS ext,
+               CASE WHEN event_type = 'error' THEN 'sig-1' END AS cls FROM e)
+, n AS (SELECT CASE act WHEN 'accept' THEN 'allow' WHEN 'Drop' THEN 'drop' WHEN 'reset-both' THEN 'reset'
+                        WHEN 'Block' THEN 'deny' ELSE lower(act) END AS action,
+               CASE WHEN src = '10.1.' AND dst = '192.168.0.' THEN 'internal' WHEN src = '10.1.' THEN 'outbound'
+                    WHEN dst = '192.168.0.' THEN 'inbound' ELSE 'external-to-external' END AS direction,
+               COALESCE(NULLIF(regexp_extract(ext, '(?:^|[;\\s])cat=([^;\\s]*)', 1), ''),
+                        NULLIF(regexp_extract(ext, '(?:^|[;\\s])attack=([^;\\s]*)', 1), ''), cls, '-') AS threat_name,
+               COALESCE(NULLIF(regexp_extract(ext, '(?:^|[;\\s])app=([^;\\s]*)', 1), ''),
+                        NULLIF(regexp_extract(ext, '(?:^|[;\\s])appcat=([^;\\s]*)', 1), ''), 'https') AS application
+        FROM f)
+SELECT action, direction, threat_name, application, CAST(COUNT(*) AS BIGINT) AS events FROM n GROUP BY ALL
+""")(_e18)

@@ -303,3 +303,61 @@ def incremental_read(df: DataFrame, ts_col: str, high_water_mark) -> tuple[DataF
     mark = new.agg(F.count(F.lit(1)).alias("rows_read"),
                    F.coalesce(F.max(ts_col), time_lit(high_water_mark, col_type(df, ts_col))).alias("next_high_water_mark"))
     return new, mark
+
+
+# ---------------------------------------------------------------------------
+# E-18 firewall / CEF record normalisation
+# ---------------------------------------------------------------------------
+
+# Fixed values (must equal the documented normaliser)
+FIREWALL_ACTIONS = {
+    "allow": "allow", "deny": "deny", "drop": "drop", "drop-icmp": "drop", "reset-client": "reset",
+    "reset-server": "reset", "reset-both": "reset", "accept": "allow", "close": "allow", "timeout": "drop",
+    "ip-conn": "allow", "dns": "allow", "Accept": "allow", "Drop": "drop", "Reject": "deny", "Block": "deny",
+    "allowed": "allow", "blocked": "deny", "dropped": "drop", "rejected": "deny", "permitted": "allow",
+}
+INTERNAL_PREFIXES = ("10.", "172.16.", "172.17.", "172.18.", "172.19.", "172.20.", "172.21.", "172.22.", "172.23.",
+                     "172.24.", "172.25.", "172.26.", "172.27.", "172.28.", "172.29.", "172.30.", "172.31.",
+                     "192.168.", "100.64.")
+
+
+def parse_extensions(ext: Column) -> Column:
+    """``k1=v1;k2=v2`` or space separated -> MAP (a repeated key keeps its last value)."""
+    from tidewatch.operators.text import let
+    pairs = F.transform(F.filter(F.split(F.coalesce(ext, F.lit("")), r"[;\s]+"), lambda p: F.contains(p, F.lit("="))),
+                        lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"),
+                                           F.trim(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("v")))
+    last = let(pairs, lambda ps: F.filter(ps, lambda x, i: ~F.exists(
+        F.slice(ps, i + 2, F.size(ps)), lambda y: y["k"] == x["k"])))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["k"], x["v"])))
+
+
+def _internal(ip: Column) -> Column:
+    c = F.coalesce(ip, F.lit(""))
+    out = F.lit(False)
+    for p in INTERNAL_PREFIXES:
+        out = out | c.startswith(p)
+    return out
+
+
+def normalise_network(records: DataFrame) -> DataFrame:
+    """E-18: CEF/firewall rows -> normalised network events (action map, extensions, direction)."""
+    ext = parse_extensions(F.col("AdditionalExtensions"))
+    raw_action = F.coalesce(F.col("DeviceAction"), F.lit(""))
+    action = F.coalesce(lookup(FIREWALL_ACTIONS, raw_action), lookup(FIREWALL_ACTIONS, F.lower(raw_action)),
+                        F.lower(raw_action))
+    si, di = _internal(F.col("SourceIP")), _internal(F.col("DestinationIP"))
+    direction = (F.when(si & di, "internal").when(si, "outbound").when(di, "inbound").otherwise("external-to-external"))
+
+    def first_nonempty(*cs):
+        return F.coalesce(*[F.when(F.coalesce(c, F.lit("")) != "", c) for c in cs])
+    return records.withColumn("_ext", ext).select(
+        F.col("TimeGenerated").alias("timestamp"), F.coalesce(F.col("SourceIP"), F.lit("")).alias("source_ip"),
+        F.coalesce(F.col("SourcePort").cast("int"), F.lit(0)).alias("source_port"),
+        F.coalesce(F.col("DestinationIP"), F.lit("")).alias("destination_ip"),
+        F.coalesce(F.col("DestinationPort").cast("int"), F.lit(0)).alias("destination_port"),
+        F.upper(F.coalesce(F.col("Protocol"), F.lit(""))).alias("protocol"), action.alias("action"),
+        direction.alias("direction"),
+        first_nonempty(F.col("_ext")["cat"], F.col("_ext")["attack"], F.col("DeviceEventClassID")).alias("threat_name"),
+        first_nonempty(F.col("_ext")["app"], F.col("_ext")["appcat"], F.col("ApplicationProtocol")).alias("application"),
+        F.coalesce(F.col("DeviceVendor"), F.lit("")).alias("vendor"))
