@@ -630,3 +630,23 @@ def extraction_by_gap(api: DataFrame, now, *, threshold: int = EXTRACTION_THRESH
             .when((F.col("query_count") > 200) & (F.col("distinct_endpoints") > 3), 0.85)
             .when(F.col("query_count") > threshold, 0.70).otherwise(0.50))
     return g.withColumn("confidence", conf).where(F.col("confidence") > 0.65)
+
+
+def title_hourly_flood(alerts: DataFrame, now, *, ratio_threshold: float = 5.0, baseline_days: int = 7,
+                       lookback_hours: int = 6, product_like: str | None = None, ts_col: str = "created_at") -> DataFrame:
+    """E-06 (per-title flood form): per alert title and hour bin of the last 6 h, the count vs the
+    title's hourly average over ``[now-7d, now-6h]`` (divided by 7*24); ratio uses max(avg, 0.1);
+    titles without a baseline are not reported (inner join)."""
+    dt = col_type(alerts, ts_col)
+    a = alerts
+    if product_like is not None:
+        a = a.where(F.col("product").ilike(product_like) | F.col("source").ilike(product_like))
+    base = (a.where((F.col(ts_col) >= time_lit(shift(now, days=baseline_days), dt))
+                    & (F.col(ts_col) <= time_lit(shift(now, hours=lookback_hours), dt)))
+            .groupBy("alert_title").agg((F.count(F.lit(1)) / F.lit(baseline_days * 24.0)).alias("hourly_avg")))
+    cur = (a.where((F.col(ts_col) > time_lit(shift(now, hours=lookback_hours), dt)) & (F.col(ts_col) < time_lit(now, dt)))
+           .groupBy("alert_title", F.date_trunc("hour", F.col(ts_col)).alias("hour_bin"))
+           .agg(F.count(F.lit(1)).alias("current_count")))
+    j = cur.join(base, "alert_title").withColumn(
+        "spike_ratio", F.col("current_count") / F.greatest(F.col("hourly_avg"), F.lit(0.1)))
+    return j.where(F.col("spike_ratio") > ratio_threshold)

@@ -364,3 +364,22 @@ register("e09_exposure_runtime_correlation", with_roles(EXPOSURE_TABLE_SQL + _rt
 SELECT x.atlas_technique, CAST(COUNT(*) AS BIGINT) AS exposures, CAST(MAX(rt.runtime_alerts) AS BIGINT) AS runtime_alerts
 FROM exposures x JOIN rt ON x.atlas_technique = rt.atlas_technique GROUP BY x.atlas_technique
 """, "findings"))(_e09)
+
+
+def _e06(spark, sf):
+    inv = TB.investigations(spark, sf)
+    d = R.title_hourly_flood(inv, TB.INVESTIGATIONS_NOW)
+    return tidy(d.select("alert_title", F.date_format("hour_bin", "yyyy-MM-dd HH:mm").alias("hour_bin"),
+                         "current_count", "hourly_avg", "spike_ratio"))
+
+
+_INV = TB.INVESTIGATIONS_NOW
+register("e06_title_hourly_flood", with_roles(f"""
+, b AS (SELECT alert_title, COUNT(*) / (7 * 24.0) AS hourly_avg FROM investigations
+        WHERE created_at >= {ts(_INV, days=7)} AND created_at <= {ts(_INV, hours=6)} GROUP BY alert_title)
+, c AS (SELECT alert_title, date_trunc('hour', created_at) AS hour_bin, COUNT(*) AS n FROM investigations
+        WHERE created_at > {ts(_INV, hours=6)} AND created_at < {ts(_INV)} GROUP BY 1, 2)
+SELECT c.alert_title, strftime(c.hour_bin, '%Y-%m-%d %H:%M') AS hour_bin, CAST(c.n AS BIGINT) AS current_count,
+       ROUND(b.hourly_avg, 6) AS hourly_avg, ROUND(c.n / GREATEST(b.hourly_avg, 0.1), 6) AS spike_ratio
+FROM c JOIN b ON c.alert_title = b.alert_title WHERE c.n / GREATEST(b.hourly_avg, 0.1) > 5.0
+""", "investigations"))(_e06)
