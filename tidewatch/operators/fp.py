@@ -401,3 +401,11 @@ def canary_cycle_summary(decisions: DataFrame) -> DataFrame:
     return decisions.agg(F.count(F.lit(1)).alias("slices_evaluated"),
                          F.count_if(F.col("decision") == "promote").alias("promotions"),
                          F.count_if(F.col("decision") == "rollback").alias("rollbacks"))
+
+
+def shadow_summary(pairs: DataFrame) -> DataFrame:
+    """A-32 (shadow part): decisions paired, agreements and the overall agreement rate."""
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"),
+                     F.count_if(F.col("shadow_decision") == F.col("analyst_decision")).alias("agreements"),
+                     F.count_distinct("tenant_id").alias("tenants")) \
+        .withColumn("agreement_rate", F.when(F.col("pairs") > 0, F.col("agreements") / F.col("pairs")))

@@ -74,3 +74,11 @@ def transition_log(investigations: DataFrame) -> DataFrame:
     """X-06 / P-43: one row per decision step, in order (``posexplode``)."""
     return investigations.select("alert_id", F.posexplode("decision_chain").alias("step_no", "step")) \
         .select("alert_id", "step_no", "step.*")
+
+
+def case_facts(investigations: DataFrame) -> DataFrame:
+    """A-34: per investigation the facts handed to reasoning (entity values, IOC hits, decision
+    steps) and the token estimate = characters of their JSON form / 4."""
+    facts = F.struct(F.col("alert_id"), F.col("classification"), F.col("ioc_matches"), F.col("decision_chain"))
+    return investigations.select("alert_id", F.size("decision_chain").alias("timeline_steps"),
+                                 F.floor(F.length(F.to_json(facts)) / 4).cast("bigint").alias("token_estimate"))

@@ -401,3 +401,17 @@ register("p32_expired_patterns", with_roles(A33_BASE + f"""
 SELECT status, CAST(COUNT(*) AS BIGINT) AS patterns FROM s
 WHERE expiry < {ts(INV)} AND status NOT IN ('expired', 'revoked', 'deprecated') GROUP BY status
 """, "investigations"))(_p32)
+
+
+def _a32(spark, sf):
+    return tidy(FP.shadow_summary(_pairs(spark, sf)))
+
+
+register("a32_shadow_summary", with_roles(PAIRS_SQL + """
+SELECT CAST(COUNT(*) AS BIGINT) AS pairs,
+       CAST(COUNT(*) FILTER (WHERE shadow_decision = analyst_decision) AS BIGINT) AS agreements,
+       CAST(COUNT(DISTINCT tenant_id) AS BIGINT) AS tenants,
+       ROUND(CASE WHEN COUNT(*) > 0 THEN COUNT(*) FILTER (WHERE shadow_decision = analyst_decision) / COUNT(*) END, 6)
+         AS agreement_rate
+FROM pairs
+""", "decision_log"))(_a32)

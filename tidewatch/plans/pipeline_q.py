@@ -44,3 +44,12 @@ def _p43(spark, sf):
 
 
 register("p43_decision_timeline", None)(_p43)
+
+
+def _a34(spark, sf):
+    f = PL.case_facts(investigations_run(spark, sf))
+    return f.groupBy("timeline_steps").agg(F.count(F.lit(1)).alias("cases"),
+                                           F.sum("token_estimate").cast("bigint").alias("tokens"))
+
+
+register("a34_case_facts", None)(_a34)
