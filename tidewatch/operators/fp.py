@@ -409,3 +409,13 @@ def shadow_summary(pairs: DataFrame) -> DataFrame:
                      F.count_if(F.col("shadow_decision") == F.col("analyst_decision")).alias("agreements"),
                      F.count_distinct("tenant_id").alias("tenants")) \
         .withColumn("agreement_rate", F.when(F.col("pairs") > 0, F.col("agreements") / F.col("pairs")))
+
+
+def shadow_active(items: DataFrame, config: DataFrame) -> DataFrame:
+    """P-36: shadow mode applies to a (tenant, family) when the tenant has it enabled and its
+    family list is empty (= all families) or contains the family."""
+    c = config.select("tenant_id", F.col("shadow_enabled"), F.coalesce("shadow_families", F.array()).alias("_fams"))
+    j = items.join(c, "tenant_id", "left")
+    on = F.coalesce(F.col("shadow_enabled"), F.lit(False)) & (
+        (F.size("_fams") == 0) | F.array_contains("_fams", F.col("rule_family")))
+    return j.withColumn("shadow_active", F.coalesce(on, F.lit(False))).drop("shadow_enabled", "_fams")

@@ -415,3 +415,52 @@ SELECT CAST(COUNT(*) AS BIGINT) AS pairs,
          AS agreement_rate
 FROM pairs
 """, "decision_log"))(_a32)
+
+
+def _p35(spark, sf):
+    m = FP.agreement_rate(_pairs(spark, sf), CALLS).withColumn("window_days", F.lit(14)).withColumn("fnr", F.lit(0.0))
+    g = FP.go_live_unmet(m)
+    return g.select("tenant_id", "rule_family", F.array_join("unmet", "; ").alias("unmet"), "ready")
+
+
+register("p35_go_live_criteria", with_roles(PAIRS_SQL + f"""
+, m AS (SELECT tenant_id, rule_family, COUNT(*) AS pairs,
+               AVG(CASE WHEN shadow_decision = analyst_decision THEN 1.0 ELSE 0.0 END) AS rate
+        FROM pairs WHERE shadow_ts >= {ts(CALLS, days=14)} AND shadow_ts < {ts(CALLS)} GROUP BY ALL)
+, u AS (SELECT tenant_id, rule_family,
+               concat_ws('; ', CASE WHEN rate < 0.95 THEN 'agreement_rate < 0.95' END,
+                         CASE WHEN pairs < 100 THEN 'decisions < 100' END) AS unmet FROM m)
+SELECT tenant_id, rule_family, unmet, unmet = '' AS ready FROM u
+""", "decision_log"))(_p35)
+
+SHADOW_CONFIG = [("t0", True, []), ("t1", True, ["family-1", "family-2"]), ("t2", False, [])]
+
+
+def _p36(spark, sf):
+    inv = TB.investigations(spark, sf).select("tenant_id", "rule_family")
+    cfg = spark.createDataFrame(SHADOW_CONFIG, "tenant_id string, shadow_enabled boolean, shadow_families array<string>")
+    return FP.shadow_active(inv, cfg).groupBy("tenant_id", "shadow_active").agg(F.count(F.lit(1)).alias("investigations"))
+
+
+register("p36_shadow_mode_active", with_roles("""
+SELECT tenant_id, (tenant_id = 't0') OR (tenant_id = 't1' AND rule_family IN ('family-1', 'family-2')) AS shadow_active,
+       CAST(COUNT(*) AS BIGINT) AS investigations
+FROM investigations GROUP BY ALL
+""", "investigations"))(_p36)
+
+
+def _p18_p20(spark, sf):
+    inv = TB.investigations(spark, sf)
+    sev = F.get_json_object("graph_state", "$.severity")
+    f = inv.where(F.array_contains("atlas_techniques", "AML.T0010") | F.arrays_overlap("atlas_techniques",
+                                                                                         F.array(F.lit("AML.T0015"))))
+    f = f.where(~F.col("state").isin("closed", "failed") & (sev.isin("critical", "high")))
+    return f.groupBy("state").agg(F.count(F.lit(1)).alias("investigations"))
+
+
+register("p18_p20_array_and_json_filters", with_roles("""
+SELECT state, CAST(COUNT(*) AS BIGINT) AS investigations FROM investigations
+WHERE (list_contains(atlas_techniques, 'AML.T0010') OR list_has_any(atlas_techniques, ['AML.T0015']))
+  AND state NOT IN ('closed', 'failed') AND graph_state->>'severity' IN ('critical', 'high')
+GROUP BY state
+""", "investigations"))(_p18_p20)
