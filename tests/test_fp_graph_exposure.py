@@ -135,3 +135,40 @@ def test_upsert_keeps_verified_status(spark):
     again = EX.upsert_exposures(EX.upsert_exposures(old, new).drop("change"), new)
     assert sorted((r.exposure_key, r.status, r.ctem_score) for r in again.collect()) == \
         sorted((r.exposure_key, r.status, r.ctem_score) for r in out.values())
+
+
+def test_family_drift_and_quota_match_brute_force(spark):
+    import math
+    rows = [("f1", "a", 10, 10), ("f1", "b", 0, 10), ("f2", "a", 5, 5), ("f2", "b", 5, 5), ("f3", "a", 0, 0)]
+    counts = spark.createDataFrame(rows, "rule_family string, key string, current long, baseline long")
+    got = {r["rule_family"]: (r["jsd"], r["drifted"]) for r in FP.family_drift(counts, "rule_family").collect()}
+
+    def jsd(fam):
+        sub = [r for r in rows if r[0] == fam]
+        ta = sum(r[2] for r in sub) or 1
+        tb = sum(r[3] for r in sub) or 1
+        s = 0.0
+        for _, _, a, b in sub:
+            p, q = a / ta, b / tb
+            m = (p + q) / 2
+            s += sum(0.5 * x * math.log2(x / m) for x in (p, q) if x > 0 and m > 0)
+        return min(max(s, 0.0), 1.0)
+    for fam in ("f1", "f2", "f3"):
+        assert got[fam][0] == pytest.approx(jsd(fam))
+        assert got[fam][1] == (jsd(fam) > FP.DRIFT_THRESHOLD)
+    fams = spark.createDataFrame([("f1",), ("f2",), ("f3",)], "rule_family string")
+    q = {r["rule_family"]: r["quota"]
+         for r in FP.drift_quota(fams, FP.family_drift(counts, "rule_family").where("drifted")).collect()}
+    assert q == {"f1": 2 * FP.MIN_PER_STRATUM, "f2": FP.MIN_PER_STRATUM, "f3": FP.MIN_PER_STRATUM}
+
+
+def test_closed_by_revoked_pattern_reopens(spark):
+    step = "struct<agent:string,action:string,pattern_id:string>"
+    inv = spark.createDataFrame([
+        ("i1", [("ioc_extractor", "extract", None), ("fp_short_circuit", "auto_close_fp", "p1")], "closed"),
+        ("i2", [("ioc_extractor", "extract", None), ("fp_short_circuit", "auto_close_fp", "p2")], "closed"),
+        ("i3", [("reasoning_agent", "classify", "p1")], "responding"),
+    ], f"investigation_id string, decision_chain array<{step}>, state string")
+    revoked = spark.createDataFrame([("p1",)], "pattern_id string")
+    out = FP.closed_by_pattern(inv, revoked).collect()
+    assert [(r["investigation_id"], r["state"], r["reopened"]) for r in out] == [("i1", "received", True)]

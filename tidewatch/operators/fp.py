@@ -291,6 +291,24 @@ def stratified_sample(closures: DataFrame, now, *, strata: Sequence[str] = ("rul
     return c.where(F.col("is_novel") | (F.col("_r") <= F.greatest(F.lit(0), quota - F.col("n_novel")))).drop("_r")
 
 
+def family_drift(counts: DataFrame, by: str, current: str = "current", baseline: str = "baseline",
+                 threshold: float = DRIFT_THRESHOLD) -> DataFrame:
+    """W-06 input: A-27's divergence computed per ``by`` group (e.g. rule family) and whether it
+    exceeds the drift threshold. Totals are one row per group, joined back on the group key."""
+    tot = counts.groupBy(by).agg(F.sum(current).alias("_ta"), F.sum(baseline).alias("_tb"))
+    j = counts.join(tot, by)
+    ta = F.when(F.col("_ta") > 0, F.col("_ta")).otherwise(F.lit(1))
+    tb = F.when(F.col("_tb") > 0, F.col("_tb")).otherwise(F.lit(1))
+    p, q = F.col(current) / ta, F.col(baseline) / tb
+    m = (p + q) / 2
+
+    def kl(x):
+        return F.when((x > 0) & (m > 0), x * F.log2(x / m)).otherwise(F.lit(0.0))
+    s = j.groupBy(by).agg(F.sum(0.5 * kl(p) + 0.5 * kl(q)).alias("jsd"))
+    s = s.withColumn("jsd", F.least(F.greatest(F.coalesce(F.col("jsd"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
+    return s.withColumn("drifted", F.col("jsd") > threshold)
+
+
 def drift_quota(families: DataFrame, affected: DataFrame, base: int = MIN_PER_STRATUM, factor: int = 2) -> DataFrame:
     """W-06: sample quota per family, doubled for families the drift check flagged."""
     a = affected.select(F.col("rule_family"), F.lit(True).alias("_aff")).distinct()

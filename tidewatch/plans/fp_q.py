@@ -177,6 +177,43 @@ WHERE is_novel OR rn <= GREATEST(0, 3 - n_novel)
 """, "closures"))(_w05)
 
 
+# ---------------------------------------------------------------- W-06
+def _w06(spark, sf):
+    c = TB.closures(spark, sf)
+    dt = c.schema["pattern_created_at"].dataType
+    from tidewatch.functions.exprs import shift, time_lit
+    cur = F.col("pattern_created_at") >= time_lit(shift(EVN, days=7), dt)
+    counts = (c.where((F.col("pattern_created_at") >= time_lit(shift(EVN, days=37), dt))
+                      & (F.col("pattern_created_at") < time_lit(EVN, dt)))
+              .groupBy("rule_family", F.col("severity").alias("key"))
+              .agg(F.count_if(cur).alias("current"), F.count_if(~cur).alias("baseline")))
+    affected = FP.family_drift(counts, "rule_family").where("drifted")
+    quota = FP.drift_quota(c.select("rule_family").distinct(), affected, base=3)
+    s = FP.stratified_sample(c.join(quota, "rule_family"), EVN, min_per_stratum=F.col("quota"))
+    return s.select("alert_id", "rule_family", "severity", "asset_criticality", "is_novel", "quota")
+
+
+register("w06_drift_sample_quota", with_roles(f"""
+, cnt AS (SELECT rule_family, severity AS key, COUNT(*) FILTER (WHERE pattern_created_at >= {ts(EVN, days=7)}) AS a,
+                 COUNT(*) FILTER (WHERE pattern_created_at < {ts(EVN, days=7)}) AS b FROM closures
+          WHERE pattern_created_at >= {ts(EVN, days=37)} AND pattern_created_at < {ts(EVN)} GROUP BY ALL)
+, tot AS (SELECT rule_family, CASE WHEN SUM(a) > 0 THEN SUM(a) ELSE 1 END AS ta,
+                 CASE WHEN SUM(b) > 0 THEN SUM(b) ELSE 1 END AS tb FROM cnt GROUP BY 1)
+, pq AS (SELECT rule_family, a / ta AS p, b / tb AS q, (a / ta + b / tb) / 2 AS m FROM cnt JOIN tot USING (rule_family))
+, fd AS (SELECT rule_family, LEAST(GREATEST(COALESCE(SUM(
+        0.5 * CASE WHEN p > 0 AND m > 0 THEN p * log2(p / m) ELSE 0 END
+      + 0.5 * CASE WHEN q > 0 AND m > 0 THEN q * log2(q / m) ELSE 0 END), 0), 0), 1) AS jsd FROM pq GROUP BY 1)
+, qt AS (SELECT DISTINCT rule_family, CASE WHEN jsd > 0.3 THEN 6 ELSE 3 END AS quota FROM closures LEFT JOIN fd USING (rule_family))
+, c AS (SELECT closures.*, quota, COALESCE(pattern_created_at > {ts(EVN, days=30)}, false) AS is_novel
+        FROM closures JOIN qt USING (rule_family))
+, r AS (SELECT *, COUNT(*) FILTER (WHERE is_novel) OVER (PARTITION BY rule_family, severity, asset_criticality) AS n_novel,
+               ROW_NUMBER() OVER (PARTITION BY rule_family, severity, asset_criticality, is_novel
+                                  ORDER BY md5('42:' || alert_id), alert_id) AS rn FROM c)
+SELECT alert_id, rule_family, severity, asset_criticality, is_novel, CAST(quota AS BIGINT) AS quota FROM r
+WHERE is_novel OR rn <= GREATEST(0, quota - n_novel)
+""", "closures"))(_w06)
+
+
 # ---------------------------------------------------------------- J-10
 def _j10(spark, sf):
     closed = TB.closures(spark, sf).where("auto_closed")

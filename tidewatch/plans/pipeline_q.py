@@ -53,3 +53,17 @@ def _a34(spark, sf):
 
 
 register("a34_case_facts", None)(_a34)
+
+
+def _p33(spark, sf):
+    """Revocation events hit a fixed hash slice of the mined patterns; every investigation whose
+    decision chain auto-closed it through one of them is re-opened."""
+    from tidewatch.operators import fp as FP
+    pats = fp_patterns(spark, sf)
+    revoked = pats.where(F.substring(F.md5(F.concat(F.lit("revoke:"), "pattern_id")), 1, 1).isin("0", "1", "2", "3"))
+    run = investigations_run(spark, sf).withColumnRenamed("alert_id", "investigation_id")
+    r = FP.closed_by_pattern(run, revoked)
+    return r.groupBy("tenant_id", "severity", "state").agg(F.count(F.lit(1)).alias("reopened"))
+
+
+register("p33_reopen_revoked_closures", None)(_p33)
