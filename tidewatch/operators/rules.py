@@ -650,3 +650,75 @@ def title_hourly_flood(alerts: DataFrame, now, *, ratio_threshold: float = 5.0,
     j = cur.join(base, "alert_title").withColumn(
         "spike_ratio", F.col("current_count") / F.greatest(F.col("hourly_avg"), F.lit(0.1)))
     return j.where(F.col("spike_ratio") > ratio_threshold)
+
+
+# Fixed values (must equal the reference): resource substrings of the insider-access form
+SUSPICIOUS_RESOURCES = ("model-weights", "model-registry", "training-data",
+                        "architecture-docs", "hyperparameters", "model-config")
+
+
+def insider_resource_access(log: DataFrame, now, *, resources=SUSPICIOUS_RESOURCES, baseline_days: int = 30,
+                            deviation_threshold: float = 5.0, distinct_threshold: int = 3,
+                            after_hours_threshold: int = 5, count_threshold: int = 50) -> DataFrame:
+    """E-06 (exfiltration form): accesses to resources matching any suspicious substring
+    (case-insensitive), per user: the last 24 h vs the daily average over [now-30d, now-1d].
+    Flagged on deviation > 5, > 3 distinct resources, > 5 after-hours accesses (hour < 6 or > 20)
+    or > 50 accesses; users without a baseline get deviation 999. One scan: both windows are
+    conditional aggregates of the rows in [now-30d, now)."""
+    dt = col_type(log, "ts")
+    hit = F.lit(False)
+    for r in resources:
+        hit = hit | F.col("target_resource").ilike(f"%{r}%")
+    base_lo, base_hi = time_lit(shift(now, days=baseline_days), dt), time_lit(shift(now, days=1), dt)
+    cur_lo, hi = time_lit(shift(now, hours=24), dt), time_lit(now, dt)
+    in_base = (F.col("ts") >= base_lo) & (F.col("ts") <= base_hi)
+    in_cur = F.col("ts") > cur_lo
+    hour = F.hour("ts")
+    g = (log.where((F.col("ts") >= base_lo) & (F.col("ts") < hi) & hit)
+         .groupBy("user_id")
+         .agg((F.count_if(in_base) / F.lit(float(baseline_days))).alias("daily_avg"),
+              F.count_if(in_cur).alias("access_count"),
+              F.count_distinct(F.when(in_cur, F.col("target_resource"))).alias("distinct_resources"),
+              F.count_distinct(F.when(in_cur, F.col("source_ip"))).alias("distinct_source_ips"),
+              F.count_if(in_cur & ((hour < 6) | (hour > 20))).alias("after_hours_count"))
+         .where(F.col("access_count") > 0))
+    dev = F.when(F.col("daily_avg") > 0, F.col("access_count") / F.col("daily_avg")).otherwise(F.lit(999.0))
+    g = g.withColumn("deviation_factor", dev)
+    flagged = ((F.col("deviation_factor") > deviation_threshold) | (F.col("distinct_resources") > distinct_threshold)
+               | (F.col("after_hours_count") > after_hours_threshold) | (F.col("access_count") > count_threshold))
+    return g.where(flagged).withColumn(
+        "confidence", F.least(F.lit(0.95), F.lit(0.6) + F.col("deviation_factor") / F.lit(30.0)))
+
+
+def partner_direction_anomaly(log: DataFrame, now, *, baseline_days: int = 7, lookback_hours: int = 6,
+                              volume_threshold: float = 3.0, payload_z_threshold: float = 3.0,
+                              error_threshold: int = 10) -> DataFrame:
+    """E-06 (per-direction partner form): per (partner, direction) the last 6 h vs a baseline over
+    [now-7d, now-6h] (daily request rate, payload mean / sample stddev, mTLS rate). Flagged on
+    volume deviation > 3 (current vs a quarter of a baseline day), payload z > 3, any mTLS failure
+    where the normal rate exceeds 0.99, or > 10 errors. Pairs without a baseline are not reported."""
+    dt = col_type(log, "ts")
+    lo, mid, hi = (time_lit(shift(now, days=baseline_days), dt), time_lit(shift(now, hours=lookback_hours), dt),
+                   time_lit(now, dt))
+    base = (log.where((F.col("ts") >= lo) & (F.col("ts") <= mid))
+            .groupBy("partner_id", "direction")
+            .agg((F.count(F.lit(1)) / F.lit(float(baseline_days))).alias("avg_daily_requests"),
+                 F.avg("payload_size").alias("avg_payload_size"),
+                 F.stddev_samp("payload_size").alias("std_payload_size"),
+                 (F.count_if("mtls_verified") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("normal_mtls_rate")))
+    cur = (log.where((F.col("ts") > mid) & (F.col("ts") < hi))
+           .groupBy("partner_id", "partner_name", "direction")
+           .agg(F.count(F.lit(1)).alias("request_count"), F.avg("payload_size").alias("avg_payload"),
+                F.max("payload_size").alias("max_payload"),
+                F.count_if(F.col("response_code") >= 400).alias("error_count"),
+                F.count_if(~F.col("mtls_verified")).alias("mtls_fail_count"),
+                F.count_distinct("data_type").alias("distinct_data_types")))
+    j = cur.join(base, ["partner_id", "direction"])
+    vol = F.when(F.col("avg_daily_requests") > 0, F.col("request_count") / (F.col("avg_daily_requests") / 4.0)) \
+        .otherwise(F.lit(999.0))
+    z = F.when(F.col("std_payload_size") > 0,
+               (F.col("avg_payload") - F.col("avg_payload_size")) / F.col("std_payload_size")).otherwise(F.lit(0.0))
+    j = (j.withColumn("volume_deviation", vol).withColumn("payload_z_score", z)
+         .withColumn("mtls_anomalous", (F.col("mtls_fail_count") > 0) & (F.col("normal_mtls_rate") > 0.99)))
+    return j.where((F.col("volume_deviation") > volume_threshold) | (F.col("payload_z_score") > payload_z_threshold)
+                   | F.col("mtls_anomalous") | (F.col("error_count") > error_threshold))

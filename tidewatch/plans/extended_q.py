@@ -383,3 +383,60 @@ SELECT c.alert_title, strftime(c.hour_bin, '%Y-%m-%d %H:%M') AS hour_bin, CAST(c
        ROUND(b.hourly_avg, 6) AS hourly_avg, ROUND(c.n / GREATEST(b.hourly_avg, 0.1), 6) AS spike_ratio
 FROM c JOIN b ON c.alert_title = b.alert_title WHERE c.n / GREATEST(b.hourly_avg, 0.1) > 5.0
 """, "investigations"))(_e06)
+
+
+# ---------------------------------------------------------------- E-06 insider / partner forms
+def _e06_insider(spark, sf):
+    d = R.insider_resource_access(TB.resource_access_log(spark, sf), NOW)
+    return tidy(d)
+
+
+_SUSP = " OR ".join(f"target_resource ILIKE '%{r}%'" for r in R.SUSPICIOUS_RESOURCES)
+register("e06_insider_resource_access", with_roles(f"""
+, g AS (SELECT user_id,
+               COUNT(*) FILTER (WHERE ts >= {ts(NOW, days=30)} AND ts <= {ts(NOW, days=1)}) / 30.0 AS daily_avg,
+               COUNT(*) FILTER (WHERE ts > {ts(NOW, hours=24)}) AS access_count,
+               COUNT(DISTINCT CASE WHEN ts > {ts(NOW, hours=24)} THEN target_resource END) AS distinct_resources,
+               COUNT(DISTINCT CASE WHEN ts > {ts(NOW, hours=24)} THEN source_ip END) AS distinct_source_ips,
+               COUNT(*) FILTER (WHERE ts > {ts(NOW, hours=24)} AND (hour(ts) < 6 OR hour(ts) > 20)) AS after_hours_count
+        FROM resource_access_log WHERE ts >= {ts(NOW, days=30)} AND ts < {ts(NOW)} AND ({_SUSP})
+        GROUP BY user_id)
+, d AS (SELECT *, CASE WHEN daily_avg > 0 THEN access_count / daily_avg ELSE 999.0 END AS dev FROM g
+        WHERE access_count > 0)
+SELECT user_id, ROUND(daily_avg, 6) AS daily_avg, CAST(access_count AS BIGINT) AS access_count,
+       CAST(distinct_resources AS BIGINT) AS distinct_resources, CAST(distinct_source_ips AS BIGINT) AS distinct_source_ips,
+       CAST(after_hours_count AS BIGINT) AS after_hours_count, ROUND(dev, 6) AS deviation_factor,
+       ROUND(LEAST(0.95, 0.6 + dev / 30.0), 6) AS confidence
+FROM d WHERE dev > 5.0 OR distinct_resources > 3 OR after_hours_count > 5 OR access_count > 50
+""", "resource_access_log"))(_e06_insider)
+
+
+def _e06_partner(spark, sf):
+    return tidy(R.partner_direction_anomaly(TB.partner_traffic(spark, sf), NOW))
+
+
+register("e06_partner_direction_anomaly", with_roles(f"""
+, b AS (SELECT partner_id, direction, COUNT(*) / 7.0 AS avg_daily_requests, AVG(payload_size) AS avg_payload_size,
+               STDDEV_SAMP(payload_size) AS std_payload_size,
+               COUNT(*) FILTER (WHERE mtls_verified) / GREATEST(COUNT(*), 1) AS normal_mtls_rate
+        FROM partner_traffic WHERE ts >= {ts(NOW, days=7)} AND ts <= {ts(NOW, hours=6)} GROUP BY ALL)
+, c AS (SELECT partner_id, partner_name, direction, COUNT(*) AS request_count, AVG(payload_size) AS avg_payload,
+               MAX(payload_size) AS max_payload, COUNT(*) FILTER (WHERE response_code >= 400) AS error_count,
+               COUNT(*) FILTER (WHERE NOT mtls_verified) AS mtls_fail_count,
+               COUNT(DISTINCT data_type) AS distinct_data_types
+        FROM partner_traffic WHERE ts > {ts(NOW, hours=6)} AND ts < {ts(NOW)} GROUP BY ALL)
+, j AS (SELECT c.*, b.avg_daily_requests, b.avg_payload_size, b.std_payload_size, b.normal_mtls_rate,
+               CASE WHEN b.avg_daily_requests > 0 THEN c.request_count / (b.avg_daily_requests / 4.0) ELSE 999.0 END AS vol,
+               CASE WHEN b.std_payload_size > 0 THEN (c.avg_payload - b.avg_payload_size) / b.std_payload_size
+                    ELSE 0.0 END AS z,
+               c.mtls_fail_count > 0 AND b.normal_mtls_rate > 0.99 AS mtls_anomalous
+        FROM c JOIN b ON c.partner_id = b.partner_id AND c.direction = b.direction)
+SELECT partner_id, partner_name, direction, CAST(request_count AS BIGINT) AS request_count,
+       ROUND(avg_payload, 6) AS avg_payload, ROUND(max_payload, 6) AS max_payload,
+       CAST(error_count AS BIGINT) AS error_count, CAST(mtls_fail_count AS BIGINT) AS mtls_fail_count,
+       CAST(distinct_data_types AS BIGINT) AS distinct_data_types, ROUND(avg_daily_requests, 6) AS avg_daily_requests,
+       ROUND(avg_payload_size, 6) AS avg_payload_size, ROUND(std_payload_size, 6) AS std_payload_size,
+       ROUND(normal_mtls_rate, 6) AS normal_mtls_rate, ROUND(vol, 6) AS volume_deviation,
+       ROUND(z, 6) AS payload_z_score, mtls_anomalous
+FROM j WHERE vol > 3.0 OR z > 3.0 OR mtls_anomalous OR error_count > 10
+""", "partner_traffic"))(_e06_partner)

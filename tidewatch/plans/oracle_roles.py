@@ -55,6 +55,21 @@ ROLE_SQL = {
                'partner-' || CAST(user_id % 15 AS VARCHAR) AS partner_name, value AS payload_size,
                (event_type <> 'error') AS mtls_verified
         FROM events""",
+    "resource_access_log": f"""
+        SELECT 'default' AS tenant_id, ts, CAST(user_id AS VARCHAR) AS user_id,
+               ['model-weights', 'training-data', 'notebooks', 'model-registry', 'dashboards', 'hyperparameters',
+                'jobs', 'architecture-docs', 'clusters', 'model-config'][(({K} % 10) + 10) % 10 + 1] || '/' || CAST({K} AS VARCHAR)
+                 AS target_resource,
+               '10.0.' || CAST(user_id % 250 AS VARCHAR) || '.' || CAST({K} % 250 AS VARCHAR) AS source_ip
+        FROM events""",
+    "partner_traffic": f"""
+        SELECT 'default' AS tenant_id, ts, 'p' || CAST(user_id % 15 AS VARCHAR) AS partner_id,
+               'partner-' || CAST(user_id % 15 AS VARCHAR) AS partner_name,
+               CASE WHEN {K} % 2 = 0 THEN 'inbound' ELSE 'outbound' END AS direction,
+               'dt-' || CAST({K} % 6 AS VARCHAR) AS data_type, value AS payload_size,
+               CASE WHEN event_type = 'error' THEN 500 WHEN event_type = 'signup' THEN 404 ELSE 200 END AS response_code,
+               (event_type <> 'error') AS mtls_verified
+        FROM events""",
     "model_registry": f"""
         SELECT 'default' AS tenant_id, ts, CAST(user_id AS VARCHAR) AS user_id,
                CASE WHEN event_type = 'purchase' THEN 'stage_transition' ELSE 'register' END AS action,

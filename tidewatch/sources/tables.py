@@ -149,6 +149,39 @@ def partner_log(spark, sf_dir) -> DataFrame:
     )
 
 
+# Resource kinds of the derived access log; six of them are on the E-06 suspicious list.
+RESOURCE_KINDS = ["model-weights", "training-data", "notebooks", "model-registry", "dashboards",
+                  "hyperparameters", "jobs", "architecture-docs", "clusters", "model-config"]
+
+
+def resource_access_log(spark, sf_dir) -> DataFrame:
+    """Workspace access log with named resources (E-06 insider form): kind/k."""
+    e = read(spark, sf_dir, "events")
+    kind = F.element_at(F.array(*[F.lit(x) for x in RESOURCE_KINDS]), (F.pmod(_k(), F.lit(len(RESOURCE_KINDS))) + 1).cast("int"))
+    return e.select(
+        F.lit("default").alias("tenant_id"), "ts",
+        _s("user_id").alias("user_id"),
+        F.concat(kind, F.lit("/"), _s(_k())).alias("target_resource"),
+        F.concat(F.lit("10.0."), _s(F.col("user_id") % 250), F.lit("."), _s(_k() % 250)).alias("source_ip"),
+    )
+
+
+def partner_traffic(spark, sf_dir) -> DataFrame:
+    """Partner API log with direction, data type and response code (E-06 per-direction form)."""
+    e = read(spark, sf_dir, "events")
+    return e.select(
+        F.lit("default").alias("tenant_id"), "ts",
+        F.concat(F.lit("p"), _s(F.col("user_id") % 15)).alias("partner_id"),
+        F.concat(F.lit("partner-"), _s(F.col("user_id") % 15)).alias("partner_name"),
+        F.when(_k() % 2 == 0, "inbound").otherwise("outbound").alias("direction"),
+        F.concat(F.lit("dt-"), _s(_k() % 6)).alias("data_type"),
+        F.col("value").alias("payload_size"),
+        F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "signup", 404)
+        .otherwise(200).alias("response_code"),
+        (F.col("event_type") != "error").alias("mtls_verified"),
+    )
+
+
 def model_registry(spark, sf_dir) -> DataFrame:
     """Model registry changes (D-06)."""
     e = read(spark, sf_dir, "events")
