@@ -414,3 +414,55 @@ def new_detection_gaps(validations: DataFrame, now, *, hours: int = 1) -> DataFr
                           & F.col("detection_evaded"))
     return v.withColumn("gap_severity", F.when(F.col("physical_consequence_demonstrated"), "CRITICAL")
                         .when(F.col("exploit_complexity") == "low", "HIGH").otherwise("MEDIUM"))
+
+
+# ---------------------------------------------------------------------------
+# E-11 weekly operational KPIs
+# ---------------------------------------------------------------------------
+
+def remediations(findings: DataFrame, exposures: DataFrame) -> DataFrame:
+    """Remediation rows for Verified exposures: assigned at the key's first detection, verified at
+    its last (the confirming re-scan); the SLA deadline is the exposure's."""
+    span = findings.groupBy("exposure_key").agg(F.min("ts").alias("assigned_date"), F.max("ts").alias("verified_date"))
+    v = exposures.where(F.col("status") == "Verified").select("exposure_key", "sla_deadline")
+    return v.join(span, "exposure_key").select(
+        F.col("exposure_key").alias("exposure_id"), "assigned_date", "verified_date", "sla_deadline",
+        F.lit("Verified").alias("status"), F.col("verified_date").alias("ts"))
+
+
+def weekly_kpis(remediations: DataFrame, exposures: DataFrame, now, *, days: int = 30) -> DataFrame:
+    """E-11 (one row): MTTR over verified remediations of the last 30 days, the same restricted to
+    exposures that are CRITICAL (semi-join flag), SLA compliance, and the month-over-month count of
+    distinct CRITICAL/HIGH exposure keys. Windows end at ``now``."""
+    dt = col_type(remediations, "ts")
+    lo, hi = time_lit(shift(now, days=days), dt), time_lit(now, dt)
+    crit = exposures.where(F.col("severity") == "CRITICAL").select(
+        F.col("exposure_key").alias("exposure_id")).distinct().withColumn("_crit", F.lit(True))
+    r = (remediations.where((F.col("status") == "Verified") & (F.col("ts") > lo) & (F.col("ts") < hi))
+         .join(crit, "exposure_id", "left"))
+    hrs = hours_between(F.col("verified_date"), F.col("assigned_date"))
+    on_time = F.col("verified_date") <= F.col("sla_deadline")
+    m = r.agg(F.round(F.coalesce(F.avg(hrs), F.lit(0.0)), 1).alias("mttr_all_hours"),
+              F.round(F.coalesce(F.avg(F.when(F.col("_crit"), hrs)), F.lit(0.0)), 1).alias("mttr_critical_hours"),
+              F.count(F.lit(1)).alias("verified_total"), F.count_if(on_time).alias("on_time"))
+    m = m.withColumn("sla_compliance_rate",
+                     F.round(F.col("on_time") * 100.0 / F.greatest(F.col("verified_total"), F.lit(1)), 1))
+    edt = col_type(exposures, "ts")
+    e_lo, e_mid, e_hi = (time_lit(shift(now, days=2 * days), edt), time_lit(shift(now, days=days), edt),
+                         time_lit(now, edt))
+    ch = exposures.where(F.col("severity").isin("CRITICAL", "HIGH") & (F.col("ts") >= e_lo) & (F.col("ts") < e_hi))
+    red = ch.agg(F.count_distinct(F.when(F.col("ts") > e_mid, F.col("exposure_key"))).alias("attack_path_current_month"),
+                 F.count_distinct(F.when(F.col("ts") <= e_mid, F.col("exposure_key"))).alias("attack_path_prior_month"))
+    return m.crossJoin(red)
+
+
+def kpi_breakdowns(exposures: DataFrame, now, *, days: int = 30) -> DataFrame:
+    """E-11 breakdowns as (metric, key, count): open exposures by severity and findings per source
+    tool over the last 30 days."""
+    dt = col_type(exposures, "ts")
+    open_ = (exposures.where(F.col("status").isin("Open", "InProgress")).groupBy(F.col("severity").alias("key"))
+             .agg(F.count(F.lit(1)).alias("count")).withColumn("metric", F.lit("open_exposures")))
+    tools = (exposures.where((F.col("ts") > time_lit(shift(now, days=days), dt)) & (F.col("ts") < time_lit(now, dt)))
+             .groupBy(F.col("source_tool").alias("key")).agg(F.count(F.lit(1)).alias("count"))
+             .withColumn("metric", F.lit("tool_coverage")))
+    return open_.unionByName(tools).select("metric", "key", "count")

@@ -9,7 +9,7 @@ from tidewatch.operators import audit as AU
 from tidewatch.operators import exposure as EX
 from tidewatch.operators import rules as R
 from tidewatch.plans.audit_q import AUDIT_EVENTS_SQL, chain
-from tidewatch.plans.exposure_q import EXPOSURE_TABLE_SQL, exposure_table
+from tidewatch.plans.exposure_q import EXPOSURE_TABLE_SQL, _normalised, exposure_table
 from tidewatch.plans.oracle_roles import with_roles
 from tidewatch.plans.registry import register, tidy
 from tidewatch.plans.rules_q import EVENT_ACTIONS, NOW, all_detections, ts
@@ -440,3 +440,49 @@ SELECT partner_id, partner_name, direction, CAST(request_count AS BIGINT) AS req
        ROUND(z, 6) AS payload_z_score, mtls_anomalous
 FROM j WHERE vol > 3.0 OR z > 3.0 OR mtls_anomalous OR error_count > 10
 """, "partner_traffic"))(_e06_partner)
+
+
+# ---------------------------------------------------------------- E-11 weekly KPIs
+REMEDIATIONS_SQL = """
+, span AS (SELECT exposure_key, MIN(ts) AS assigned_date, MAX(ts) AS verified_date FROM normalised GROUP BY 1)
+, remediations AS (SELECT e.exposure_key AS exposure_id, s.assigned_date, s.verified_date, e.sla_deadline,
+                          'Verified' AS status, s.verified_date AS ts
+                   FROM exposures e JOIN span s ON e.exposure_key = s.exposure_key WHERE e.status = 'Verified')
+"""
+
+
+def _e11(spark, sf):
+    ex = exposure_table(spark, sf)
+    rem = EX.remediations(_normalised(spark, sf), ex)
+    return tidy(EX.weekly_kpis(rem, ex, XNOW))
+
+
+register("e11_weekly_kpis", with_roles(EXPOSURE_TABLE_SQL + REMEDIATIONS_SQL + f"""
+, r AS (SELECT *, epoch_us(verified_date) / 3.6e9 - epoch_us(assigned_date) / 3.6e9 AS hrs,
+               exposure_id IN (SELECT exposure_key FROM exposures WHERE severity = 'CRITICAL') AS crit
+        FROM remediations WHERE status = 'Verified' AND ts > {ts(XNOW, days=30)} AND ts < {ts(XNOW)})
+, m AS (SELECT ROUND(COALESCE(AVG(hrs), 0.0), 1) AS mttr_all_hours,
+               ROUND(COALESCE(AVG(hrs) FILTER (WHERE crit), 0.0), 1) AS mttr_critical_hours,
+               COUNT(*) AS verified_total, COUNT(*) FILTER (WHERE verified_date <= sla_deadline) AS on_time FROM r)
+, red AS (SELECT COUNT(DISTINCT exposure_key) FILTER (WHERE ts > {ts(XNOW, days=30)}) AS cur,
+                 COUNT(DISTINCT exposure_key) FILTER (WHERE ts <= {ts(XNOW, days=30)}) AS prior
+          FROM exposures WHERE severity IN ('CRITICAL', 'HIGH') AND ts >= {ts(XNOW, days=60)} AND ts < {ts(XNOW)})
+SELECT ROUND(mttr_all_hours, 6) AS mttr_all_hours, ROUND(mttr_critical_hours, 6) AS mttr_critical_hours,
+       CAST(verified_total AS BIGINT) AS verified_total, CAST(on_time AS BIGINT) AS on_time,
+       ROUND(ROUND(on_time * 100.0 / GREATEST(verified_total, 1), 1), 6) AS sla_compliance_rate,
+       CAST(cur AS BIGINT) AS attack_path_current_month, CAST(prior AS BIGINT) AS attack_path_prior_month
+FROM m, red
+""", "findings"))(_e11)
+
+
+def _e11_breakdowns(spark, sf):
+    return tidy(EX.kpi_breakdowns(exposure_table(spark, sf), XNOW))
+
+
+register("e11_kpi_breakdowns", with_roles(EXPOSURE_TABLE_SQL + f"""
+SELECT 'open_exposures' AS metric, severity AS key, CAST(COUNT(*) AS BIGINT) AS count FROM exposures
+WHERE status IN ('Open', 'InProgress') GROUP BY severity
+UNION ALL
+SELECT 'tool_coverage' AS metric, source_tool AS key, CAST(COUNT(*) AS BIGINT) AS count FROM exposures
+WHERE ts > {ts(XNOW, days=30)} AND ts < {ts(XNOW)} GROUP BY source_tool
+""", "findings"))(_e11_breakdowns)
