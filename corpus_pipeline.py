@@ -6,8 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-from tidewatch.llm import mixing, packing, quality
+from tidewatch.llm import mixing, neardup, packing, quality, substring
 from tidewatch.llm.common import prepare, scratch
 from tidewatch.llm.queries import SEQUENCE_TOKENS, tokenizer_path
 
@@ -20,6 +19,17 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.passing(docs)
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    prepare(spark)
+    return neardup.representatives(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without passages that stand earlier; what has nothing left goes."""
+    return substring.deduplicated(docs)
+
+
 def target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn for the target shares of source, language and topic."""
     return mixing.drawn_documents(docs, COLUMNS)
@@ -30,7 +40,8 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs, tokenizer_path(), SEQUENCE_TOKENS)
 
 
-STAGES = [("quality rules", good_documents), ("target mixture", target_mixture), ("best-fit packing", packed_sequences)]
+STAGES = [("quality rules", good_documents), ("MinHash near-duplicates", distinct_documents),
+          ("substring dedup", without_repeats), ("target mixture", target_mixture), ("best-fit packing", packed_sequences)]
 
 #: No stage that cuts texts by rule, or packs by tokens, can be said in SQL.
 ORACLE_SQL = None

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, mixing, packing, quality, sharding
+from tidewatch.llm import ann, chat, langid, mixing, neardup, packing, pages, quality, sharding, substring
 from tidewatch.llm.common import read
 
 SEQUENCE_TOKENS = 2048
@@ -30,6 +30,22 @@ def op2_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("weight", F.round("weight", 6)).withColumn("probability", F.round("probability", 6))
 
 
+def op3_graph_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(read(spark, sf_dir, "documents"))
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), with_text=False)
 
@@ -43,6 +59,10 @@ def op9_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), SHARDS)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_mix_to_targets, op7_quality_rules, op8_chat_format,
-                                   op9_jump_shards)}
+def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_mix_to_targets, op3_graph_nearest, op4_language_id, op5_substring_dedup,
+                                   op6_main_text, op7_quality_rules, op8_chat_format, op9_jump_shards, op10_dart_minhash)}
 ORACLES = {"op2_mix_to_targets": mixing.mix_sql()}
