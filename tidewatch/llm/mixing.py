@@ -12,8 +12,8 @@ dimension as it is, 0 makes its values equal). Other targets can be given as a t
 
 Scale: tokens are counted per row, cells are summed with map-side partial sums, so a source with a third of
 all rows costs one row a task. The table of cells is raked on the driver when it has at most ``MAX_CELLS`` rows (counted
-first), else as Spark jobs of the same arithmetic. Cell probabilities are joined back by the cell key; Spark
-broadcasts them by its own size check, and splits skewed keys otherwise. Text is read twice, never shuffled.
+first), and its probabilities are broadcast; beyond that both are Spark jobs of the same arithmetic, and Spark splits the skewed
+keys of the join by cell. Text is read twice, never shuffled.
 
 Cases: null text has no tokens (probability of its cell; it adds nothing to sums); null source, language or
 topic is a value of its own, ``(null)``; a cell without tokens has weight 1; a null id is drawn by its text; equal rows are
@@ -67,6 +67,8 @@ def targets(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
 
 
 def _rake_local(rows: list, alpha: dict[str, float], rounds: int, share: float) -> list[tuple]:
+    if not rows:
+        return []
     tokens = np.array([r["tokens"] for r in rows], dtype=float)
     raked, total = tokens.copy(), tokens.sum()
     codes, wanted = {}, {}
@@ -125,8 +127,9 @@ def rake(cells: DataFrame, alpha: dict[str, float] | None = None, rounds: int =
     if cells.count() > max_cells:
         return _rake_spark(cells, alpha, rounds, share)
     rows = cells.orderBy(*DIMS).collect()
-    return spark.createDataFrame(_rake_local(rows, alpha, rounds, share), "source string, lang string, topic string, "
-                                 "weight double, probability double")
+    # At most max_cells rows.
+    return F.broadcast(spark.createDataFrame(_rake_local(rows, alpha, rounds, share), "source string, lang string, topic string, "
+                                             "weight double, probability double"))
 
 
 def mix(docs: DataFrame, share: float = SHARE, alpha: dict[str, float] | None = None, max_cells: int = MAX_CELLS) -> DataFrame:
