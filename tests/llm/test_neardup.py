@@ -52,9 +52,12 @@ def test_table_against_brute_force(spark):
 
 def test_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 3)
-    monkeypatch.setattr(neardup, "HUB_ROUNDS", 1)
     monkeypatch.setattr(neardup, "BROADCAST_NODES", 0)
     rows = copies(2)
+    rng = np.random.RandomState(6)
+    shared = [f"s{i}" for i in range(120)]  # a passage of many documents, half of each
+    rows += [(1000 + i, " ".join(shared + [f"o{rng.randint(10**6)}" for _ in range(90)])) for i in range(60)]
+    rows += [(2000 + i, edited(rng, rows[-1 - i][1].split(), 0.02)) for i in range(10)]
     assert classes(neardup.near_duplicates(frame(spark, rows)).collect()) == expected(rows)
 
 
