@@ -172,3 +172,56 @@ def test_closed_by_revoked_pattern_reopens(spark):
     revoked = spark.createDataFrame([("p1",)], "pattern_id string")
     out = FP.closed_by_pattern(inv, revoked).collect()
     assert [(r["investigation_id"], r["state"], r["reopened"]) for r in out] == [("i1", "received", True)]
+
+
+@pytest.mark.parametrize("cidr,ip,inside", [
+    ("10.0.0.5", "10.0.0.5", True), ("10.0.0.5", "10.0.0.6", False), ("10.0.0.0/8", "10.200.1.1", True),
+    ("10.1.2.3/13", "10.7.255.255", True), ("10.1.2.3/13", "10.8.0.0", False), ("0.0.0.0/0", "255.1.2.3", True),
+    ("10.0.0.0/x", "10.0.0.1", False), ("10.0.0.0/33", "10.0.0.1", False), ("10.0.0.0/-1", "10.0.0.1", False),
+    ("not a network", "10.0.0.1", False), ("", "10.0.0.1", False), (None, "10.0.0.1", False), ("10.0.0.0/8", "x", False),
+    ("2001:db8::/32", "2001:db8:ffff::1", True), ("2001:db8::/32", "2001:db9::1", False), ("::1", "0:0:0:0:0:0:0:1", True),
+    ("fe80::/10", "FEBF::1", True), ("fe80::/10", "fec0::1", False), ("::/0", "10.0.0.1", False), ("2001:db8::/129", "2001:db8::1", False),
+    ("1:2:3", "1:2:3::", False), ("::/0", "1::2::3", False),
+])
+def test_networks(spark, cidr, ip, inside):
+    from tidewatch.functions.exprs import cidr_contains
+    df = spark.createDataFrame([(cidr, ip)], "c string, i string")
+    assert df.select(cidr_contains(F.col("c"), F.col("i"))).first()[0] is inside
+
+
+def test_one_malformed_pattern_does_not_stop_the_others(spark):
+    pats = _patterns(spark, [("FP-1", "Exchange", [("ip", None, "10.0.0.0/x")], "approved"),
+                             ("FP-2", "Exchange", [("ip", None, "10.0.1.50")], "approved")])
+    m = FP.match_fp_patterns(_alerts(spark, "Exchange"), pats).collect()
+    assert [(r.pattern_id, r.confidence) for r in m] == [("FP-2", 1.0)]
+
+
+def test_case_is_ignored_beyond_ascii_and_patterns_can_be_killed(spark):
+    pats = _patterns(spark, [("FP-1", r"änderung \w+", [], "approved")])
+    assert FP.match_fp_patterns(_alerts(spark, "ÄNDERUNG ÜBER"), pats).count() == 1
+    killed = spark.createDataFrame([("FP-1",)], "pattern_id string")
+    assert FP.match_fp_patterns(_alerts(spark, "ÄNDERUNG ÜBER"), pats, killed_patterns=killed).count() == 0
+
+
+def test_fp_candidates_keep_every_member_title_and_tenant(spark):
+    now = dt.datetime(2024, 6, 1)
+    long = "A title that is the same for its first fifty characters, then"
+    rows = [(f"i{i:03d}", t, f"{long} {k}", "closed", now - dt.timedelta(days=1), "false_positive", ["T1"])
+            for t in ("a", "b") for k in ("x", "y") for i in range(25)]
+    inv = spark.createDataFrame(rows, "investigation_id string, tenant_id string, alert_title string, state string, "
+                                      "updated_at timestamp, classification string, atlas_techniques array<string>")
+    got = FP.fp_candidates(inv, now).collect()
+    assert len(got) == 100 and {(r.tenant_id, r.group_key, r.investigation_count) for r in got} == {
+        (t, f"{long} {k}", 25) for t in "ab" for k in "xy"}
+    assert {r.investigation_count for r in FP.fp_candidates(inv, now, title_chars=50).collect()} == {50}
+    benign = inv.withColumn("classification", F.lit("benign"))
+    assert {(r.tenant_id, r.investigation_count) for r in FP.playbook_candidates(benign, now).collect()} == {("a", 50), ("b", 50)}
+
+
+def test_exposures_of_an_asset_stay_in_the_tenant(spark):
+    now = dt.datetime(2024, 6, 1)
+    exp = spark.createDataFrame([(t, "a1", f"{t}{i}", "HIGH", 5.0, "wiz", "Open", now, now) for t in ("x", "y") for i in range(7)],
+                                "tenant_id string, asset_id string, exposure_key string, severity string, ctem_score double, "
+                                "source_tool string, status string, sla_deadline timestamp, ts timestamp")
+    assets = spark.createDataFrame([("x", "a1")], "tenant_id string, asset_id string")
+    assert {r.exposure_key for r in EX.open_exposures_for_assets(assets, exp, now).collect()} == {f"x{i}" for i in range(7)}

@@ -164,9 +164,22 @@ def test_run_all_isolates_a_broken_rule(spark):
                 disk_integrity="ok", cpu_utilisation=0.1, memory_utilisation=0.1)]
     df = spark.createDataFrame(rows)
     broken = spark.createDataFrame([Row(x=1)])
-    det = R.run_all({"D-11": lambda: R.edge_compromise(df, NOW),
-                     "D-05": lambda: R.oracle_dos(broken, NOW)}, NOW)
+    rules = {"D-11": lambda: R.edge_compromise(df, NOW), "D-05": lambda: R.oracle_dos(broken, NOW),
+             "D-01": lambda: R.training_data_poisoning(spark.table("no_such_table"), NOW)}
+    det = R.run_all(rules, NOW)
     assert det.count() == 1
+    status = {r.rule_id: (r.ok, r.error) for r in R.rule_status(spark, rules, NOW).collect()}
+    assert sorted(ok for ok, _ in status.values()) == [False, False, True]
+    assert all((error is None) == ok for ok, error in status.values())
+    audit = R.detection_audit(det).collect()
+    assert [(a.event_type, a.tenant_id, a.entity_id) for a in audit] == [("atlas.detection_fired", "default", "n1")]
+
+
+def test_run_all_raises_what_is_not_a_missing_input(spark):
+    def bug():
+        raise KeyError("a fault in the code")
+    with pytest.raises(KeyError):
+        R.run_all({"D-11": bug}, NOW)
 
 
 def test_insider_resource_access_ilike_any_and_thresholds(spark):

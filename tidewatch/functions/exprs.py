@@ -138,7 +138,7 @@ def time_lit(value, dtype: T.DataType | None = None) -> Column:
 
 
 def col_type(df: DataFrame, name: str) -> T.DataType:
-    return df.schema[name].dataType
+    return df.select(name).schema[0].dataType
 
 
 def in_window(df: DataFrame, col: str, start, end) -> Column:
@@ -244,14 +244,51 @@ def ipv4_to_long(ip: Column) -> Column:
     return F.when(ok, val)
 
 
+IPV6_CHARS = r"^[0-9A-Fa-f:]{2,39}$"
+IPV6_BAD = r":::|^:[^:]|[^:]:$|::.*::|[0-9A-Fa-f]{5}"
+
+
+def address_key(ip: Column) -> Column:
+    """An address as text that orders like the address: ``4`` and 8, or ``6`` and 32 hex digits; null
+    when it is neither a dotted quad nor colon-separated IPv6."""
+    v4 = F.concat(F.lit("4"), F.lpad(F.lower(F.hex(ipv4_to_long(ip))), 8, "0"))
+    halves = F.split(ip, "::")
+
+    def groups(half: Column) -> Column:
+        return F.transform(F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: g != ""), lambda g: F.lpad(F.lower(g), 4, "0"))
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    n = F.size(left) + F.size(right)
+    whole = F.when(F.size(halves) == 2, n <= 7).otherwise(n == 8)
+    v6 = F.concat(F.lit("6"), F.array_join(left, ""), F.repeat(F.lit("0"), 4 * (F.lit(8) - n)), F.array_join(right, ""))
+    ok = ip.rlike(IPV6_CHARS) & F.contains(ip, F.lit(":")) & ~ip.rlike(IPV6_BAD) & whole
+    return F.when(ipv4_to_long(ip).isNotNull(), v4).when(ok, v6)
+
+
+def network_range(cidr: Column) -> Column:
+    """STRUCT<lo, hi> of address keys of ``address/bits`` (host bits are ignored, no bits: that one address); nulls
+    when it is malformed."""
+    parts = F.split(cidr, "/")
+    key = address_key(F.get(parts, F.lit(0)))
+    digits = F.length(key) - 1
+    given = F.get(parts, F.lit(1))
+    bits = F.when(F.size(parts) == 1, digits * 4).when((F.size(parts) == 2) & given.rlike(r"^[0-9]{1,3}$"), given.try_cast("int"))
+    ok = key.isNotNull() & (bits >= 0) & (bits <= digits * 4)
+    full, rest = F.floor(bits / 4).cast("int"), bits % 4
+    head = F.substring(key, F.lit(1), full + 1)
+    nibble = F.conv(F.substring(key, full + 2, F.lit(1)), 16, 10).cast("int")
+    step = F.pow(F.lit(2), 4 - rest).cast("int")
+    low = nibble - nibble % step
+
+    def end(digit: Column, fill: str) -> Column:
+        part = F.when(rest > 0, F.concat(head, F.lower(F.hex(digit)))).otherwise(head)
+        return F.when(ok, F.rpad(part, digits + 1, F.lit(fill)))
+    return F.struct(end(low, "0").alias("lo"), end(low + step - 1, "f").alias("hi"))
+
+
 def cidr_contains(cidr: Column, ip: Column) -> Column:
-    """``ip`` inside ``a.b.c.d/n``; integer range test, no UDF."""
-    net = ipv4_to_long(F.split(cidr, "/").getItem(0))
-    bits = F.split(cidr, "/").getItem(1).cast("int")
-    size = F.pow(F.lit(2), F.lit(32) - bits).cast("bigint")
-    lo = net - F.pmod(net, size)
-    x = ipv4_to_long(ip)
-    return (bits >= 0) & (bits <= 32) & (x >= lo) & (x < lo + size)
+    """``ip`` inside the network ``cidr`` (IPv4 or IPv6); false when either is malformed."""
+    net, x = network_range(cidr), address_key(ip)
+    return F.coalesce((x >= net["lo"]) & (x <= net["hi"]), F.lit(False))
 
 
 def is_private_ipv4(ip: Column) -> Column:

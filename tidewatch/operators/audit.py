@@ -7,12 +7,13 @@ Record digest = SHA-256 of the canonical JSON of every stored column except
 whose fields are in sorted order); nested context/decision/outcome are stored and
 hashed as JSON strings (Q11: hash exactly what is stored).
 
-Building the chain is the one inherently sequential step (each digest covers the
-previous one). It runs per tenant as a stream: rows are hash-partitioned by tenant and
-sorted within partitions; ``mapInPandas`` walks the Arrow batches carrying only
-``(last_sequence, last_hash)`` per tenant, so memory stays at one batch however large a
-tenant is. Verification is fully parallel: a self equi-join on ``(tenant, seq - 1)``
-spreads even the largest tenant over all partitions.
+Stored format: a tenant's records are numbered in (timestamp, audit_id) order and cut into segments of
+one hour. Within a segment each record's ``previous_hash`` is the hash before it; a segment's first
+record carries ``segment_seed(tenant, sequence)`` (the tenant's very first one 64 zeros, one that goes on
+after a stored head in the same hour that head's hash). ``chain_segments`` lists the segments' heads and
+links them by a running digest. So the sequential step, each digest covering the one before, is bounded by
+a tenant's hour, and the largest tenant is chained by as many tasks as it has hours. Numbering takes counts by
+(tenant, segment) and a rank within the segment, both in the JVM. Verification is an equi-join on (tenant, seq - 1).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import ship_package
@@ -34,6 +35,7 @@ from tidewatch.operators.reports import top_k_per_key
 GENESIS_HASH = "0" * 64
 GENESIS_EVENT = "system.genesis"
 RECORD_VERSION = "1.0"
+MAX_PAGE = 1000
 
 # Audit event vocabulary -> category (P-30).
 EVENT_CATEGORY = {
@@ -105,82 +107,143 @@ def genesis_rows(events: DataFrame, timestamp: str = "1970-01-01T00:00:00.000Z")
         F.lit(RECORD_VERSION).alias("record_version"), F.lit(0).alias("_genesis"))
 
 
+def segment_seed(tenant: Column, sequence: Column) -> Column:
+    """``previous_hash`` of a record that begins a segment."""
+    return F.sha2(F.concat_ws("|", F.lit("segment"), tenant, sequence.cast("string")), 256)
+
+
+def segment_of(timestamp: Column) -> Column:
+    """A record's segment: the hour of its ISO timestamp."""
+    return F.substring(timestamp, 1, 13)
+
+
+def canonical_pieces(df: DataFrame) -> DataFrame:
+    """Add the canonical JSON around the two chain fields, by the serializer that verification uses."""
+    def piece(cols):
+        return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}) if cols else F.lit("{}")
+    return df.withColumn("_head", piece(_HEAD)).withColumn("_mid", piece(_MID)).withColumn("_tail", piece(_TAIL))
+
+
+def link_hash(previous: str, sequence: int, head: str, mid: str, tail: str) -> str:
+    """SHA-256 of a record's canonical JSON, put together from its pieces and chain fields."""
+    parts = [head[1:-1], f'"previous_hash":"{previous}"', mid[1:-1], f'"sequence_number":{sequence}', tail[1:-1]]
+    return hashlib.sha256(("{" + ",".join(x for x in parts if x) + "}").encode("utf-8")).hexdigest()
+
+
 def _chain_partition(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    state: dict[str, tuple[int, str]] = {}
+    """Rows sorted by (tenant, segment, sequence); ``_seed`` is set on each segment's first row."""
+    last = GENESIS_HASH
     for pdf in it:
-        if pdf.empty:
-            continue
-        seqs, prevs, hashes = [], [], []
-        for tenant, head, mid, tail, genesis in zip(pdf["tenant_id"], pdf["_head"], pdf["_mid"], pdf["_tail"],
-                                                    pdf["_genesis"]):
-            last_seq, last_hash = state.get(tenant, (-1, GENESIS_HASH))
-            seq = 0 if genesis == 0 else last_seq + 1
-            prev = GENESIS_HASH if seq == 0 else last_hash
-            parts = [head[1:-1], f'"previous_hash":"{prev}"', mid[1:-1], f'"sequence_number":{seq}', tail[1:-1]]
-            canonical = "{" + ",".join(x for x in parts if x) + "}"
-            h = hashlib.sha256(canonical.encode("utf-8")).hexdigest()
-            state[tenant] = (seq, h)
-            seqs.append(seq)
-            prevs.append(prev)
-            hashes.append(h)
-        out = pdf.drop(columns=["_head", "_mid", "_tail", "_genesis"])
-        out["sequence_number"] = seqs
-        out["previous_hash"] = prevs
-        out["record_hash"] = hashes
+        prevs, hashes = [], []
+        for seed, seq, head, mid, tail in zip(pdf["_seed"], pdf["sequence_number"], pdf["_head"], pdf["_mid"], pdf["_tail"]):
+            prevs.append(seed if seed is not None else last)
+            last = link_hash(prevs[-1], seq, head, mid, tail)
+            hashes.append(last)
+        out = pdf.drop(columns=["_head", "_mid", "_tail", "_seed"])
+        out["previous_hash"], out["record_hash"] = prevs, hashes
         yield out
 
 
-def build_chain(events: DataFrame, order: Sequence[str] = ("timestamp", "audit_id"), *,
-                partitions: int | None = None, with_genesis: bool = True) -> DataFrame:
-    """W-15/ST-04 batch twin: assign per-tenant sequence numbers and hash links.
+def number_events(events: DataFrame, heads: DataFrame | None = None, *, with_genesis: bool = True) -> DataFrame:
+    """The events with ``sequence_number``, ``_segment`` and ``_seed`` (first record of a segment).
 
-    ``events`` carries the stored event columns (all of AUDIT_SCHEMA except sequence,
-    previous_hash and record_hash). Genesis rows (sequence 0, 64 zeros) are added per tenant.
+    ``heads`` (tenant_id, sequence_number, timestamp, record_hash: each tenant's last stored record) continues
+    stored chains: an event earlier than its tenant's head goes into the head's segment. A tenant without a head
+    gets a genesis record.
     """
-    ship_package(events.sparkSession)
     ev = events.select(*_EVENT_FIELDS).withColumn("_genesis", F.lit(1))
     if with_genesis:
-        ev = genesis_rows(events).select(*_EVENT_FIELDS, "_genesis").unionByName(ev)
-    # canonical JSON pieces around the two chain fields, produced by the JVM serializer
-    def piece(cols):
-        return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}) if cols else F.lit("{}")
-    ev = ev.withColumn("_head", piece(_HEAD)).withColumn("_mid", piece(_MID)).withColumn("_tail", piece(_TAIL))
-    n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ev.repartition(n, "tenant_id").sortWithinPartitions("tenant_id", "_genesis", *order)
-    out_schema = T.StructType([f for f in AUDIT_SCHEMA.fields if f.name not in ("sequence_number", "previous_hash",
-                                                                                 "record_hash")]
-                              + [T.StructField("sequence_number", T.LongType()),
-                                 T.StructField("previous_hash", T.StringType()),
-                                 T.StructField("record_hash", T.StringType())])
-    res = ordered.select(*[f.name for f in out_schema.fields if f.name not in ("sequence_number", "previous_hash",
-                                                                               "record_hash")],
-                         "_head", "_mid", "_tail", "_genesis")
-    return res.mapInPandas(_chain_partition, out_schema).select(*[f.name for f in AUDIT_SCHEMA.fields])
+        first = genesis_rows(events)
+        if heads is not None:
+            first = first.join(heads.select("tenant_id"), "tenant_id", "left_anti")
+        ev = first.select(*_EVENT_FIELDS, "_genesis").unionByName(ev)
+    if heads is None:
+        ev = ev.withColumns({"_head_seq": F.lit(-1).cast("long"), "_head_segment": F.lit(""), "_head_hash": F.lit(None).cast("string")})
+    else:
+        h = heads.select("tenant_id", F.col("sequence_number").alias("_head_seq"), segment_of(F.col("timestamp")).alias("_head_segment"),
+                         F.col("record_hash").alias("_head_hash"))
+        ev = ev.join(h, "tenant_id", "left").withColumns({"_head_seq": F.coalesce("_head_seq", F.lit(-1)),
+                                                          "_head_segment": F.coalesce("_head_segment", F.lit(""))})
+    ev = ev.withColumn("_segment", F.greatest(segment_of(F.col("timestamp")), "_head_segment"))
+    counts = ev.groupBy("tenant_id", "_segment").agg(F.count(F.lit(1)).alias("_n"))
+    # tenants x hours rows.
+    before = Window.partitionBy("tenant_id").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("tenant_id", "_segment", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = Window.partitionBy("tenant_id", "_segment").orderBy("_genesis", "timestamp", "audit_id")
+    numbered = ev.withColumn("_rank", F.row_number().over(own)).join(base, ["tenant_id", "_segment"])
+    seq = F.col("_base") + F.col("_rank") + F.col("_head_seq")
+    seed = (F.when(seq == 0, F.lit(GENESIS_HASH))
+            .when(F.col("_segment") == F.col("_head_segment"), F.col("_head_hash"))
+            .otherwise(segment_seed(F.col("tenant_id"), seq)))
+    return (numbered.withColumn("sequence_number", seq).withColumn("_seed", F.when(F.col("_rank") == 1, seed))
+            .drop("_genesis", "_head_seq", "_head_segment", "_head_hash", "_base", "_rank"))
+
+
+def build_chain(events: DataFrame, heads: DataFrame | None = None, *, with_genesis: bool = True) -> DataFrame:
+    """W-15/ST-04 batch twin: per-tenant sequence numbers and hash links, segment by segment.
+
+    ``events`` carries the stored event columns (all of AUDIT_SCHEMA except sequence, previous_hash and
+    record_hash); ``heads`` appends to stored chains (see ``number_events``).
+    """
+    spark = events.sparkSession
+    ship_package(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = canonical_pieces(number_events(events, heads, with_genesis=with_genesis))
+    kept = _EVENT_FIELDS + ["sequence_number"]
+    ordered = (rows.repartition(n, "tenant_id", "_segment").sortWithinPartitions("tenant_id", "_segment", "sequence_number")
+               .select(*kept, "_seed", "_head", "_mid", "_tail"))
+    types = {f.name: f for f in AUDIT_SCHEMA.fields}
+    out_schema = T.StructType([types[c] for c in kept + ["previous_hash", "record_hash"]])
+    return ordered.mapInPandas(_chain_partition, out_schema).select(*AUDIT_SCHEMA.fieldNames())
+
+
+def chain_heads(records: DataFrame) -> DataFrame:
+    """Each tenant's last record, the ``heads`` of a later append."""
+    last = records.groupBy("tenant_id").agg(F.max_by(F.struct("sequence_number", "timestamp", "record_hash"), "sequence_number").alias("h"))
+    return last.select("tenant_id", "h.sequence_number", "h.timestamp", "h.record_hash")
+
+
+def chain_segments(records: DataFrame) -> DataFrame:
+    """(tenant, first_seq, last_seq, head_hash, digest): the segments in order; ``digest`` covers the heads of all
+    segments up to this one. The rows are tenants x hours, the records themselves are not sorted."""
+    starts = records.where((F.col("sequence_number") == 0) | (F.col("previous_hash") == segment_seed(F.col("tenant_id"), F.col("sequence_number"))))
+    top = records.groupBy("tenant_id").agg(F.max("sequence_number").alias("top"))
+    w = Window.partitionBy("tenant_id").orderBy("first_seq")
+    s = (starts.select("tenant_id", F.col("sequence_number").alias("first_seq")).join(top, "tenant_id")
+         .withColumn("last_seq", F.coalesce(F.lead("first_seq").over(w) - 1, F.col("top"))).drop("top"))
+    ends = records.select(F.col("tenant_id").alias("tenant_id"), F.col("sequence_number").alias("last_seq"), F.col("record_hash").alias("head_hash"))
+    heads = s.join(ends, ["tenant_id", "last_seq"])
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    return (heads.withColumn("_heads", F.collect_list("head_hash").over(upto))
+            .withColumn("digest", F.aggregate("_heads", F.lit(GENESIS_HASH), lambda acc, h: F.sha2(F.concat(acc, h), 256)))
+            .select("tenant_id", "first_seq", "last_seq", "head_hash", "digest"))
 
 
 def verify_chain(records: DataFrame) -> DataFrame:
-    """W-01: per record, recomputed hash, link to the predecessor (seq - 1) and sequence gaps.
+    """W-01: per record, recomputed hash, link to the predecessor (seq - 1) or a segment's seed, sequence
+    gaps and repeated sequence numbers (a forked or repeated tail).
 
     Returns only records with errors: (tenant_id, sequence_number, audit_id, errors ARRAY<STRING>).
-    The predecessor lookup is an equi-join on (tenant, seq) — parallel even for one huge tenant.
+    Counts and predecessors are equi-joins on (tenant, seq), parallel even for one huge tenant.
     """
     # explicit aliases give every side of the self-join its own attribute ids
     r = records.select(*[F.col(c).alias(c) for c in ("tenant_id", "sequence_number", "audit_id", "previous_hash",
                                                      "record_hash")], record_digest().alias("_expected"))
-    prev = records.select(F.col("tenant_id").alias("tenant_id"),
-                          (F.col("sequence_number") + 1).alias("sequence_number"),
-                          F.col("record_hash").alias("_prev_hash"), F.lit(True).alias("_has_prev"))
+    at = records.groupBy(F.col("tenant_id").alias("tenant_id"), F.col("sequence_number").alias("sequence_number")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("record_hash").alias("_lo"), F.max("record_hash").alias("_hi"))
+    prev = at.select("tenant_id", (F.col("sequence_number") + 1).alias("sequence_number"), "_lo", "_hi", F.lit(True).alias("_has_prev"))
+    own = at.select("tenant_id", "sequence_number", "_n")
     first = records.groupBy(F.col("tenant_id").alias("tenant_id")).agg(F.min("sequence_number").alias("_first"))
-    j = r.join(prev, ["tenant_id", "sequence_number"], "left").join(first, "tenant_id")
+    j = r.join(own, ["tenant_id", "sequence_number"]).join(prev, ["tenant_id", "sequence_number"], "left").join(first, "tenant_id")
     is_first = F.col("sequence_number") == F.col("_first")
+    p = F.col("previous_hash")
+    linked = (p == F.col("_lo")) | (p == F.col("_hi")) | (p == segment_seed(F.col("tenant_id"), F.col("sequence_number")))
+    seq = F.col("sequence_number").cast("string")
     errs = F.array_compact(F.array(
-        F.when(F.col("record_hash") != F.col("_expected"),
-               F.concat(F.lit("Record seq="), F.col("sequence_number").cast("string"), F.lit(": hash mismatch"))),
-        F.when(~is_first & F.col("_has_prev") & (F.col("previous_hash") != F.col("_prev_hash")),
-               F.concat(F.lit("Record seq="), F.col("sequence_number").cast("string"),
-                        F.lit(": previous_hash does not link"))),
-        F.when(~is_first & F.col("_has_prev").isNull(),
-               F.concat(F.lit("Sequence gap: expected predecessor of "), F.col("sequence_number").cast("string")))))
+        F.when(F.col("record_hash") != F.col("_expected"), F.concat(F.lit("Record seq="), seq, F.lit(": hash mismatch"))),
+        F.when(~is_first & F.col("_has_prev") & ~linked, F.concat(F.lit("Record seq="), seq, F.lit(": previous_hash does not link"))),
+        F.when(~is_first & F.col("_has_prev").isNull(), F.concat(F.lit("Sequence gap: expected predecessor of "), seq)),
+        F.when(F.col("_n") > 1, F.concat(F.lit("Sequence repeated: "), seq))))
     return j.select("tenant_id", "sequence_number", "audit_id", errs.alias("errors")).where(F.size("errors") > 0)
 
 
@@ -240,20 +303,34 @@ def partition_listing(records: DataFrame) -> DataFrame:
 
 
 def content_fingerprint(records: DataFrame, keys: Sequence[str] = ("month",)) -> DataFrame:
-    """S-17: order-free content check of a table or export: count + XOR of 64-bit row hashes."""
+    """S-17: order-free content check of a table or export: count and the sum of 64-bit row hashes (a sum, so
+    repeated rows do not cancel)."""
     r = with_month(records) if "month" in keys and "month" not in records.columns else records
-    cols = [c for c in AUDIT_SCHEMA.fieldNames()]
-    return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"),
-                                F.bit_xor(F.xxhash64(*[F.col(c) for c in cols])).alias("fingerprint"))
+    return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), multiset_digest(*AUDIT_SCHEMA.fieldNames()).alias("fingerprint"))
+
+
+def multiset_digest(*cols: str) -> Column:
+    """Aggregate: SHA-256 over the count and two sums of row hashes, whatever the order of the rows."""
+    one = F.xxhash64(*cols).cast("decimal(38,0)")
+    two = F.xxhash64(F.lit("second"), *cols).cast("decimal(38,0)")
+    return F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.sum(one).cast("string"), F.sum(two).cast("string")), 256)
 
 
 def export_month(records: DataFrame, month: str, path: str) -> DataFrame:
-    """S-17: write one month sorted by tenant/sequence to Parquet; returns the written rows' fingerprint."""
-    m = with_month(records).where(F.col("month") == month).drop("month")
-    (m.repartition("tenant_id").sortWithinPartitions("tenant_id", "sequence_number")
+    """S-17: write one month by tenant and sequence range, read it back, and return (month, rows,
+    fingerprint, verified): whether what was read equals what was to be written."""
+    m = with_month(records).where(F.col("month") == month)
+    (m.drop("month").repartitionByRange("tenant_id", "sequence_number").sortWithinPartitions("tenant_id", "sequence_number")
      .write.mode("overwrite").parquet(path))
-    back = records.sparkSession.read.parquet(path)
-    return content_fingerprint(back.withColumn("month", F.lit(month)))
+    back = content_fingerprint(records.sparkSession.read.parquet(path).withColumn("month", F.lit(month)))
+    return (back.join(content_fingerprint(m).select("month", F.col("fingerprint").alias("_f")), "month")
+            .withColumn("verified", F.col("fingerprint") == F.col("_f")).drop("_f"))
+
+
+def forward_months(now_month: str, ahead: int = 3) -> list[str]:
+    """S-16: the months whose partitions are created ahead of time, the current one included."""
+    y, m = map(int, now_month.split("-"))
+    return [f"{y + (m - 1 + i) // 12:04d}-{(m - 1 + i) % 12 + 1:02d}" for i in range(ahead + 1)]
 
 
 def droppable_months(partitions: DataFrame, exports: DataFrame, holds: DataFrame, now_month: str,
@@ -270,25 +347,31 @@ def droppable_months(partitions: DataFrame, exports: DataFrame, holds: DataFrame
 
 
 def evidence_package(records: DataFrame, investigation_col: str = "investigation_id") -> DataFrame:
-    """A-35: per investigation: event counts by category, last classification, actions done/pending,
-    and a package hash over the ordered record hashes."""
+    """A-35: per tenant and investigation: events by category and by class (state transitions, model
+    interactions, actions, approvals, retrieval), last classification, actions done and pending, chain errors of its
+    records, and a package hash over its record hashes. Only bounded aggregates: no list of records is collected."""
     r = records.where(F.col(investigation_col) != "")
-    g = r.groupBy(investigation_col).agg(
+    keys = ["tenant_id", investigation_col]
+    t = F.col("event_type")
+    said = F.get_json_object("decision", "$.classification")
+    g = r.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("events"),
-        F.map_from_entries(F.array_sort(F.collect_set(F.struct("event_category", F.lit(0)))))
-        .alias("_cats"),
-        F.max_by(F.get_json_object("decision", "$.classification"),
-                 F.when(F.get_json_object("decision", "$.classification").isNotNull(),
-                        F.struct("timestamp", "sequence_number"))).alias("last_classification"),
-        F.count_if(F.col("event_type") == "response.executed").alias("actions_done"),
-        F.count_if(F.col("event_type") == "response.prepared").alias("actions_pending"),
-        F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("tenant_id", "sequence_number",
-                                                                                 "record_hash"))),
-                                            lambda s: s["record_hash"])), 256).alias("package_hash"))
-    cats = r.groupBy(investigation_col, "event_category").agg(F.count(F.lit(1)).alias("n"))
-    by_cat = cats.groupBy(investigation_col).agg(F.map_from_entries(F.collect_list(F.struct("event_category", "n")))
-                                                 .alias("events_by_category"))
-    return g.drop("_cats").join(by_cat, investigation_col)
+        F.max_by(said, F.when(said.isNotNull(), F.struct("timestamp", "sequence_number"))).alias("last_classification"),
+        F.count_if(t.startswith("investigation.")).alias("state_transitions"),
+        F.count_if(F.contains("context", F.lit("llm_"))).alias("llm_interactions"),
+        F.count_if(t.startswith("response.")).alias("actions"),
+        F.count_if(t.startswith("approval.")).alias("approvals"),
+        F.count_if(F.coalesce(F.get_json_object("context", "$.retrieval_stores_queried"), F.lit("[]")) != "[]").alias("retrievals"),
+        F.count_if(t == "response.executed").alias("actions_done"), F.count_if(t == "response.prepared").alias("actions_pending"),
+        multiset_digest("sequence_number", "record_hash").alias("package_hash"))
+    cats = r.groupBy(*keys, "event_category").agg(F.count(F.lit(1)).alias("n"))
+    by_cat = cats.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("event_category", "n"))).alias("events_by_category"))
+    bad = verify_chain(records).select("tenant_id", "sequence_number", "audit_id", F.size("errors").alias("_e"))
+    errors = (r.select(*keys, "sequence_number", "audit_id").join(bad, ["tenant_id", "sequence_number", "audit_id"])
+              .groupBy(*keys).agg(F.sum("_e").alias("chain_errors")))
+    return (g.join(by_cat, keys).join(errors, keys, "left")
+            .withColumn("chain_errors", F.coalesce("chain_errors", F.lit(0)).cast("bigint"))
+            .withColumn("chain_verified", F.col("chain_errors") == 0))
 
 
 def categorise_events(events: DataFrame, type_col: str = "event_type") -> tuple[DataFrame, DataFrame]:
@@ -303,8 +386,12 @@ def categorise_events(events: DataFrame, type_col: str = "event_type") -> tuple[
 
 
 def list_events(records: DataFrame, tenant: str, *, event_type: str | None = None, date_from: str | None = None,
-                date_to: str | None = None, limit: int = 100) -> DataFrame:
-    """P-15: tenant is mandatory; optional type and ISO date range; newest first; limit capped at 1000."""
+                date_to: str | None = None, limit: int = 100, before: tuple[str, int] | None = None) -> DataFrame:
+    """P-15: tenant is mandatory; optional type and ISO date range; newest first. A page holds
+    ``MAX_PAGE`` rows at most; a larger request is refused, and ``before`` (timestamp, sequence
+    number of the last row seen) gives the next page."""
+    if not 1 <= int(limit) <= MAX_PAGE:
+        raise ValueError(f"limit must be between 1 and {MAX_PAGE}")
     r = records.where(F.col("tenant_id") == tenant)
     if event_type:
         r = r.where(F.col("event_type") == event_type)
@@ -312,7 +399,10 @@ def list_events(records: DataFrame, tenant: str, *, event_type: str | None = Non
         r = r.where(F.col("timestamp") >= date_from)
     if date_to:
         r = r.where(F.col("timestamp") <= date_to)
-    return r.orderBy(F.desc("timestamp"), F.desc("sequence_number")).limit(min(int(limit), 1000))
+    if before:
+        r = r.where(F.struct("timestamp", "sequence_number") < F.struct(F.lit(before[0]).alias("timestamp"),
+                                                                        F.lit(int(before[1])).alias("sequence_number")))
+    return r.orderBy(F.desc("timestamp"), F.desc("sequence_number")).limit(int(limit))
 
 
 def search_events(records: DataFrame, *, actor: str | None = None, event_type: str | None = None,

@@ -201,11 +201,13 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame, keys: list[str])
 
 def open_exposures_for_assets(assets: DataFrame, exposures: DataFrame, now, *, asset_col: str = "asset_id",
                               stale_hours: float = 24.0) -> DataFrame:
-    """J-05: each alert asset -> its open exposures (not Verified/Closed), with staleness (P-38)
-    and hours left to the SLA deadline; ordered by score within the asset."""
+    """J-05: each alert asset -> all open exposures (not Verified/Closed) of its tenant, with staleness
+    (P-38) and hours left to the SLA deadline."""
     ex = exposures.where(~F.col("status").isin(*KEEP_STATUSES)).select(
-        "asset_id", "exposure_key", "severity", "ctem_score", "source_tool", "status", "sla_deadline", "ts")
-    j = assets.join(ex, assets[asset_col] == ex["asset_id"], "inner").drop(ex["asset_id"])
+        F.col("tenant_id").alias("_tenant"), "asset_id", "exposure_key", "severity", "ctem_score", "source_tool", "status",
+        "sla_deadline", "ts")
+    j = assets.join(ex, (assets[asset_col] == ex["asset_id"]) & (assets["tenant_id"] == ex["_tenant"]),
+                    "inner").drop(ex["asset_id"]).drop("_tenant")
     nowc = time_lit(now, col_type(exposures, "ts"))
     return (j.withColumn("stale", F.coalesce(F.col("ts") < time_lit(shift(now, hours=stale_hours),
                                                                      col_type(exposures, "ts")), F.lit(True)))

@@ -10,8 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import col_type, ipv4_to_long, shift, stable_order_key, time_lit
-from tidewatch.operators.common import bounded_collect
+from tidewatch.functions.exprs import address_key, col_type, network_range, shift, stable_order_key, time_lit
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference)
@@ -19,8 +18,6 @@ from tidewatch.operators.common import bounded_collect
 MIN_INVESTIGATIONS_FOR_FP = 3
 MIN_INVESTIGATIONS_FOR_PLAYBOOK = 2
 CANDIDATE_LOOKBACK_DAYS = 30
-GROUP_KEY_CHARS = 50
-MAX_SOURCE_INVESTIGATIONS = 20
 FP_CONFIDENCE_THRESHOLD = 0.90
 ELEVATED_THRESHOLD = 0.95
 MATCHABLE_STATUSES = ("approved", "active")
@@ -43,29 +40,31 @@ def _c(c) -> Column:
 # ---------------------------------------------------------------------------
 
 def fp_candidates(inv: DataFrame, now, *, lookback_days: int = CANDIDATE_LOOKBACK_DAYS,
-                  min_members: int = MIN_INVESTIGATIONS_FOR_FP) -> DataFrame:
-    """A-30: closed false positives of the lookback grouped by the first 50 title characters;
-    groups with >= 3 members, and the first 20 member ids (by id) — collected after ranking."""
+                  min_members: int = MIN_INVESTIGATIONS_FOR_FP, title_chars: int | None = None) -> DataFrame:
+    """A-30: closed false positives of the lookback, grouped by tenant and title; a row for each member
+    of a group with ``min_members`` or more: (tenant_id, group_key, investigation_count, investigation_id).
+
+    ``title_chars`` groups by a title prefix instead (the reference's form: 50). The counts are
+    partial aggregates joined back by the group, so no group is collected."""
     dt = col_type(inv, "updated_at")
+    title = F.substring("alert_title", 1, title_chars) if title_chars else F.col("alert_title")
     base = (inv.where((F.col("state") == "closed") & (F.col("updated_at") >= time_lit(shift(now, days=lookback_days), dt))
                       & (F.col("updated_at") < time_lit(now, dt)) & (F.col("classification") == "false_positive"))
-            .select(F.coalesce(F.substring(F.col("alert_title"), 1, GROUP_KEY_CHARS), F.lit("unknown")).alias("group_key"),
-                    "investigation_id", "tenant_id"))
-    counts = base.groupBy("group_key").agg(F.count(F.lit(1)).alias("investigation_count"))
-    firsts = bounded_collect(base, ["group_key"], MAX_SOURCE_INVESTIGATIONS, [F.col("investigation_id")],
-                             F.col("investigation_id"), "source_investigations")
-    return counts.where(F.col("investigation_count") >= min_members).join(firsts, "group_key")
+            .select("tenant_id", F.coalesce(title, F.lit("unknown")).alias("group_key"), "investigation_id"))
+    counts = (base.groupBy("tenant_id", "group_key").agg(F.count(F.lit(1)).alias("investigation_count"))
+              .where(F.col("investigation_count") >= min_members))
+    return base.join(counts, ["tenant_id", "group_key"])
 
 
 def playbook_candidates(inv: DataFrame, now, *, lookback_days: int = CANDIDATE_LOOKBACK_DAYS,
                         min_members: int = MIN_INVESTIGATIONS_FOR_PLAYBOOK) -> DataFrame:
-    """A-31: closed, not false positive, grouped by first technique; >= 2 members."""
+    """A-31: closed, not false positive, grouped by tenant and first technique; >= 2 members."""
     dt = col_type(inv, "updated_at")
     base = (inv.where((F.col("state") == "closed") & (F.col("updated_at") >= time_lit(shift(now, days=lookback_days), dt))
                       & (F.col("updated_at") < time_lit(now, dt)) & (F.col("classification") != "false_positive"))
-            .select(F.coalesce(F.element_at("atlas_techniques", 1), F.lit("unknown")).alias("technique"),
+            .select("tenant_id", F.coalesce(F.element_at("atlas_techniques", 1), F.lit("unknown")).alias("technique"),
                     "investigation_id"))
-    return (base.groupBy("technique").agg(F.count(F.lit(1)).alias("investigation_count"))
+    return (base.groupBy("tenant_id", "technique").agg(F.count(F.lit(1)).alias("investigation_count"))
             .where(F.col("investigation_count") >= min_members))
 
 
@@ -73,6 +72,10 @@ def playbook_candidates(inv: DataFrame, now, *, lookback_days: int = CANDIDATE_L
 # J-08 / J-09 / T-18 / P-31 matching
 # ---------------------------------------------------------------------------
 
+#: Case-insensitive beyond ASCII, with Unicode classes, as the reference's language matches.
+RE_FLAGS = "(?iuU)"
+
+
 def valid_regex(pattern: Column) -> Column:
     """Java ``Pattern.compile`` on the executors; NULL pattern text or a compile error -> false."""
     return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), pattern).isNotNull()
@@ -81,7 +84,7 @@ def valid_regex(pattern: Column) -> Column:
 def anchored_match(text: Column, pattern: Column) -> Column:
     """``re.match(p, text, IGNORECASE)``: anchored at the start only; invalid pattern -> no match."""
     safe = F.when(valid_regex(pattern), pattern).otherwise(F.lit("(?!)"))
-    return F.coalesce(F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit("(?i)^(?:"), safe, F.lit(")"))),
+    return F.coalesce(F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit(RE_FLAGS + "^(?:"), safe, F.lit(")"))),
                       F.lit(False))
 
 
@@ -94,44 +97,36 @@ def scope_matches(pattern_family: Column, pattern_tenant: Column, pattern_asset:
 
 
 def prepare_patterns(patterns: DataFrame) -> DataFrame:
-    """Validate and anchor every regex ONCE per pattern row (the small side), and turn CIDRs
-    into integer ranges, so the per-(alert, pattern) work is a plain match and two comparisons."""
+    """Validate and anchor every regex ONCE per pattern row (the small side), and turn networks
+    into address ranges, so the per-(alert, pattern) work is a plain match and two comparisons.
+    A malformed regex or network matches nothing."""
     def anchor(r):
         ok = (F.coalesce(r, F.lit("")) != "") & valid_regex(r)
-        return F.when(ok, F.concat(F.lit("(?i)^(?:"), r, F.lit(")")))
-    eps = F.transform(F.coalesce("entity_patterns", F.array().cast(
-        "array<struct<type:string,value_regex:string,value_cidr:string>>")), lambda ep: F.struct(
-        ep["type"].alias("type"), anchor(ep["value_regex"]).alias("re"), ep["value_cidr"].alias("cidr")))
-    p = patterns.withColumn("title_re", anchor(F.col("alert_name_regex"))).withColumn("_eps", eps)
-    # CIDR bounds per entity pattern: computed with plain column arithmetic on the exploded small table
-    def bounds(ep):
-        c = ep["cidr"]
-        base = ipv4_to_long(F.split(c, "/").getItem(0))
-        bits = F.split(c, "/").getItem(1).cast("int")
-        size = F.when((bits >= 0) & (bits <= 32), F.pow(F.lit(2), F.lit(32) - bits).cast("bigint"))
-        lo = base - F.pmod(base, size)
-        return F.struct(ep["type"].alias("type"), ep["re"].alias("re"),
-                        F.when(F.coalesce(c, F.lit("")) != "", lo).alias("lo"),
-                        F.when(F.coalesce(c, F.lit("")) != "", lo + size).alias("hi"))
-    return p.withColumn("entity_checks", F.transform("_eps", bounds)).drop("_eps")
+        return F.when(ok, F.concat(F.lit(RE_FLAGS + "^(?:"), r, F.lit(")")))
+
+    def check(ep):
+        net = network_range(ep["value_cidr"])
+        return F.struct(ep["type"].alias("type"), anchor(ep["value_regex"]).alias("re"), net["lo"].alias("lo"), net["hi"].alias("hi"))
+    eps = F.coalesce("entity_patterns", F.array().cast("array<struct<type:string,value_regex:string,value_cidr:string>>"))
+    return patterns.withColumn("title_re", anchor(F.col("alert_name_regex"))).withColumn("entity_checks", F.transform(eps, check))
 
 
 def parse_entities(entities: Column) -> Column:
-    """MAP<type, ARRAY<value>> -> MAP<type, ARRAY<STRUCT<v, ip>>> with the IPv4 value parsed once."""
+    """MAP<type, ARRAY<value>> -> MAP<type, ARRAY<STRUCT<v, ip>>> with the address parsed once."""
     return F.transform_values(entities, lambda k, arr: F.transform(
-        arr, lambda v: F.struct(v.alias("v"), ipv4_to_long(v).alias("ip"))))
+        arr, lambda v: F.struct(v.alias("v"), address_key(v).alias("ip"))))
 
 
 def entity_score(checks: Column, entities: Column) -> Column:
     """Share of entity patterns matched by at least one entity value of the pattern's type
-    (anchored regex, or IPv4 inside the CIDR range). ``entities`` comes from ``parse_entities``."""
+    (anchored regex, or an IPv4/IPv6 address in the network). ``entities`` comes from ``parse_entities``."""
     def hit(ep):
         vals = F.coalesce(entities[F.concat(ep["type"], F.lit("s"))], entities[ep["type"]],
-                          F.array().cast("array<struct<v:string,ip:bigint>>"))
+                          F.array().cast("array<struct<v:string,ip:string>>"))
 
         def one(e):
             by_re = ep["re"].isNotNull() & F.coalesce(F.regexp_like(e["v"], ep["re"]), F.lit(False))
-            by_cidr = ep["lo"].isNotNull() & F.coalesce((e["ip"] >= ep["lo"]) & (e["ip"] < ep["hi"]), F.lit(False))
+            by_cidr = ep["lo"].isNotNull() & F.coalesce((e["ip"] >= ep["lo"]) & (e["ip"] <= ep["hi"]), F.lit(False))
             return by_re | by_cidr
         return F.exists(vals, one)
     n = F.size(checks)
@@ -142,15 +137,16 @@ def entity_score(checks: Column, entities: Column) -> Column:
 def kill_switch_filter(alerts: DataFrame, kills: DataFrame, dims: Mapping[str, str]) -> DataFrame:
     """J-09: drop alerts where any dimension value is switched off.
 
-    ``kills`` has (dimension, value, active); ``dims`` maps dimension -> alert column. The
-    alert's (dimension, value) pairs are unpivoted and anti-joined: one equi-join, no OR.
+    ``kills`` has (dimension, value, active); ``dims`` maps dimension -> alert column. One
+    anti-join per dimension against its few switches: Spark broadcasts them by its own size check, so
+    the alerts are not shuffled.
     """
-    active = kills.where(F.col("active")).select("dimension", "value").distinct()
-    pairs = alerts.select("alert_id", F.explode(F.array(*[
-        F.struct(F.lit(d).alias("dimension"), F.col(c).cast("string").alias("value")) for d, c in dims.items()]))
-        .alias("p")).select("alert_id", "p.dimension", "p.value")
-    killed = pairs.join(active, ["dimension", "value"], "left_semi").select("alert_id").distinct()
-    return alerts.join(killed, "alert_id", "left_anti")
+    active = kills.where(F.col("active")).select("dimension", "value")
+    out = alerts
+    for d, c in dims.items():
+        off = active.where(F.col("dimension") == d).select(F.col("value").alias("_off"))
+        out = out.join(off, F.col(c).cast("string") == F.col("_off"), "left_anti")
+    return out
 
 
 def match_fp_patterns(alerts: DataFrame, patterns: DataFrame, *, threshold: float | Column = FP_CONFIDENCE_THRESHOLD,

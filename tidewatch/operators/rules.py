@@ -16,7 +16,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -463,26 +465,53 @@ def as_detection(rule: str, df: DataFrame, now) -> DataFrame:
     )
 
 
-def run_all(evaluations: dict[str, Callable[[], DataFrame]], now) -> DataFrame:
-    """U-01/D-12: union of every rule in the result schema.
+#: Error conditions that fail one rule: its table or one of its columns is missing.
+MISSING = ("UNRESOLVED_COLUMN", "TABLE_OR_VIEW_NOT_FOUND", "PATH_NOT_FOUND", "FIELD_NOT_FOUND", "CANNOT_RESOLVE")
+RULE_STATUS_SCHEMA = "rule_id string, ok boolean, error string"
+
+
+def plan_rules(evaluations: dict[str, Callable[[], DataFrame]], now) -> tuple[dict[str, DataFrame], list[tuple]]:
+    """Plan every rule: its detections, and a (rule, ok, error) row for each.
 
-    A rule whose plan cannot be built (missing table or column) is left out
-    and the others still run, as the reference's runner does per rule.
+    A missing table or column fails that rule and is reported; the others still run. Any other
+    error is not the rule's and is raised.
     """
-    frames = []
+    frames, status = {}, []
     for rule, build in evaluations.items():
         try:
             d = as_detection(rule, build(), now)
-            d.schema  # analysis happens here; failures isolate this rule only
-        except Exception:  # noqa: BLE001 - isolation is the feature
+            d.schema  # analysis happens here
+        except AnalysisException as e:
+            condition = e.getCondition() or ""
+            if not condition.startswith(MISSING):
+                raise
+            status.append((RULES[rule].rule_id, False, condition))
             continue
-        frames.append(d)
+        frames[rule] = d
+        status.append((RULES[rule].rule_id, True, None))
+    return frames, status
+
+
+def run_all(evaluations: dict[str, Callable[[], DataFrame]], now) -> DataFrame:
+    """U-01/D-12: union of every rule in the result schema; ``rule_status`` tells which rules ran."""
+    frames, status = plan_rules(evaluations, now)
     if not frames:
-        raise ValueError("no rule could be planned")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+        raise ValueError(f"no rule could be planned: {status}")
+    return reduce(DataFrame.unionByName, frames.values())
+
+
+def rule_status(spark, evaluations: dict[str, Callable[[], DataFrame]], now) -> DataFrame:
+    """D-12: one row per rule, whether it ran and what was missing if it did not."""
+    return spark.createDataFrame(plan_rules(evaluations, now)[1], RULE_STATUS_SCHEMA)
+
+
+def detection_audit(detections: DataFrame) -> DataFrame:
+    """D-12: the audit event of each detection (type, actor and decision as the runner writes them)."""
+    return detections.select(
+        "tenant_id", F.lit("atlas.detection_fired").alias("event_type"), F.lit("decision").alias("event_category"),
+        F.lit("system").alias("actor_type"), F.lit("atlas-detection").alias("actor_id"), "rule_id", "entity_id",
+        F.lower("alert_severity").alias("severity"),
+        F.to_json(F.struct("rule_id", "confidence", "atlas_technique", "safety_relevant")).alias("decision"))
 
 
 def detections_to_alerts(det: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import audit as AU
@@ -25,15 +26,27 @@ WITH ev AS (
 """
 
 
+_CHAINS: dict[tuple[str, str], DataFrame] = {}
+
+
 def chain(spark, sf):
-    """The built chain is the stored audit table: checkpointed (reliably, in the session's
-    checkpoint folder) so verification and reports read it instead of re-chaining."""
-    checkpoint_dir(spark)
-    return AU.build_chain(TB.audit_events(spark, sf)).checkpoint(eager=True)
+    """The built chain is the stored audit table: checkpointed once per application in the session's shared
+    folder; verification and evidence read it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CHAINS:
+        checkpoint_dir(spark)
+        _CHAINS[key] = AU.build_chain(TB.audit_events(spark, sf)).checkpoint(eager=True)
+    return _CHAINS[key]
+
+
+def numbered(spark, sf):
+    """The audit table without hashes, for reports that need none: no sequential step."""
+    return AU.number_events(TB.audit_events(spark, sf))
 
 
 def _w15(spark, sf):
-    s = AU.chain_summary(chain(spark, sf))
+    checkpoint_dir(spark)
+    s = AU.chain_summary(AU.build_chain(TB.audit_events(spark, sf)).checkpoint(eager=True))
     return s.select("tenant_id", "records", "first_seq", "last_seq", "errors", "valid")
 
 
@@ -69,6 +82,36 @@ SELECT tenant_id, CAST(sequence_number AS BIGINT) AS sequence_number, audit_id,
 """)(_w01_tampered)
 
 
+def _w01_forked(spark, sf):
+    c = chain(spark, sf)
+    last = c.join(AU.chain_heads(c).select("tenant_id", "sequence_number"), ["tenant_id", "sequence_number"], "left_semi")
+    return AU.verify_chain(c.unionByName(last.select(*c.columns))).select("tenant_id", "sequence_number", "audit_id",
+                                                                         F.array_join("errors", "; ").alias("errors"))
+
+
+register("w01_verify_chain_forked", AUDIT_EVENTS_SQL + """
+, t AS (SELECT *, MAX(sequence_number) OVER (PARTITION BY tenant_id) AS top FROM seq)
+SELECT tenant_id, CAST(sequence_number AS BIGINT) AS sequence_number, audit_id,
+       'Sequence repeated: ' || CAST(sequence_number AS VARCHAR) AS errors
+FROM t, (VALUES (1), (2)) WHERE sequence_number = top
+""")(_w01_forked)
+
+
+def _w15_segments(spark, sf):
+    s = AU.chain_segments(chain(spark, sf))
+    w = Window.partitionBy("tenant_id").orderBy("first_seq")
+    return s.select("tenant_id", "first_seq", "last_seq", F.row_number().over(w).cast("bigint").alias("segment"))
+
+
+register("w15_chain_segments", AUDIT_EVENTS_SQL + """
+, u AS (SELECT tenant_id, substr(timestamp, 1, 13) AS hour, sequence_number AS s FROM seq
+        UNION ALL SELECT tenant_id, '', 0 FROM (SELECT DISTINCT tenant_id FROM ev))
+SELECT tenant_id, CAST(MIN(s) AS BIGINT) AS first_seq, CAST(MAX(s) AS BIGINT) AS last_seq,
+       CAST(ROW_NUMBER() OVER (PARTITION BY tenant_id ORDER BY hour) AS BIGINT) AS segment
+FROM u GROUP BY tenant_id, hour
+""")(_w15_segments)
+
+
 def _w02(spark, sf):
     c = chain(spark, sf)
     bad = c.where(~((F.col("tenant_id") == "t2") & (F.col("sequence_number") == 10)))
@@ -109,7 +152,7 @@ SELECT tenant_id, audit_id FROM r WHERE rn <= 100
 
 
 def _a21(spark, sf):
-    return AU.compliance_by_category(chain(spark, sf), month="2024-01")
+    return AU.compliance_by_category(numbered(spark, sf), month="2024-01")
 
 
 register("a21_compliance_by_category", AUDIT_EVENTS_SQL + """
@@ -119,7 +162,7 @@ WHERE substr(timestamp, 1, 7) = '2024-01' GROUP BY tenant_id, event_category
 
 
 def _s16(spark, sf):
-    return AU.partition_listing(chain(spark, sf))
+    return AU.partition_listing(numbered(spark, sf))
 
 
 register("s16_partition_listing", AUDIT_EVENTS_SQL + """
@@ -138,21 +181,24 @@ register("s17_export_fingerprint", None)(_s17)
 
 def _a35(spark, sf):
     p = AU.evidence_package(chain(spark, sf))
-    return p.select("investigation_id", "events", "last_classification", "actions_done",
-                    F.size("events_by_category").cast("bigint").alias("categories"))
+    return p.select("tenant_id", "investigation_id", "events", "last_classification", "state_transitions", "actions", "approvals",
+                    "actions_done", F.size("events_by_category").cast("bigint").alias("categories"), "chain_verified")
 
 
 register("a35_evidence_package", AUDIT_EVENTS_SQL + """
-SELECT investigation_id, CAST(COUNT(*) AS BIGINT) AS events,
+SELECT tenant_id, investigation_id, CAST(COUNT(*) AS BIGINT) AS events,
        arg_max(classification, (timestamp, sequence_number)) FILTER (WHERE classification IS NOT NULL) AS last_classification,
+       CAST(COUNT(*) FILTER (WHERE et = 'click') AS BIGINT) AS state_transitions,
+       CAST(COUNT(*) FILTER (WHERE et = 'response.executed') AS BIGINT) AS actions,
+       CAST(COUNT(*) FILTER (WHERE et = 'signup') AS BIGINT) AS approvals,
        CAST(COUNT(*) FILTER (WHERE et = 'response.executed') AS BIGINT) AS actions_done,
-       CAST(COUNT(DISTINCT event_category) AS BIGINT) AS categories
-FROM seq GROUP BY investigation_id
+       CAST(COUNT(DISTINCT event_category) AS BIGINT) AS categories, true AS chain_verified
+FROM seq GROUP BY tenant_id, investigation_id
 """)(_a35)
 
 
 def _s18(spark, sf):
-    c = AU.with_month(chain(spark, sf))
+    c = AU.with_month(numbered(spark, sf))
     parts = c.select("month", "tenant_id").distinct()
     exports = c.select("month").distinct().withColumn("verified", F.col("month") != "2023-12")
     holds = spark.createDataFrame([("t-legal",)], "tenant_id string")

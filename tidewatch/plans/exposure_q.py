@@ -162,25 +162,21 @@ FROM exposures
 
 
 def _j05(spark, sf):
-    alerts = (TB.investigations(spark, sf).where((F.col("state") == "awaiting_human") & (F.col("severity") == "critical"))
-              .select("investigation_id", F.col("asset_id").alias("alert_asset")))
-    j = EX.open_exposures_for_assets(alerts, exposure_table(spark, sf), NOW, asset_col="alert_asset")
-    top = RP.top_k_per_key(j, ["investigation_id"], 3, [F.desc("ctem_score"), F.asc("exposure_key")])
-    return tidy(top.select("investigation_id", "exposure_key", "ctem_score", "stale", "sla_hours_left", "rank"))
+    # Alerts of one asset share its exposures, so each asset is joined once.
+    assets = (TB.investigations(spark, sf).where(F.col("state") != "closed")
+              .groupBy("tenant_id", F.col("asset_id").alias("alert_asset")).agg(F.count(F.lit(1)).alias("alerts")))
+    j = EX.open_exposures_for_assets(assets, exposure_table(spark, sf), NOW, asset_col="alert_asset")
+    return tidy(j.select("tenant_id", "alert_asset", "alerts", "exposure_key", "ctem_score", "stale", "sla_hours_left"))
 
 
 register("j05_open_exposures_for_alerts", with_roles(EXPOSURE_TABLE_SQL + f"""
-, alerts AS (SELECT investigation_id, asset_id AS alert_asset FROM investigations
-             WHERE state = 'awaiting_human' AND severity = 'critical')
-, j AS (
-  SELECT a.investigation_id, e.exposure_key, e.ctem_score,
-         COALESCE(e.ts < {ts(NOW, hours=24)}, true) AS stale,
-         EXTRACT(EPOCH FROM (e.sla_deadline - {ts(NOW)})) / 3600.0 AS sla_hours_left,
-         ROW_NUMBER() OVER (PARTITION BY a.investigation_id ORDER BY e.ctem_score DESC, e.exposure_key) AS rank
-  FROM alerts a JOIN exposures e ON a.alert_asset = e.asset_id WHERE e.status NOT IN ('Verified', 'Closed'))
-SELECT investigation_id, exposure_key, ROUND(ctem_score, 6) AS ctem_score, stale, ROUND(sla_hours_left, 6) AS sla_hours_left,
-       CAST(rank AS BIGINT) AS rank
-FROM j WHERE rank <= 3
+, assets AS (SELECT tenant_id, asset_id AS alert_asset, COUNT(*) AS alerts FROM investigations
+             WHERE state <> 'closed' GROUP BY ALL)
+SELECT a.tenant_id, alert_asset, CAST(alerts AS BIGINT) AS alerts, e.exposure_key, ROUND(e.ctem_score, 6) AS ctem_score,
+       COALESCE(e.ts < {ts(NOW, hours=24)}, true) AS stale,
+       ROUND(EXTRACT(EPOCH FROM (e.sla_deadline - {ts(NOW)})) / 3600.0, 6) AS sla_hours_left
+FROM assets a JOIN exposures e ON a.alert_asset = e.asset_id AND a.tenant_id = e.tenant_id
+WHERE e.status NOT IN ('Verified', 'Closed')
 """, "findings", "investigations"))(_j05)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import audit as AU
 from tidewatch.operators import exposure as EX
 from tidewatch.operators import rules as R
-from tidewatch.plans.audit_q import AUDIT_EVENTS_SQL, chain
+from tidewatch.plans.audit_q import AUDIT_EVENTS_SQL, numbered
 from tidewatch.plans.exposure_q import EXPOSURE_TABLE_SQL, _normalised, exposure_table
 from tidewatch.plans.oracle_roles import with_roles
 from tidewatch.plans.registry import register, tidy
@@ -115,8 +115,8 @@ register("a13_detections_by_trust", _a13_sql())(_a13)
 
 
 def _p15(spark, sf):
-    e = AU.list_events(chain(spark, sf), "t1", event_type="alert.classified", date_from="2024-01-10",
-                       date_to="2024-01-20", limit=5000)
+    e = AU.list_events(numbered(spark, sf), "t1", event_type="alert.classified", date_from="2024-01-10",
+                       date_to="2024-01-20", limit=AU.MAX_PAGE)
     return e.select("audit_id", "sequence_number", "timestamp")
 
 
@@ -128,7 +128,7 @@ ORDER BY timestamp DESC, sequence_number DESC LIMIT 1000
 
 
 def _p16(spark, sf):
-    s = AU.search_events(chain(spark, sf), actor="USER-1", tenant="t2")
+    s = AU.search_events(numbered(spark, sf), actor="USER-1", tenant="t2")
     return s.groupBy("actor_id").agg(F.count(F.lit(1)).alias("events"))
 
 
@@ -140,7 +140,7 @@ WHERE lower(actor_id) LIKE '%user-1%' AND tenant_id = 't2' GROUP BY actor_id
 
 
 def _a22(spark, sf):
-    return AU.audit_stats(chain(spark, sf), "2024-01-30")
+    return AU.audit_stats(numbered(spark, sf), "2024-01-30")
 
 
 register("a22_audit_stats", """

@@ -17,19 +17,16 @@ CALLS = TB.CALLS_NOW
 
 # ---------------------------------------------------------------- A-30 / A-31
 def _a30(spark, sf):
-    c = FP.fp_candidates(TB.investigations(spark, sf), INV)
-    return c.select("group_key", "investigation_count", F.array_join("source_investigations", ",").alias("members"))
+    return FP.fp_candidates(TB.investigations(spark, sf), INV).select("tenant_id", "group_key", "investigation_count",
+                                                                      "investigation_id")
 
 
 register("a30_fp_candidates", with_roles(f"""
-, b AS (SELECT COALESCE(substr(alert_title, 1, 50), 'unknown') AS group_key, investigation_id FROM investigations
+, b AS (SELECT tenant_id, COALESCE(alert_title, 'unknown') AS group_key, investigation_id FROM investigations
         WHERE state = 'closed' AND updated_at >= {ts(INV, days=30)} AND updated_at < {ts(INV)}
           AND classification = 'false_positive')
-, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY group_key ORDER BY investigation_id) AS rn,
-               COUNT(*) OVER (PARTITION BY group_key) AS n FROM b)
-SELECT group_key, CAST(MAX(n) AS BIGINT) AS investigation_count,
-       string_agg(investigation_id, ',' ORDER BY investigation_id) FILTER (WHERE rn <= 20) AS members
-FROM r GROUP BY group_key HAVING MAX(n) >= 3
+, r AS (SELECT *, COUNT(*) OVER (PARTITION BY tenant_id, group_key) AS n FROM b)
+SELECT tenant_id, group_key, CAST(n AS BIGINT) AS investigation_count, investigation_id FROM r WHERE n >= 3
 """, "investigations"))(_a30)
 
 
@@ -38,10 +35,10 @@ def _a31(spark, sf):
 
 
 register("a31_playbook_candidates", with_roles(f"""
-SELECT COALESCE(atlas_techniques[1], 'unknown') AS technique, CAST(COUNT(*) AS BIGINT) AS investigation_count
+SELECT tenant_id, COALESCE(atlas_techniques[1], 'unknown') AS technique, CAST(COUNT(*) AS BIGINT) AS investigation_count
 FROM investigations WHERE state = 'closed' AND updated_at >= {ts(INV, days=30)} AND updated_at < {ts(INV)}
   AND classification <> 'false_positive'
-GROUP BY 1 HAVING COUNT(*) >= 2
+GROUP BY 1, 2 HAVING COUNT(*) >= 2
 """, "investigations"))(_a31)
 
 
@@ -58,7 +55,7 @@ def fp_patterns(spark, sf):
     from tidewatch.functions.exprs import time_lit
     g = (inv.where((F.col("state") == "closed") & (F.col("classification") == "false_positive")
                    & (F.col("updated_at") < time_lit(INV, dt)))
-         .groupBy("tenant_id", F.substring("alert_title", 1, 50).alias("group_key")).count()
+         .groupBy("tenant_id", F.col("alert_title").alias("group_key")).count()
          .where(F.col("count") >= FP.MIN_INVESTIGATIONS_FOR_FP))
     pid = F.concat(F.lit("fp-"), F.substring(F.md5(F.concat_ws("|", "tenant_id", "group_key")), 1, 10))
     g = g.withColumn("pattern_id", pid).withColumn("h", F.substring(F.md5(F.col("pattern_id")), 1, 1))
@@ -95,7 +92,7 @@ def _ip_int(c: str) -> str:
 
 
 register("j08_fp_pattern_match", with_roles(f"""
-, g AS (SELECT tenant_id, substr(alert_title, 1, 50) AS group_key FROM investigations
+, g AS (SELECT tenant_id, alert_title AS group_key FROM investigations
         WHERE state = 'closed' AND classification = 'false_positive' AND updated_at < {ts(INV)}
         GROUP BY 1, 2 HAVING COUNT(*) >= 3)
 , p0 AS (SELECT *, 'fp-' || substr(md5(tenant_id || '|' || group_key), 1, 10) AS pattern_id FROM g)
@@ -372,7 +369,7 @@ def _a33(spark, sf):
 
 
 register("a33_fp_pattern_summary", with_roles(f"""
-, g AS (SELECT tenant_id, substr(alert_title, 1, 50) AS group_key FROM investigations
+, g AS (SELECT tenant_id, alert_title AS group_key FROM investigations
         WHERE state = 'closed' AND classification = 'false_positive' AND updated_at < {ts(INV)}
         GROUP BY 1, 2 HAVING COUNT(*) >= 3)
 , p AS (SELECT *, 'fp-' || substr(md5(tenant_id || '|' || group_key), 1, 10) AS pattern_id FROM g)
@@ -403,7 +400,7 @@ register("a37_canary_cycle_summary", _a37_sql())(_a37)
 
 
 A33_BASE = f"""
-, g AS (SELECT tenant_id, substr(alert_title, 1, 50) AS group_key FROM investigations
+, g AS (SELECT tenant_id, alert_title AS group_key FROM investigations
         WHERE state = 'closed' AND classification = 'false_positive' AND updated_at < {ts(INV)}
         GROUP BY 1, 2 HAVING COUNT(*) >= 3)
 , p AS (SELECT *, 'fp-' || substr(md5(tenant_id || '|' || group_key), 1, 10) AS pattern_id FROM g)

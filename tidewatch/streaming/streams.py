@@ -13,6 +13,7 @@ windows and de-duplication are bounded by watermarks.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -26,6 +27,7 @@ from tidewatch.operators import audit as AU
 from tidewatch.operators import exposure as EX
 from tidewatch.operators import sequences as SQ
 from tidewatch.session import ship_package
+from tidewatch.sources.versioned import VersionedTable
 
 # ---------------------------------------------------------------------------
 # ST-01 / ST-02 / S-09 sinks with dead letters
@@ -69,20 +71,17 @@ def start_alert_stream(raw_stream: DataFrame, schema: T.StructType, good_path: s
 
 def start_finding_stream(findings_stream: DataFrame, table_path: str, reject_path: str, checkpoint: str,
                          trigger: dict | None = None):
-    """ST-02: findings -> normalise -> upsert into the exposure table (idempotent by key) + rejects."""
+    """ST-02: findings -> normalise -> upsert into the exposure table (idempotent by key) + rejects.
+
+    The table is versioned (``sources.versioned``): a micro-batch rewrites the key buckets it
+    touches beside the old ones, and the new version counts once its manifest is in place. A failed read or
+    write fails the batch and leaves the table as it was; a replayed batch starts from the version before it.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         good, bad = EX.dispatch(batch)
         bad.write.mode("overwrite").parquet(f"{reject_path}/batch_id={batch_id}")
-        try:
-            existing = spark.read.parquet(f"{table_path}/current")
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            existing = spark.createDataFrame([], good.drop("finding_id").schema)
-        merged = EX.upsert_exposures(existing, good).drop("change")
-        # write the new version beside the old one, then it becomes current on the next read
-        out = f"{table_path}/v{batch_id}"
-        merged.write.mode("overwrite").parquet(out)
-        spark.read.parquet(out).write.mode("overwrite").parquet(f"{table_path}/current")
+        table = VersionedTable(batch.sparkSession, table_path, "exposure_key", good.drop("finding_id").schema)
+        table.upsert(good, lambda old, new: EX.upsert_exposures(old, new).drop("change"), batch_id)
     q = findings_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return q.trigger(**(trigger or {"availableNow": True})).start()
 
@@ -137,54 +136,46 @@ def alert_rate(alerts: DataFrame, key: str, ts: str, width: str = "1 hour", wate
 # ST-04 chain heads, ST-05 escalation budget, ST-06 dual-trigger batching (keyed state)
 # ---------------------------------------------------------------------------
 
-CHAIN_STATE = T.StructType([T.StructField("last_seq", T.LongType()), T.StructField("last_hash", T.StringType())])
+CHAIN_STATE = T.StructType([T.StructField("last_seq", T.LongType()), T.StructField("last_hash", T.StringType()),
+                            T.StructField("segment", T.StringType())])
 
 
 def chain_stream(events: DataFrame) -> DataFrame:
-    """ST-04: per-tenant chain head kept in state (sequence, hash); genesis on first event.
+    """ST-04: per-tenant chain head kept in state (sequence, hash, segment); genesis on first event.
 
-    Events carry the stored audit columns; within a micro-batch a tenant's rows are ordered by
-    (timestamp, audit_id). Output rows have the AUDIT_SCHEMA.
+    Events carry the stored audit columns; a micro-batch's rows of a tenant are chained in (timestamp,
+    audit_id) order in the stored format of the batch build, an event earlier than the head in
+    the head's segment. Output rows have the AUDIT_SCHEMA.
     """
     ship_package(events.sparkSession)
-
-    def piece(cols):
-        return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}) if cols else F.lit("{}")
-    ev = events.select(*AU._EVENT_FIELDS).withColumn("_head", piece(AU._HEAD)) \
-        .withColumn("_mid", piece(AU._MID)).withColumn("_tail", piece(AU._TAIL))
+    ev = AU.canonical_pieces(events.select(*AU._EVENT_FIELDS))
+    g = AU.canonical_pieces(AU.genesis_rows(events.sparkSession.createDataFrame([("{tenant}",)], "tenant_id string"))).first()
+    genesis = {c: g[c] for c in [*AU._EVENT_FIELDS, "_head", "_mid", "_tail"]}
     out_schema = AU.AUDIT_SCHEMA
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state):
-        last_seq, last_hash = state.get if state.exists else (-1, AU.GENESIS_HASH)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["timestamp", "audit_id"])
-        rows = []
-        if last_seq < 0:   # genesis record for a new tenant
-            g = {"audit_id": f"genesis-{key[0]}", "tenant_id": key[0], "timestamp": "1970-01-01T00:00:00.000Z",
-                 "ingested_at": "1970-01-01T00:00:00.000Z", "event_type": AU.GENESIS_EVENT,
-                 "event_category": "system", "severity": "info", "actor_type": "system",
-                 "actor_id": "audit-service", "actor_permissions": [], "investigation_id": "", "alert_id": "",
-                 "entity_ids": [], "context": "{}", "decision": "{}", "outcome": "{}",
-                 "record_version": AU.RECORD_VERSION}
-            import json
-            head = json.dumps({c: g[c] for c in AU._HEAD}, separators=(",", ":"))
-            mid = json.dumps({c: g[c] for c in AU._MID}, separators=(",", ":"))
-            tail = json.dumps({c: g[c] for c in AU._TAIL}, separators=(",", ":"))
-            pdf = pd.concat([pd.DataFrame([{**g, "_head": head, "_mid": mid, "_tail": tail}]), pdf], ignore_index=True)
+        seq, last, segment = state.get if state.exists else (-1, AU.GENESIS_HASH, "")
+        # The rows must be in order across the whole micro-batch, so they are gathered; a trigger bounds them.
+        pdf = pd.concat(pdfs, ignore_index=True).sort_values(["timestamp", "audit_id"])
+        if seq < 0:
+            # The JVM's JSON of the tenant, so that the genesis record verifies for any name.
+            named = json.dumps(key[0], ensure_ascii=False)[1:-1]
+            first = {c: v.replace("{tenant}", named if c[0] == "_" else key[0]) if isinstance(v, str) else v for c, v in genesis.items()}
+            pdf = pd.concat([pd.DataFrame([first]), pdf], ignore_index=True)
         seqs, prevs, hashes = [], [], []
-        for head, mid, tail in zip(pdf["_head"], pdf["_mid"], pdf["_tail"]):
-            seq = last_seq + 1
-            prev = AU.GENESIS_HASH if seq == 0 else last_hash
-            parts = [head[1:-1], f'"previous_hash":"{prev}"', mid[1:-1], f'"sequence_number":{seq}', tail[1:-1]]
-            h = hashlib.sha256(("{" + ",".join(x for x in parts if x) + "}").encode("utf-8")).hexdigest()
+        for ts, head, mid, tail in zip(pdf["timestamp"], pdf["_head"], pdf["_mid"], pdf["_tail"]):
+            seq += 1
+            hour = max(ts[:13], segment)
+            if seq and hour != segment:
+                last = hashlib.sha256(f"segment|{key[0]}|{seq}".encode()).hexdigest()
+            segment = hour
+            prevs.append(last)
+            last = AU.link_hash(last, seq, head, mid, tail)
             seqs.append(seq)
-            prevs.append(prev)
-            hashes.append(h)
-            last_seq, last_hash = seq, h
-        state.update((last_seq, last_hash))
-        pdf = pdf.drop(columns=["_head", "_mid", "_tail"])
+            hashes.append(last)
+        state.update((seq, last, segment))
         pdf["sequence_number"], pdf["previous_hash"], pdf["record_hash"] = seqs, prevs, hashes
-        rows.append(pdf[[f.name for f in out_schema.fields]])
-        yield from rows
+        yield pdf[out_schema.fieldNames()]
 
     return ev.groupBy("tenant_id").applyInPandasWithState(fn, out_schema, CHAIN_STATE, "append",
                                                          GroupStateTimeout.NoTimeout)
