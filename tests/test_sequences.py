@@ -39,3 +39,13 @@ def test_sequences_match_brute_force(spark):
         want[i] = g
     got = {r.i: r.escalated for r in SQ.escalation_budget(df, "k", "ts", "conf", "sev", order_cols=("i",)).collect()}
     assert got == want
+
+
+def test_cosine_ties_go_to_the_smallest_ids(spark):
+    from tidewatch.operators import retrieval as RT
+    rows = [(str(1000 + i), [1.0, 0.0]) for i in range(2000)]
+    corpus = spark.createDataFrame(rows, "id string, vec array<double>")
+    q = spark.createDataFrame([("q", [2.0, 0.0])], "id string, vec array<double>")
+    for block in (100, 5000):
+        got = RT.cosine_topk(q, corpus, 3, rows_per_block=block).orderBy("rank").collect()
+        assert [r.corpus_id for r in got] == ["1000", "1001", "1002"]

@@ -127,3 +127,24 @@ def test_budget_and_json_shape(spark):
 def F_len(c):
     from pyspark.sql import functions as F
     return F.length(c)
+
+
+def test_quarantine_keeps_rows_with_nulls(spark):
+    df = spark.createDataFrame([(1, None, "uses T9999 and T1059.001"), (2, "x", "uses T1059.001"), (3, None, None), (3, None, None)],
+                               "id int, other string, text string")
+    known = spark.createDataFrame([("T1059.001",), (None,)], "technique_id string")
+    out = sorted(map(tuple, TX.quarantine_techniques(df, "text", known).select("id", "quarantined", "validated_text").collect()), key=repr)
+    assert out == [(1, ["T9999"], "uses  and T1059.001"), (2, [], "uses T1059.001"), (3, [], None), (3, [], None)]
+
+
+def test_long_values_are_kept_and_flagged(spark):
+    long = "https://x/" + "a" * 5000
+    df = spark.createDataFrame([(long,), ("b",), (None,)], "v string")
+    r = df.select(TX.sanitize_value("v", "url").alias("s"), TX.oversize("v").alias("o")).collect()
+    assert [(x.s, x.o) for x in r] == [(long, True), ("b", False), (None, False)]
+
+
+def test_malformed_json_gives_the_default(spark):
+    df = spark.createDataFrame([('{"a":1}',), ("oops",), ("",), (None,)], "j string")
+    r = df.select(TX.parse_json_or_default("j", "a int", '{"a":-1}').alias("p")).collect()
+    assert [x.p.a for x in r] == [1, -1, -1, -1]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.exprs import (RISK_RANK, classify_risk, col_type, ioc_expires_at, lookup, shift, time_lit,
                                        zone_consequence)
 from tidewatch.operators.common import first_per_key
+from tidewatch.operators.text import let
 
 # Fixed values (must equal the reference): consequence -> severity and order of severity.
 CONSEQUENCE_SEVERITY = {"safety_life": "CRITICAL", "equipment": "HIGH", "downtime": "MEDIUM", "data_loss": "LOW"}
@@ -143,16 +144,18 @@ def select_playbooks(alerts: DataFrame, playbooks: DataFrame, k: int = 3) -> Dat
 
 def ioc_rows(df: DataFrame, text_col: str, tenant: Column, loaded_at: Column, source: Column,
              regex_iocs) -> DataFrame:
-    """IOC observations from free text (T-02 output exploded): ip 70, sha256 80, sha1 70, domain 60."""
-    r = df.select(tenant.alias("tenant_id"), loaded_at.alias("loaded_at"), source.alias("source"),
-                  regex_iocs(F.col(text_col)).alias("r"))
+    """IOC observations from free text (T-02 output): ip 70, sha256 80, sha1 70, domain 60. One scan: each
+    text gives one array of observations, which is exploded."""
     parts = [("ips", "ip", 70), ("sha256", "filehash", 80), ("sha1", "filehash", 70), ("domains", "dns", 60)]
-    out = None
-    for field, typ, conf in parts:
-        p = r.select("tenant_id", "loaded_at", "source", F.explode(F.col(f"r.{field}")).alias("value")) \
-            .withColumn("ioc_type", F.lit(typ)).withColumn("confidence", F.lit(conf))
-        out = p if out is None else out.unionByName(p)
-    return out
+
+    def observed(values: Column, kind: str, confidence: int) -> Column:
+        return F.transform(values, lambda v: F.struct(v.alias("value"), F.lit(kind).alias("ioc_type"), F.lit(confidence).alias("confidence")))
+
+    def found(r):
+        return F.concat(*[observed(r[f], t, c) for f, t, c in parts])
+    return (df.select(tenant.alias("tenant_id"), loaded_at.alias("loaded_at"), source.alias("source"),
+                      F.explode(let(regex_iocs(F.col(text_col)), found)).alias("o"))
+            .select("tenant_id", "loaded_at", "source", "o.value", "o.ioc_type", "o.confidence"))
 
 
 def feed_status(sources: DataFrame, loads: DataFrame, iocs: DataFrame) -> DataFrame:

@@ -357,15 +357,15 @@ def coverage_matrix(known: DataFrame, ctem: DataFrame, runtime: DataFrame, valid
 
 def weekly_triage(exposures: DataFrame, runtime_counts: DataFrame, now, *, days: int = 90,
                   open_statuses: tuple[str, ...] = ("Open", "InProgress"), boost: float = 1.5) -> DataFrame:
-    """E-07: open exposures of the last 90 days LEFT JOIN runtime alert counts by technique;
+    """E-07: open exposures of the last 90 days LEFT JOIN runtime alert counts by tenant and technique;
     score x1.5 when seen at runtime, SLA status, days open and the 7-level triage priority.
 
-    ``runtime_counts``: (atlas_technique, runtime_alerts) — one row per technique."""
+    ``runtime_counts``: (tenant_id, atlas_technique, runtime_alerts) — one row per tenant and technique."""
     dt = col_type(exposures, "ts")
     nowc = time_lit(now, dt)
     e = exposures.where(F.col("status").isin(*open_statuses) & (F.col("ts") > time_lit(shift(now, days=days), dt))
                         & (F.col("ts") < nowc))
-    j = e.join(runtime_counts, "atlas_technique", "left")
+    j = e.join(runtime_counts, ["tenant_id", "atlas_technique"], "left")
     seen = F.col("runtime_alerts").isNotNull()
     sla = (F.when(nowc > F.col("sla_deadline"), "BREACHED")
            .when(hours_between(F.col("sla_deadline"), nowc) < 24, "AT_RISK").otherwise("ON_TRACK"))
@@ -379,12 +379,12 @@ def weekly_triage(exposures: DataFrame, runtime_counts: DataFrame, now, *, days:
 
 
 def runtime_correlation(exposures: DataFrame, alerts: DataFrame) -> DataFrame:
-    """E-09: exposures whose technique is also seen in runtime alerts. Instead of emitting every
+    """E-09: exposures whose technique is also seen in runtime alerts of their tenant. Instead of emitting every
     (exposure, alert) pair of a technique, each exposure carries the technique's alert count and
     latest alert (max_by): one aggregate of the alerts, one equi-join."""
-    a = alerts.where(F.coalesce(F.col("atlas_technique"), F.lit("")) != "").groupBy("atlas_technique").agg(
+    a = alerts.where(F.coalesce(F.col("atlas_technique"), F.lit("")) != "").groupBy("tenant_id", "atlas_technique").agg(
         F.count(F.lit(1)).alias("runtime_alerts"), F.max_by("alert_title", F.struct("ts", "alert_title")).alias("latest_alert"))
-    return exposures.join(a, "atlas_technique").withColumn("combined_severity", F.lit("CRITICAL"))
+    return exposures.join(a, ["tenant_id", "atlas_technique"]).withColumn("combined_severity", F.lit("CRITICAL"))
 
 
 VALIDATION_TYPES = ("manual_red_team", "adversarial_ml", "full_campaign")

@@ -1,11 +1,13 @@
 """Retrieval: exact cosine top-k (J-15), version de-dup (W-08), incident relevance
 re-ranking (R-01/R-02), technique mapping (R-03/W-07), retrieval quality (E-25).
 
-Exact top-k without a cross join: the corpus is hashed into B blocks and the queries
-into C chunks; every (block, chunk) cell is one ``cogroup`` group, scored with one
-numpy matrix product, and emits only its top-k per query (never the pairs). A final
-window merges at most k x B candidates per query. Corpus rows are copied C times and
-query rows B times; B and C come from counted sizes so every cell stays bounded.
+Exact top-k in blocks: the corpus is hashed into B blocks and the queries into C chunks; every
+(filter value, block, chunk) cell is one ``cogroup`` group, scored with one numpy matrix product, and
+emits only its top-k per query (never the pairs). All pairs of one filter value are scored, so the work is
+queries x corpus; the graph index of the training-data operators is the way beyond that. A final window merges
+at most k x B candidates per query. Corpus rows are copied C times and query rows B times; B and C come from
+counted sizes, for bounded cells alone: ties go by (score, id) in a cell and in the merge, so the result
+does not depend on them.
 With a ``doc_col`` the blocks are keyed by document so all versions of a document meet
 in the same cell and the version preference (W-08) is applied before ranking.
 """
@@ -37,16 +39,13 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
-def _cell_topk(k: int, threshold: float | None, use_filter: bool, exclude_self: bool, dedup: bool,
-               preferred: str | None):
+def _cell_topk(k: int, threshold: float | None, exclude_self: bool, dedup: bool, preferred: str | None):
     def fn(key, corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if corpus.empty or queries.empty:
             return pd.DataFrame({"query_id": [], "corpus_id": [], "score": []})
         C = _unit(np.stack(corpus["vec"].to_numpy()).astype(np.float64))
         Q = _unit(np.stack(queries["vec"].to_numpy()).astype(np.float64))
         S = Q @ C.T
-        if use_filter:
-            S[queries["flt"].to_numpy()[:, None] != corpus["flt"].to_numpy()[None, :]] = -np.inf
         cid = corpus["id"].to_numpy()
         qid = queries["id"].to_numpy()
         if exclude_self:
@@ -75,15 +74,16 @@ def _cell_topk(k: int, threshold: float | None, use_filter: bool, exclude_self:
         else:
             col_of = None
         kk = min(k, S.shape[1])
-        part = np.argpartition(-S, kk - 1, axis=1)[:, :kk]
+        kth = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk]
         out_q, out_c, out_s = [], [], []
         for qi in range(S.shape[0]):
-            for j in part[qi]:
-                s = S[qi, j]
-                if np.isfinite(s):
-                    out_q.append(qid[qi])
-                    out_c.append(cid[j if col_of is None else col_of[qi, j]])
-                    out_s.append(float(s))
+            # All that tie with the k-th, then by (score, id): equal scores go to the smaller ids.
+            js = np.flatnonzero((S[qi] >= kth[qi]) & np.isfinite(S[qi]))
+            ids = cid[js if col_of is None else col_of[qi, js]]
+            best = sorted(zip(-S[qi, js], ids))[:kk]
+            out_q += [qid[qi]] * len(best)
+            out_c += [i for _, i in best]
+            out_s += [float(-s) for s, _ in best]
         return pd.DataFrame({"query_id": out_q, "corpus_id": out_c, "score": out_s})
     return fn
 
@@ -112,8 +112,9 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str
     q = queries.select(F.col(query_id).cast("string").alias("id"), F.col(query_vec).cast("array<double>").alias("vec"),
                        fq.alias("flt"), F.pmod(F.xxhash64(F.col(query_id).cast("string")), F.lit(C)).alias("_c"))
     q = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    fn = _cell_topk(k, threshold, filter_cols is not None, exclude_self, doc_col is not None, preferred_version)
-    cand = (c.groupBy("_b", "_c").cogroup(q.groupBy("_b", "_c"))
+    fn = _cell_topk(k, threshold, exclude_self, doc_col is not None, preferred_version)
+    # An equality filter is part of the cell's key: pairs that differ in it never meet.
+    cand = (c.groupBy("flt", "_b", "_c").cogroup(q.groupBy("flt", "_b", "_c"))
             .applyInPandas(lambda key, a, b: fn(key, a, b), RESULT_SCHEMA))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("corpus_id"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

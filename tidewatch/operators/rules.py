@@ -568,13 +568,13 @@ def training_data_poisoning_detailed(audit: DataFrame, now, *, actions=SUSPICIOU
 
 
 def oracle_health_bins(oracle: DataFrame, now, *, hours: int = 24, width: str = "5 minutes") -> DataFrame:
-    """E-04: per node and 5-minute bin over the last ``hours``: checks, failures, errors, latency."""
+    """E-04: per tenant, node and 5-minute bin over the last ``hours``: checks, failures, errors, latency."""
     w = oracle.where(in_window(oracle, "ts", shift(now, hours=hours), now))
-    return (w.groupBy("edge_node_id", F.window("ts", width).alias("bin"))
+    return (w.groupBy("tenant_id", "edge_node_id", F.window("ts", width).alias("bin"))
             .agg(F.count(F.lit(1)).alias("checks"), F.count_if(F.col("check_result") == "fail").alias("failures"),
                  F.count_if(F.col("error_state").isNotNull()).alias("errors"),
                  F.avg("latency_ms").alias("avg_latency_ms"), F.max("latency_ms").alias("max_latency_ms"))
-            .select("edge_node_id", F.col("bin.start").alias("bin_start"), "checks", "failures", "errors",
+            .select("tenant_id", "edge_node_id", F.col("bin.start").alias("bin_start"), "checks", "failures", "errors",
                     "avg_latency_ms", "max_latency_ms"))
 
 
@@ -637,7 +637,7 @@ EXTRACTION_ENDPOINTS = ("%predict%", "%forecast%", "%inference%", "%query%", "%n
 def extraction_by_gap(api: DataFrame, now, *, threshold: int = EXTRACTION_THRESHOLD,
                       gap_ms: float = AUTOMATION_GAP_MS, lookback_hours: int = 6,
                       endpoints=EXTRACTION_ENDPOINTS) -> DataFrame:
-    """E-02: per caller over the last 6 h on model endpoints: count, distinct endpoints, median gap
+    """E-02: per tenant and caller over the last 6 h on model endpoints: count, distinct endpoints, median gap
     between consecutive calls (lag, exact median), session span; automation = median gap < 500 ms or
     > 2 endpoints; tiered confidence, reported above 0.65. The lag window is per caller inside the
     time-filtered slice."""
@@ -647,8 +647,8 @@ def extraction_by_gap(api: DataFrame, now, *, threshold: int = EXTRACTION_THRESH
     for p in endpoints:
         like = like | F.col("endpoint").like(p)
     w = api.where((F.col("ts") > time_lit(shift(now, hours=lookback_hours), dt)) & (F.col("ts") < time_lit(now, dt)) & like)
-    gap = (epoch_seconds(F.col("ts")) - epoch_seconds(F.lag("ts").over(Window.partitionBy("caller_identity").orderBy("ts")))) * 1000
-    g = (w.withColumn("gap_ms", gap).groupBy("caller_identity")
+    gap = (epoch_seconds(F.col("ts")) - epoch_seconds(F.lag("ts").over(Window.partitionBy("tenant_id", "caller_identity").orderBy("ts")))) * 1000
+    g = (w.withColumn("gap_ms", gap).groupBy("tenant_id", "caller_identity")
          .agg(F.count(F.lit(1)).alias("query_count"), F.count_distinct("endpoint").alias("distinct_endpoints"),
               F.percentile("gap_ms", 0.5).alias("median_gap_ms"),
               ((epoch_seconds(F.max("ts")) - epoch_seconds(F.min("ts"))) / 60.0).alias("session_window_min"))
@@ -663,7 +663,7 @@ def extraction_by_gap(api: DataFrame, now, *, threshold: int = EXTRACTION_THRESH
 
 def title_hourly_flood(alerts: DataFrame, now, *, ratio_threshold: float = 5.0, baseline_days: int = 7,
                        lookback_hours: int = 6, product_like: str | None = None, ts_col: str = "created_at") -> DataFrame:
-    """E-06 (per-title flood form): per alert title and hour bin of the last 6 h, the count vs the
+    """E-06 (per-title flood form): per tenant, alert title and hour bin of the last 6 h, the count vs the
     title's hourly average over ``[now-7d, now-6h]`` (divided by 7*24); ratio uses max(avg, 0.1);
     titles without a baseline are not reported (inner join)."""
     dt = col_type(alerts, ts_col)
@@ -672,11 +672,11 @@ def title_hourly_flood(alerts: DataFrame, now, *, ratio_threshold: float = 5.0,
         a = a.where(F.col("product").ilike(product_like) | F.col("source").ilike(product_like))
     base = (a.where((F.col(ts_col) >= time_lit(shift(now, days=baseline_days), dt))
                     & (F.col(ts_col) <= time_lit(shift(now, hours=lookback_hours), dt)))
-            .groupBy("alert_title").agg((F.count(F.lit(1)) / F.lit(baseline_days * 24.0)).alias("hourly_avg")))
+            .groupBy("tenant_id", "alert_title").agg((F.count(F.lit(1)) / F.lit(baseline_days * 24.0)).alias("hourly_avg")))
     cur = (a.where((F.col(ts_col) > time_lit(shift(now, hours=lookback_hours), dt)) & (F.col(ts_col) < time_lit(now, dt)))
-           .groupBy("alert_title", F.date_trunc("hour", F.col(ts_col)).alias("hour_bin"))
+           .groupBy("tenant_id", "alert_title", F.date_trunc("hour", F.col(ts_col)).alias("hour_bin"))
            .agg(F.count(F.lit(1)).alias("current_count")))
-    j = cur.join(base, "alert_title").withColumn(
+    j = cur.join(base, ["tenant_id", "alert_title"]).withColumn(
         "spike_ratio", F.col("current_count") / F.greatest(F.col("hourly_avg"), F.lit(0.1)))
     return j.where(F.col("spike_ratio") > ratio_threshold)
 
@@ -690,7 +690,7 @@ def insider_resource_access(log: DataFrame, now, *, resources=SUSPICIOUS_RESOURC
                             deviation_threshold: float = 5.0, distinct_threshold: int = 3,
                             after_hours_threshold: int = 5, count_threshold: int = 50) -> DataFrame:
     """E-06 (exfiltration form): accesses to resources matching any suspicious substring
-    (case-insensitive), per user: the last 24 h vs the daily average over [now-30d, now-1d].
+    (case-insensitive), per tenant and user: the last 24 h vs the daily average over [now-30d, now-1d].
     Flagged on deviation > 5, > 3 distinct resources, > 5 after-hours accesses (hour < 6 or > 20)
     or > 50 accesses; users without a baseline get deviation 999. One scan: both windows are
     conditional aggregates of the rows in [now-30d, now)."""
@@ -704,7 +704,7 @@ def insider_resource_access(log: DataFrame, now, *, resources=SUSPICIOUS_RESOURC
     in_cur = F.col("ts") > cur_lo
     hour = F.hour("ts")
     g = (log.where((F.col("ts") >= base_lo) & (F.col("ts") < hi) & hit)
-         .groupBy("user_id")
+         .groupBy("tenant_id", "user_id")
          .agg((F.count_if(in_base) / F.lit(float(baseline_days))).alias("daily_avg"),
               F.count_if(in_cur).alias("access_count"),
               F.count_distinct(F.when(in_cur, F.col("target_resource"))).alias("distinct_resources"),
@@ -722,7 +722,7 @@ def insider_resource_access(log: DataFrame, now, *, resources=SUSPICIOUS_RESOURC
 def partner_direction_anomaly(log: DataFrame, now, *, baseline_days: int = 7, lookback_hours: int = 6,
                               volume_threshold: float = 3.0, payload_z_threshold: float = 3.0,
                               error_threshold: int = 10) -> DataFrame:
-    """E-06 (per-direction partner form): per (partner, direction) the last 6 h vs a baseline over
+    """E-06 (per-direction partner form): per (tenant, partner, direction) the last 6 h vs a baseline over
     [now-7d, now-6h] (daily request rate, payload mean / sample stddev, mTLS rate). Flagged on
     volume deviation > 3 (current vs a quarter of a baseline day), payload z > 3, any mTLS failure
     where the normal rate exceeds 0.99, or > 10 errors. Pairs without a baseline are not reported."""
@@ -730,19 +730,19 @@ def partner_direction_anomaly(log: DataFrame, now, *, baseline_days: int = 7, lo
     lo, mid, hi = (time_lit(shift(now, days=baseline_days), dt), time_lit(shift(now, hours=lookback_hours), dt),
                    time_lit(now, dt))
     base = (log.where((F.col("ts") >= lo) & (F.col("ts") <= mid))
-            .groupBy("partner_id", "direction")
+            .groupBy("tenant_id", "partner_id", "direction")
             .agg((F.count(F.lit(1)) / F.lit(float(baseline_days))).alias("avg_daily_requests"),
                  F.avg("payload_size").alias("avg_payload_size"),
                  F.stddev_samp("payload_size").alias("std_payload_size"),
                  (F.count_if("mtls_verified") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("normal_mtls_rate")))
     cur = (log.where((F.col("ts") > mid) & (F.col("ts") < hi))
-           .groupBy("partner_id", "partner_name", "direction")
+           .groupBy("tenant_id", "partner_id", "partner_name", "direction")
            .agg(F.count(F.lit(1)).alias("request_count"), F.avg("payload_size").alias("avg_payload"),
                 F.max("payload_size").alias("max_payload"),
                 F.count_if(F.col("response_code") >= 400).alias("error_count"),
                 F.count_if(~F.col("mtls_verified")).alias("mtls_fail_count"),
                 F.count_distinct("data_type").alias("distinct_data_types")))
-    j = cur.join(base, ["partner_id", "direction"])
+    j = cur.join(base, ["tenant_id", "partner_id", "direction"])
     vol = F.when(F.col("avg_daily_requests") > 0, F.col("request_count") / (F.col("avg_daily_requests") / 4.0)) \
         .otherwise(F.lit(999.0))
     z = F.when(F.col("std_payload_size") > 0,

@@ -1,7 +1,7 @@
 """Text jobs over tables of free text (T-02 .. T-19, W-13).
 
 Each operator is a column expression (``regexp_extract_all``, higher-order
-``transform/filter/aggregate``) evaluated inside whole-stage codegen on the
+``transform/filter/aggregate``, which run interpreted) evaluated in the JVM on the
 executors; a document is never shipped to Python. Patterns are Java regexes
 equivalent to the reference's (``(?i)`` for IGNORECASE).
 
@@ -42,6 +42,7 @@ RE_SENTENCE_BOUNDARY = r"(?<=[.!?])\s+"
 HOSTNAME_EXCLUSIONS = ("SERVER", "ROUTER", "SWITCH", "PRINTER", "BUILD", "TEST", "PROD", "DEV", "STAGE", "STAGING",
                        "BACKUP", "PROXY", "GATEWAY", "MONITOR", "ADMIN", "NODE", "WORKER", "MASTER", "SLAVE",
                        "PRIMARY", "SECONDARY", "REPLICA", "CLUSTER")
+PII_PATTERNS = (RE_IPV4, RE_EMAIL, RE_HOSTNAME, RE_USER_IN_HOSTNAME, RE_PATH_USER, RE_CHAT_HANDLE)
 ECS_FIELD_EXCLUSIONS = ("@timestamp", "@version", "@metadata", "@message", "@fields", "@source", "@tags", "@type")
 
 INJECTION_PATTERNS = (
@@ -109,39 +110,51 @@ def valid_hash(value: Column, algorithm: Column | None = None) -> Column:
 
 def regex_iocs(text) -> Column:
     """T-02: struct(ips, sha256, sha1, domains, raw_iocs) with the reference's confidences
-    (.7 / .8 / .7 / .6) implied by the field; ``raw_iocs`` is the sorted distinct union."""
+    (.7 / .8 / .7 / .6) implied by the field; ``raw_iocs`` is the sorted distinct union. Each regex runs once a
+    text: what several fields need is bound."""
     t = _c(text)
-    ips = F.filter(F.array_distinct(extract_all(t, RE_IPV4)), valid_ipv4)
-    sha256 = F.array_distinct(F.transform(extract_all(t, RE_SHA256), F.lower))
-    sha1 = F.filter(F.array_distinct(F.transform(extract_all(t, RE_SHA1), F.lower)),
-                    lambda h: ~F.exists(sha256, lambda s: F.contains(s, h)))
-    seen = F.array_union(F.array_union(ips, sha256), sha1)
-    domains = F.array_except(F.array_distinct(extract_all(t, RE_IOC_DOMAIN)), seen)
-    raw = F.array_sort(F.array_union(seen, domains))
-    return F.struct(ips.alias("ips"), sha256.alias("sha256"), sha1.alias("sha1"), domains.alias("domains"),
-                    raw.alias("raw_iocs"))
+    found = F.struct(F.filter(F.array_distinct(extract_all(t, RE_IPV4)), valid_ipv4).alias("ips"),
+                     F.array_distinct(F.transform(extract_all(t, RE_SHA256), F.lower)).alias("sha256"),
+                     F.array_distinct(F.transform(extract_all(t, RE_SHA1), F.lower)).alias("sha1"),
+                     F.array_distinct(extract_all(t, RE_IOC_DOMAIN)).alias("domains"))
+
+    def without_parts(f):
+        sha1 = F.filter(f["sha1"], lambda h: ~F.exists(f["sha256"], lambda s: F.contains(s, h)))
+        return F.struct(f["ips"].alias("ips"), f["sha256"].alias("sha256"), sha1.alias("sha1"), f["domains"].alias("domains"))
+
+    def without_seen(f):
+        seen = F.array_union(F.array_union(f["ips"], f["sha256"]), f["sha1"])
+        return let(seen, lambda s: F.struct(
+            f["ips"].alias("ips"), f["sha256"].alias("sha256"), f["sha1"].alias("sha1"), F.array_except(f["domains"], s).alias("domains"),
+            F.array_sort(F.array_union(s, f["domains"])).alias("raw_iocs")))
+    return let(let(found, without_parts), without_seen)
 
 
 def ioc_entities(text) -> Column:
     """T-02 as entity structs (type, value, confidence, algorithm)."""
-    r = regex_iocs(text)
-
     def ent(arr, typ, conf, algo=None):
         return F.transform(arr, lambda v: F.struct(F.lit(typ).alias("entity_type"), v.alias("primary_value"),
                                                    F.lit(conf).alias("confidence"),
                                                    F.lit(algo).cast("string").alias("algorithm")))
-    return F.concat(ent(r["ips"], "ip", 0.7), ent(r["sha256"], "filehash", 0.8, "SHA256"),
-                    ent(r["sha1"], "filehash", 0.7, "SHA1"), ent(r["domains"], "dns", 0.6))
+    return let(regex_iocs(text), lambda r: F.concat(
+        ent(r["ips"], "ip", 0.7), ent(r["sha256"], "filehash", 0.8, "SHA256"),
+        ent(r["sha1"], "filehash", 0.7, "SHA1"), ent(r["domains"], "dns", 0.6)))
 
 
 def sanitize_value(value, field_name: str = "") -> Column:
-    """T-04: truncate to 2048, strip query-injection characters (except command lines), empty -> null."""
-    v = F.substring(_c(value), 1, MAX_FIELD_LENGTH)
+    """T-04: strip query-injection characters (except command lines), empty -> null. The value is kept
+    whole, ``oversize`` flags one beyond the reference's field length."""
+    v = _c(value)
     if field_name.lower() not in ("commandline", "command_line"):
         v = F.regexp_replace(v, RE_DANGEROUS, "")
     return F.nullif(F.trim(v), F.lit(""))
 
 
+def oversize(value) -> Column:
+    """T-04: whether a value is longer than ``MAX_FIELD_LENGTH`` (the reference cuts it there)."""
+    return F.coalesce(F.length(_c(value)) > MAX_FIELD_LENGTH, F.lit(False))
+
+
 # ---------------------------------------------------------------------------
 # T-06 / T-07 / W-13 PII redaction and re-identification
 # ---------------------------------------------------------------------------
@@ -265,10 +278,16 @@ def redact_pii(df: DataFrame, text_col: str, explicit: str | None = None, out_te
     stable placeholders, class after class on the already-redacted text; one map per row (case).
 
     ``explicit`` optionally names an ``ARRAY<STRUCT<value, prefix>>`` column redacted first.
-    Adds ``out_text`` and ``out_map`` (ARRAY<STRUCT<value, placeholder>>).
+    Adds ``out_text`` and ``out_map`` (ARRAY<STRUCT<value, placeholder>>). A text that no class pattern
+    matches is passed on; the others are redacted once (behind a generator, so that filters on the result
+    do not repeat the work).
     """
     st = redact_state(text_col, explicit)
-    return df.withColumn("_red", st).withColumn(out_text, F.col("_red.text")) \
+    if explicit is None:
+        hit = F.coalesce(F.col(text_col).rlike("|".join(f"(?:{p})" for p in PII_PATTERNS)), F.lit(False))
+        none = F.struct(F.col(text_col).alias("text"), F.array().cast(_MAP_TYPE).alias("map"))
+        st = F.when(hit, st).otherwise(none)
+    return df.select("*", F.explode(F.array(st)).alias("_red")).withColumn(out_text, F.col("_red.text")) \
         .withColumn(out_map, F.col("_red.map")).drop("_red")
 
 
@@ -420,13 +439,13 @@ def technique_ids(text) -> Column:
 
 
 def quarantine_techniques(df: DataFrame, text_col: str, known: DataFrame, id_col: str = "technique_id") -> DataFrame:
-    """T-14/U-03: technique ids in the text that are not in the taxonomy (anti-join on the
-    exploded ids), and the text with those ids stripped at word boundaries."""
-    ids = df.select("*", F.explode(technique_ids(text_col)).alias("_tid"))
-    unknown = ids.join(known.select(F.col(id_col).alias("_tid")), "_tid", "left_anti")
-    bad = unknown.groupBy(*df.columns).agg(F.array_sort(F.collect_set("_tid")).alias("quarantined"))
-    out = df.join(bad, df.columns, "left").withColumn(
-        "quarantined", F.coalesce(F.col("quarantined"), F.array().cast("array<string>")))
+    """T-14/U-03: technique ids in the text that are not in the taxonomy, and the text with those ids
+    stripped at word boundaries. The taxonomy is a reference list; it joins as one row with its array of ids (a
+    proven single row), so texts are not shuffled and nulls in other columns do not matter."""
+    ids = known.where(F.col(id_col).isNotNull()).agg(F.collect_set(F.col(id_col)).alias("_known"))
+    found = F.coalesce(technique_ids(text_col), F.array().cast("array<string>"))
+    out = df.crossJoin(F.broadcast(ids)).withColumn("quarantined", F.when(
+        F.size(found) > 0, F.array_sort(F.array_except(found, "_known"))).otherwise(F.array().cast("array<string>"))).drop("_known")
     pattern = F.concat(F.lit(r"\b(?:"), F.array_join(F.transform(F.col("quarantined"), lambda x: F.regexp_replace(
         x, r"\.", r"\\.")), "|"), F.lit(r")\b"))
     return out.withColumn("validated_text", F.when(F.size("quarantined") > 0, F.regexp_replace(
@@ -458,8 +477,8 @@ def truncate_to_budget(text, budget_tokens) -> Column:
 
 def parse_json_or_default(text, schema: str, default_json: str) -> Column:
     """T-19: typed parse of a JSON text column; malformed or empty -> the default value."""
-    parsed = F.from_json(_c(text), schema)
-    return F.coalesce(parsed, F.from_json(F.lit(default_json), schema))
+    t = _c(text)
+    return F.when(F.try_parse_json(t).isNotNull(), F.from_json(t, schema)).otherwise(F.from_json(F.lit(default_json), schema))
 
 
 def json_shape_errors(text, required: Sequence[str], types: Mapping[str, str] | None = None) -> Column:

@@ -44,16 +44,16 @@ FROM j WHERE dev > 3.0 OR dt > 5 OR n > 50
 
 def _e04(spark, sf):
     h = R.oracle_health_bins(TB.oracle_log(spark, sf), NOW)
-    return tidy(h.select("edge_node_id", F.date_format("bin_start", "yyyy-MM-dd HH:mm:ss").alias("bin_start"),
+    return tidy(h.select("tenant_id", "edge_node_id", F.date_format("bin_start", "yyyy-MM-dd HH:mm:ss").alias("bin_start"),
                          "checks", "failures", "errors", "avg_latency_ms", "max_latency_ms"))
 
 
 register("e04_oracle_health_bins", with_roles(f"""
-SELECT edge_node_id, strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS bin_start,
+SELECT tenant_id, edge_node_id, strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS bin_start,
        CAST(COUNT(*) AS BIGINT) AS checks, CAST(COUNT(*) FILTER (WHERE check_result = 'fail') AS BIGINT) AS failures,
        CAST(COUNT(*) FILTER (WHERE error_state IS NOT NULL) AS BIGINT) AS errors,
        ROUND(AVG(latency_ms), 6) AS avg_latency_ms, ROUND(MAX(latency_ms), 6) AS max_latency_ms
-FROM oracle_log WHERE ts >= {ts(hours=24)} AND ts < {ts()} GROUP BY 1, 2
+FROM oracle_log WHERE ts >= {ts(hours=24)} AND ts < {ts()} GROUP BY 1, 2, 3
 """, "oracle_log"))(_e04)
 
 
@@ -247,20 +247,20 @@ GROUP BY model_weight_hash
 
 def _e02(spark, sf):
     d = R.extraction_by_gap(TB.api_log(spark, sf), NOW)
-    return tidy(d.select("caller_identity", "query_count", "distinct_endpoints", "median_gap_ms", "confidence"))
+    return tidy(d.select("tenant_id", "caller_identity", "query_count", "distinct_endpoints", "median_gap_ms", "confidence"))
 
 
 register("e02_extraction_by_call_gap", with_roles(f"""
-, w AS (SELECT caller_identity, endpoint, ts FROM api_log
+, w AS (SELECT tenant_id, caller_identity, endpoint, ts FROM api_log
         WHERE ts > {ts(hours=6)} AND ts < {ts()} AND (endpoint LIKE '%predict%' OR endpoint LIKE '%forecast%'
           OR endpoint LIKE '%inference%' OR endpoint LIKE '%query%' OR endpoint LIKE '%nl-query%'))
-, g AS (SELECT *, EXTRACT(EPOCH FROM (ts - LAG(ts) OVER (PARTITION BY caller_identity ORDER BY ts))) * 1000 AS gap FROM w)
-, s AS (SELECT caller_identity, COUNT(*) AS n, COUNT(DISTINCT endpoint) AS de, quantile_cont(gap, 0.5) AS med
-        FROM g GROUP BY caller_identity HAVING COUNT(*) > 100)
+, g AS (SELECT *, EXTRACT(EPOCH FROM (ts - LAG(ts) OVER (PARTITION BY tenant_id, caller_identity ORDER BY ts))) * 1000 AS gap FROM w)
+, s AS (SELECT tenant_id, caller_identity, COUNT(*) AS n, COUNT(DISTINCT endpoint) AS de, quantile_cont(gap, 0.5) AS med
+        FROM g GROUP BY tenant_id, caller_identity HAVING COUNT(*) > 100)
 , f AS (SELECT *, COALESCE(med, 9999.0) AS m2 FROM s WHERE COALESCE(med, 9999.0) < 500 OR de > 2)
 , c AS (SELECT *, CASE WHEN n > 500 AND m2 < 200 THEN 0.95 WHEN n > 200 AND de > 3 THEN 0.85 WHEN n > 100 THEN 0.70
                         ELSE 0.50 END AS conf FROM f)
-SELECT caller_identity, CAST(n AS BIGINT) AS query_count, CAST(de AS BIGINT) AS distinct_endpoints,
+SELECT tenant_id, caller_identity, CAST(n AS BIGINT) AS query_count, CAST(de AS BIGINT) AS distinct_endpoints,
        ROUND(med, 6) AS median_gap_ms, ROUND(conf, 6) AS confidence FROM c WHERE conf > 0.65
 """, "api_log"))(_e02)
 
@@ -308,9 +308,14 @@ FROM k LEFT JOIN ctem ON k.t = ctem.t LEFT JOIN rt ON k.t = rt.t
 register("e14_coverage_matrix", _e14_sql())(_e14)
 
 
+def _runtime_alerts(spark, sf):
+    """Detections as runtime alerts of the exposures' tenants: the tenant follows from the entity."""
+    t = F.conv(F.substring(F.md5(F.coalesce("entity_id", F.lit(""))), 1, 4), 16, 10).cast("int") % 4
+    return all_detections(spark, sf).withColumn("tenant_id", F.concat(F.lit("t"), t.cast("string")))
+
+
 def _runtime_counts(spark, sf):
-    d = all_detections(spark, sf)
-    return d.where(F.col("atlas_technique") != "").groupBy("atlas_technique").agg(
+    return _runtime_alerts(spark, sf).where(F.col("atlas_technique") != "").groupBy("tenant_id", "atlas_technique").agg(
         F.count(F.lit(1)).alias("runtime_alerts"))
 
 
@@ -324,19 +329,17 @@ def _e07(spark, sf):
 def _rt_sql() -> str:
     from tidewatch.operators.rules import RULES
     from tidewatch.plans.registry import ORACLES
-    tech = {f"d{m.rule_id[-2:]}": m.atlas_technique for m in RULES.values()}
-    parts = [f"SELECT '{tech[q[:3]]}' AS t, alert_title_ FROM (SELECT *, '' AS alert_title_ FROM ({ORACLES[q]}))"
-             for q in ("d01_training_data_poisoning", "d02_model_extraction", "d03_prompt_injection",
-                       "d04_adversarial_evasion", "d05_oracle_dos", "d07_insider_exfiltration", "d08_alert_flood",
-                       "d09_sensor_spoofing", "d10_partner_compromise", "d11_edge_compromise")]
-    parts.append("SELECT CASE finding WHEN 'promotion' THEN 'AML.T0010' ELSE 'AML.T0018' END, '' FROM ("
-                 + ORACLES["d06_supply_chain"] + ")")
-    return f", rt AS (SELECT t AS atlas_technique, COUNT(*) AS runtime_alerts FROM ({' UNION ALL '.join(parts)}) GROUP BY t)"
+    from tidewatch.plans.rules_q import DETECTION_ENTITY
+    tech = {f"d{m.rule_id[-2:]}": f"'{m.atlas_technique}'" for m in RULES.values()}
+    tech["d06"] = "CASE finding WHEN 'promotion' THEN 'AML.T0010' ELSE 'AML.T0018' END"
+    parts = [f"SELECT {tech[q[:3]]} AS t, COALESCE(CAST({e} AS VARCHAR), '') AS entity FROM ({ORACLES[q]})" for q, e in DETECTION_ENTITY.items()]
+    return (", rt AS (SELECT t AS atlas_technique, 't' || CAST(CAST('0x' || substr(md5(entity), 1, 4) AS INTEGER) % 4 AS VARCHAR) AS tenant_id, "
+            f"COUNT(*) AS runtime_alerts FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL)")
 
 
 def _e07_sql() -> str:
     return with_roles(EXPOSURE_TABLE_SQL + _rt_sql() + f"""
-, e AS (SELECT x.*, rt.runtime_alerts FROM exposures x LEFT JOIN rt ON x.atlas_technique = rt.atlas_technique
+, e AS (SELECT x.*, rt.runtime_alerts FROM exposures x LEFT JOIN rt ON x.atlas_technique = rt.atlas_technique AND x.tenant_id = rt.tenant_id
         WHERE x.status IN ('Open', 'InProgress') AND x.ts > {ts(XNOW, days=90)} AND x.ts < {ts(XNOW)})
 , f AS (SELECT *, CASE WHEN runtime_alerts IS NOT NULL THEN ctem_score * 1.5 ELSE ctem_score END AS adj,
                CASE WHEN {ts(XNOW)} > sla_deadline THEN 'BREACHED'
@@ -354,34 +357,34 @@ register("e07_weekly_triage", _e07_sql())(_e07)
 
 
 def _e09(spark, sf):
-    alerts = all_detections(spark, sf).select("atlas_technique", F.col("alert_title"), F.col("detected_at").alias("ts"))
+    alerts = _runtime_alerts(spark, sf).select("tenant_id", "atlas_technique", F.col("alert_title"), F.col("detected_at").alias("ts"))
     c = EX.runtime_correlation(exposure_table(spark, sf), alerts)
-    return c.groupBy("atlas_technique").agg(F.count(F.lit(1)).alias("exposures"),
+    return c.groupBy("tenant_id", "atlas_technique").agg(F.count(F.lit(1)).alias("exposures"),
                                             F.max("runtime_alerts").cast("bigint").alias("runtime_alerts"))
 
 
 register("e09_exposure_runtime_correlation", with_roles(EXPOSURE_TABLE_SQL + _rt_sql() + """
-SELECT x.atlas_technique, CAST(COUNT(*) AS BIGINT) AS exposures, CAST(MAX(rt.runtime_alerts) AS BIGINT) AS runtime_alerts
-FROM exposures x JOIN rt ON x.atlas_technique = rt.atlas_technique GROUP BY x.atlas_technique
+SELECT x.tenant_id, x.atlas_technique, CAST(COUNT(*) AS BIGINT) AS exposures, CAST(MAX(rt.runtime_alerts) AS BIGINT) AS runtime_alerts
+FROM exposures x JOIN rt ON x.atlas_technique = rt.atlas_technique AND x.tenant_id = rt.tenant_id GROUP BY ALL
 """, "findings"))(_e09)
 
 
 def _e06(spark, sf):
     inv = TB.investigations(spark, sf)
     d = R.title_hourly_flood(inv, TB.INVESTIGATIONS_NOW)
-    return tidy(d.select("alert_title", F.date_format("hour_bin", "yyyy-MM-dd HH:mm").alias("hour_bin"),
+    return tidy(d.select("tenant_id", "alert_title", F.date_format("hour_bin", "yyyy-MM-dd HH:mm").alias("hour_bin"),
                          "current_count", "hourly_avg", "spike_ratio"))
 
 
 _INV = TB.INVESTIGATIONS_NOW
 register("e06_title_hourly_flood", with_roles(f"""
-, b AS (SELECT alert_title, COUNT(*) / (7 * 24.0) AS hourly_avg FROM investigations
-        WHERE created_at >= {ts(_INV, days=7)} AND created_at <= {ts(_INV, hours=6)} GROUP BY alert_title)
-, c AS (SELECT alert_title, date_trunc('hour', created_at) AS hour_bin, COUNT(*) AS n FROM investigations
-        WHERE created_at > {ts(_INV, hours=6)} AND created_at < {ts(_INV)} GROUP BY 1, 2)
-SELECT c.alert_title, strftime(c.hour_bin, '%Y-%m-%d %H:%M') AS hour_bin, CAST(c.n AS BIGINT) AS current_count,
+, b AS (SELECT tenant_id, alert_title, COUNT(*) / (7 * 24.0) AS hourly_avg FROM investigations
+        WHERE created_at >= {ts(_INV, days=7)} AND created_at <= {ts(_INV, hours=6)} GROUP BY ALL)
+, c AS (SELECT tenant_id, alert_title, date_trunc('hour', created_at) AS hour_bin, COUNT(*) AS n FROM investigations
+        WHERE created_at > {ts(_INV, hours=6)} AND created_at < {ts(_INV)} GROUP BY 1, 2, 3)
+SELECT c.tenant_id, c.alert_title, strftime(c.hour_bin, '%Y-%m-%d %H:%M') AS hour_bin, CAST(c.n AS BIGINT) AS current_count,
        ROUND(b.hourly_avg, 6) AS hourly_avg, ROUND(c.n / GREATEST(b.hourly_avg, 0.1), 6) AS spike_ratio
-FROM c JOIN b ON c.alert_title = b.alert_title WHERE c.n / GREATEST(b.hourly_avg, 0.1) > 5.0
+FROM c JOIN b ON c.alert_title = b.alert_title AND c.tenant_id = b.tenant_id WHERE c.n / GREATEST(b.hourly_avg, 0.1) > 5.0
 """, "investigations"))(_e06)
 
 
@@ -393,17 +396,17 @@ def _e06_insider(spark, sf):
 
 _SUSP = " OR ".join(f"target_resource ILIKE '%{r}%'" for r in R.SUSPICIOUS_RESOURCES)
 register("e06_insider_resource_access", with_roles(f"""
-, g AS (SELECT user_id,
+, g AS (SELECT tenant_id, user_id,
                COUNT(*) FILTER (WHERE ts >= {ts(NOW, days=30)} AND ts <= {ts(NOW, days=1)}) / 30.0 AS daily_avg,
                COUNT(*) FILTER (WHERE ts > {ts(NOW, hours=24)}) AS access_count,
                COUNT(DISTINCT CASE WHEN ts > {ts(NOW, hours=24)} THEN target_resource END) AS distinct_resources,
                COUNT(DISTINCT CASE WHEN ts > {ts(NOW, hours=24)} THEN source_ip END) AS distinct_source_ips,
                COUNT(*) FILTER (WHERE ts > {ts(NOW, hours=24)} AND (hour(ts) < 6 OR hour(ts) > 20)) AS after_hours_count
         FROM resource_access_log WHERE ts >= {ts(NOW, days=30)} AND ts < {ts(NOW)} AND ({_SUSP})
-        GROUP BY user_id)
+        GROUP BY tenant_id, user_id)
 , d AS (SELECT *, CASE WHEN daily_avg > 0 THEN access_count / daily_avg ELSE 999.0 END AS dev FROM g
         WHERE access_count > 0)
-SELECT user_id, ROUND(daily_avg, 6) AS daily_avg, CAST(access_count AS BIGINT) AS access_count,
+SELECT tenant_id, user_id, ROUND(daily_avg, 6) AS daily_avg, CAST(access_count AS BIGINT) AS access_count,
        CAST(distinct_resources AS BIGINT) AS distinct_resources, CAST(distinct_source_ips AS BIGINT) AS distinct_source_ips,
        CAST(after_hours_count AS BIGINT) AS after_hours_count, ROUND(dev, 6) AS deviation_factor,
        ROUND(LEAST(0.95, 0.6 + dev / 30.0), 6) AS confidence
@@ -416,11 +419,11 @@ def _e06_partner(spark, sf):
 
 
 register("e06_partner_direction_anomaly", with_roles(f"""
-, b AS (SELECT partner_id, direction, COUNT(*) / 7.0 AS avg_daily_requests, AVG(payload_size) AS avg_payload_size,
+, b AS (SELECT tenant_id, partner_id, direction, COUNT(*) / 7.0 AS avg_daily_requests, AVG(payload_size) AS avg_payload_size,
                STDDEV_SAMP(payload_size) AS std_payload_size,
                COUNT(*) FILTER (WHERE mtls_verified) / GREATEST(COUNT(*), 1) AS normal_mtls_rate
         FROM partner_traffic WHERE ts >= {ts(NOW, days=7)} AND ts <= {ts(NOW, hours=6)} GROUP BY ALL)
-, c AS (SELECT partner_id, partner_name, direction, COUNT(*) AS request_count, AVG(payload_size) AS avg_payload,
+, c AS (SELECT tenant_id, partner_id, partner_name, direction, COUNT(*) AS request_count, AVG(payload_size) AS avg_payload,
                MAX(payload_size) AS max_payload, COUNT(*) FILTER (WHERE response_code >= 400) AS error_count,
                COUNT(*) FILTER (WHERE NOT mtls_verified) AS mtls_fail_count,
                COUNT(DISTINCT data_type) AS distinct_data_types
@@ -430,8 +433,8 @@ register("e06_partner_direction_anomaly", with_roles(f"""
                CASE WHEN b.std_payload_size > 0 THEN (c.avg_payload - b.avg_payload_size) / b.std_payload_size
                     ELSE 0.0 END AS z,
                c.mtls_fail_count > 0 AND b.normal_mtls_rate > 0.99 AS mtls_anomalous
-        FROM c JOIN b ON c.partner_id = b.partner_id AND c.direction = b.direction)
-SELECT partner_id, partner_name, direction, CAST(request_count AS BIGINT) AS request_count,
+        FROM c JOIN b ON c.partner_id = b.partner_id AND c.direction = b.direction AND c.tenant_id = b.tenant_id)
+SELECT tenant_id, partner_id, partner_name, direction, CAST(request_count AS BIGINT) AS request_count,
        ROUND(avg_payload, 6) AS avg_payload, ROUND(max_payload, 6) AS max_payload,
        CAST(error_count AS BIGINT) AS error_count, CAST(mtls_fail_count AS BIGINT) AS mtls_fail_count,
        CAST(distinct_data_types AS BIGINT) AS distinct_data_types, ROUND(avg_daily_requests, 6) AS avg_daily_requests,

@@ -342,14 +342,18 @@ def _d12(spark, sf):
                                          F.sum("confidence").alias("confidence_sum")), places=4)
 
 
+#: The entity column of each rule's oracle.
+DETECTION_ENTITY = {"d01_training_data_poisoning": "user_id", "d02_model_extraction": "user_id",
+                    "d03_prompt_injection": "user_id", "d04_adversarial_evasion": "edge_node_id",
+                    "d05_oracle_dos": "edge_node_id", "d06_supply_chain": "entity_id",
+                    "d07_insider_exfiltration": "caller_identity", "d08_alert_flood": "''",
+                    "d09_sensor_spoofing": "edge_node_id", "d10_partner_compromise": "partner_id",
+                    "d11_edge_compromise": "edge_node_id"}
+
+
 def _d12_sql() -> str:
     from tidewatch.plans.registry import ORACLES
-    ent = {"d01_training_data_poisoning": "user_id", "d02_model_extraction": "user_id",
-           "d03_prompt_injection": "user_id", "d04_adversarial_evasion": "edge_node_id",
-           "d05_oracle_dos": "edge_node_id", "d06_supply_chain": "entity_id",
-           "d07_insider_exfiltration": "caller_identity", "d08_alert_flood": "''",
-           "d09_sensor_spoofing": "edge_node_id", "d10_partner_compromise": "partner_id",
-           "d11_edge_compromise": "edge_node_id"}
+    ent = DETECTION_ENTITY
     parts = [f"SELECT rule_id, CAST({e} AS VARCHAR) AS entity_id, confidence FROM ({ORACLES[q]})"
              for q, e in ent.items()]
     return ("SELECT rule_id, CAST(COUNT(*) AS BIGINT) AS detections, CAST(COUNT(DISTINCT entity_id) AS BIGINT) AS entities, "
@@ -359,6 +363,28 @@ def _d12_sql() -> str:
 register("d12_run_all_rules", _d12_sql(), headline=True)(_d12)
 
 
+def _d12_status(spark, sf):
+    rules = evaluations(spark, sf)
+    broken = TB.audit_log(spark, sf).drop("target_resource")
+    return R.rule_status(spark, rules | {"D-01": lambda: R.training_data_poisoning(broken, NOW)}, NOW)
+
+
+register("d12_rule_status", "SELECT r AS rule_id, r <> '" + R.RULES["D-01"].rule_id + "' AS ok, "
+         "CASE WHEN r = '" + R.RULES["D-01"].rule_id + "' THEN 'UNRESOLVED_COLUMN.WITH_SUGGESTION' END AS error FROM (VALUES "
+         + ", ".join(f"('{R.RULES[k].rule_id}')" for k in ("D-01", "D-02", "D-03", "D-04", "D-05", "D-06", "D-07", "D-08", "D-09", "D-10", "D-11"))
+         + ") t(r)")(_d12_status)
+
+
+def _d12_audit(spark, sf):
+    a = R.detection_audit(all_detections(spark, sf))
+    return a.groupBy("rule_id", "event_type", "severity").agg(F.count(F.lit(1)).alias("events"))
+
+
+register("d12_detection_audit", "SELECT rule_id, 'atlas.detection_fired' AS event_type, CASE rule_id "
+         + " ".join(f"WHEN '{m.rule_id}' THEN '{m.severity.lower()}'" for m in R.RULES.values())
+         + f" END AS severity, detections AS events FROM ({_d12_sql()})")(_d12_audit)
+
+
 def _p39(spark, sf):
     a = R.detections_to_alerts(all_detections(spark, sf))
     return a.select("source", "title", "severity", F.size("techniques").cast("bigint").alias("n_techniques"))

@@ -185,3 +185,91 @@ def _e22(spark, sf):
 
 
 register("e22_document_chunking", None)(_e22)
+
+
+# ---------------------------------------------------------------- T-10 / T-14 / T-15 / T-19
+def _techniques(spark):
+    from tidewatch.operators.exposure import KNOWN_TECHNIQUES
+    return spark.createDataFrame([(t,) for t, _, _ in KNOWN_TECHNIQUES], "technique_id string")
+
+
+def _reports(spark, sf):
+    """Documents as reports that cite techniques: one of the taxonomy, one numbered by the row; every fifth
+    row has no language (a null beside the text)."""
+    d = TB.read(spark, sf, "documents")
+    cited = F.format_string("%s uses AML.T%04d and T%04d.%03d.", F.substring("text", 1, 80), 10 + F.col("doc_id") % 60,
+                            1000 + F.col("doc_id") % 700, F.col("doc_id") % 5)
+    return d.select("doc_id", F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("lang"), cited.alias("report"))
+
+
+def _t14(spark, sf):
+    q = TX.quarantine_techniques(_reports(spark, sf), "report", _techniques(spark))
+    return q.select("doc_id", "lang", F.array_join("quarantined", ",").alias("quarantined"), F.md5("validated_text").alias("validated_md5"))
+
+
+def _t14_sql() -> str:
+    from tidewatch.operators.exposure import KNOWN_TECHNIQUES
+    known = "[" + ", ".join(f"'{t}'" for t, _, _ in KNOWN_TECHNIQUES) + "]"
+    return rf"""
+WITH r AS (SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN lang END AS lang, substr(text, 1, 80) || ' uses ' AS head,
+                  'AML.T' || lpad(CAST(10 + doc_id % 60 AS VARCHAR), 4, '0') AS a,
+                  'T' || lpad(CAST(1000 + doc_id % 700 AS VARCHAR), 4, '0') || '.' || lpad(CAST(doc_id % 5 AS VARCHAR), 3, '0') AS t
+           FROM documents)
+, q AS (SELECT *, head || a || ' and ' || t || '.' AS report, list_contains({known}, a) AS ka, list_contains({known}, t) AS kt FROM r)
+SELECT doc_id, lang, array_to_string(list_sort(list_filter([a, t], lambda x: NOT list_contains({known}, x))), ',') AS quarantined,
+       md5(head || CASE WHEN ka THEN a ELSE '' END || ' and ' || CASE WHEN kt THEN t ELSE '' END || '.') AS validated_md5
+FROM q
+"""
+
+
+register("t14_quarantine_techniques", _t14_sql())(_t14)
+
+
+def _t10(spark, sf):
+    d = TB.read(spark, sf, "documents").select("doc_id")
+    risk = F.element_at(F.array(*[F.lit(x) for x in ("benign", "suspicious", "malicious")]), (F.col("doc_id") % 3 + 1).cast("int"))
+    other = F.when(F.col("doc_id") % 7 != 0, F.element_at(F.array(*[F.lit(x) for x in ("benign", "suspicious", "malicious")]),
+                                                          (F.col("doc_id") % 4 % 3 + 1).cast("int")))
+    v = TX.stricter_verdict(risk, other, F.lit(0.65), (F.col("doc_id") % 10) / 10)
+    return tidy(d.select("doc_id", v.alias("v")).select("doc_id", "v.risk", "v.confidence"))
+
+
+register("t10_stricter_verdict", """
+WITH x AS (SELECT doc_id, ['benign', 'suspicious', 'malicious'][doc_id % 3 + 1] AS r, doc_id % 3 AS rr,
+                  CASE WHEN doc_id % 7 <> 0 THEN doc_id % 4 % 3 END AS o, (doc_id % 10) / 10.0 AS oc FROM documents)
+SELECT doc_id, CASE WHEN rr = 1 AND o > 1 THEN 'malicious' ELSE r END AS risk,
+       ROUND(CASE WHEN rr = 1 AND o > 1 THEN oc WHEN rr = 1 AND o IS NOT NULL THEN GREATEST(0.65, oc) ELSE 0.65 END, 6) AS confidence
+FROM x
+""")(_t10)
+
+
+def _answers(spark, sf):
+    """Model answers: JSON with a verdict and score; some rows malformed, without a key, or with a wrong type."""
+    d = TB.read(spark, sf, "documents").select("doc_id", "lang")
+    k = F.col("doc_id") % 5
+    body = (F.when(k == 0, F.lit("not json")).when(k == 1, F.format_string('{"verdict":"%s"}', "lang"))
+            .when(k == 2, F.format_string('{"verdict":%d,"score":0.5}', F.col("doc_id")))
+            .otherwise(F.format_string('{"verdict":"%s","score":0.%d}', "lang", k)))
+    return d.select("doc_id", body.alias("answer"))
+
+
+def _t15(spark, sf):
+    e = TX.json_shape_errors("answer", ["verdict", "score"], {"verdict": "string", "score": "number"})
+    return _answers(spark, sf).select("doc_id", F.array_join(e, "; ").alias("errors"))
+
+
+register("t15_json_shape", """
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Response is not valid JSON' WHEN 1 THEN 'Missing required field: score'
+                               WHEN 2 THEN 'Field ''verdict'' expected string' ELSE '' END AS errors FROM documents
+""")(_t15)
+
+
+def _t19(spark, sf):
+    p = TX.parse_json_or_default("answer", "verdict string, score double", '{"verdict":"unknown","score":0.0}')
+    return tidy(_answers(spark, sf).select("doc_id", p.alias("p")).select("doc_id", "p.verdict", "p.score"))
+
+
+register("t19_json_or_default", """
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'unknown' WHEN 2 THEN CAST(doc_id AS VARCHAR) ELSE lang END AS verdict,
+       CAST(CASE doc_id % 5 WHEN 0 THEN 0.0 WHEN 2 THEN 0.5 WHEN 3 THEN 0.3 WHEN 4 THEN 0.4 END AS DOUBLE) AS score FROM documents
+""")(_t19)

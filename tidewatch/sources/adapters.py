@@ -91,21 +91,22 @@ def _entity(**fields) -> Column:
 # S-01 Sentinel
 # ---------------------------------------------------------------------------
 
-def sentinel_to_canonical(raw: DataFrame, col: str = "raw") -> DataFrame:
-    """Drop heartbeats; lower-case severity (default medium); CSV tactics/techniques."""
-    a = raw.select(F.col(col).alias("raw_payload"), F.from_json(F.col(col), SENTINEL_SCHEMA).alias("a"))
-    name = F.coalesce(F.col("a.AlertName"), F.lit(""))
-    a = a.where(~F.lower(F.trim(name)).isin(*HEARTBEAT_NAMES))
-    sev = F.col("a.Severity")
-    return a.select(
-        F.coalesce(F.col("a.SystemAlertId"), F.lit("")).alias("alert_id"), F.lit("sentinel").alias("source"),
-        F.coalesce(F.col("a.TimeGenerated"), F.lit("")).alias("timestamp"), name.alias("title"),
-        F.coalesce(F.col("a.Description"), F.lit("")).alias("description"),
+Fields = tuple[Column, list[Column]]  # which parsed rows are alerts, and their canonical columns
+
+
+def sentinel_fields(a: str) -> Fields:
+    """S-01: drop heartbeats; lower-case severity (default medium); CSV tactics/techniques."""
+    name = F.coalesce(F.col(f"{a}.AlertName"), F.lit(""))
+    sev = F.col(f"{a}.Severity")
+    return ~F.lower(F.trim(name)).isin(*HEARTBEAT_NAMES), [
+        F.coalesce(F.col(f"{a}.SystemAlertId"), F.lit("")).alias("alert_id"), F.lit("sentinel").alias("source"),
+        F.coalesce(F.col(f"{a}.TimeGenerated"), F.lit("")).alias("timestamp"), name.alias("title"),
+        F.coalesce(F.col(f"{a}.Description"), F.lit("")).alias("description"),
         F.when(_nonempty(sev), F.lower(F.trim(sev))).otherwise("medium").alias("severity"),
-        split_csv(F.col("a.Tactics")).alias("tactics"), split_csv(F.col("a.Techniques")).alias("techniques"),
-        F.coalesce(F.col("a.Entities"), F.lit("[]")).alias("entities_raw"),
-        F.coalesce(F.col("a.ProductName"), F.lit("")).alias("product"),
-        F.coalesce(F.col("a.TenantId"), F.lit("default")).alias("tenant_id"), "raw_payload")
+        split_csv(F.col(f"{a}.Tactics")).alias("tactics"), split_csv(F.col(f"{a}.Techniques")).alias("techniques"),
+        F.coalesce(F.col(f"{a}.Entities"), F.lit("[]")).alias("entities_raw"),
+        F.coalesce(F.col(f"{a}.ProductName"), F.lit("")).alias("product"),
+        F.coalesce(F.col(f"{a}.TenantId"), F.lit("default")).alias("tenant_id")]
 
 
 # ---------------------------------------------------------------------------
@@ -146,28 +147,26 @@ def elastic_entities(a: str = "a") -> Column:
     return _number_entities(cands)
 
 
-def elastic_to_canonical(raw: DataFrame, col: str = "raw") -> DataFrame:
-    """Nested threat arrays -> ordered distinct tactics and technique/sub-technique ids with the
+def elastic_fields(a: str) -> Fields:
+    """S-02: nested threat arrays -> ordered distinct tactics and technique/sub-technique ids with the
     rule-level fallback; severity whitelist; tenant from the first space id."""
-    a = raw.select(F.col(col).alias("raw_payload"), F.from_json(F.col(col), ELASTIC_SCHEMA).alias("a"))
-    name = F.coalesce(F.col("a.signal.rule.name"), F.lit(""))
-    a = a.where(~F.lower(F.trim(name)).isin(*HEARTBEAT_NAMES))
-    params = F.col("a.kibana.alert.rule.parameters.threat")
-    rule_threat = F.col("a.signal.rule.threat")
+    name = F.coalesce(F.col(f"{a}.signal.rule.name"), F.lit(""))
+    params = F.col(f"{a}.kibana.alert.rule.parameters.threat")
+    rule_threat = F.col(f"{a}.signal.rule.threat")
     tac, tech = _threat_tactics(params), _threat_techniques(params)
-    sev = F.lower(F.trim(F.col("a.signal.rule.severity")))
-    spaces = F.col("a.`kibana.space_ids`")
-    return a.select(
-        F.coalesce(F.col("a.signal.rule.id"), F.col("a.signal.id"), F.lit("")).alias("alert_id"),
-        F.lit("elastic").alias("source"), F.coalesce(F.col("a.`@timestamp`"), F.lit("")).alias("timestamp"),
-        name.alias("title"), F.coalesce(F.col("a.signal.rule.description"), F.lit("")).alias("description"),
+    sev = F.lower(F.trim(F.col(f"{a}.signal.rule.severity")))
+    spaces = F.col(f"{a}.`kibana.space_ids`")
+    return ~F.lower(F.trim(name)).isin(*HEARTBEAT_NAMES), [
+        F.coalesce(F.col(f"{a}.signal.rule.id"), F.col(f"{a}.signal.id"), F.lit("")).alias("alert_id"),
+        F.lit("elastic").alias("source"), F.coalesce(F.col(f"{a}.`@timestamp`"), F.lit("")).alias("timestamp"),
+        name.alias("title"), F.coalesce(F.col(f"{a}.signal.rule.description"), F.lit("")).alias("description"),
         F.when(sev.isin(*CANONICAL_SEVERITIES), sev).otherwise("medium").alias("severity"),
         F.when(F.size(tac) > 0, tac).otherwise(_threat_tactics(rule_threat)).alias("tactics"),
         F.when(F.size(tech) > 0, tech).otherwise(_threat_techniques(rule_threat)).alias("techniques"),
-        elastic_entities().alias("entities_raw"),
-        F.coalesce(F.col("a.agent.type"), F.lit("elastic")).alias("product"),
+        elastic_entities(a).alias("entities_raw"),
+        F.coalesce(F.col(f"{a}.agent.type"), F.lit("elastic")).alias("product"),
         F.when(spaces.isNotNull(), F.coalesce(spaces.getItem(0), F.lit("default")))
-         .otherwise(F.coalesce(F.col("a.tenant_id"), F.lit("default"))).alias("tenant_id"), "raw_payload")
+         .otherwise(F.coalesce(F.col(f"{a}.tenant_id"), F.lit("default"))).alias("tenant_id")]
 
 
 # ---------------------------------------------------------------------------
@@ -223,39 +222,66 @@ def splunk_time(raw: Column) -> Column:
     return F.when(num.isNotNull(), iso).otherwise(raw)
 
 
-def splunk_to_canonical(raw: DataFrame, col: str = "raw") -> DataFrame:
-    """Drop ``Health*`` searches; urgency map; epoch-or-ISO time; list-or-CSV annotations."""
-    a = raw.select(F.col(col).alias("raw_payload"), F.from_json(F.col(col), SPLUNK_SCHEMA).alias("a"))
-    sname = F.coalesce(F.col("a.search_name"), F.lit(""))
-    a = a.where(F.col("a").isNotNull() & ~sname.startswith(HEALTH_PREFIX))
-    urg = F.col("a.urgency")
-    return a.select(
-        F.coalesce(F.col("a.event_id"), F.col("a.sid"), F.lit("")).alias("alert_id"),
-        F.lit("splunk").alias("source"), splunk_time(F.col("a._time")).alias("timestamp"),
-        F.when(sname != "", sname).otherwise(F.coalesce(F.col("a.rule_title"), F.lit(""))).alias("title"),
-        F.coalesce(F.col("a.description"), F.lit("")).alias("description"),
+def splunk_fields(a: str) -> Fields:
+    """S-04: drop ``Health*`` searches; urgency map; epoch-or-ISO time; list-or-CSV annotations."""
+    sname = F.coalesce(F.col(f"{a}.search_name"), F.lit(""))
+    urg = F.col(f"{a}.urgency")
+    return F.col(a).isNotNull() & ~sname.startswith(HEALTH_PREFIX), [
+        F.coalesce(F.col(f"{a}.event_id"), F.col(f"{a}.sid"), F.lit("")).alias("alert_id"),
+        F.lit("splunk").alias("source"), splunk_time(F.col(f"{a}._time")).alias("timestamp"),
+        F.when(sname != "", sname).otherwise(F.coalesce(F.col(f"{a}.rule_title"), F.lit(""))).alias("title"),
+        F.coalesce(F.col(f"{a}.description"), F.lit("")).alias("description"),
         F.when(_nonempty(urg), lookup(URGENCY_MAP, F.lower(F.trim(urg)), "medium")).otherwise("medium").alias("severity"),
-        _list_or_csv(F.col("a.annotations.mitre_attack.mitre_tactic")).alias("tactics"),
-        _list_or_csv(F.col("a.annotations.mitre_attack.mitre_technique_id")).alias("techniques"),
-        splunk_entities().alias("entities_raw"),
-        F.coalesce(F.col("a.source"), F.lit("splunk_es")).alias("product"),
-        F.coalesce(F.col("a.tenant_id"), F.lit("default")).alias("tenant_id"), "raw_payload")
+        _list_or_csv(F.col(f"{a}.annotations.mitre_attack.mitre_tactic")).alias("tactics"),
+        _list_or_csv(F.col(f"{a}.annotations.mitre_attack.mitre_technique_id")).alias("techniques"),
+        splunk_entities(a).alias("entities_raw"),
+        F.coalesce(F.col(f"{a}.source"), F.lit("splunk_es")).alias("product"),
+        F.coalesce(F.col(f"{a}.tenant_id"), F.lit("default")).alias("tenant_id")]
 
 
 # ---------------------------------------------------------------------------
 # S-06 registry, P-01 validation
 # ---------------------------------------------------------------------------
 
-ADAPTERS = {"sentinel": sentinel_to_canonical, "elastic": elastic_to_canonical, "splunk": splunk_to_canonical}
+ADAPTERS = {"sentinel": (SENTINEL_SCHEMA, sentinel_fields), "elastic": (ELASTIC_SCHEMA, elastic_fields),
+            "splunk": (SPLUNK_SCHEMA, splunk_fields)}
+
+
+def to_canonical(raw: DataFrame, source: str, col: str = "raw") -> DataFrame:
+    """The canonical rows of one source. The JSON is parsed once a row (behind a generator, so
+    that the filter does not parse it again)."""
+    schema, fields = ADAPTERS[source]
+    keep, columns = fields("a")
+    parsed = raw.select(F.col(col).alias("raw_payload"), F.explode(F.array(F.from_json(F.col(col), schema))).alias("a"))
+    return parsed.where(keep).select(*columns, "raw_payload")
+
+
+def sentinel_to_canonical(raw: DataFrame, col: str = "raw") -> DataFrame:
+    return to_canonical(raw, "sentinel", col)
+
+
+def elastic_to_canonical(raw: DataFrame, col: str = "raw") -> DataFrame:
+    return to_canonical(raw, "elastic", col)
+
+
+def splunk_to_canonical(raw: DataFrame, col: str = "raw") -> DataFrame:
+    return to_canonical(raw, "splunk", col)
 
 
 def union_sources(raw: DataFrame, source_col: str = "source", col: str = "raw") -> DataFrame:
-    """S-06: route each raw row to its adapter by ``source`` and union the canonical rows."""
-    out = None
-    for name, fn in ADAPTERS.items():
-        part = fn(raw.where(F.col(source_col) == name).select(col), col).select(*CANONICAL_COLUMNS)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """S-06: each raw row through the adapter of its ``source``. One scan: a row is parsed once, by its own
+    source's schema (the others get null), and each canonical column branches on the source."""
+    src = F.col(source_col)
+    parsed = raw.where(src.isin(*ADAPTERS)).select(src.alias("_source"), F.col(col).alias("raw_payload"), F.explode(F.array(F.struct(
+        *[F.from_json(F.when(src == n, F.col(col)), schema).alias(n) for n, (schema, _) in ADAPTERS.items()]))).alias("_p"))
+    parsed = parsed.select("_source", "raw_payload", "_p.*")
+    made = {n: fields(n) for n, (_, fields) in ADAPTERS.items()}
+    keep = F.coalesce(*[F.when(F.col("_source") == n, m[0]) for n, m in made.items()])
+    names = [c for c in CANONICAL_COLUMNS if c != "raw_payload"]
+
+    def branch(i: int) -> Column:
+        return F.coalesce(*[F.when(F.col("_source") == n, m[1][i]) for n, m in made.items()])
+    return parsed.where(keep).select(*[branch(i).alias(c) for i, c in enumerate(names)], "raw_payload")
 
 
 def validate_canonical(alerts: DataFrame) -> tuple[DataFrame, DataFrame]:
