@@ -6,8 +6,9 @@ W-05, W-06, P-31..P-36).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import address_key, col_type, network_range, shift, stable_order_key, time_lit
@@ -271,20 +272,27 @@ def overall_drift(source: DataFrame, technique: DataFrame, entity: DataFrame,
 
 def stratified_sample(closures: DataFrame, now, *, strata: Sequence[str] = ("rule_family", "severity",
                                                                             "asset_criticality"),
-                      min_per_stratum: int | Column = MIN_PER_STRATUM, seed: int = 42, id_col: str = "alert_id",
-                      novel_days: int = NOVEL_DAYS) -> DataFrame:
+                      min_per_stratum: int = MIN_PER_STRATUM, quota_col: str | None = None, max_quota: int | None = None,
+                      seed: int = 42, id_col: str = "alert_id", novel_days: int = NOVEL_DAYS) -> DataFrame:
     """W-05: every closure of a novel pattern (< 30 days old) plus non-novel ones, in a repeatable
-    hash order, up to ``min_per_stratum - novel`` per stratum (Q17: no random sampling)."""
-    from pyspark.sql import Window
+    hash order, up to ``min_per_stratum - novel`` per stratum (Q17: no random sampling).
+
+    ``quota_col`` gives the quota per row instead (W-06), at most ``max_quota``. Novel rows are counted, not ranked; of
+    the others only the first ``max_quota`` of a stratum can be taken, so each task keeps that many before
+    the shuffle (window group limit) and no task sees a whole stratum.
+    """
     dt = col_type(closures, "pattern_created_at")
     novel = F.coalesce(F.col("pattern_created_at") > time_lit(shift(now, days=novel_days), dt), F.lit(False))
+    most = max_quota or min_per_stratum
     c = closures.withColumn("is_novel", novel)
-    w_all = Window.partitionBy(*strata)
-    w_rank = Window.partitionBy(*strata, "is_novel").orderBy(stable_order_key(seed, F.col(id_col)), F.col(id_col))
-    quota = min_per_stratum if isinstance(min_per_stratum, Column) else F.lit(min_per_stratum)
-    c = (c.withColumn("n_novel", F.count_if("is_novel").over(w_all))
-         .withColumn("_r", F.row_number().over(w_rank)))
-    return c.where(F.col("is_novel") | (F.col("_r") <= F.greatest(F.lit(0), quota - F.col("n_novel")))).drop("_r")
+    counts = c.groupBy(*[F.col(s).alias(f"_{s}") for s in strata]).agg(F.count_if("is_novel").alias("n_novel"))
+    same = reduce(lambda x, y: x & y, [F.col(s).eqNullSafe(F.col(f"_{s}")) for s in strata])
+    w = Window.partitionBy(*strata).orderBy(stable_order_key(seed, F.col(id_col)), F.col(id_col))
+    rest = c.where(~F.col("is_novel")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    quota = F.col(quota_col) if quota_col else F.lit(min_per_stratum)
+    filled = rest.join(counts, same).where(F.col("_r") <= F.greatest(F.lit(0), quota - F.col("n_novel"))).drop("_r")
+    out = c.where("is_novel").join(counts, same).unionByName(filled)
+    return out.drop(*[f"_{s}" for s in strata])
 
 
 def family_drift(counts: DataFrame, by: str, current: str = "current", baseline: str = "baseline",

@@ -2,14 +2,15 @@
 failure runs (W-14), silent-source gaps (ST-11 batch twin), sequential escalation budget
 (ST-05 batch twin) and dual-trigger batching (ST-06 batch twin).
 
-Trailing windows are partitioned by (key, day) with a *halo*: rows of the last
-``window`` seconds of each day are copied into the next day's partition and used only
-as context. A key holding a third of all rows is thereby split across its days instead
-of being sorted in one task; the result equals the unpartitioned window exactly.
-
-The two sequential policies (a grant depends on earlier grants) stream each key's rows
-in time order through ``mapInPandas`` carrying O(1) state per key (at most ``limit``
-timestamps, or one open batch), never a whole group.
+Trailing windows are partitioned by (key, bucket), a bucket being eight window lengths, with a
+*halo*: rows of the last window length of each bucket are copied into the next bucket and used only as
+context. A key holding a third of all rows is thereby split finely instead of being sorted in one task; the result
+equals the unpartitioned window exactly.
+
+The two sequential policies (a grant depends on earlier grants) stream rows in time order through
+``mapInPandas`` carrying O(1) state (at most ``limit`` timestamps, or one open batch), never a whole
+group. The budget streams only the rows that could be granted, and a key is cut wherever a whole window has none of
+them: grants before such a gap have expired after it.
 """
 
 from __future__ import annotations
@@ -35,12 +36,13 @@ BATCH_COUNT_THRESHOLD, BATCH_TIME_THRESHOLD_HOURS = 50, 6
 
 def trailing_count(df: DataFrame, key: str, ts: str, seconds: int, out: str = "trailing_count") -> DataFrame:
     """Rows of the same key within ``[ts - seconds, ts]`` (inclusive, like rangeBetween(-s, 0))."""
-    e = df.withColumn("_t", epoch_seconds(F.col(ts))).withColumn("_day", F.floor(F.col("_t") / 86400))
-    halo = (e.where(F.col("_t") - F.col("_day") * 86400 >= 86400 - seconds)
-            .withColumn("_day", F.col("_day") + 1).withColumn("_halo", F.lit(True)))
+    span = 8 * seconds
+    e = df.withColumn("_t", epoch_seconds(F.col(ts))).withColumn("_bucket", F.floor(F.col("_t") / span))
+    halo = (e.where(F.col("_t") - F.col("_bucket") * span >= span - seconds)
+            .withColumn("_bucket", F.col("_bucket") + 1).withColumn("_halo", F.lit(True)))
     u = e.withColumn("_halo", F.lit(False)).unionByName(halo)
-    w = Window.partitionBy(key, "_day").orderBy("_t").rangeBetween(-seconds, 0)
-    return u.withColumn(out, F.count(F.lit(1)).over(w)).where(~F.col("_halo")).drop("_t", "_day", "_halo")
+    w = Window.partitionBy(key, "_bucket").orderBy("_t").rangeBetween(-seconds, 0)
+    return u.withColumn(out, F.count(F.lit(1)).over(w)).where(~F.col("_halo")).drop("_t", "_bucket", "_halo")
 
 
 def quota_check(df: DataFrame, key: str, ts: str, seconds: int, limit_col, out: str = "over_quota") -> DataFrame:
@@ -103,20 +105,21 @@ def bucket_counts(df: DataFrame, key: str, ts: str, width: str = "1 hour") -> Da
 # Sequential policies, streamed per key
 # ---------------------------------------------------------------------------
 
-def _budget_stream(limit: int, window_s: float, conf_max: float, severities: tuple[str, ...]):
+def _budget_stream(limit: int, window_s: float):
+    """Rows sorted by (key, segment, time), all of which ask for a grant."""
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict[str, deque] = {}
+        now, grants = None, deque()
         for pdf in it:
             granted = []
-            for key, t, conf, sev in zip(pdf["_key"], pdf["_t"], pdf["_conf"], pdf["_sev"]):
-                dq = state.setdefault(key, deque())
-                while dq and t - dq[0] >= window_s:
-                    dq.popleft()
-                ok = conf is not None and conf < conf_max and sev in severities and len(dq) < limit
-                if ok:
-                    dq.append(t)
-                granted.append(bool(ok))
-            out = pdf.drop(columns=["_key", "_t", "_conf", "_sev"])
+            for key, segment, t in zip(pdf["_key"], pdf["_segment"], pdf["_t"]):
+                if (key, segment) != now:
+                    now, grants = (key, segment), deque()
+                while grants and t - grants[0] >= window_s:
+                    grants.popleft()
+                granted.append(len(grants) < limit)
+                if granted[-1]:
+                    grants.append(t)
+            out = pdf.drop(columns=["_key", "_segment", "_t"])
             out["escalated"] = granted
             yield out
     return run
@@ -128,14 +131,21 @@ def escalation_budget(df: DataFrame, key: str, ts: str, confidence: str, severit
                       partitions: int | None = None) -> DataFrame:
     """ST-05 batch twin: escalate low-confidence critical/high rows while fewer than ``limit``
     escalations were GRANTED for the key in the trailing hour (denied ones do not count)."""
-    ship_package(df.sparkSession)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    e = df.select("*", F.col(key).cast("string").alias("_key"), epoch_seconds(F.col(ts)).alias("_t"),
-                  F.col(confidence).cast("double").alias("_conf"), F.col(severity).alias("_sev"))
-    e = e.repartition(n, "_key").sortWithinPartitions("_key", "_t", *order_cols)
+    spark = df.sparkSession
+    ship_package(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asks = F.coalesce((F.col(confidence).cast("double") < confidence_threshold) & F.col(severity).isin(*ESCALATION_SEVERITIES), F.lit(False))
+    e = df.where(asks).select("*", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), epoch_seconds(F.col(ts)).alias("_t"))
+    e = e.withColumn("_bucket", F.floor(F.col("_t") / window_seconds))
+    # One row per key and window length with a request: where the one before is empty, a segment begins.
+    w = Window.partitionBy("_key").orderBy("_bucket")
+    b = e.select("_key", "_bucket").distinct().withColumn("_new", F.when(F.col("_bucket") - F.lag("_bucket").over(w) == 1, 0).otherwise(1))
+    b = b.withColumn("_segment", F.sum("_new").over(w)).drop("_new")
+    e = (e.join(b, ["_key", "_bucket"]).drop("_bucket").repartition(n, "_key", "_segment")
+         .sortWithinPartitions("_key", "_segment", "_t", *order_cols).select(*df.columns, "_key", "_segment", "_t"))
     schema = T.StructType(df.schema.fields + [T.StructField("escalated", T.BooleanType())])
-    return e.mapInPandas(_budget_stream(limit, float(window_seconds), confidence_threshold,
-                                        tuple(ESCALATION_SEVERITIES)), schema)
+    granted = e.mapInPandas(_budget_stream(limit, float(window_seconds)), schema)
+    return granted.unionByName(df.where(~asks).withColumn("escalated", F.lit(False)))
 
 
 def _batch_stream(count_threshold: int, time_s: float):

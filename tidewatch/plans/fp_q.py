@@ -186,7 +186,7 @@ def _w06(spark, sf):
               .agg(F.count_if(cur).alias("current"), F.count_if(~cur).alias("baseline")))
     affected = FP.family_drift(counts, "rule_family").where("drifted")
     quota = FP.drift_quota(c.select("rule_family").distinct(), affected, base=3)
-    s = FP.stratified_sample(c.join(quota, "rule_family"), EVN, min_per_stratum=F.col("quota"))
+    s = FP.stratified_sample(c.join(quota, "rule_family"), EVN, quota_col="quota", max_quota=6)
     return s.select("alert_id", "rule_family", "severity", "asset_criticality", "is_novel", "quota")
 
 
@@ -214,14 +214,13 @@ WHERE is_novel OR rn <= GREATEST(0, quota - n_novel)
 # ---------------------------------------------------------------- J-10
 def _j10(spark, sf):
     closed = TB.closures(spark, sf).where("auto_closed")
-    conv = TB.read(spark, sf, "conversations").where(F.col("role") == "system") \
-        .select(F.col("conv_id").cast("string").alias("alert_id"))
+    conv = TB.read(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("alert_id"))
     return FP.escalated_closures(closed, conv).select("alert_id", "rule_family", "fn_flagged", "review_status")
 
 
 register("j10_escalated_closures", with_roles("""
 SELECT alert_id, rule_family, true AS fn_flagged, 'pending_review' AS review_status FROM closures
-WHERE auto_closed AND alert_id IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations WHERE role = 'system')
+WHERE auto_closed AND alert_id IN (SELECT CAST(conv_id AS VARCHAR) FROM conversations)
 """, "closures"))(_j10)
 
 

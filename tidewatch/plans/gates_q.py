@@ -172,3 +172,68 @@ register("p23_degradation_levels", with_roles("""
 SELECT lvl AS degradation_level, CASE lvl WHEN 'full_capability' THEN 'tier_1_plus' WHEN 'secondary_active' THEN 'tier_1'
        ELSE 'tier_0' END AS max_tier, CAST(COUNT(*) AS BIGINT) AS days FROM v GROUP BY lvl
 """, "call_log"))(_p23)
+
+
+# ---------------------------------------------------------------- P-29 / P-30 / P-41 / J-13
+def _p29(spark, sf):
+    from tidewatch.plans.rules_q import all_detections
+    d = all_detections(spark, sf).groupBy("rule_id").agg(F.collect_set(F.struct("telemetry_trust_level", "attestation_status")).alias("d"))
+    return d.select("rule_id", GT.trust_constraint(F.col("d")).alias("c")).select("rule_id", "c.requires_human_review")
+
+
+def _p29_sql() -> str:
+    from tidewatch.plans.registry import ORACLES
+    return f"SELECT rule_id, rule_id IN ('ATLAS-DETECT-009', 'ATLAS-DETECT-011') AS requires_human_review FROM ({ORACLES['d12_run_all_rules']})"
+
+
+register("p29_trust_constraint", _p29_sql())(_p29)
+
+
+def _p30(spark, sf):
+    from tidewatch.operators import audit as AU
+    e = TB.read(spark, sf, "events").select(F.when(F.col("event_type") == "click", "alert.classified")
+                                            .when(F.col("event_type") == "view", "response.executed")
+                                            .when(F.col("event_type") == "error", "config.changed").otherwise(F.col("event_type")).alias("event_type"))
+    good, bad = AU.categorise_events(e)
+    return (good.select("event_type", "event_category").unionByName(bad.select("event_type", F.col("error").alias("event_category")))
+            .groupBy("event_type", "event_category").agg(F.count(F.lit(1)).alias("events")))
+
+
+register("p30_event_categories", """
+SELECT CASE event_type WHEN 'click' THEN 'alert.classified' WHEN 'view' THEN 'response.executed' WHEN 'error' THEN 'config.changed'
+            ELSE event_type END AS event_type,
+       CASE event_type WHEN 'click' THEN 'decision' WHEN 'view' THEN 'action' WHEN 'error' THEN 'system' ELSE 'unknown event type' END AS event_category,
+       CAST(COUNT(*) AS BIGINT) AS events FROM events GROUP BY ALL
+""")(_p30)
+
+
+def _p41(spark, sf):
+    jobs = TB.read(spark, sf, "events").select("event_type", F.col("ts").alias("submitted_at"))
+    b = GT.batch_sla(jobs, TB.EVENTS_NOW)
+    return b.groupBy("event_type").agg(F.count_if("sla_expired").alias("expired"), F.count(F.lit(1)).alias("jobs"))
+
+
+register("p41_batch_sla", f"""
+SELECT event_type, CAST(COUNT(*) FILTER (WHERE ts < {ts(TB.EVENTS_NOW, hours=24)}) AS BIGINT) AS expired, CAST(COUNT(*) AS BIGINT) AS jobs
+FROM events GROUP BY event_type
+""")(_p41)
+
+
+def _j13(spark, sf):
+    from tidewatch.operators import enrich as EN
+    s = TB.read(spark, sf, "supplier")
+    assets = s.select(F.concat(F.lit("asset-"), F.col("s_suppkey").cast("string")).alias("asset_id"))
+    zone = (s.where(F.col("s_acctbal") > 0)
+            .select(F.concat(F.lit("asset-"), F.col("s_suppkey").cast("string")).alias("asset_id"),
+                    F.concat(F.lit("zone-"), (F.col("s_nationkey") % 5).cast("string")).alias("zone")))
+    owner = (s.join(TB.read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).where(F.col("n_regionkey") < 3)
+             .select(F.concat(F.lit("asset-"), F.col("s_suppkey").cast("string")).alias("asset_id"), F.col("n_name").alias("owner")))
+    return EN.asset_context(assets, zone, owner)
+
+
+register("j13_asset_context", """
+SELECT 'asset-' || CAST(s_suppkey AS VARCHAR) AS asset_id,
+       CASE WHEN s_acctbal > 0 THEN 'zone-' || CAST(s_nationkey % 5 AS VARCHAR) END AS zone,
+       CASE WHEN n_regionkey < 3 THEN n_name END AS owner
+FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
+""")(_j13)
