@@ -647,7 +647,9 @@ def extraction_by_gap(api: DataFrame, now, *, threshold: int = EXTRACTION_THRESH
     for p in endpoints:
         like = like | F.col("endpoint").like(p)
     w = api.where((F.col("ts") > time_lit(shift(now, hours=lookback_hours), dt)) & (F.col("ts") < time_lit(now, dt)) & like)
-    gap = (epoch_seconds(F.col("ts")) - epoch_seconds(F.lag("ts").over(Window.partitionBy("tenant_id", "caller_identity").orderBy("ts")))) * 1000
+    # In whole microseconds: seconds as doubles would lose the last digits.
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = (micros - F.lag(micros).over(Window.partitionBy("tenant_id", "caller_identity").orderBy("ts"))) / 1000
     g = (w.withColumn("gap_ms", gap).groupBy("tenant_id", "caller_identity")
          .agg(F.count(F.lit(1)).alias("query_count"), F.count_distinct("endpoint").alias("distinct_endpoints"),
               F.percentile("gap_ms", 0.5).alias("median_gap_ms"),

@@ -489,3 +489,76 @@ UNION ALL
 SELECT 'tool_coverage' AS metric, source_tool AS key, CAST(COUNT(*) AS BIGINT) AS count FROM exposures
 WHERE ts > {ts(XNOW, days=30)} AND ts < {ts(XNOW)} GROUP BY source_tool
 """, "findings"))(_e11_breakdowns)
+
+
+# ---------------------------------------------------------------- rules whose default windows are empty in small tables
+# The same operators over wider windows or lower thresholds, so that rows fire; SQL is the default's with those values.
+def _again(name: str, base: str, *changes: tuple[str, str]) -> str:
+    from tidewatch.plans.registry import ORACLES
+    sql = ORACLES[base]
+    for old, new in changes:
+        if old not in sql:
+            raise ValueError(f"{name}: {old!r} is not in the SQL of {base}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+def _d02_week(spark, sf):
+    d = R.model_extraction(TB.query_log(spark, sf), NOW, count_threshold=5, lookback_hours=24 * 7)
+    return tidy(d.select("rule_id", "tenant_id", "user_id", "query_count", "median_tokens", "confidence"))
+
+
+register("d02_model_extraction_week", _again("d02", "d02_model_extraction", (ts(hours=6), ts(hours=168)), ("> 100", "> 5")))(_d02_week)
+
+
+def _d05_day(spark, sf):
+    d = R.oracle_dos(TB.oracle_log(spark, sf), NOW, lookback_minutes=24 * 60)
+    return tidy(d.select("rule_id", "tenant_id", "edge_node_id", "total_checks", "error_count", "timeout_count", "fail_rate",
+                         "max_latency_ms", "confidence"))
+
+
+register("d05_oracle_dos_day", _again("d05", "d05_oracle_dos", (ts(minutes=15), ts(minutes=1440))))(_d05_day)
+
+
+def _d09_hours(spark, sf):
+    d = R.sensor_spoofing(TB.sensor_log(spark, sf), NOW, lookback_minutes=360, zscore_threshold=1.5)
+    return tidy(d.select("rule_id", "tenant_id", "edge_node_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+                         "protocol_violations", "z_score", "sensor_delta", "confidence", "telemetry_trust_level"))
+
+
+register("d09_sensor_spoofing_hours", _again("d09", "d09_sensor_spoofing", (ts(minutes=15), ts(minutes=360)), ("z > 3.0", "z > 1.5")))(_d09_hours)
+
+
+def _d11_day(spark, sf):
+    d = R.edge_compromise(TB.edge_telemetry(spark, sf), NOW, lookback_minutes=24 * 60)
+    return tidy(d.select("rule_id", "tenant_id", "edge_node_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
+                         "attestation_finding", "disk_failed", "cpu_high", "memory_high", "confidence", "attestation_status"))
+
+
+register("d11_edge_compromise_day", _again("d11", "d11_edge_compromise", (ts(minutes=15), ts(minutes=1440))))(_d11_day)
+
+
+def _e02_week(spark, sf):
+    d = R.extraction_by_gap(TB.api_log(spark, sf), NOW, threshold=5, lookback_hours=24 * 7)
+    return tidy(d.select("tenant_id", "caller_identity", "query_count", "distinct_endpoints", "median_gap_ms", "confidence"))
+
+
+register("e02_extraction_by_call_gap_week", _again("e02", "e02_extraction_by_call_gap", (ts(hours=6), ts(hours=168)), ("> 100", "> 5")))(_e02_week)
+
+
+def _e06_title_days(spark, sf):
+    d = R.title_hourly_flood(TB.investigations(spark, sf), TB.INVESTIGATIONS_NOW, ratio_threshold=0.5, baseline_days=60, lookback_hours=48)
+    return tidy(d.select("tenant_id", "alert_title", F.date_format("hour_bin", "yyyy-MM-dd HH:mm").alias("hour_bin"),
+                         "current_count", "hourly_avg", "spike_ratio"))
+
+
+register("e06_title_hourly_flood_days", _again("e06", "e06_title_hourly_flood", (ts(_INV, hours=6), ts(_INV, hours=48)),
+                                               (ts(_INV, days=7), ts(_INV, days=60)), ("(7 * 24.0)", "(60 * 24.0)"), ("> 5.0", "> 0.5")))(_e06_title_days)
+
+
+def _e06_partner_low(spark, sf):
+    return tidy(R.partner_direction_anomaly(TB.partner_traffic(spark, sf), NOW, volume_threshold=1.1, payload_z_threshold=0.5, error_threshold=2))
+
+
+register("e06_partner_direction_anomaly_low", _again("e06p", "e06_partner_direction_anomaly", ("vol > 3.0", "vol > 1.1"), ("z > 3.0", "z > 0.5"),
+                                                     ("error_count > 10", "error_count > 2")))(_e06_partner_low)
