@@ -261,7 +261,7 @@ register("e02_extraction_by_call_gap", with_roles(f"""
 , c AS (SELECT *, CASE WHEN n > 500 AND m2 < 200 THEN 0.95 WHEN n > 200 AND de > 3 THEN 0.85 WHEN n > 100 THEN 0.70
                         ELSE 0.50 END AS conf FROM f)
 SELECT tenant_id, caller_identity, CAST(n AS BIGINT) AS query_count, CAST(de AS BIGINT) AS distinct_endpoints,
-       ROUND(med, 6) AS median_gap_ms, ROUND(conf, 6) AS confidence FROM c WHERE conf > 0.65
+       ROUND(med, 6) AS median_gap_ms, ROUND(CAST(conf AS DOUBLE), 6) AS confidence FROM c WHERE conf > 0.65
 """, "api_log"))(_e02)
 
 
