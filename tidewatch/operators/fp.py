@@ -386,13 +386,30 @@ def expired_patterns(patterns: DataFrame, now) -> DataFrame:
     return patterns.where((F.col("expiry_date") < time_lit(now, dt)) & ~F.col("status").isin(*DONE_STATUSES))
 
 
-def pattern_status_from_events(events: DataFrame) -> DataFrame:
-    """P-32: fold approval events into a status: approved only with two DISTINCT approvers."""
-    g = events.groupBy("pattern_id").agg(
-        F.count_distinct(F.when(F.col("event") == "approve", F.col("actor"))).alias("approvers"),
+EXPIRY_DAYS = 90
+
+
+def pattern_status_from_events(events: DataFrame, now) -> DataFrame:
+    """P-32: fold governance events (pattern_id, event in approve/reaffirm/revoke, actor, ts) into a status.
+
+    Approved at the first approval by a second, distinct approver; valid for 90 days from then or from the
+    latest reaffirmation after it (which also revives an expired pattern); revoked for good by a revocation. A
+    pattern's approvers are collected (a handful of people), its events are not.
+    """
+    dt = col_type(events, "ts")
+    firsts = events.where(F.col("event") == "approve").groupBy("pattern_id", "actor").agg(F.min("ts").alias("at"))
+    approved = firsts.groupBy("pattern_id").agg(F.array_sort(F.collect_list(F.struct("at", "actor"))).alias("a")).select(
+        "pattern_id", F.size("a").alias("approvers"), F.get("a", F.lit(1))["at"].alias("approved_at"))
+    j = events.select("pattern_id", "event", "ts").join(approved, "pattern_id", "left")
+    g = j.groupBy("pattern_id").agg(
+        F.coalesce(F.max("approvers"), F.lit(0)).alias("approvers"), F.max("approved_at").alias("approved_at"),
+        F.max(F.when((F.col("event") == "reaffirm") & (F.col("ts") >= F.col("approved_at")), F.col("ts"))).alias("reaffirmed_at"),
         F.max(F.when(F.col("event") == "revoke", F.col("ts"))).alias("revoked_at"))
-    return g.withColumn("status", F.when(F.col("revoked_at").isNotNull(), "revoked")
-                        .when(F.col("approvers") >= 2, "approved").otherwise("pending_review"))
+    expiry = F.greatest("approved_at", "reaffirmed_at") + F.make_interval(days=F.lit(EXPIRY_DAYS))
+    g = g.withColumn("expiry_date", F.when(F.col("approved_at").isNotNull(), expiry))
+    return g.withColumn("status", F.when(F.col("revoked_at").isNotNull(), "revoked").when(F.col("approvers") == 0, "draft")
+                        .when(F.col("approved_at").isNull(), "pending_review")
+                        .when(F.col("expiry_date") < time_lit(now, dt), "expired").otherwise("approved"))
 
 
 def closed_by_pattern(investigations: DataFrame, revoked: DataFrame) -> DataFrame:

@@ -62,6 +62,30 @@ def auto_close_allowed(confidence: Column, fp_matched: Column) -> Column:
     return F.coalesce(fp_matched, F.lit(False)) & (confidence >= AUTO_CLOSE_CONFIDENCE)
 
 
+def action_outcomes(investigations: DataFrame, allowed_playbooks: DataFrame, *, can_modify_routing: bool = False,
+                    actions: str = "actions") -> DataFrame:
+    """P-26: every recommended action with its class and outcome.
+
+    Tier 2 and above is gated (``executed_with_approval``). Of the others, a playbook outside the allow-list, an
+    auto-close without its criteria and a change of the routing policy are ``blocked``, with the reason; the rest is
+    ``executed``. ``actions``: ARRAY<STRUCT<action, tier, target>>; ``allowed_playbooks``: (playbook_id). The
+    allow-list is joined as a semi-join flag, so it may be of any size.
+    """
+    a = investigations.select(*[c for c in investigations.columns if c != actions], F.explode(actions).alias("_a"))
+    a = a.select("*", "_a.action", "_a.tier", "_a.target").drop("_a")
+    ok = allowed_playbooks.select(F.col("playbook_id").alias("_pb")).distinct().withColumn("_listed", F.lit(True))
+    a = a.join(ok, F.col("target") == F.col("_pb"), "left").drop("_pb")
+    gated = F.coalesce(F.col("tier"), F.lit(0)) >= DESTRUCTIVE_ACTION_TIER
+    reason = (F.when(gated, F.lit(None))
+              .when((F.col("action") == "execute_playbook") & F.col("_listed").isNull(), "unauthorized_playbook")
+              .when((F.col("action") == "auto_close") & ~F.coalesce(auto_close_allowed(
+                  F.col("confidence"), F.col("classification") == "false_positive"), F.lit(False)), "insufficient_criteria")
+              .when((F.col("action") == "modify_routing_policy") & F.lit(not can_modify_routing), "routing_policy_change"))
+    return (a.withColumn("action_class", F.when(gated, "gated").otherwise("auto")).withColumn("blocked_reason", reason)
+            .withColumn("outcome", F.when(gated, "executed_with_approval").when(F.col("blocked_reason").isNotNull(), "blocked")
+                        .otherwise("executed")).drop("_listed"))
+
+
 def trust_constraint(detections: Column) -> Column:
     """P-29: struct(requires_human_review, attestations): every detection untrusted -> human review;
     the attestation list is sorted and distinct."""

@@ -237,3 +237,63 @@ SELECT 'asset-' || CAST(s_suppkey AS VARCHAR) AS asset_id,
        CASE WHEN n_regionkey < 3 THEN n_name END AS owner
 FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey
 """)(_j13)
+
+
+# ---------------------------------------------------------------- P-26 actions, P-32 governance
+def _p26_actions(spark, sf):
+    inv = TB.investigations(spark, sf)
+    k = F.col("investigation_id").cast("bigint")
+    act = F.array(*[F.struct(F.lit(a).alias("action"), t.cast("int").alias("tier"), g.alias("target")) for a, t, g in (
+        ("isolate_host", k % 4, F.col("asset_id")), ("execute_playbook", F.lit(1), F.concat(F.lit("pb-"), (k % 6).cast("string"))),
+        ("auto_close", F.lit(0), F.col("alert_id")), ("modify_routing_policy", F.lit(0), F.lit("router")))])
+    allowed = spark.range(4).select(F.concat(F.lit("pb-"), F.col("id").cast("string")).alias("playbook_id"))
+    o = GT.action_outcomes(inv.select("tenant_id", "confidence", "classification", act.alias("actions")), allowed)
+    return o.groupBy("tenant_id", "action", "action_class", "outcome", "blocked_reason").agg(F.count(F.lit(1)).alias("actions"))
+
+
+register("p26_action_outcomes", with_roles("""
+, a AS (
+  SELECT tenant_id, 'isolate_host' AS action, CAST(investigation_id AS BIGINT) % 4 >= 2 AS gated, NULL AS reason FROM investigations
+  UNION ALL SELECT tenant_id, 'execute_playbook', false, CASE WHEN CAST(investigation_id AS BIGINT) % 6 > 3 THEN 'unauthorized_playbook' END
+  FROM investigations
+  UNION ALL SELECT tenant_id, 'auto_close', false,
+         CASE WHEN NOT (classification = 'false_positive' AND confidence >= 0.85) THEN 'insufficient_criteria' END FROM investigations
+  UNION ALL SELECT tenant_id, 'modify_routing_policy', false, 'routing_policy_change' FROM investigations)
+SELECT tenant_id, action, CASE WHEN gated THEN 'gated' ELSE 'auto' END AS action_class,
+       CASE WHEN gated THEN 'executed_with_approval' WHEN reason IS NOT NULL THEN 'blocked' ELSE 'executed' END AS outcome,
+       reason AS blocked_reason, CAST(COUNT(*) AS BIGINT) AS actions
+FROM a GROUP BY ALL
+""", "investigations"))(_p26_actions)
+
+GOVERNANCE_NOW = "2024-04-20 00:00:00"
+
+
+def _p32_governance(spark, sf):
+    from tidewatch.operators import fp as FP
+    e = TB.read(spark, sf, "events").where(F.col("event_type") != "view")
+    kind = F.when(F.col("event_type") == "click", "approve").when((F.col("event_type") == "error") & (F.col("user_id") % 5 == 0), "revoke") \
+        .otherwise("reaffirm")
+    g = e.select(F.concat(F.lit("fp-"), (F.col("user_id") % 400).cast("string")).alias("pattern_id"), kind.alias("event"),
+                 F.concat(F.lit("analyst-"), (F.col("event_id") % 3).cast("string")).alias("actor"), "ts")
+    s = FP.pattern_status_from_events(g, GOVERNANCE_NOW)
+    return s.select("pattern_id", F.col("approvers").cast("bigint").alias("approvers"), "status",
+                    F.date_format("expiry_date", "yyyy-MM-dd HH:mm:ss").alias("expiry_date"))
+
+
+register("p32_pattern_governance", f"""
+WITH e AS (SELECT 'fp-' || CAST(user_id % 400 AS VARCHAR) AS pattern_id,
+                  CASE WHEN event_type = 'click' THEN 'approve' WHEN event_type = 'error' AND user_id % 5 = 0 THEN 'revoke' ELSE 'reaffirm' END AS event,
+                  event_id % 3 AS actor, ts FROM events WHERE event_type <> 'view')
+, f AS (SELECT pattern_id, actor, MIN(ts) AS first_at FROM e WHERE event = 'approve' GROUP BY ALL)
+, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY pattern_id ORDER BY first_at, actor) AS n FROM f)
+, a AS (SELECT pattern_id, COUNT(*) AS approvers, MAX(CASE WHEN n = 2 THEN first_at END) AS approved_at FROM r GROUP BY pattern_id)
+, g AS (SELECT e.pattern_id, COALESCE(MAX(approvers), 0) AS approvers, MAX(approved_at) AS approved_at,
+               MAX(CASE WHEN event = 'reaffirm' AND ts >= approved_at THEN ts END) AS re, MAX(CASE WHEN event = 'revoke' THEN ts END) AS rv
+        FROM e LEFT JOIN a ON e.pattern_id = a.pattern_id GROUP BY e.pattern_id)
+, x AS (SELECT *, CASE WHEN approved_at IS NOT NULL THEN GREATEST(approved_at, COALESCE(re, approved_at)) + INTERVAL 90 DAY END AS expiry FROM g)
+SELECT pattern_id, CAST(approvers AS BIGINT) AS approvers,
+       CASE WHEN rv IS NOT NULL THEN 'revoked' WHEN approvers = 0 THEN 'draft' WHEN approved_at IS NULL THEN 'pending_review'
+            WHEN expiry < TIMESTAMP '{GOVERNANCE_NOW}' THEN 'expired' ELSE 'approved' END AS status,
+       strftime(expiry, '%Y-%m-%d %H:%M:%S') AS expiry_date
+FROM x
+""")(_p32_governance)
