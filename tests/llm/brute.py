@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -13,7 +15,11 @@ def word_list(text):
 
 def substring(rows, window=20):
     """rows: (doc_id, text) -> kept words of each row; rows equal in both are one document."""
-    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest()))
+    def row(text):
+        h = xxhash.xxh64_intdigest(hashlib.md5((text or "").encode()).digest(), seed=42)
+        return h - 2**64 if h >= 2**63 else h
+
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, row(r[1])))
     seen, kept = set(), {}
     for doc, text in order:
         ws = word_list(text)

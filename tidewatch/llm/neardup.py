@@ -37,11 +37,11 @@ import hashlib
 import math
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import map_columns, prepare, words
+from tidewatch.llm.hashing import mix, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -54,18 +54,10 @@ _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(19)])
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer (splitmix64)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def shingles(ws: list[bytes], size: int = SHINGLE) -> np.ndarray:
-    """64-bit hashes of the text's shingles, in order; of a shorter text, one of all its words."""
-    if not ws:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.array(list(map(xxhash.xxh64_intdigest, ws)), dtype=np.uint64)
+def shingles(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the shingles of a text's word hashes, in order; of a shorter text, one of all its words."""
+    if not len(h):
+        return h
     n = min(size, len(h))
     out = np.zeros(len(h) - n + 1, dtype=np.uint64)
     for j in range(n):
@@ -74,6 +66,11 @@ def shingles(ws: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return mix(out + _U(n))
 
 
+def node_of(text: str) -> bytes:
+    """Identity of a text's word sequence."""
+    return hashlib.blake2b(b" ".join(words(text)), digest_size=16).digest()
+
+
 def _throw(elements: np.ndarray, weights: np.ndarray, rank: float, k: int) -> np.ndarray:
     """Signature from all darts of lower rank than ``rank``; 0 where a coordinate has none."""
     seeds, cell_w, cell_r = elements, None, None
@@ -136,13 +133,13 @@ def signatures(docs: DataFrame, weights: str = "set", bands: int = BANDS, rows:
         for b in batches:
             out = {"doc_id": b["doc_id"], "text_id": [], "node": [], "keys": []}
             for t in b["text"]:
-                ws = words(t)
+                h = word_hashes(t)
                 out["text_id"].append(hashlib.md5((t or "").encode()).digest())
-                out["node"].append(hashlib.blake2b(b" ".join(ws), digest_size=16).digest() if ws else None)
-                if not ws:
+                out["node"].append(node_of(t) if len(h) else None)
+                if not len(h):
                     out["keys"].append(None)
                     continue
-                e, n = np.unique(shingles(ws), return_counts=True)
+                e, n = np.unique(shingles(h), return_counts=True)
                 w = n.astype(float) if weights == "count" else np.ones(len(e))
                 out["keys"].append(band_keys(signature(e, w, bands * rows), bands, rows).tolist())
             yield out
@@ -161,10 +158,10 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for b in batches:
             out = {"node": [], "items": []}
             for t in b["text"]:
-                ws = words(t)
-                if ws:
-                    out["node"].append(hashlib.blake2b(b" ".join(ws), digest_size=16).digest())
-                    out["items"].append(np.unique((shingles(ws) >> _U(32)).astype(np.uint32)).view(np.int32).tolist())
+                h = word_hashes(t)
+                if len(h):
+                    out["node"].append(node_of(t))
+                    out["items"].append(np.unique((shingles(h) >> _U(32)).astype(np.uint32)).view(np.int32).tolist())
             yield out
 
     return map_columns(wanted, run, "node binary, items array<int>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])

@@ -10,8 +10,8 @@ repeats from its first window to its last.
 2. **Shards.** Candidate runs (their words as 64-bit hashes) are shuffled and sorted by anchor; a task cuts its
    sorted rows into shards of about ``BLOCK`` words at anchor boundaries. So memory is bounded whatever a partition
    holds, and all windows that could be equal are in one shard. Runs of an anchor with over ``HOT`` places are dealt window by
-   window instead, by the hash of the window; copies of one window within a task are settled before the shuffle
-   (the earliest goes on). So a passage in a third of all documents neither lands in one task nor stays whole.
+   window instead, by the hash of the window. Of equal runs within a task only the earliest goes on to the shuffle, the others are
+   repeated whole and settled. So a passage in a third of all documents neither lands in one task nor stays whole.
 3. **FM-index.** The text of a shard is its runs in document order, as five-word symbols that step by five. Its
    Burrows-Wheeler transform is kept as a wavelet matrix (packed bits with block counts). The runs are streamed
    through the index: backward search, four symbols for 20 words, all windows of a batch at once; a window drops out as soon as fewer
@@ -23,8 +23,8 @@ The text is shuffled by doc_id once: the plan uses that exchange three times. Ha
 spans are small beside it.
 
 Cases: null text has no words; a null id counts as smaller than any other; rows equal in id and text get equal
-results and do not repeat each other; rows of one id with different texts count as ordered by their
-text's md5; texts under 20 words are left alone; words of any length are hashed whole; extra columns are ignored (``deduplicated``
+results and do not repeat each other; rows of one id with different texts count as ordered by a hash of
+their text; texts under 20 words are left alone; words of any length are hashed whole; extra columns are ignored (``deduplicated``
 returns them); an empty table gives no rows.
 """
 
@@ -33,38 +33,28 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import map_columns, partitions, prepare, words
+from tidewatch.llm.hashing import mix, word_hashes
 
 WINDOW, GRAM, STEP = 20, 6, 5
 BLOCK, HOT, SETTLE = 1_000_000, 10_000, 100_000
 _U = np.uint64
 
-RUN_SCHEMA = "key long, doc_id long, text_id binary, start int, words binary"
-SPAN_SCHEMA = "doc_id long, text_id binary, first int, last int"
+RUN_SCHEMA = "key long, doc_id long, row long, start int, n int, words binary"
+SPAN_SCHEMA = "doc_id long, row long, first int, last int"
 RESULT_SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def word_hashes(ws: list[bytes]) -> np.ndarray:
-    return np.array(list(map(xxhash.xxh64_intdigest, ws)), dtype=np.uint64)
-
-
 def _rolled(h: np.ndarray, size: int) -> np.ndarray:
     """A hash of every ``size`` consecutive words."""
     out = np.zeros(len(h) - size + 1, dtype=np.uint64)
     for j in range(size):
         out = (out + h[j:len(h) - size + 1 + j]) * _U(0x9E3779B97F4A7C15)
         out ^= out >> _U(29)
-    return _mix(out)
+    return mix(out)
 
 
 def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,7 +63,13 @@ def anchors(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     g = _rolled(h, gram)
     span = window - gram + 1
-    at = np.lib.stride_tricks.sliding_window_view(g, span).argmin(axis=1) + np.arange(len(g) - span + 1)
+    # Hash above, place below: the minimum of a window tells the place of its least hash, the first of equal ones.
+    low = (g & _U(0xFFFFFFFF00000000)) | np.arange(len(g), dtype=np.uint64)
+    have = 1
+    while have < span:  # minima of 1, 2, 4, ... and at last ``span`` consecutive values
+        by = min(have, span - have)
+        low, have = np.minimum(low[:-by], low[by:]), have + by
+    at = (low & _U(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     return g[at[first]].view(np.int64), at[first], first
 
@@ -165,24 +161,39 @@ class FMIndex:
         return out
 
 
+def _order(run: tuple) -> tuple:
+    """Document order of (doc_id, row, start, ...)."""
+    return run[0] is not None, run[0] or 0, run[1], run[2]
+
+
 def _spans(block: list[tuple], window: int, step: int) -> dict[str, list]:
-    """Spans of repeated words of a shard's runs (doc_id, text_id, start, words)."""
-    block.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
-    # Rows equal in id and text are one document.
-    block = [r for i, r in enumerate(block) if not i or r[:3] != block[i - 1][:3] or len(r[3]) != len(block[i - 1][3])]
-    out = {"doc_id": [], "text_id": [], "first": [], "last": []}
-    if len(block) < 2:
+    """Spans of repeated words of a shard's runs (doc_id, row, start, words). A run that equals an earlier one is
+    repeated whole; the index holds the first of each."""
+    out = {"doc_id": [], "row": [], "first": [], "last": []}
+
+    def add(run: tuple, first: int, n: int) -> None:
+        if out["first"] and out["doc_id"][-1] == run[0] and out["row"][-1] == run[1] and first <= out["last"][-1] + 1:
+            out["last"][-1] = max(out["last"][-1], first + n - 1)
+        else:
+            for k, v in zip(out, (run[0], run[1], first, first + n - 1)):
+                out[k].append(v)
+
+    block.sort(key=_order)
+    firsts: dict[bytes, tuple] = {}
+    for run in block:
+        # Rows equal in id and text are one document.
+        if firsts.setdefault(run[3], run)[:3] != run[:3]:
+            add(run, run[2], len(run[3]) // 8)
+    runs = list(firsts.values())
+    if len(runs) < 2:
         return out
-    index = FMIndex([np.frombuffer(r[3], dtype=np.uint64) for r in block], window, step)
-    for part in np.array_split(np.flatnonzero(index.left >= window), max(1, len(index.left) // 200_000)):
+    index = FMIndex([np.frombuffer(r[3], dtype=np.uint64) for r in runs], window, step)
+    places = np.flatnonzero(index.left >= window)
+    for at in range(0, len(places), 200_000):
+        part = places[at:at + 200_000]
         for p in part[index.earliest(part) < part].tolist():
-            r = block[index.run_of[p]]
-            first = r[2] + p - int(index.begin[index.run_of[p]])
-            if out["first"] and out["last"][-1] + 1 == first + window and out["text_id"][-1] == r[1] and out["doc_id"][-1] == r[0]:
-                out["last"][-1] += 1
-            else:
-                for k, v in zip(out, (r[0], r[1], first, first + window - 1)):
-                    out[k].append(v)
+            run = runs[index.run_of[p]]
+            add(run, run[2] + p - int(index.begin[index.run_of[p]]), window)
     return out
 
 
@@ -190,10 +201,10 @@ def _search(batches):
     """Cut sorted runs into shards and search each; rows without words are settled spans already."""
     block, size, key = [], 0, None
     for b in batches:
-        done = {"doc_id": [], "text_id": [], "first": [], "last": []}
-        for k, d, t, s, w in zip(b["key"], b["doc_id"], b["text_id"], b["start"], b["words"]):
+        done = {"doc_id": [], "row": [], "first": [], "last": []}
+        for k, d, t, s, n, w in zip(b["key"], b["doc_id"], b["row"], b["start"], b["n"], b["words"]):
             if w is None:
-                for name, v in zip(done, (d, t, s, s + WINDOW - 1)):
+                for name, v in zip(done, (d, t, s, s + n - 1)):
                     done[name].append(v)
                 continue
             if size >= BLOCK and k != key:
@@ -216,7 +227,8 @@ def _shared(docs: DataFrame, columns: list[str]) -> DataFrame:
     copies = (ids.join(first, "_text_id").where(F.struct(F.col("doc_id").isNotNull().alias("o"), "doc_id") > F.col("f"))
               .groupBy(F.col("doc_id").alias("_copy_id")).agg(F.collect_set("_text_id").alias("_copies")).hint("shuffle_hash"))
     return (held.join(copies, F.col("doc_id").eqNullSafe(F.col("_copy_id")), "left")
-            .withColumn("_copy", F.coalesce(F.array_contains("_copies", F.col("_text_id")), F.lit(False))).drop("_copy_id", "_copies"))
+            .withColumn("_copy", F.coalesce(F.array_contains("_copies", F.col("_text_id")), F.lit(False)))
+            .withColumn("_row", F.xxhash64("_text_id")).drop("_copy_id", "_copies", "_text_id"))
 
 
 def _spans_of(shared: DataFrame) -> DataFrame:
@@ -229,7 +241,7 @@ def _spans_of(shared: DataFrame) -> DataFrame:
             out = {"anchor": [], "doc_id": [], "place": []}
             for d, text, copy in zip(b["doc_id"], b["text"], b["_copy"]):
                 if not copy and text:
-                    a, at, _ = anchors(word_hashes(words(text)))
+                    a, at, _ = anchors(word_hashes(text))
                     out["anchor"] += a.tolist()
                     out["place"] += at.tolist()
                     out["doc_id"] += [d] * len(a)
@@ -242,66 +254,65 @@ def _spans_of(shared: DataFrame) -> DataFrame:
 
     def cut(batches):
         names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
-        settled: dict[bytes, tuple] = {}  # windows of hot anchors: the earliest of this task
+        first: dict[bytes, tuple] = {}  # by words: the earliest run of this task, with its key
+
+        def rows(found):
+            return dict(zip(names, map(list, zip(*found))))
 
-        def flush():
-            rows = [(int(_window_key(w)), *r, w) for w, r in settled.items()]
-            settled.clear()
-            return rows
+        def held():
+            return rows([(k, *run, len(w) // 8, w) for w, (k, run) in first.items()])
 
         for b in batches:
-            rows = []
-            for d, t, text, copy, places in zip(b["doc_id"], b["_text_id"], b["text"], b["_copy"], b["_places"]):
+            settled = []
+            for d, t, text, copy, places in zip(b["doc_id"], b["_row"], b["text"], b["_copy"], b["_places"]):
                 if copy or not text or not places:
                     continue
-                h = word_hashes(words(text))
-                a, at, first = anchors(h)
+                h = word_hashes(text)
+                a, at, start = anchors(h)
                 hot = {p["place"]: p["hot"] for p in places}
-                upto = np.append(first[1:], len(h) - WINDOW + 1).tolist()
-                for key, place, s, e in zip(a.tolist(), at.tolist(), first.tolist(), upto):
-                    if place not in hot:
-                        continue
-                    if not hot[place]:
-                        rows.append((key, d, t, s, h[s:e + WINDOW - 1].tobytes()))
-                        continue
-                    for at_ in range(s, e):
-                        w, row = h[at_:at_ + WINDOW].tobytes(), (d, t, at_)
-                        old = settled.get(w)
-                        if old is None:
-                            settled[w] = row
-                        elif old != row:
-                            order = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
-                            early, late = sorted((old, row), key=order)
-                            settled[w] = early
-                            rows.append((at_, *late, None))
-                if len(settled) > SETTLE:
-                    rows += flush()
-            if rows:
-                yield dict(zip(names, map(list, zip(*rows))))
-        if settled:
-            yield dict(zip(names, map(list, zip(*flush()))))
+                upto = np.append(start[1:], len(h) - WINDOW + 1).tolist()
+                runs = []
+                for key, place, s, e in zip(a.tolist(), at.tolist(), start.tolist(), upto):
+                    if place in hot:
+                        runs += [(key, s, e)] if not hot[place] else [(None, x, x + 1) for x in range(s, e)]
+                for key, s, e in runs:
+                    w, run = h[s:e + WINDOW - 1].tobytes(), (d, t, s)
+                    old = first.get(w)
+                    if old is None:
+                        first[w] = (_window_key(w) if key is None else key, run)
+                    elif old[1] != run:
+                        early, late = sorted((old[1], run), key=_order)
+                        first[w] = (old[0], early)
+                        settled.append((late[2], *late, len(w) // 8, None))
+            if settled:
+                yield rows(settled)
+            if len(first) > SETTLE:
+                yield held()
+                first.clear()
+        if first:
+            yield held()
 
     wanted = shared.join(places.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").where("_places is not null").drop("_id")
     runs = map_columns(wanted, cut, RUN_SCHEMA).repartition(n, "key").sortWithinPartitions("key")
     return (map_columns(runs, _search, SPAN_SCHEMA).groupBy(F.col("doc_id").alias("_id"))
-            .agg(F.collect_list(F.struct("text_id", "first", "last")).alias("_spans")))
+            .agg(F.collect_list(F.struct("row", (F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")).alias("span"))).alias("_spans")))
 
 
-def _window_key(w: bytes) -> np.int64:
-    return np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64)
+def _window_key(w: bytes) -> int:
+    return int(mix(_rolled(np.frombuffer(w, dtype=np.uint64), len(w) // 8)).view(np.int64)[0])
 
 
-def _kept(text: str | None, text_id: bytes, copy: bool, spans: list | None) -> tuple[list[bytes], int]:
+def _kept(text: str | None, row: int, copy: bool, spans: list | None) -> tuple[list[bytes], int]:
     """The words that stay, and how many there were."""
     ws = words(text)
     if copy and len(ws) >= WINDOW:
         return [], len(ws)
-    mine = [s for s in spans or () if s["text_id"] == text_id]
+    mine = [s["span"] for s in spans or () if s["row"] == row]
     if not mine:
         return ws, len(ws)
     stays = np.ones(len(ws), dtype=bool)
     for s in mine:
-        stays[s["first"]:s["last"] + 1] = False
+        stays[s >> 32:(s & 0xFFFFFFFF) + 1] = False
     return [w for w, k in zip(ws, stays.tolist()) if k], len(ws)
 
 
@@ -317,7 +328,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             out = {"doc_id": b["doc_id"], "n_words": [], "n_removed": [], "kept_sha256": []}
-            for text, t, copy, spans in zip(b["text"], b["_text_id"], b["_copy"], b["_spans"]):
+            for text, t, copy, spans in zip(b["text"], b["_row"], b["_copy"], b["_spans"]):
                 kept, n = _kept(text, t, copy, spans)
                 out["n_words"].append(n)
                 out["n_removed"].append(n - len(kept))
@@ -335,7 +346,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             out = {c: [] for c in cols}
-            for i, (text, t, copy, spans) in enumerate(zip(b["text"], b["_text_id"], b["_copy"], b["_spans"])):
+            for i, (text, t, copy, spans) in enumerate(zip(b["text"], b["_row"], b["_copy"], b["_spans"])):
                 kept, n = _kept(text, t, copy, spans)
                 if n and not kept:
                     continue
