@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import lookup
 from tidewatch.operators import sequences as SQ
+from tidewatch.plans.oracle_roles import with_roles
 from tidewatch.plans.registry import register
 from tidewatch.sources import tables as TB
 
@@ -89,7 +90,15 @@ def _st05(spark, sf):
     return e.groupBy("tenant_id").agg(F.count_if("escalated").alias("escalated"), F.count(F.lit(1)).alias("calls"))
 
 
-register("st05_escalation_budget", None)(_st05)
+register("st05_escalation_budget", with_roles("""
+, c AS (SELECT tenant_id, epoch(created_at) AS t, ROW_NUMBER() OVER (PARTITION BY tenant_id ORDER BY created_at, investigation_id, task_type) AS n
+        FROM call_log WHERE confidence < 0.6 AND CAST(investigation_id AS BIGINT) % 4 IN (0, 1))
+, r AS (SELECT tenant_id, n, [t] AS g, 1 AS granted FROM c WHERE n = 1
+        UNION ALL SELECT tenant_id, n, CASE WHEN len(f) < 10 THEN list_append(f, t) ELSE f END, CASE WHEN len(f) < 10 THEN 1 ELSE 0 END
+        FROM (SELECT c.tenant_id, c.n, c.t, list_filter(r.g, lambda x: c.t - x < 3600) AS f FROM r JOIN c ON c.tenant_id = r.tenant_id AND c.n = r.n + 1))
+SELECT l.tenant_id, CAST(COALESCE(MAX(e.granted), 0) AS BIGINT) AS escalated, CAST(COUNT(*) AS BIGINT) AS calls
+FROM call_log l LEFT JOIN (SELECT tenant_id, SUM(granted) AS granted FROM r GROUP BY tenant_id) e ON l.tenant_id = e.tenant_id GROUP BY l.tenant_id
+""", "call_log").replace("WITH ", "WITH RECURSIVE ", 1))(_st05)
 
 
 def _st06(spark, sf):
@@ -99,7 +108,19 @@ def _st06(spark, sf):
                                       F.count_if("closed_by_count").alias("closed_by_count"))
 
 
-register("st06_dual_trigger_batches", None)(_st06)
+register("st06_dual_trigger_batches", with_roles("""
+, c AS (SELECT task_type, epoch(created_at) AS t, ROW_NUMBER() OVER (PARTITION BY task_type ORDER BY created_at, investigation_id) AS n FROM call_log)
+, r AS (SELECT task_type, n, 0 AS batch, 1 AS size, t AS flushed, 0 AS closed FROM c WHERE n = 1
+        UNION ALL SELECT task_type, n, CASE WHEN s = 50 THEN b + 1 ELSE b END, CASE WHEN s = 50 THEN 0 ELSE s END,
+                         CASE WHEN s = 50 OR late THEN t ELSE flushed END, CASE WHEN s = 50 THEN 1 ELSE 0 END
+        FROM (SELECT c.task_type, c.n, c.t, r.flushed, r.size > 0 AND c.t - r.flushed >= 21600 AS late,
+                     CASE WHEN r.size > 0 AND c.t - r.flushed >= 21600 THEN r.batch + 1 ELSE r.batch END AS b,
+                     CASE WHEN r.size > 0 AND c.t - r.flushed >= 21600 THEN 1 ELSE r.size + 1 END AS s
+              FROM r JOIN c ON c.task_type = r.task_type AND c.n = r.n + 1))
+SELECT task_type, CAST(COUNT(DISTINCT CASE WHEN closed = 1 THEN batch - 1 ELSE batch END) AS BIGINT) AS batches,
+       CAST(SUM(closed) AS BIGINT) AS closed_by_count
+FROM r GROUP BY task_type
+""", "call_log").replace("WITH ", "WITH RECURSIVE ", 1))(_st06)
 
 
 def _st11(spark, sf):
