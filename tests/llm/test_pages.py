@@ -28,6 +28,13 @@ def test_cases():
     assert pages.main_text("<p>Twice.</p><p>Twice.</p>") == "Twice.\nTwice."
 
 
+def test_names_of_wrappers_and_heads():
+    html = ('<body class="home has-sidebar nav-fixed"><div id="page" class="search-page"><article class="post"><header class="entry-header">'
+            '<h1>Title</h1></header><div class="entry-content"><p>Prose of the article, a sentence.</p></div><footer class="entry-footer">'
+            '<p>Filed under something or other.</p></footer></article><div class="sidebar"><p>Other things that one may read, too.</p></div></div></body>')
+    assert pages.main_text(html) == "Title\nProse of the article, a sentence."
+
+
 def test_div_soup_without_article():
     html = ('<div id=top><a href=/>Home</a> <a href=/n>News</a></div><div><p>A long first paragraph of prose, which says something.</p>'
             '<p>Short.</p><p>Another paragraph of prose that says something else, too.</p></div><div class="share">Share this on everything</div>')

@@ -70,16 +70,27 @@ class _Open:
     name: str
     score: float
     number: int
+    named: float = 0.0
     inside: bool = field(default=False)  # within an article or main element
+    holds: bool = field(default=False)  # an article or main element opened within it
 
+    def evidence(self) -> float:
+        # What wraps the article (a body of class "has-sidebar") says nothing against it.
+        return self.score + (max(0.0, self.named) if self.holds else self.named)
 
-def _named(attributes: str) -> float:
+
+def _named(name: str, attributes: str, inside: bool) -> float:
+    """Evidence of an element's own names; the page's outermost elements and the article itself have none against them."""
     if "=" not in attributes:
         return 0.0
     found = [w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")]
-    if any(NAMED_BAD.match(w) for w in found):
+    good = any(NAMED_GOOD.match(w) for w in found)
+    bad = {w for w in found if NAMED_BAD.match(w)}
+    if bad <= {"header", "masthead"} and (good or inside):
+        bad = set()  # the head of the article
+    if bad and name not in ("html", "body", "main", "article"):
         return NAMED_COST
-    return NAMED_GAIN if any(NAMED_GOOD.match(w) for w in found) else 0.0
+    return NAMED_GAIN if good else 0.0
 
 
 def blocks(page: str) -> list[Block]:
@@ -88,6 +99,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[_Open] = [_Open("", 0.0, 0)]
     open_: dict[str, int] = {}
     parts: list[str] = []
+    holders: list[tuple] = []
     linked = number = at = 0
 
     def flush():
@@ -96,8 +108,8 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         if text:
             holder = next((e for e in reversed(stack) if e.name in BLOCK), stack[0])
-            out.append(Block(text, linked, sum(e.score for e in stack), holder.name,
-                             tuple(e.number for e in stack if e.name in BLOCK)))
+            out.append(Block(text, linked, 0.0, holder.name, tuple(e.number for e in stack if e.name in BLOCK)))
+            holders.append(tuple(e for e in stack if e.score or e.named))
         linked = 0
 
     def close(name: str):
@@ -148,9 +160,14 @@ def blocks(page: str) -> list[Block]:
         score = ELEMENT.get(name, 0.0)
         if name == "header" and stack[-1].inside:
             score = 0.5
-        stack.append(_Open(name, score + _named(attributes), number, inside))
+        if name in ("article", "main"):
+            for e in stack:
+                e.holds = True
+        stack.append(_Open(name, score, number, _named(name, attributes, stack[-1].inside), inside))
         open_[name] = open_.get(name, 0) + 1
     flush()
+    for b, held in zip(out, holders):
+        b.score = sum(e.evidence() for e in held)
     return out
 
 
