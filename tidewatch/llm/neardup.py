@@ -12,14 +12,14 @@ coordinate with the probability of their weighted Jaccard similarity. The weight
 probability 0.999997. Documents of equal word sequences are one node before that, so a group of exact copies, however
 large, has one signature in the buckets.
 
-**Links without pairs of a group.** In each bucket every node is compared with one hub (the least by a hash that
-differs from bucket to bucket): one comparison a row, and a large group of near copies becomes one component. Only
+**Links without pairs of a group.** In each bucket every node is compared with one hub, the node with most company over
+all its buckets: one comparison a row, and a large group of near copies becomes one component. Only
 buckets that then still hold several components go on. With up to ``SMALL`` nodes, all pairs across components are
 compared. A larger one (documents that share a common passage, say) is split by each of the ``REFINE`` bands that follow its
-own: two documents of similarity 0.8 agree in such a pair of bands, of 8 rows, with probability 0.9998 over all, unlike
-ones hardly ever. The parts are treated the same way: a hub each, then what is left across components by a join that
-Spark can split. Jaccard distance is a metric, so pairs whose similarities to their common hub differ by more than
-0.2 need no comparison. No bucket is cut. Similarity is exact (intersection of shingle sets in the JVM).
+own: two documents of similarity 0.8 agree in such a pair of bands, of 8 rows, with probability 0.9997 over all, unlike
+ones hardly ever. The parts are treated the same way (``LEVELS`` in all): a hub each, then what is left across components by a join
+that Spark can split. Jaccard distance is a metric, so pairs whose similarities to their common hub differ by more than
+0.2 need no comparison; that settles the near copies in a bucket at once. No bucket is cut. Similarity is exact (intersection of shingle sets in the JVM).
 
 **Classes.** Components by alternating large-star and small-star steps, as joins and grouped minima, each step written
 as a checkpoint. A class is named by its smallest doc_id.
@@ -45,7 +45,7 @@ from tidewatch.llm.hashing import mix, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-SMALL, REFINE = 32, 8
+SMALL, REFINE, LEVELS = 16, 6, 3
 #: Nodes whose ids may be broadcast (16 MB of keys); beyond that they are joined by a shuffle.
 BROADCAST_NODES = 400_000
 SIGNATURE_SCHEMA = "doc_id long, text_id binary, node binary, keys array<long>"
@@ -197,10 +197,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _hubs(rows: DataFrame, seed: int) -> DataFrame:
-    """The bucket rows (key, node) of buckets with two nodes or more, with their size and hub."""
-    hubs = (rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "node", F.lit(seed)), "node")).alias("hub"))
-            .where("n > 1").select("key", "n", F.col("hub.node").alias("hub")))
-    return rows.join(hubs, "key")
+    """The bucket rows (key, node) of buckets with two nodes or more, with their size and hub: the node with most
+    company over all its buckets. Copies with edits of their own may be unlike one another, yet all like what they
+    were copied from; that text has the most company."""
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = rows.join(counts, "key").checkpoint()
+    company = shared.groupBy("node").agg(F.sum("n").alias("w"))
+    hubs = (shared.join(company, "node").groupBy("key").agg(F.max(F.struct("w", F.xxhash64("node", F.lit(seed)), "node")).alias("h"))
+            .select("key", F.col("h.node").alias("hub")))
+    return shared.join(hubs, "key")
 
 
 def _star(held: DataFrame) -> DataFrame:
@@ -215,13 +220,27 @@ def _open(held: DataFrame, comps: DataFrame) -> DataFrame:
     return placed.join(several, "key")
 
 
-def _across(left: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of one bucket and different components that the distances to their hub do not rule out."""
+def _unsettled(held: DataFrame, comps: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
+    """The rows of open buckets that a pair of different components could still be among, with their similarity ``s`` to
+    the hub. Rows of the hub's component that are too near to the hub for all rows outside it are settled."""
     near = tested.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "similarity")
-    known = (left.join(near, (F.least("node", "hub") == F.col("_a")) & (F.greatest("node", "hub") == F.col("_b")), "left")
-             .select("key", "node", "root", F.when(F.col("node") == F.col("hub"), 1.0).otherwise(F.col("similarity")).alias("s")))
-    x, y = (known.select("key", F.col("node").alias(p), F.col("root").alias(f"{p}_root"), F.col("s").alias(f"{p}_s")) for p in "ab")
-    apart = F.coalesce(F.abs(F.col("a_s") - F.col("b_s")) <= 1 - similarity + 1e-9, F.lit(True))
+    roots = comps.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    far = 1 - similarity + 1e-9
+    rows = (_open(held, comps).drop("n").join(near, (F.least("node", "hub") == F.col("_a")) & (F.greatest("node", "hub") == F.col("_b")), "left")
+            .withColumn("s", F.when(F.col("node") == F.col("hub"), 1.0).otherwise(F.coalesce("similarity", F.lit(1.0))))
+            .drop("_a", "_b", "similarity").join(roots, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub")))
+    outside = F.col("root") != F.col("hub_root")
+    most = rows.groupBy("key").agg(F.max(F.when(outside, F.col("s"))).alias("most"))
+    rows = rows.join(most, "key").where(outside | (F.col("s") <= F.col("most") + far)).drop("most", "hub_root")
+    several = (rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+               .where("r0 <> r1").select("key", "n"))
+    return rows.join(several, "key")
+
+
+def _across(left: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of one bucket and different components that the distances to their hub do not rule out."""
+    x, y = (left.select("key", F.col("node").alias(p), F.col("root").alias(f"{p}_root"), F.col("s").alias(f"{p}_s")) for p in "ab")
+    apart = F.abs(F.col("a_s") - F.col("b_s")) <= 1 - similarity + 1e-9
     return x.join(y, "key").where("a_root <> b_root and a < b").where(apart).select("a", "b")
 
 
@@ -230,34 +249,33 @@ def _links(sigs: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFra
     nodes = (sigs.where("node is not null").groupBy("node")
              .agg(F.min(F.struct("doc_id", "text_id", "keys")).alias("r"))
              .select("node", "r.doc_id", "r.text_id", "r.keys"))
-    rows = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    held = _hubs(rows, 0).checkpoint()
+    held = _hubs(nodes.select("node", F.posexplode("keys").alias("band", "key")), 0).checkpoint()
     wanted = nodes.select("node", "doc_id", "text_id").join(held.select("node").distinct(), "node", "left_semi").checkpoint()
     sets = _sets(docs, wanted).checkpoint()
-
-    def compare(pairs: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame, bool]:
-        new = pairs.distinct()
-        if tested is not None:
-            new = new.join(tested.select("a", "b"), ["a", "b"], "left_anti").checkpoint()
-            if new.isEmpty():
-                return tested, comps, False
-        got = _verify(new, sets).checkpoint()
-        all_ = got if tested is None else tested.unionByName(got)
-        return all_, components(all_.where(F.col("similarity") >= similarity)).checkpoint(), True
-
-    tested, comps, _ = compare(_star(held), None)
-    left = _open(held, comps).checkpoint()
     bands = nodes.select(F.col("node").alias("_node"), "keys")
-    step = F.transform(F.sequence(F.lit(1), F.lit(REFINE)), lambda i: F.element_at(
-        "keys", ((F.col("band") + i) % F.size("keys") + 1).cast("int")))
-    parts = (left.where(F.col("n") > SMALL).select("key", "node", "band").join(bands, F.col("node") == F.col("_node"))
-             .select("node", F.col("key").alias("_key"), F.explode(step).alias("_next")))
-    split = _hubs(parts.select("node", F.xxhash64("_key", "_next").alias("key")), 1).checkpoint()
-    small = _across(left.where(F.col("n") <= SMALL), tested, similarity)
-    tested, comps, more = compare(small.unionByName(_star(_open(split, comps))), tested)
-    if more:
-        tested, comps, _ = compare(_across(_open(split, comps), tested, similarity), tested)
-    return tested.where(F.col("similarity") >= similarity), comps
+
+    tested = _verify(_star(held).distinct(), sets).checkpoint()
+    for level in range(LEVELS):
+        comps = components(tested.where(F.col("similarity") >= similarity)).checkpoint()
+        left = _unsettled(held, comps, tested, similarity).checkpoint()
+        if left.isEmpty():
+            return tested.where(F.col("similarity") >= similarity), comps
+        if level < LEVELS - 1:
+            # Large buckets are split by the bands that follow the row's own (``band``: the last one used).
+            step = F.transform(F.sequence(F.lit(1), F.lit(REFINE)), lambda i: F.struct(
+                ((F.col("band") + i) % F.size("keys")).cast("int").alias("band"),
+                F.element_at("keys", ((F.col("band") + i) % F.size("keys") + 1).cast("int")).alias("key")))
+            parts = (left.where(F.col("n") > SMALL).select("key", "node", "band").join(bands, F.col("node") == F.col("_node"))
+                     .select("node", F.col("key").alias("_key"), F.explode(step).alias("_next")))
+            held = _hubs(parts.select("node", F.col("_next.band").alias("band"), F.xxhash64("_key", "_next.key").alias("key")),
+                         level + 1).checkpoint()
+            pairs = _across(left.where(F.col("n") <= SMALL), similarity).unionByName(_star(_open(held, comps)))
+        else:
+            pairs = _across(left, similarity)
+        new = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti").checkpoint()
+        tested = tested.unionByName(_verify(new, sets)).checkpoint()
+    return (tested.where(F.col("similarity") >= similarity),
+            components(tested.where(F.col("similarity") >= similarity)).checkpoint())
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", bands: int = BANDS,
