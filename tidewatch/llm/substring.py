@@ -247,7 +247,8 @@ def _spans_of(shared: DataFrame) -> DataFrame:
                     out["doc_id"] += [d] * len(a)
             yield out
 
-    found = map_columns(shared, find, "anchor long, doc_id long, place int").repartition(n, "anchor")
+    found = map_columns(shared, find, "anchor long, doc_id long, place int")
+    # Counted with map-side sums; Spark splits the join's partition of an anchor that is everywhere.
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     places = (found.join(often, "anchor").groupBy(F.col("doc_id").alias("_id"))
               .agg(F.collect_list(F.struct("place", (F.col("n") > HOT).alias("hot"))).alias("_places")))
