@@ -38,6 +38,19 @@ def test_spark_rounds_equal_driver_rounds(spark):
         assert abs(one[k]["weight"] - two[k]["weight"]) < 1e-9 and abs(one[k]["probability"] - two[k]["probability"]) < 1e-5
 
 
+def test_tiny_weights_give_the_same_factor(spark):
+    # Language z is held by the small source b only, so raking drives the cell (b, x) towards 0.
+    cells = spark.createDataFrame([("a", "x", "p", 10**9), ("a", "y", "p", 1000), ("b", "x", "p", 10**6), ("b", "z", "p", 10)],
+                                  "source string, lang string, topic string, tokens long")
+    one, two = ({tuple(r)[:3]: r for r in mixing.rake(cells, {"source": 1.0, "lang": 0.05, "topic": 1.0}, 4, max_cells=n).collect()}
+                for n in (mixing.MAX_CELLS, 0))
+    assert min(r["weight"] for r in one.values()) < 1e-6
+    for k in one:
+        assert np.isclose(one[k]["weight"], two[k]["weight"], rtol=1e-9, atol=1e-9) and abs(one[k]["probability"] - two[k]["probability"]) < 1e-9
+    tokens = {tuple(r)[:3]: r["tokens"] for r in cells.collect()}
+    assert abs(sum(tokens[k] * r["probability"] for k, r in two.items()) / sum(tokens.values()) - mixing.SHARE) < 1e-9
+
+
 def test_sql_gives_the_same_rows(spark, tmp_path):
     df = frame(spark)
     pdf = df.toPandas()  # noqa: F841

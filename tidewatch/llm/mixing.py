@@ -36,8 +36,9 @@ ALPHA = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 ROUNDS, TOLERANCE, SHARE, SEED = 24, 1e-12, 0.6, "mix"
 #: Cells that are raked on the driver (some 20 MB); beyond that Spark jobs do it.
 MAX_CELLS = 200_000
-#: Halvings that find the factor between weights and probabilities.
-HALVINGS = 60
+#: Halvings that find the factor between weights and probabilities; more where a weight is so small that the factor's
+#: relative error would still be over ``EXACT``. Both ways of raking stop by the same rule.
+HALVINGS, EXACT = 60, 1e-15
 
 
 def topic(text: Column) -> Column:
@@ -66,6 +67,11 @@ def targets(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
     return powered.crossJoin(F.broadcast(total)).select(dim, (F.col("p") / F.col("total")).alias("target"))
 
 
+def _wide(low: float, high: float, done: int, goal: float) -> bool:
+    """Whether the span of the factor is still to be narrowed after ``done`` halvings."""
+    return done < HALVINGS or (goal > 0 and high - low > EXACT * high)
+
+
 def _rake_local(rows: list, alpha: dict[str, float], rounds: int, share: float) -> list[tuple]:
     if not rows:
         return []
@@ -86,7 +92,9 @@ def _rake_local(rows: list, alpha: dict[str, float], rounds: int, share: float)
             break
     weight = np.divide(raked, tokens, out=np.ones_like(raked), where=tokens > 0)
     low, high = 0.0, 1 / max(weight[tokens > 0].min(initial=1.0), 1e-300)
-    for _ in range(HALVINGS):
+    done = 0
+    while _wide(low, high, done, share * total):
+        done += 1
         mid = (low + high) / 2
         low, high = (mid, high) if (tokens * np.minimum(1, mid * weight)).sum() < share * total else (low, mid)
     p = np.minimum(1, high * weight)
@@ -109,9 +117,11 @@ def _rake_spark(cells: DataFrame, alpha: dict[str, float], rounds: int, share: f
         if (moved or 0) <= TOLERANCE * total:
             break
     weighed = raked.withColumn("weight", F.when(F.col("tokens") > 0, F.col("raked") / F.col("tokens")).otherwise(F.lit(1.0)))
-    least = weighed.where("tokens > 0").agg(F.min("weight")).first()[0] or 1.0
-    low, high = 0.0, 1 / max(least, 1e-300)
-    for _ in range(4):  # 32 factors a pass narrow the span as far as halvings would
+    least = weighed.where("tokens > 0").agg(F.min("weight")).first()[0]
+    low, high = 0.0, 1 / max(1.0 if least is None else least, 1e-300)
+    done = 0
+    while _wide(low, high, done, share * total):
+        done += 5  # 32 factors a pass narrow the span as far as 5 halvings
         tries = np.linspace(low, high, 33)[1:]
         got = weighed.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(float(x)) * F.col("weight"))).alias(f"f{i}")
                             for i, x in enumerate(tries)]).first()
