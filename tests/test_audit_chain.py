@@ -76,6 +76,34 @@ def test_segments_cover_the_chain(spark):
         assert at == 51
 
 
+def test_a_rewritten_hour_is_found(spark):
+    ev = _events(spark, ROWS).withColumn("investigation_id", F.lit("inv-1"))
+    c = AU.build_chain(ev).checkpoint()
+    segs = AU.chain_segments(c).checkpoint()
+    assert AU.verify_chain(c, segs).count() == 0 and AU.verify_range(c, "b", 3, 40, segs).count() == 0
+    s = [r for r in segs.collect() if r.tenant_id == "b"]
+    mid = sorted(s, key=lambda r: r.first_seq)[3]
+    # From the second record of a middle hour to its end, and the whole hour: rewritten with hashes recomputed.
+    for start in (mid.first_seq + 1, mid.first_seq):
+        inside = (F.col("tenant_id") == "b") & F.col("sequence_number").between(start, mid.last_seq)
+        rows = AU.canonical_pieces(c.where(inside).withColumn("context", F.lit('{"changed":1}'))).orderBy("sequence_number").collect()
+        last = c.where((F.col("tenant_id") == "b") & (F.col("sequence_number") == start - 1)).first().record_hash
+        forged = []
+        for r in rows:
+            prev = hashlib.sha256(f"segment|b|{r.sequence_number}".encode()).hexdigest() if r.sequence_number in (start, mid.first_seq) else last
+            last = AU.link_hash(prev, r.sequence_number, r._head, r._mid, r._tail)
+            forged.append(tuple({**r.asDict(), "previous_hash": prev, "record_hash": last}[n] for n in AU.AUDIT_SCHEMA.fieldNames()))
+        bad = c.where(~inside).unionByName(spark.createDataFrame(forged, AU.AUDIT_SCHEMA)).checkpoint()
+        seqs = {r.sequence_number for r in AU.verify_chain(bad, segs).collect() if r.tenant_id == "b"}
+        assert seqs == set(range(mid.first_seq, mid.last_seq + 1))
+        assert AU.verify_chain(bad).count() == (start > mid.first_seq)  # a seed within an hour is no link
+    assert AU.verify_range(bad, "b", 3, 40, segs).count() == len(seqs)
+    assert {r.tenant_id: r.valid for r in AU.chain_summary(bad, segs).collect()} == {"α-tenant": True, "b": False}
+    assert {r.tenant_id: r.chain_errors for r in AU.evidence_package(bad, segments=segs).collect()} == {"α-tenant": 0, "b": len(seqs)}
+    cut = [r for r in AU.verify_chain(c.where("not (tenant_id = 'b' and sequence_number >= 50)"), segs).collect() if r.audit_id is None]
+    assert [r.sequence_number for r in cut] == [50]
+
+
 def test_pages(spark):
     c = AU.number_events(_events(spark, ROWS))
     with pytest.raises(ValueError):

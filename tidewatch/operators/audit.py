@@ -11,9 +11,11 @@ Stored format: a tenant's records are numbered in (timestamp, audit_id) order an
 one hour. Within a segment each record's ``previous_hash`` is the hash before it; a segment's first
 record carries ``segment_seed(tenant, sequence)`` (the tenant's very first one 64 zeros, one that goes on
 after a stored head in the same hour that head's hash). ``chain_segments`` lists the segments' heads and
-links them by a running digest. So the sequential step, each digest covering the one before, is bounded by
+links them by a running digest; stored when the chain is built, that table is what ties the segments together. So the sequential step, each digest covering the one before, is bounded by
 a tenant's hour, and the largest tenant is chained by as many tasks as it has hours. Numbering takes counts by
-(tenant, segment) and a rank within the segment, both in the JVM. Verification is an equi-join on (tenant, seq - 1).
+(tenant, segment) and a rank within the segment, both in the JVM. Verification is an equi-join on (tenant, seq - 1); seeds are
+public, so it takes one only where an hour begins, and compares every segment with the stored table of heads and digests: records
+rewritten up to the end of their hour link well among themselves, but their head is not the stored one.
 """
 
 from __future__ import annotations
@@ -219,37 +221,79 @@ def chain_segments(records: DataFrame) -> DataFrame:
             .select("tenant_id", "first_seq", "last_seq", "head_hash", "digest"))
 
 
-def verify_chain(records: DataFrame) -> DataFrame:
-    """W-01: per record, recomputed hash, link to the predecessor (seq - 1) or a segment's seed, sequence
-    gaps and repeated sequence numbers (a forked or repeated tail).
+#: Sequence numbers to a bucket, by which records find the segment they are in.
+_SPAN = 1024
+
+
+def segments_differing(records: DataFrame, segments: DataFrame, whole: bool = True) -> DataFrame:
+    """(tenant_id, first_seq, last_seq, error): the segments of ``segments`` (a stored ``chain_segments``) whose last record
+    has another hash in ``records``, whose last record and all after it are missing (``whole``), or whose stored digest does
+    not follow from the digest before."""
+    at = records.groupBy(F.col("tenant_id").alias("tenant_id"), F.col("sequence_number").alias("last_seq")).agg(
+        F.min("record_hash").alias("_lo"), F.max("record_hash").alias("_hi"))
+    top = records.groupBy(F.col("tenant_id").alias("tenant_id")).agg(F.max("sequence_number").alias("_top"))
+    w = Window.partitionBy("tenant_id").orderBy("first_seq")
+    s = segments.select("tenant_id", "first_seq", "last_seq", "head_hash", (F.col("digest") != F.sha2(F.concat(
+        F.lag("digest", 1, GENESIS_HASH).over(w), "head_hash"), 256)).alias("_broken"))
+    j = s.join(at, ["tenant_id", "last_seq"], "left").join(top, "tenant_id", "left")
+    gone = F.lit(whole) & (F.col("last_seq") > F.coalesce("_top", F.lit(-1)))
+    error = (F.when((F.col("_lo") != F.col("head_hash")) | (F.col("_hi") != F.col("head_hash")), F.lit("segment differs from its stored head"))
+             .when(gone, F.lit("segment's stored head is missing")).when(F.col("_broken"), F.lit("stored digest does not link")))
+    return j.select("tenant_id", "first_seq", "last_seq", error.alias("error")).where("error is not null")
+
+
+def verify_chain(records: DataFrame, segments: DataFrame | None = None, whole: bool = True) -> DataFrame:
+    """W-01: per record, recomputed hash, link to the predecessor (seq - 1) or, where an hour begins, a segment's seed,
+    sequence gaps and repeated sequence numbers (a forked or repeated tail). With ``segments``, the ``chain_segments``
+    stored when the chain was built, all records of a segment that is not as stored are reported too, and (``whole``: the
+    records are not a range) stored tails that are missing, on a row with a null ``audit_id``. Without that table a
+    rewritten whole segment cannot be told from the true one, its seed being public.
 
     Returns only records with errors: (tenant_id, sequence_number, audit_id, errors ARRAY<STRING>).
     Counts and predecessors are equi-joins on (tenant, seq), parallel even for one huge tenant.
     """
     # explicit aliases give every side of the self-join its own attribute ids
     r = records.select(*[F.col(c).alias(c) for c in ("tenant_id", "sequence_number", "audit_id", "previous_hash",
-                                                     "record_hash")], record_digest().alias("_expected"))
+                                                     "record_hash")], segment_of(F.col("timestamp")).alias("_hour"),
+                       record_digest().alias("_expected"))
     at = records.groupBy(F.col("tenant_id").alias("tenant_id"), F.col("sequence_number").alias("sequence_number")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("record_hash").alias("_lo"), F.max("record_hash").alias("_hi"))
-    prev = at.select("tenant_id", (F.col("sequence_number") + 1).alias("sequence_number"), "_lo", "_hi", F.lit(True).alias("_has_prev"))
+        F.count(F.lit(1)).alias("_n"), F.min("record_hash").alias("_lo"), F.max("record_hash").alias("_hi"),
+        F.max(segment_of(F.col("timestamp"))).alias("_before"))
+    prev = at.select("tenant_id", (F.col("sequence_number") + 1).alias("sequence_number"), "_lo", "_hi", "_before", F.lit(True).alias("_has_prev"))
     own = at.select("tenant_id", "sequence_number", "_n")
     first = records.groupBy(F.col("tenant_id").alias("tenant_id")).agg(F.min("sequence_number").alias("_first"))
     j = r.join(own, ["tenant_id", "sequence_number"]).join(prev, ["tenant_id", "sequence_number"], "left").join(first, "tenant_id")
     is_first = F.col("sequence_number") == F.col("_first")
     p = F.col("previous_hash")
-    linked = (p == F.col("_lo")) | (p == F.col("_hi")) | (p == segment_seed(F.col("tenant_id"), F.col("sequence_number")))
+    seeded = (p == segment_seed(F.col("tenant_id"), F.col("sequence_number"))) & (F.col("_hour") > F.col("_before"))
+    linked = (p == F.col("_lo")) | (p == F.col("_hi")) | seeded
     seq = F.col("sequence_number").cast("string")
+    if segments is None:
+        j = j.withColumn("_segment", F.lit(None).cast("string"))
+    else:
+        bad = segments_differing(records, segments, whole).checkpoint()
+        spans = bad.select(F.col("tenant_id").alias("_t"), "first_seq", "last_seq", "error", F.explode(F.sequence(
+            F.floor(F.col("first_seq") / _SPAN), F.floor(F.col("last_seq") / _SPAN))).alias("_b"))
+        within = ((F.col("tenant_id") == F.col("_t")) & (F.floor(F.col("sequence_number") / _SPAN) == F.col("_b"))
+                  & F.col("sequence_number").between(F.col("first_seq"), F.col("last_seq")))
+        j = j.join(spans, within, "left").withColumn("_segment", F.concat(F.lit("Record seq="), seq, F.lit(": "), "error"))
     errs = F.array_compact(F.array(
         F.when(F.col("record_hash") != F.col("_expected"), F.concat(F.lit("Record seq="), seq, F.lit(": hash mismatch"))),
         F.when(~is_first & F.col("_has_prev") & ~linked, F.concat(F.lit("Record seq="), seq, F.lit(": previous_hash does not link"))),
         F.when(~is_first & F.col("_has_prev").isNull(), F.concat(F.lit("Sequence gap: expected predecessor of "), seq)),
-        F.when(F.col("_n") > 1, F.concat(F.lit("Sequence repeated: "), seq))))
-    return j.select("tenant_id", "sequence_number", "audit_id", errs.alias("errors")).where(F.size("errors") > 0)
+        F.when(F.col("_n") > 1, F.concat(F.lit("Sequence repeated: "), seq)), F.col("_segment")))
+    found = j.select("tenant_id", "sequence_number", "audit_id", errs.alias("errors")).where(F.size("errors") > 0)
+    if segments is None:
+        return found
+    tails = bad.where(F.col("error").contains("missing")).select("tenant_id", F.col("last_seq").alias("sequence_number"), F.lit(None).cast("string").alias("audit_id"),
+                              F.array(F.concat(F.lit("Record seq="), F.col("last_seq").cast("string"), F.lit(": "), "error")).alias("errors"))
+    return found.unionByName(tails)
 
 
 def verify_range(records: DataFrame, tenant: str | None = None, start_seq: int | None = None,
-                 end_seq: int | None = None) -> DataFrame:
-    """W-02: verify a tenant and/or sequence range (the range's first record is its own start)."""
+                 end_seq: int | None = None, segments: DataFrame | None = None) -> DataFrame:
+    """W-02: verify a tenant and/or sequence range (the range's first record is its own start); with ``segments``, also the
+    stored heads that lie in it."""
     r = records
     if tenant is not None:
         r = r.where(F.col("tenant_id") == tenant)
@@ -257,12 +301,12 @@ def verify_range(records: DataFrame, tenant: str | None = None, start_seq: int |
         r = r.where(F.col("sequence_number") >= start_seq)
     if end_seq is not None:
         r = r.where(F.col("sequence_number") <= end_seq)
-    return verify_chain(r)
+    return verify_chain(r, segments, whole=tenant is None and start_seq is None and end_seq is None)
 
 
-def chain_summary(records: DataFrame) -> DataFrame:
+def chain_summary(records: DataFrame, segments: DataFrame | None = None) -> DataFrame:
     """Per tenant: records, first/last sequence, head hash, error count (a verification log row)."""
-    errs = verify_chain(records).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("errors"))
+    errs = verify_chain(records, segments).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("errors"))
     g = records.groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("records"), F.min("sequence_number").alias("first_seq"),
         F.max("sequence_number").alias("last_seq"),
@@ -346,7 +390,7 @@ def droppable_months(partitions: DataFrame, exports: DataFrame, holds: DataFrame
             .join(ok, "month", "left_semi").join(held, "month", "left_anti"))
 
 
-def evidence_package(records: DataFrame, investigation_col: str = "investigation_id") -> DataFrame:
+def evidence_package(records: DataFrame, investigation_col: str = "investigation_id", segments: DataFrame | None = None) -> DataFrame:
     """A-35: per tenant and investigation: events by category and by class (state transitions, model
     interactions, actions, approvals, retrieval), last classification, actions done and pending, chain errors of its
     records, and a package hash over its record hashes. Only bounded aggregates: no list of records is collected."""
@@ -366,7 +410,7 @@ def evidence_package(records: DataFrame, investigation_col: str = "investigation
         multiset_digest("sequence_number", "record_hash").alias("package_hash"))
     cats = r.groupBy(*keys, "event_category").agg(F.count(F.lit(1)).alias("n"))
     by_cat = cats.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("event_category", "n"))).alias("events_by_category"))
-    bad = verify_chain(records).select("tenant_id", "sequence_number", "audit_id", F.size("errors").alias("_e"))
+    bad = verify_chain(records, segments).select("tenant_id", "sequence_number", "audit_id", F.size("errors").alias("_e"))
     errors = (r.select(*keys, "sequence_number", "audit_id").join(bad, ["tenant_id", "sequence_number", "audit_id"])
               .groupBy(*keys).agg(F.sum("_e").alias("chain_errors")))
     return (g.join(by_cat, keys).join(errors, keys, "left")

@@ -27,6 +27,7 @@ WITH ev AS (
 
 
 _CHAINS: dict[tuple[str, str], DataFrame] = {}
+_SEGMENTS: dict[tuple[str, str], DataFrame] = {}
 
 
 def chain(spark, sf):
@@ -39,6 +40,14 @@ def chain(spark, sf):
     return _CHAINS[key]
 
 
+def segments(spark, sf):
+    """The stored table of the built chain's segments, which verification compares the records with."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SEGMENTS:
+        _SEGMENTS[key] = AU.chain_segments(chain(spark, sf)).checkpoint(eager=True)
+    return _SEGMENTS[key]
+
+
 def numbered(spark, sf):
     """The audit table without hashes, for reports that need none: no sequential step."""
     return AU.number_events(TB.audit_events(spark, sf))
@@ -46,7 +55,8 @@ def numbered(spark, sf):
 
 def _w15(spark, sf):
     checkpoint_dir(spark)
-    s = AU.chain_summary(AU.build_chain(TB.audit_events(spark, sf)).checkpoint(eager=True))
+    c = AU.build_chain(TB.audit_events(spark, sf)).checkpoint(eager=True)
+    s = AU.chain_summary(c, AU.chain_segments(c).checkpoint(eager=True))
     return s.select("tenant_id", "records", "first_seq", "last_seq", "errors", "valid")
 
 
@@ -58,7 +68,7 @@ FROM seq GROUP BY tenant_id
 
 
 def _w01_clean(spark, sf):
-    return AU.verify_chain(chain(spark, sf)).select("tenant_id", "sequence_number", "audit_id",
+    return AU.verify_chain(chain(spark, sf), segments(spark, sf)).select("tenant_id", "sequence_number", "audit_id",
                                                     F.array_join("errors", "; ").alias("errors"))
 
 
@@ -72,7 +82,7 @@ def _w01_tampered(spark, sf):
     c = chain(spark, sf)
     hit = (F.col("tenant_id") == "t1") & (F.col("sequence_number") == 5)
     bad = c.withColumn("context", F.when(hit, F.lit('{"tampered":true}')).otherwise(F.col("context")))
-    return AU.verify_chain(bad).select("tenant_id", "sequence_number", "audit_id",
+    return AU.verify_chain(bad, segments(spark, sf)).select("tenant_id", "sequence_number", "audit_id",
                                        F.array_join("errors", "; ").alias("errors"))
 
 
@@ -85,7 +95,7 @@ SELECT tenant_id, CAST(sequence_number AS BIGINT) AS sequence_number, audit_id,
 def _w01_forked(spark, sf):
     c = chain(spark, sf)
     last = c.join(AU.chain_heads(c).select("tenant_id", "sequence_number"), ["tenant_id", "sequence_number"], "left_semi")
-    return AU.verify_chain(c.unionByName(last.select(*c.columns))).select("tenant_id", "sequence_number", "audit_id",
+    return AU.verify_chain(c.unionByName(last.select(*c.columns)), segments(spark, sf)).select("tenant_id", "sequence_number", "audit_id",
                                                                          F.array_join("errors", "; ").alias("errors"))
 
 
@@ -115,7 +125,7 @@ FROM u GROUP BY tenant_id, hour
 def _w02(spark, sf):
     c = chain(spark, sf)
     bad = c.where(~((F.col("tenant_id") == "t2") & (F.col("sequence_number") == 10)))
-    return AU.verify_range(bad, tenant="t2", start_seq=3, end_seq=40).select(
+    return AU.verify_range(bad, tenant="t2", start_seq=3, end_seq=40, segments=segments(spark, sf)).select(
         "tenant_id", "sequence_number", F.array_join("errors", "; ").alias("errors"))
 
 
@@ -180,7 +190,7 @@ register("s17_export_fingerprint", None)(_s17)
 
 
 def _a35(spark, sf):
-    p = AU.evidence_package(chain(spark, sf))
+    p = AU.evidence_package(chain(spark, sf), segments=segments(spark, sf))
     return p.select("tenant_id", "investigation_id", "events", "last_classification", "state_transitions", "actions", "approvals",
                     "actions_done", F.size("events_by_category").cast("bigint").alias("categories"), "chain_verified")
 
