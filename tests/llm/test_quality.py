@@ -1,4 +1,5 @@
 import re
+import textwrap
 from collections import Counter
 
 from hypothesis import given, settings
@@ -50,6 +51,24 @@ def test_lines():
     assert again["n_lines_removed"] == 1 and again["cleaned"] == clean
 
 
+def test_hard_wrapped_prose_is_whole():
+    words = " ".join(f"Start{i} " + " ".join(f"{'Name' if j % 6 == 5 else 'word'}{i}x{j}" for j in range(26)) + "." for i in range(12)).split()
+    by_words = [" ".join(words[i:i + 9]) for i in range(0, len(words), 9)]
+    by_width = textwrap.wrap(" ".join(words), 72)
+    for lines in (by_words, by_width):
+        text = "\n".join(lines)
+        assert any(not quality._SENTENCE.search(x) and len(x.split()) >= 8 for x in lines)
+        r = quality.judge(text)
+        assert r["kept"] and r["cleaned"] == text
+    dump = "cheap shoes best price free parcel online shop now"
+    r = quality.judge("\n".join(by_width) + "\n\n" + dump + "\n\n" + "\n".join(by_width[:3]))
+    assert dump not in r["cleaned"]
+    assert quality.judge(prose(60) + "\n" + dump + "\n" + "Other" + prose(61))["n_lines_removed"] == 1
+    thai = "\u0e01\u0e32\u0e23 " * 9
+    for line in ("एक दो तीन चार पाँच छह सात आठ नौ।", "واحد اثنان ثلاثة، أربعة خمسة ستة سبعة ثمانية", thai.strip()):
+        assert not quality.line_fails(line, line.encode().split(), quality.Rules()), line
+
+
 def test_labelled_documents(spark):
     docs, labels = (spark.read.parquet(f"{SF01}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.quality(docs).join(labels, "doc_id").collect()
