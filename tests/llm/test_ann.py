@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from tidewatch.llm import ann
 
@@ -55,6 +56,32 @@ def test_huge_components(spark):
     assert len(got) == 30 and all(np.isfinite(r["score"]) for r in got)
 
 
+def _recall(v, asked, k=10):
+    index = ann._build_shard(pd.DataFrame({"dim": v.shape[1], "shard": 0, "ids": [[i] for i in range(len(v))], "vector": v.tolist()}))
+    q = pd.DataFrame({"query_id": asked, "vector": v[asked].tolist()})
+    got = ann._search_cell(k, ann.BEAM)(index, q)
+    hits = 0
+    for i, found in got.groupby("query_id")["vec_id"]:
+        d = np.square(v - v[i]).sum(axis=1)
+        d[i] = np.inf
+        hits += len(set(found) & set(np.argsort(d, kind="stable")[:k].tolist()))
+    return hits / (k * len(asked))
+
+
+def test_one_huge_vector_in_a_shard():
+    v = np.random.RandomState(4).randn(1500, 16)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    asked = list(range(0, 1500, 25))
+    for huge in (1.0, 1e8, 1e30):
+        w = v.copy()
+        w[7] = huge
+        assert _recall(w, asked) >= 0.95, huge
+    far = v.copy()
+    far[1200:] += 1e6  # a second group far away
+    assert _recall(far, asked) >= 0.9
+    assert _recall(np.concatenate([v, [[1e8] * 16]]), [3, 1500]) >= 0.9  # the huge one is itself a query
+
+
 def test_empty(spark):
     assert ann.nearest(frame(spark, [])).collect() == []
     assert ann.nearest(frame(spark, [(100, [1.0, 2.0])])).collect() == []

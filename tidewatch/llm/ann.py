@@ -9,6 +9,11 @@ pruned the same way. The index is a table with a row for each distinct vector: s
 **Search.** Queries, in blocks, meet every shard: a beam search of width ``BEAM`` there, then exact distances in double
 precision on the original vectors; each (shard, block) sends its k best for each query, and a window takes the k best of all.
 
+**Range.** Graphs are built and searched in single precision, centred by the median of each component and scaled by the largest
+one. Vectors over ``WIDE`` times as far from the medians as half of the others would round away what tells those apart (or
+be cut off from them): a shard is divided into groups without such vectors, each with a graph and start of its own, and all are searched.
+A query that far from a group is searched there in double precision, by sums of squared differences.
+
 Copies: rows with one vector are one node with its k + 1 smallest ids; no other copy can be among a query's k nearest, as
 ties go to smaller ids. The ids are cut with a window limit that Spark applies before its shuffle, so a vector that a third of
 all rows share costs k + 1 rows a task. Memory of a task: one shard and one block, both bounded.
@@ -31,6 +36,10 @@ SHARD, BLOCK = 8192, 2048
 DEGREE, BUILD_BEAM, BEAM, ALPHA = 32, 64, 96, 1.2
 #: Nodes expanded in one step of a search, queries searched at once.
 WIDTH, BATCH = 4, 256
+#: Distance from the centre, in medians of the shard's, beyond which single precision does not do.
+WIDE = 16.0
+#: Differences of vectors in double precision made at once (16 MB at 64 components).
+CHUNK = 32_768
 
 INDEX_SCHEMA = "dim int, shard int, node int, start int, ids array<long>, vector array<double>, near array<int>"
 FOUND_SCHEMA = "query_id long, vec_id long, score double"
@@ -38,14 +47,26 @@ FOUND_SCHEMA = "query_id long, vec_id long, score double"
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, ...]:
     """The ``beam`` nearest found of each query, nearest first, and all nodes expanded on the way (-1: none), each with
-    squared distances. All queries step together."""
+    squared distances (in single precision less the query's own square). All queries step together."""
     n, m, r = len(x), len(q), graph.shape[1]
-    norm = np.einsum("ij,ij->i", x, x)
+    exact = x.dtype == np.float64
+    norm = None if exact else np.einsum("ij,ij->i", x, x)
+
+    def distance(to: np.ndarray, own: np.ndarray) -> np.ndarray:
+        if not exact:
+            return norm[to] - 2 * np.einsum("ij,ij->i", x[to], q[own])
+        out = np.empty(len(to))
+        for at in range(0, len(to), CHUNK):
+            some = slice(at, at + CHUNK)
+            gap = x[to[some]] - q[own[some]]
+            out[some] = np.einsum("ij,ij->i", gap, gap)
+        return out
+
     ids = np.full((m, beam), -1, dtype=np.int64)
-    dist = np.full((m, beam), np.inf, dtype=np.float32)
+    dist = np.full((m, beam), np.inf, dtype=x.dtype)
     done = np.ones((m, beam), dtype=bool)
     ids[:, 0], done[:, 0] = start, False
-    dist[:, 0] = norm[start] - 2 * q @ x[start]
+    dist[:, 0] = distance(np.full(m, start), np.arange(m))
     seen = np.full((m, n), -1, dtype=np.int32)
     seen[:, start] = 0
     way, way_dist = [], []
@@ -58,7 +79,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, bea
         real = np.take_along_axis(pick, order, axis=1)
         nodes = np.where(real, np.take_along_axis(ids[live], order, axis=1), -1)
         full = np.full((m, WIDTH), -1, dtype=np.int64)
-        full_dist = np.full((m, WIDTH), np.inf, dtype=np.float32)
+        full_dist = np.full((m, WIDTH), np.inf, dtype=x.dtype)
         full[live] = nodes
         full_dist[live] = np.where(real, np.take_along_axis(dist[live], order, axis=1), np.inf)
         way.append(full)
@@ -71,9 +92,8 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, bea
         seen[rows[new], near[new]] = col[new]
         new &= seen[rows, near] == col  # of equal neighbours the last one stays
         a, b = np.nonzero(new)
-        d = np.full(near.shape, np.inf, dtype=np.float32)
-        to = near[a, b]
-        d[a, b] = norm[to] - 2 * np.einsum("ij,ij->i", x[to], q[live[a]])
+        d = np.full(near.shape, np.inf, dtype=x.dtype)
+        d[a, b] = distance(near[a, b], live[a])
         all_d = np.concatenate([dist[live], d], axis=1)
         best = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
         dist[live] = np.take_along_axis(all_d, best, axis=1)
@@ -85,9 +105,8 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, bea
 
 def robust_prune(x: np.ndarray, point: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """For each point, ``degree`` diverse nodes of its candidates (-1: none)."""
-    at = x[np.maximum(cand, 0)]
-    own = x[point]
-    d = np.square(at - own[:, None, :]).sum(axis=2)
+    at = x[np.maximum(cand, 0)] - x[point][:, None, :]  # from the point, so that far ones cost the near ones no digits
+    d = np.square(at).sum(axis=2)
     d[(cand < 0) | (cand == point[:, None])] = np.inf
     sq = np.einsum("ijk,ijk->ij", at, at)
     between = sq[:, :, None] + sq[:, None, :] - 2 * (at @ at.transpose(0, 2, 1))
@@ -158,21 +177,56 @@ def _reverse(x: np.ndarray, graph: np.ndarray, new: np.ndarray, degree: int, alp
             graph[nodes[some][~fits]] = robust_prune(x, nodes[some][~fits], cand[~fits], degree, alpha)
 
 
-def _scaled(v: np.ndarray, like: np.ndarray) -> np.ndarray:
-    """Single precision for the search, centred and scaled by ``like`` so that nothing overflows."""
-    mean = like.mean(axis=0)
-    scale = max(float(np.abs(like - mean).max()), 1e-300)
-    return ((v - mean) / scale).astype(np.float32)
+def _scaled(v: np.ndarray, like: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``v`` centred and scaled by ``like`` so that nothing overflows, in double precision, and which rows are too far out
+    for single precision."""
+    mid = np.median(like, axis=0)
+    gap = like - mid
+    scale = float(np.abs(gap).max()) or 1.0
+    usual = float(np.median(np.sqrt(np.square(gap / scale).sum(axis=1))))
+    out = (v - mid) / scale
+    return out, np.sqrt(np.square(out).sum(axis=1)) > WIDE * max(usual, 1e-150)
+
+
+def _groups(v: np.ndarray) -> list[np.ndarray]:
+    """Rows of a shard in groups of like range: no vector is too far out for its group."""
+    left, out = np.arange(len(v)), []
+    while len(left):
+        own = left
+        while (far := _scaled(v[own], v[own])[1]).any():
+            own = own[~far]
+        out.append(own)
+        left = np.setdiff1d(left, own)
+    return out
 
 
 def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.reset_index(drop=True)
     v = np.array(pdf["vector"].tolist(), dtype=np.float64)
-    graph, start = build(_scaled(v, v))
-    return pdf.assign(node=np.arange(len(pdf)), start=start, near=[g[g >= 0].tolist() for g in graph])[
+    near, starts = [None] * len(v), np.zeros(len(v), dtype=np.int64)
+    for own in _groups(v):
+        graph, start = build(_scaled(v[own], v[own])[0].astype(np.float32))
+        starts[own] = own[start]
+        for i, g in zip(own, graph):
+            near[i] = own[g[g >= 0]].tolist()
+    return pdf.assign(node=np.arange(len(pdf)), start=starts, near=near)[
         ["dim", "shard", "node", "start", "ids", "vector", "near"]]
 
 
+def _found(v: np.ndarray, near: list, start: int, q: np.ndarray, beam: int):
+    """(query's place, nodes found) in one group of a shard."""
+    graph = np.full((len(v), max(1, max(map(len, near)))), -1, dtype=np.int64)
+    for i, g in enumerate(near):
+        graph[i, :len(g)] = g
+    x = _scaled(v, v)[0]
+    y, far = _scaled(q, v)
+    for rows, kind in ((np.flatnonzero(~far), np.float32), (np.flatnonzero(far), np.float64)):
+        xk = x.astype(kind)
+        for at in range(0, len(rows), BATCH):
+            some = rows[at:at + BATCH]
+            yield from zip(some, beam_search(xk, graph, start, y[some].astype(kind), beam)[0])
+
+
 def _search_cell(k: int, beam: int):
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if index.empty or queries.empty:
@@ -180,22 +234,22 @@ def _search_cell(k: int, beam: int):
         index = index.sort_values("node")
         v = np.array(index["vector"].tolist(), dtype=np.float64)
         q = np.array(queries["vector"].tolist(), dtype=np.float64)
-        graph = np.full((len(v), max(1, index["near"].str.len().max())), -1, dtype=np.int64)
-        for i, g in enumerate(index["near"]):
-            graph[i, :len(g)] = g
-        x, y = _scaled(v, v), _scaled(q, v)
         ids, out = index["ids"].tolist(), []
         own = queries["query_id"].tolist()
-        for at in range(0, len(q), BATCH):
-            found = beam_search(x, graph, int(index["start"].iloc[0]), y[at:at + BATCH], max(beam, k + 1))[0]
-            for i, f in enumerate(found, at):
-                f = f[f >= 0]
-                score = np.sqrt(np.square(v[f] - q[i]).sum(axis=1))
-                near = np.argsort(score, kind="stable")
-                # Nodes up to the (k+1)-th, with what ties with it.
-                near = near[score[near] <= score[near[min(k, len(near) - 1)]]]
-                best = sorted((score[j], one) for j in near for one in ids[f[j]] if one != own[i])[:k]
-                out += [(own[i], one, s) for s, one in best]
+        starts, nodes = index["start"].to_numpy(), [[] for _ in q]
+        for start in np.unique(starts):
+            group = np.flatnonzero(starts == start)
+            near = [np.searchsorted(group, g) for g in index["near"].iloc[group]]
+            for i, f in _found(v[group], near, int(np.searchsorted(group, start)), q, max(beam, k + 1)):
+                nodes[i].append(group[f[f >= 0]])
+        for i, parts in enumerate(nodes):
+            f = np.concatenate(parts)
+            score = np.sqrt(np.square(v[f] - q[i]).sum(axis=1))
+            near = np.argsort(score, kind="stable")
+            # Nodes up to the (k+1)-th, with what ties with it.
+            near = near[score[near] <= score[near[min(k, len(near) - 1)]]]
+            best = sorted((score[j], one) for j in near for one in ids[f[j]] if one != own[i])[:k]
+            out += [(own[i], one, s) for s, one in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
     return run
 
