@@ -61,6 +61,24 @@ def test_large_buckets(spark, monkeypatch):
     assert classes(neardup.near_duplicates(frame(spark, rows)).collect()) == expected(rows)
 
 
+def test_no_pair_is_lost_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 1)  # every bucket is large; few bands, so that splitting by others would lose pairs
+    rows, pairs = [], []
+    for f in range(120):
+        base = [f"f{f}x{i}" for i in range(200)]
+        x = base + [f"x{f}y{i}" for i in range(20)]
+        y = base + [f"z{f}y{i}" for i in range(20)]
+        others = [base[:150 + 5 * j] + [f"o{f}j{j}n{i}" for i in range(40)] for j in range(5)]
+        d = 10 * f
+        rows += [(d, " ".join(x)), (d + 1, " ".join(y))] + [(d + 2 + j, " ".join(o)) for j, o in enumerate(others)]
+        pairs.append((d, d + 1))
+    docs = frame(spark, rows)
+    keys = {r["doc_id"]: set(r["keys"]) for r in neardup.signatures(docs, bands=8).collect()}
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs, bands=8).collect()}
+    shared = [(a, b) for a, b in pairs if keys[a] & keys[b]]
+    assert len(shared) > 100 and [(a, b) for a, b in shared if found[a] != found[b]] == []
+
+
 def test_cases(spark):
     long = " ".join(f"w{i}" for i in range(40_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "two words"), (5, "two  words"), (6, long), (7, long + " more"), (8, "clean text of its own, not like others"),

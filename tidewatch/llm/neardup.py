@@ -14,12 +14,13 @@ large, has one signature in the buckets.
 
 **Links without pairs of a group.** In each bucket every node is compared with one hub, the node with most company over
 all its buckets: one comparison a row, and a large group of near copies becomes one component. Only
-buckets that then still hold several components go on. With up to ``SMALL`` nodes, all pairs across components are
-compared. A larger one (documents that share a common passage, say) is split by each of the ``REFINE`` bands that follow its
-own: two documents of similarity 0.8 agree in such a pair of bands, of 8 rows, with probability 0.9997 over all, unlike
-ones hardly ever. The parts are treated the same way (``LEVELS`` in all): a hub each, then what is left across components by a join
-that Spark can split. Jaccard distance is a metric, so pairs whose similarities to their common hub differ by more than
-0.2 need no comparison; that settles the near copies in a bucket at once. No bucket is cut. Similarity is exact (intersection of shingle sets in the JVM).
+buckets that then still hold several components go on. Jaccard distance is a metric, so pairs whose similarities to their common hub differ by more than
+0.2 need no comparison; that settles the near copies in a bucket at once. With up to ``SMALL`` nodes left, all pairs across
+components are compared. The nodes of larger ones (documents that share a common passage, say) go to an exact filter on their shingles,
+ordered from the rarest to the commonest among these nodes: of two sets of similarity 0.8, the larger one's first 0.2 and the smaller one's
+first 0.11 of its shingles hold a common one, at places that leave room for enough others behind. So a common passage, whose
+shingles come last, brings nobody together, and no pair of 0.8 is lost. The nodes that share such a shingle are the new buckets: a hub each,
+then what is left across components by a join that Spark can split. No bucket is cut. Similarity is exact (intersection of shingle sets in the JVM).
 
 **Classes.** Components by alternating large-star and small-star steps, as joins and grouped minima, each step written
 as a checkpoint. A class is named by its smallest doc_id.
@@ -45,7 +46,7 @@ from tidewatch.llm.hashing import mix, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-SMALL, REFINE, LEVELS = 16, 6, 3
+SMALL = 16
 #: Nodes whose ids may be broadcast (16 MB of keys); beyond that they are joined by a shuffle.
 BROADCAST_NODES = 400_000
 SIGNATURE_SCHEMA = "doc_id long, text_id binary, node binary, keys array<long>"
@@ -238,10 +239,41 @@ def _unsettled(held: DataFrame, comps: DataFrame, tested: DataFrame, similarity:
 
 
 def _across(left: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of one bucket and different components that the distances to their hub do not rule out."""
-    x, y = (left.select("key", F.col("node").alias(p), F.col("root").alias(f"{p}_root"), F.col("s").alias(f"{p}_s")) for p in "ab")
+    """Pairs of one bucket and different components that the distances to their hub do not rule out, nor, where rows
+    have them, the sizes of their sets and their places in these."""
+    own = [c for c in ("n_items", "place") if c in left.columns]
+    x, y = (left.select("key", F.col("node").alias(p), F.col("root").alias(f"{p}_root"), F.col("s").alias(f"{p}_s"),
+                        *[F.col(c).alias(f"{p}_{c}") for c in own]) for p in "ab")
     apart = F.abs(F.col("a_s") - F.col("b_s")) <= 1 - similarity + 1e-9
-    return x.join(y, "key").where("a_root <> b_root and a < b").where(apart).select("a", "b")
+    pairs = x.join(y, "key").where("a_root <> b_root and a < b").where(apart)
+    return (pairs.where(_possible(similarity)) if own else pairs).select("a", "b")
+
+
+def _possible(similarity: float):
+    """Whether two sets that share their ``place``-th item (from 0) as the first can be ``similarity`` or more."""
+    na, nb, pa, pb = (F.col(c) for c in ("a_n_items", "b_n_items", "a_place", "b_place"))
+    common = similarity / (1 + similarity) * (na + nb) - 1e-6
+    least = F.when(na <= nb, pa).otherwise(pb) < _first(F.least(na, nb), 2 * similarity / (1 + similarity))
+    return (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-6) & least & (F.least(na - pa, nb - pb) >= common)
+
+
+def _first(n, share: float):
+    """How many items of a set of ``n`` must hold one of any ``share`` of them."""
+    return n - F.ceil(share * n - 1e-6) + 1
+
+
+def _rare_items(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, n_items, place): the first items of each node's set, from the rarest among ``nodes`` to the
+    commonest, of which two sets of ``similarity`` share one. Items that one node alone holds only count for the places."""
+    items = (sets.join(nodes.select("node").distinct(), "node", "left_semi")
+             .select("node", F.size("items").alias("n_items"), F.explode("items").alias("item")))
+    shared = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    held = (items.join(shared, "item").groupBy("node", "n_items").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("l"))
+            .withColumn("alone", F.col("n_items") - F.size("l")))
+    first = F.slice("l", 1, F.greatest(F.lit(0), (_first(F.col("n_items"), similarity) - F.col("alone")).cast("int")))
+    return (held.select("node", "n_items", "alone", F.posexplode(first).alias("at", "one"))
+            .select(F.col("one.item").cast("long").alias("key"), "node", "n_items",
+                    (F.col("alone") + F.col("at")).alias("place")))
 
 
 def _links(sigs: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -249,33 +281,34 @@ def _links(sigs: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFra
     nodes = (sigs.where("node is not null").groupBy("node")
              .agg(F.min(F.struct("doc_id", "text_id", "keys")).alias("r"))
              .select("node", "r.doc_id", "r.text_id", "r.keys"))
-    held = _hubs(nodes.select("node", F.posexplode("keys").alias("band", "key")), 0).checkpoint()
+    held = _hubs(nodes.select("node", F.explode("keys").alias("key")), 0).checkpoint()
     wanted = nodes.select("node", "doc_id", "text_id").join(held.select("node").distinct(), "node", "left_semi").checkpoint()
     sets = _sets(docs, wanted).checkpoint()
-    bands = nodes.select(F.col("node").alias("_node"), "keys")
 
-    tested = _verify(_star(held).distinct(), sets).checkpoint()
-    for level in range(LEVELS):
-        comps = components(tested.where(F.col("similarity") >= similarity)).checkpoint()
-        left = _unsettled(held, comps, tested, similarity).checkpoint()
-        if left.isEmpty():
-            return tested.where(F.col("similarity") >= similarity), comps
-        if level < LEVELS - 1:
-            # Large buckets are split by the bands that follow the row's own (``band``: the last one used).
-            step = F.transform(F.sequence(F.lit(1), F.lit(REFINE)), lambda i: F.struct(
-                ((F.col("band") + i) % F.size("keys")).cast("int").alias("band"),
-                F.element_at("keys", ((F.col("band") + i) % F.size("keys") + 1).cast("int")).alias("key")))
-            parts = (left.where(F.col("n") > SMALL).select("key", "node", "band").join(bands, F.col("node") == F.col("_node"))
-                     .select("node", F.col("key").alias("_key"), F.explode(step).alias("_next")))
-            held = _hubs(parts.select("node", F.col("_next.band").alias("band"), F.xxhash64("_key", "_next.key").alias("key")),
-                         level + 1).checkpoint()
-            pairs = _across(left.where(F.col("n") <= SMALL), similarity).unionByName(_star(_open(held, comps)))
-        else:
-            pairs = _across(left, similarity)
+    def settle(tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+        links = tested.where(F.col("similarity") >= similarity)
+        return links, components(links).checkpoint()
+
+    def test(pairs: DataFrame, tested: DataFrame) -> DataFrame:
         new = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti").checkpoint()
-        tested = tested.unionByName(_verify(new, sets)).checkpoint()
-    return (tested.where(F.col("similarity") >= similarity),
-            components(tested.where(F.col("similarity") >= similarity)).checkpoint())
+        return tested.unionByName(_verify(new, sets)).checkpoint()
+
+    tested = _verify(_star(held).distinct(), sets).checkpoint()
+    links, comps = settle(tested)
+    left = _unsettled(held, comps, tested, similarity).checkpoint()
+    if left.isEmpty():
+        return links, comps
+    tested = test(_across(left.where(F.col("n") <= SMALL), similarity), tested)
+    links, comps = settle(tested)
+    # Large buckets that the small ones' links have not joined.
+    large = _open(left.where(F.col("n") > SMALL).select("key", "node"), comps).select("node").distinct().checkpoint()
+    if large.isEmpty():
+        return links, comps
+    held = _hubs(_rare_items(large, sets, similarity), 1).checkpoint()
+    tested = test(_star(_open(held, comps)), tested)
+    comps = settle(tested)[1]
+    left = _unsettled(held, comps, tested, similarity).checkpoint()
+    return settle(test(_across(left, similarity), tested))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", bands: int = BANDS,
