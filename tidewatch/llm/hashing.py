@@ -42,11 +42,14 @@ def _hash_chunk(b: np.ndarray) -> np.ndarray:
         turn = np.concatenate([np.zeros(1, turn.dtype), turn])
     if not gap[-1]:
         turn = np.append(turn, len(b))
-    start, end = turn[::2], turn[1::2]
+    return spans(b, turn[::2], turn[1::2])
+
+
+def spans(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes: a polynomial in its bytes, whatever its place."""
     _grow(len(b))
     upto = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum(_TABLE[b] * _UP[:len(b)], out=upto[1:])
-    # A polynomial in the word's bytes, whatever its place.
     return mix((upto[end] - upto[start]) * _DOWN[start] + (end - start).astype(np.uint64))
 
 

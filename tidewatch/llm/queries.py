@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import ann, chat, langid, mixing, neardup, packing, pages, quality, sharding, substring
+from tidewatch.llm import ann, chat, exactdup, fim, langid, mixing, neardup, packing, pages, phrases, quality, sharding, substring
 from tidewatch.llm.common import read
 
 SEQUENCE_TOKENS = 2048
@@ -63,6 +63,20 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(read(spark, sf_dir, "documents")))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_mix_to_targets, op3_graph_nearest, op4_language_id, op5_substring_dedup,
-                                   op6_main_text, op7_quality_rules, op8_chat_format, op9_jump_shards, op10_dart_minhash)}
-ORACLES = {"op2_mix_to_targets": mixing.mix_sql()}
+                                   op6_main_text, op7_quality_rules, op8_chat_format, op9_jump_shards, op10_dart_minhash,
+                                   op11_fill_in_middle, op12_exact_dedup, op13_collocations)}
+ORACLES = {"op2_mix_to_targets": mixing.mix_sql(), "op11_fill_in_middle": fim.fim_sql(), "op12_exact_dedup": exactdup.EXACT_SQL,
+           "op13_collocations": phrases.PHRASES_SQL}
