@@ -185,13 +185,17 @@ def test_run_all_raises_what_is_not_a_missing_input(spark):
 def test_insider_resource_access_ilike_any_and_thresholds(spark):
     import datetime as _dt
     now = _dt.datetime(2024, 1, 31)
-    rows = [("u1", now - _dt.timedelta(hours=h), f"s3://Model-Weights/run-{h}", "10.0.0.1") for h in range(1, 5)]
-    rows += [("u1", now - _dt.timedelta(hours=2), "notebooks/x", "10.0.0.1")]           # not suspicious
-    rows += [("u2", now - _dt.timedelta(hours=3), "training-data/a", "10.0.0.2")]
-    rows += [("u2", now - _dt.timedelta(days=d), "training-data/a", "10.0.0.2") for d in range(2, 29)]
-    log = spark.createDataFrame(rows, "user_id string, ts timestamp_ntz, target_resource string, source_ip string")
-    out = {r["user_id"]: r for r in R.insider_resource_access(log, now).collect()}
+    rows = [("a", "u1", now - _dt.timedelta(hours=h), f"s3://Model-Weights/run-{h}", "10.0.0.1") for h in range(1, 5)]
+    rows += [("a", "u1", now - _dt.timedelta(hours=2), "notebooks/x", "10.0.0.1")]           # not suspicious
+    rows += [("a", "u2", now - _dt.timedelta(hours=3), "training-data/a", "10.0.0.2")]
+    rows += [("a", "u2", now - _dt.timedelta(days=d), "training-data/a", "10.0.0.2") for d in range(2, 29)]
+    # Another tenant's user of the same id keeps a baseline of its own.
+    rows += [("b", "u1", now - _dt.timedelta(hours=3), "training-data/a", "10.0.0.3")]
+    rows += [("b", "u1", now - _dt.timedelta(days=d), "training-data/a", "10.0.0.3") for d in range(2, 29)]
+    log = spark.createDataFrame(rows, "tenant_id string, user_id string, ts timestamp_ntz, target_resource string, source_ip string")
+    out = {(r["tenant_id"], r["user_id"]): r for r in R.insider_resource_access(log, now).collect()}
     # u1: 4 distinct suspicious resources (> 3) and no baseline -> deviation 999, confidence capped
-    assert set(out) == {"u1"}
-    assert out["u1"]["access_count"] == 4 and out["u1"]["distinct_resources"] == 4
-    assert out["u1"]["deviation_factor"] == 999.0 and out["u1"]["confidence"] == 0.95
+    assert set(out) == {("a", "u1")}
+    u1 = out["a", "u1"]
+    assert u1["access_count"] == 4 and u1["distinct_resources"] == 4
+    assert u1["deviation_factor"] == 999.0 and u1["confidence"] == 0.95

@@ -110,3 +110,80 @@ def test_dedupe_route_and_alert_dlq(spark):
     q.awaitTermination()
     assert spark.read.parquet(good).count() == 1
     assert sorted(r.error for r in spark.read.parquet(bad).collect()) == ["invalid_severity", "parse_error"]
+
+
+def _plain_batches(times, now, count, limit):
+    """The reference's loop, ticked at every moment that matters."""
+    queue, last, no, out = [], None, 0, []
+    for t, is_item in sorted([(t, 1) for t in times] + [(now, 2)]):
+        due = None if last is None or not queue else max(last + limit, queue[0])
+        if due is not None and due <= t:
+            out.append((no, len(queue), queue[0], due, "time"))
+            queue, last, no = [], None, no + 1
+        if is_item == 1:
+            last = t if last is None else last
+            queue.append(t)
+            if len(queue) == count:
+                out.append((no, count, queue[0], t, "count"))
+                queue, last, no = [], t, no + 1
+    return out
+
+
+def _closed(df):
+    return sorted((r.k, r.batch_no, r.size, r.opened_at, r.closed_at, r.closed_by) for r in df.collect())
+
+
+def test_batch_closures_by_count_and_clock(spark):
+    df, now = _calls(spark, 300, seed=8), dt.datetime(2024, 1, 1, 7)
+    for count, hours in ((10, 0.2), (3, 1.0), (500, 0.05)):
+        got = _closed(SQ.batch_closures(df, "k", "ts", now, count_threshold=count, time_threshold_hours=hours))
+        want = []
+        for k in "ab":
+            times = sorted((r.ts - dt.datetime(2024, 1, 1)).total_seconds() for r in df.collect() if r.k == k)
+            want += [(k, no, n, *(dt.datetime(2024, 1, 1) + dt.timedelta(seconds=x) for x in (o, c)), by)
+                     for no, n, o, c, by in _plain_batches(times, 7 * 3600.0, count, hours * 3600)]
+        assert got == sorted(want) and {x[5] for x in got} >= {"time"}
+
+
+def test_idle_batches_close_by_a_timer_and_leave_no_state(spark):
+    df = _calls(spark, 200, seed=9)
+    # A row of another key moves the clock far beyond the last task of a and b.
+    later = spark.createDataFrame([("z", dt.datetime(2024, 1, 3), 9999, 0.5, "low")], df.schema)
+    stream = STR.batch_closure_stream(_as_stream(spark, df.unionByName(later), 3, "ts"), "k", "ts", count_threshold=7,
+                                      time_threshold_hours=0.5, keep_hours=2)
+    ckpt = tempfile.mkdtemp(prefix="tw-ckpt-")
+    q = stream.writeStream.format("memory").queryName("closures").outputMode("append").trigger(availableNow=True).option("checkpointLocation", ckpt).start()
+    q.awaitTermination()
+    want = _closed(SQ.batch_closures(df, "k", "ts", dt.datetime(2024, 1, 2), count_threshold=7, time_threshold_hours=0.5))
+    assert [x for x in _closed(spark.table("closures")) if x[0] != "z"] == want and {x[5] for x in want} == {"time", "count"}
+    keys = {r.k for r in spark.read.format("statestore").load(ckpt).select("key.k").collect()}
+    assert keys <= {"z", "a", "b"}
+    # One more batch of the watermark: the keys without an open batch are gone.
+    sums = spark.read.format("statestore").load(ckpt).where("key.k <> 'z'").count()
+    assert sums <= 2
+
+
+def test_budget_state_expires(spark):
+    df = _calls(spark, 300, seed=4)
+    later = spark.createDataFrame([("z", dt.datetime(2024, 1, 3), 9999, 0.9, "low")], df.schema)
+    ckpt = tempfile.mkdtemp(prefix="tw-ckpt-")
+    s = STR.escalation_stream(_as_stream(spark, df.unionByName(later), 3, "ts"), "k", "ts", "conf", "sev", order_col="i")
+    q = s.writeStream.format("memory").queryName("budget").outputMode("append").trigger(availableNow=True).option("checkpointLocation", ckpt).start()
+    q.awaitTermination()
+    batch = {r.i: r.escalated for r in SQ.escalation_budget(df, "k", "ts", "conf", "sev", order_cols=("i",)).collect()}
+    assert {r.i: r.escalated for r in spark.table("budget").collect() if r.i != 9999} == batch
+    assert spark.read.format("statestore").load(ckpt).count() == 0
+
+
+def test_chain_table_keeps_its_heads_on_disk(spark):
+    ev = TB.audit_events(spark, SF)
+    root = tempfile.mkdtemp(prefix="tw-chain-")
+    src = _as_stream(spark, ev, 3, "timestamp")
+    STR.start_chain_table(src, f"{root}/records", f"{root}/heads", f"{root}/segments", f"{root}/ckpt").awaitTermination()
+    records = spark.read.schema(AU.AUDIT_SCHEMA).parquet(*[f"{root}/records/batch_id={i}" for i in range(3)])
+    batch = {(r.tenant_id, r.sequence_number): r.audit_id for r in AU.build_chain(ev).collect()}
+    assert {(r.tenant_id, r.sequence_number): r.audit_id for r in records.collect()} == batch
+    assert AU.verify_chain(records).count() == 0
+    from tidewatch.sources.versioned import VersionedTable
+    heads = VersionedTable(spark, f"{root}/heads", "tenant_id", STR.HEAD_SCHEMA).read()
+    assert sorted(map(tuple, heads.collect())) == sorted(map(tuple, AU.chain_heads(records).collect()))

@@ -207,7 +207,8 @@ def chain_heads(records: DataFrame) -> DataFrame:
 
 def chain_segments(records: DataFrame) -> DataFrame:
     """(tenant, first_seq, last_seq, head_hash, digest): the segments in order; ``digest`` covers the heads of all
-    segments up to this one. The rows are tenants x hours, the records themselves are not sorted."""
+    segments up to this one. The rows are tenants x hours, the records themselves are not sorted; the digest is carried along the
+    sorted heads. (Proofs that need not read all heads are in ``merkle``.)"""
     starts = records.where((F.col("sequence_number") == 0) | (F.col("previous_hash") == segment_seed(F.col("tenant_id"), F.col("sequence_number"))))
     top = records.groupBy("tenant_id").agg(F.max("sequence_number").alias("top"))
     w = Window.partitionBy("tenant_id").orderBy("first_seq")
@@ -215,10 +216,24 @@ def chain_segments(records: DataFrame) -> DataFrame:
          .withColumn("last_seq", F.coalesce(F.lead("first_seq").over(w) - 1, F.col("top"))).drop("top"))
     ends = records.select(F.col("tenant_id").alias("tenant_id"), F.col("sequence_number").alias("last_seq"), F.col("record_hash").alias("head_hash"))
     heads = s.join(ends, ["tenant_id", "last_seq"])
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return (heads.withColumn("_heads", F.collect_list("head_hash").over(upto))
-            .withColumn("digest", F.aggregate("_heads", F.lit(GENESIS_HASH), lambda acc, h: F.sha2(F.concat(acc, h), 256)))
-            .select("tenant_id", "first_seq", "last_seq", "head_hash", "digest"))
+    spark = records.sparkSession
+    ship_package(spark)
+    ordered = (heads.select("tenant_id", "first_seq", "last_seq", "head_hash")
+               .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "tenant_id").sortWithinPartitions("tenant_id", "first_seq"))
+    return ordered.mapInPandas(_running_digests, "tenant_id string, first_seq long, last_seq long, head_hash string, digest string")
+
+
+def _running_digests(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Heads sorted by (tenant, first_seq), each with the digest of all of its tenant's up to it."""
+    tenant, acc = None, GENESIS_HASH
+    for pdf in it:
+        out = []
+        for t, h in zip(pdf["tenant_id"], pdf["head_hash"]):
+            if t != tenant:
+                tenant, acc = t, GENESIS_HASH
+            acc = hashlib.sha256((acc + h).encode()).hexdigest()
+            out.append(acc)
+        yield pdf.assign(digest=out)
 
 
 #: Sequence numbers to a bucket, by which records find the segment they are in.

@@ -5,13 +5,16 @@ W-05, W-06, P-31..P-36).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from re import _parser as _regex_parser
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import address_key, col_type, network_range, shift, stable_order_key, time_lit
+from tidewatch.session import ship_package
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference)
@@ -150,32 +153,135 @@ def kill_switch_filter(alerts: DataFrame, kills: DataFrame, dims: Mapping[str, s
     return out
 
 
+def required_literals(pattern: str | None) -> list[str]:
+    """Texts, in lower case, that every match of a regex holds: runs of plain ASCII characters on its one path, outside
+    alternatives, options and look-arounds. Empty for what another dialect's parser does not read, or reads in another mode."""
+    try:
+        tree = _regex_parser.parse(pattern or "", re.IGNORECASE)
+    except (re.error, RecursionError, OverflowError):
+        return []
+    if tree.state.flags & re.VERBOSE:
+        return []
+    runs, run = [], []
+
+    def walk(items):
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL" and 32 <= arg < 127:
+                run.append(chr(arg))
+            elif op == "SUBPATTERN" and not arg[1] & re.VERBOSE and not arg[2]:
+                walk(arg[3])
+            elif op in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] >= 1:
+                end()
+                walk(arg[2])
+                end()
+            elif op != "AT":
+                end()
+
+    def end():
+        if run:
+            runs.append("".join(run).lower())
+            run.clear()
+
+    walk(tree)
+    end()
+    return runs
+
+
+#: Characters beyond ASCII that a case-insensitive match takes for an ASCII letter, and that letter.
+FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
+GRAM = 3
+
+
+def folded(text: Column) -> Column:
+    return F.lower(F.translate(text, *FOLDED))
+
+
+def grams(text: Column) -> Column:
+    """The distinct trigrams of a text."""
+    n = F.length(text)
+    return F.when(n >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - (GRAM - 1)), lambda i: text.substr(i, F.lit(GRAM)))))
+
+
+def _literals_of(patterns: DataFrame) -> DataFrame:
+    """``literals``: the texts of ``GRAM`` characters or more that a pattern's title must hold. Patterns are the small side."""
+    ship_package(patterns.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(literals=[[x for x in required_literals(r) if len(x) >= GRAM] for r in pdf["alert_name_regex"]])
+    keep = patterns.select("tenant_id", "pattern_id", "alert_name_regex").where("alert_name_regex is not null").distinct()
+    return keep.mapInPandas(run, "tenant_id string, pattern_id string, alert_name_regex string, literals array<string>")
+
+
+def title_candidates(titles: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Pairs (tenant_id, title, pattern_id, title_re, indexed) that could match. ``titles``: distinct (tenant_id, title);
+    ``patterns`` come from ``prepare_patterns``.
+
+    A pattern with a literal is looked up in the trigram index of its tenant's titles by the rarest trigram of its longest
+    literal: one key a pattern, and none if a trigram of it occurs in no title. Patterns without a literal of three
+    characters meet all titles of their tenant (``indexed`` false); a malformed regex meets none."""
+    lit = _literals_of(patterns).select("tenant_id", "pattern_id", "alert_name_regex", "literals")
+    p = (patterns.where(F.col("title_re").isNotNull()).select("tenant_id", "pattern_id", "alert_name_regex", "title_re")
+         .join(lit, ["tenant_id", "pattern_id", "alert_name_regex"]))
+    longest = F.element_at(F.array_sort("literals", lambda x, y: F.length(x) - F.length(y)), -1)
+    index = titles.select("tenant_id", "title", F.explode(grams(folded(F.col("title")))).alias("gram"))
+    keys = p.where(F.size("literals") > 0).select("tenant_id", "pattern_id", "title_re", "literals", F.explode(grams(longest)).alias("gram"))
+    held = index.join(keys.select("tenant_id", "gram").distinct(), ["tenant_id", "gram"], "left_semi").groupBy("tenant_id", "gram").agg(F.count(F.lit(1)).alias("df"))
+    rarest = (keys.join(held, ["tenant_id", "gram"], "left").groupBy("tenant_id", "pattern_id", "title_re", "literals")
+              .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("k")).where("k.df > 0")
+              .select("tenant_id", "pattern_id", "title_re", "literals", F.col("k.gram").alias("gram")))
+    found = (index.join(rarest, ["tenant_id", "gram"]).where(F.forall("literals", lambda x: F.contains(folded(F.col("title")), x)))
+             .select("tenant_id", "title", "pattern_id", "title_re", F.lit(True).alias("indexed")))
+    rest = titles.join(p.where(F.size("literals") == 0).select("tenant_id", "pattern_id", "title_re"), "tenant_id")
+    return found.unionByName(rest.select("tenant_id", "title", "pattern_id", "title_re", F.lit(False).alias("indexed")))
+
+
+def _matchable(patterns: DataFrame, killed_patterns: DataFrame | None) -> DataFrame:
+    p = patterns.where(F.col("status").isin(*MATCHABLE_STATUSES))
+    if killed_patterns is not None:
+        p = p.join(killed_patterns.select("pattern_id"), "pattern_id", "left_anti")
+    return prepare_patterns(p)
+
+
+def candidate_report(alerts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """J-08's work per tenant: titles, patterns, all their pairs, the pairs that reach a regex (by the index, and without a literal) and those that match."""
+    p = _matchable(patterns, None).where(F.col("title_re").isNotNull())
+    titles = alerts.select("tenant_id", F.coalesce("alert_title", F.lit("")).alias("title")).distinct()
+    c = title_candidates(titles, p).groupBy("tenant_id").agg(
+        F.count_if("indexed").alias("indexed_pairs"), F.count_if(~F.col("indexed")).alias("unindexed_pairs"),
+        F.count_if(F.regexp_like("title", F.col("title_re"))).alias("matches"))
+    n = titles.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("titles"))
+    m = p.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("patterns"))
+    out = n.join(m, "tenant_id").join(c, "tenant_id", "left").fillna(0, ["indexed_pairs", "unindexed_pairs", "matches"])
+    return out.select("tenant_id", "titles", "patterns", (F.col("titles") * F.col("patterns")).alias("all_pairs"), "indexed_pairs", "unindexed_pairs", "matches")
+
+
 def match_fp_patterns(alerts: DataFrame, patterns: DataFrame, *, threshold: float | Column = FP_CONFIDENCE_THRESHOLD,
                       killed_patterns: DataFrame | None = None) -> DataFrame:
     """J-08: best matching approved/active pattern per alert (confidence >= threshold).
 
-    Patterns are tenant-scoped: the theta predicate runs only inside the tenant equi-join
-    (patterns are a small dimension; AQE broadcasts them when their size allows).
+    Patterns are tenant-scoped. Confidence is the title's score, or with entity checks its mean with theirs; both are at
+    most 1, so a threshold above 0.5 needs the title to match: the tenants' distinct titles are matched through a trigram
+    index (``title_candidates``), and only the alerts of a matched title meet its patterns, whose entity checks run
+    on them. With a lower or a column threshold every alert meets the patterns of its tenant.
     Ties: highest confidence, then lowest pattern_id (Q13). Threshold comparison is >= (Q14).
     """
-    p = patterns.where(F.col("status").isin(*MATCHABLE_STATUSES))
-    if killed_patterns is not None:
-        p = p.join(killed_patterns.select("pattern_id"), "pattern_id", "left_anti")
-    p = prepare_patterns(p).select("tenant_id", "pattern_id", "title_re", "entity_checks", "scope_rule_family",
-                                   "scope_tenant_id", "scope_asset_class")
-    j = alerts.select("alert_id", "tenant_id", "alert_title", parse_entities(F.col("entities")).alias("entities"),
-                      "rule_family", "asset_class").join(p, "tenant_id")
+    p = _matchable(patterns, killed_patterns)
+    scopes = ["scope_rule_family", "scope_tenant_id", "scope_asset_class"]
+    title = F.coalesce("alert_title", F.lit(""))
+    a = alerts.select("alert_id", "tenant_id", title.alias("title"), "entities", "rule_family", "asset_class")
+    if not isinstance(threshold, Column) and threshold > 0.5:
+        hits = (title_candidates(a.select("tenant_id", "title").distinct(), p).where(F.regexp_like("title", F.col("title_re")))
+                .select("tenant_id", "title", "pattern_id", "title_re"))
+        own = p.select("tenant_id", "pattern_id", "title_re", "entity_checks", *scopes)
+        j = a.join(hits.join(own, ["tenant_id", "pattern_id", "title_re"]), ["tenant_id", "title"]).withColumn("_title", F.lit(1.0))
+    else:
+        j = a.join(p.select("tenant_id", "pattern_id", "title_re", "entity_checks", *scopes), "tenant_id")
+        j = j.withColumn("_title", F.when(F.coalesce(F.regexp_like("title", F.col("title_re")), F.lit(False)), 1.0).otherwise(0.0))
     j = j.where(scope_matches(F.col("scope_rule_family"), F.col("scope_tenant_id"), F.col("scope_asset_class"),
                               F.col("rule_family"), F.col("tenant_id"), F.col("asset_class")))
-    title_score = F.when(F.col("title_re").isNotNull()
-                         & F.coalesce(F.regexp_like(F.coalesce("alert_title", F.lit("")), F.col("title_re")),
-                                      F.lit(False)), 1.0).otherwise(0.0)
-    j = j.withColumn("_title", title_score)
-    if not isinstance(threshold, Column) and threshold > 0.5:
-        # confidence = title (no entity checks) or (title + entity) / 2 with title in {0, 1} and
-        # entity <= 1: any threshold above 0.5 needs the title to match, so the (interpreted)
-        # entity checks only run on pairs that passed the cheap title regex. Exact.
-        j = j.where(F.col("_title") == 1.0)
+    j = j.withColumn("entities", parse_entities(F.col("entities")))
     conf = F.when(F.size("entity_checks") == 0, F.col("_title")) \
         .otherwise((F.col("_title") + entity_score(F.col("entity_checks"), F.col("entities"))) / 2)
     scored = j.select("alert_id", "tenant_id", "pattern_id", conf.alias("confidence")) \

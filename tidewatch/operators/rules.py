@@ -92,8 +92,14 @@ def training_data_poisoning(audit: DataFrame, now, *, actions=SUSPICIOUS_ACTIONS
          .agg(F.count_if(cur).alias("count"),
               F.count_distinct(F.when(cur, F.col("target_resource"))).alias("distinct_tables"),
               (F.count_if(~cur) / F.lit(float(baseline_divisor))).alias("baseline_avg"))
-         .where(F.col("count") > 0)
-         .withColumn("deviation_factor", _ratio(F.col("count"), F.col("baseline_avg"))))
+         .where(F.col("count") > 0))
+    return poisoning_fired(g, deviation_threshold, distinct_threshold, count_threshold)
+
+
+def poisoning_fired(g: DataFrame, deviation_threshold: float = 3.0, distinct_threshold: int = 5,
+                    count_threshold: int = 50) -> DataFrame:
+    """D-01 over (count, distinct_tables, baseline_avg) of any keys."""
+    g = g.withColumn("deviation_factor", _ratio(F.col("count"), F.col("baseline_avg")))
     fired = g.where((F.col("deviation_factor") > deviation_threshold)
                     | (F.col("distinct_tables") > distinct_threshold)
                     | (F.col("count") > count_threshold))
@@ -265,8 +271,13 @@ def alert_flood(investigations: DataFrame, now, *, spike_ratio_threshold: float
     slots = baseline_days * 24.0 / lookback_hours
     g = (investigations.where(in_window(investigations, ts_col, shift(now, days=baseline_days), now))
          .agg(F.count_if(cur).alias("current_count"),
-              (F.count_if(~cur) / F.lit(slots)).alias("baseline_avg"))
-         .withColumn("spike_ratio", _ratio(F.col("current_count"), F.col("baseline_avg"))))
+              (F.count_if(~cur) / F.lit(slots)).alias("baseline_avg")))
+    return flood_fired(g, spike_ratio_threshold)
+
+
+def flood_fired(g: DataFrame, spike_ratio_threshold: float = 5.0) -> DataFrame:
+    """D-08 over (current_count, baseline_avg)."""
+    g = g.withColumn("spike_ratio", _ratio(F.col("current_count"), F.col("baseline_avg")))
     fired = g.where(F.col("spike_ratio") > spike_ratio_threshold)
     return _base("D-08", fired).withColumn(
         "confidence", F.least(F.lit(0.9), F.lit(0.5) + F.col("spike_ratio") / 20.0))

@@ -188,6 +188,94 @@ def dual_trigger_batches(df: DataFrame, key: str, ts: str, *, count_threshold: i
     return e.mapInPandas(_batch_stream(count_threshold, time_threshold_hours * 3600.0), schema)
 
 
+class Batcher:
+    """ST-06 for one key: items in time order, and a clock. The open batch closes with its ``count``-th item, or when
+    ``limit`` seconds have passed since the flush before it (its first item, where there is none); a batch that is begun
+    after that closes at once. ``state`` is (started, batch_no, size, opened, flushed), all that goes on."""
+
+    def __init__(self, count: int, limit: float, state: tuple | None = None):
+        self.count, self.limit = count, limit
+        self.started, self.no, self.size, self.opened, self.flushed = state or (None, 0, 0, None, None)
+
+    @property
+    def state(self) -> tuple:
+        return self.started, self.no, self.size, self.opened, self.flushed
+
+    @property
+    def due(self) -> float | None:
+        """When the clock closes the open batch."""
+        return max(self.flushed + self.limit, self.opened) if self.size else None
+
+    def _close(self, at: float, by: str, flushed: float | None) -> tuple:
+        closed = (self.started, self.no, self.size, self.opened, at, by)
+        self.no, self.size, self.opened, self.flushed = self.no + 1, 0, None, flushed
+        return closed
+
+    def tick(self, now: float) -> list[tuple]:
+        """The batch that the clock has closed by ``now``: (started, batch_no, size, opened, closed, closed_by)."""
+        # The next flush is counted from the next item.
+        return [self._close(self.due, "time", None)] if self.size and self.due <= now else []
+
+    def add(self, t: float) -> list[tuple]:
+        """One more item; the batches that close before it or with it."""
+        closed = self.tick(t)
+        self.started = t if self.started is None else self.started
+        self.flushed = t if self.flushed is None else self.flushed
+        self.opened = t if not self.size else self.opened
+        self.size += 1
+        if self.size >= self.count:
+            closed.append(self._close(t, "count", t))
+        return closed
+
+
+CLOSURE_COLS = "started_at timestamp, batch_no long, size long, opened_at timestamp, closed_at timestamp, closed_by string"
+
+
+def closure_frame(keys: list, closed: list[tuple], key_col: str) -> pd.DataFrame:
+    """Closed batches as rows of (key, CLOSURE_COLS)."""
+    started, no, size, opened, at, by = (list(x) for x in zip(*closed)) if closed else ([],) * 6
+    when = {n: pd.to_datetime(pd.Series(v, dtype="float64").mul(1e6).round().astype("int64"), unit="us")
+            for n, v in (("started_at", started), ("opened_at", opened), ("closed_at", at))}
+    return pd.DataFrame({key_col: pd.Series(keys, dtype="object"), "started_at": when["started_at"], "batch_no": pd.Series(no, dtype="int64"),
+                         "size": pd.Series(size, dtype="int64"), "opened_at": when["opened_at"], "closed_at": when["closed_at"],
+                         "closed_by": pd.Series(by, dtype="object")})
+
+
+def batch_closures(df: DataFrame, key: str, ts: str, now, *, count_threshold: int = BATCH_COUNT_THRESHOLD,
+                   time_threshold_hours: float = BATCH_TIME_THRESHOLD_HOURS, partitions: int | None = None) -> DataFrame:
+    """ST-06 as seen by a clock that stands at ``now``: one row per batch that is closed by then, by count or by time; an idle
+    batch closes without a further item. Rows of a key are streamed in time order with the state of one batch."""
+    spark = df.sparkSession
+    ship_package(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(key).cast("string").alias("_key"), epoch_seconds(F.col(ts)).alias("_t")).where("_key is not null and _t is not null")
+    clock = epoch_seconds(F.lit(now).cast("timestamp_ntz"))
+    rows = rows.where(F.col("_t") <= clock).withColumn("_now", clock).repartition(n, "_key").sortWithinPartitions("_key", "_t")
+    limit = time_threshold_hours * 3600.0
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, batcher, clock = None, None, None
+        for pdf in it:
+            keys, closed = [], []
+
+            def report(found):
+                keys.extend([at] * len(found))
+                closed.extend(found)
+
+            for k, t, clock in zip(pdf["_key"], pdf["_t"], pdf["_now"]):
+                if k != at:
+                    if batcher:
+                        report(batcher.tick(clock))
+                    at, batcher = k, Batcher(count_threshold, limit)
+                report(batcher.add(t))
+            yield closure_frame(keys, closed, key)
+        if batcher:
+            last = batcher.tick(clock)
+            yield closure_frame([at] * len(last), last, key)
+
+    return rows.mapInPandas(run, f"`{key}` string, {CLOSURE_COLS}")
+
+
 def zip_results(tasks: DataFrame, results: DataFrame) -> DataFrame:
     """J-17: batch results matched to tasks by position within the job (full outer join on
     (job_id, pos)); a result that is not a valid success, or has no task at its position, is an

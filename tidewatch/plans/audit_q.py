@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import audit as AU
+from tidewatch.operators import merkle as ME
 from tidewatch.plans.registry import register
 from tidewatch.session import checkpoint_dir
 from tidewatch.sources import tables as TB
@@ -219,3 +220,56 @@ register("s18_droppable_months", AUDIT_EVENTS_SQL + """
 SELECT DISTINCT m AS month FROM (SELECT substr(timestamp, 1, 7) AS m FROM ev UNION ALL SELECT '1970-01')
 WHERE m < '2024-02' AND m <> '2023-12'
 """)(_s18)
+
+
+# ---------------------------------------------------------------- Merkle proofs over the segments
+def _w15_merkle_peaks(spark, sf):
+    """Peaks of each tenant's tree over its hours; a leaf covers the hour's first and last record here (audit id, time, category),
+    which SQL can hash as well."""
+    n = numbered(spark, sf).select("tenant_id", "_segment", "sequence_number", F.concat_ws("|", "audit_id", "timestamp", "event_category").alias("said"))
+    s = n.groupBy("tenant_id", "_segment").agg(F.min("sequence_number").alias("first_seq"), F.max("sequence_number").alias("last_seq"),
+                                               F.min_by("said", "sequence_number").alias("a"), F.max_by("said", "sequence_number").alias("b"))
+    s = s.select("tenant_id", "first_seq", "last_seq", F.sha2(F.concat_ws("|", "a", "b"), 256).alias("head_hash"))
+    p = ME.peaks_of(ME.grow(ME.leaves(s).checkpoint()).checkpoint())
+    return p.select("tenant_id", F.col("level").cast("bigint").alias("level"), "idx", "hash")
+
+
+register("w15_merkle_peaks", AUDIT_EVENTS_SQL.replace("WITH ev", "WITH RECURSIVE ev") + """
+, u AS (SELECT tenant_id, substr(timestamp, 1, 13) AS hour, sequence_number AS s, audit_id || '|' || timestamp || '|' || event_category AS said FROM seq
+        UNION ALL SELECT tenant_id, '1970-01-01T00', 0, 'genesis-' || tenant_id || '|1970-01-01T00:00:00.000Z|system' FROM (SELECT DISTINCT tenant_id FROM ev))
+, g AS (SELECT tenant_id, hour, MIN(s) AS first_seq, MAX(s) AS last_seq, sha256(arg_min(said, s) || '|' || arg_max(said, s)) AS head FROM u GROUP BY tenant_id, hour)
+, leaf AS (SELECT tenant_id, ROW_NUMBER() OVER (PARTITION BY tenant_id ORDER BY first_seq) - 1 AS idx,
+                  sha256('leaf|' || tenant_id || '|' || first_seq || '|' || last_seq || '|' || head) AS hash FROM g)
+, total AS (SELECT tenant_id, CAST(COUNT(*) AS BIGINT) AS n FROM leaf GROUP BY tenant_id)
+, tree AS (SELECT tenant_id, 0 AS level, CAST(idx AS BIGINT) AS idx, hash FROM leaf
+           UNION ALL
+           SELECT a.tenant_id, a.level + 1, a.idx // 2, sha256(a.hash || b.hash)
+           FROM tree a JOIN tree b ON b.tenant_id = a.tenant_id AND b.level = a.level AND b.idx = a.idx + 1 WHERE a.idx % 2 = 0)
+SELECT t.tenant_id, CAST(level AS BIGINT) AS level, idx, hash FROM tree t JOIN total USING (tenant_id)
+WHERE (n >> level) % 2 = 1 AND idx = (n >> level) - 1
+""")(_w15_merkle_peaks)
+
+
+def _w02_merkle_hours(spark, sf):
+    """Every hour proved from its own records and the trusted peaks; one record of tenant t1 was rewritten with its hash."""
+    c = chain(spark, sf)
+    leaves = ME.leaves(segments(spark, sf)).checkpoint()
+    nodes = ME.grow(leaves).checkpoint()
+    hit = (F.col("tenant_id") == "t1") & (F.col("sequence_number") == 5)
+    bad = c.withColumn("context", F.when(hit, F.lit('{"tampered":true}')).otherwise(F.col("context")))
+    bad = bad.withColumn("record_hash", F.when(hit, AU.record_digest()).otherwise(F.col("record_hash")))
+    v = ME.verify_hours(bad, leaves, nodes, ME.peaks_of(nodes))
+    return v.select("tenant_id", "idx", "first_seq", "last_seq", "records", F.col("steps").cast("bigint").alias("steps"), "proven")
+
+
+register("w02_merkle_hours", AUDIT_EVENTS_SQL + """
+, u AS (SELECT tenant_id, substr(timestamp, 1, 13) AS hour, sequence_number AS s FROM seq
+        UNION ALL SELECT tenant_id, '', 0 FROM (SELECT DISTINCT tenant_id FROM ev))
+, g AS (SELECT tenant_id, CAST(MIN(s) AS BIGINT) AS first_seq, CAST(MAX(s) AS BIGINT) AS last_seq, CAST(COUNT(*) AS BIGINT) AS records,
+               CAST(ROW_NUMBER() OVER (PARTITION BY tenant_id ORDER BY hour) - 1 AS BIGINT) AS idx, CAST(COUNT(*) OVER (PARTITION BY tenant_id) AS BIGINT) AS n
+        FROM u GROUP BY tenant_id, hour)
+SELECT tenant_id, idx, first_seq, last_seq, records,
+       CAST((SELECT COUNT(*) FROM range(0, 40) AS r(k) WHERE ((idx >> k) | 1) < (n >> k)) AS BIGINT) AS steps,
+       NOT (tenant_id = 't1' AND 5 BETWEEN first_seq AND last_seq) AS proven
+FROM g
+""")(_w02_merkle_hours)

@@ -126,6 +126,32 @@ SELECT alert_id, tenant_id, pattern_id, ROUND(confidence, 6) AS confidence FROM
 """, "investigations"), headline=True)(_j08)
 
 
+def _j08_report(spark, sf):
+    """How many (title, pattern) pairs the index leaves of all pairs of a tenant. The patterns are titles, regexes without a
+    metacharacter, so a pattern's literal is all of it, and a pair is left where the title holds it."""
+    inv = TB.investigations(spark, sf).where(F.col("state") != "closed")
+    r = FP.candidate_report(inv.select("tenant_id", "alert_title"), fp_patterns(spark, sf))
+    return r.select("tenant_id", "titles", "patterns", "all_pairs", F.col("indexed_pairs").alias("pairs_tested"), "unindexed_pairs", "matches")
+
+
+register("j08_pairs_tested", with_roles(f"""
+, g AS (SELECT tenant_id, alert_title AS group_key FROM investigations
+        WHERE state = 'closed' AND classification = 'false_positive' AND updated_at < {ts(INV)}
+        GROUP BY 1, 2 HAVING COUNT(*) >= 3)
+, p AS (SELECT tenant_id, group_key, substr(md5('fp-' || substr(md5(tenant_id || '|' || group_key), 1, 10)), 1, 1) AS h FROM g)
+, pats AS (SELECT * FROM p WHERE h IN ('0', '1', '2', '3', '4', '5', '6', '7', '8', '9'))
+, t AS (SELECT DISTINCT tenant_id, alert_title AS title FROM investigations WHERE state <> 'closed')
+, n AS (SELECT tenant_id, COUNT(*) AS titles FROM t GROUP BY tenant_id)
+, m AS (SELECT tenant_id, COUNT(*) AS patterns FROM pats GROUP BY tenant_id)
+, c AS (SELECT t.tenant_id, COUNT(*) FILTER (WHERE contains(lower(title), lower(group_key))) AS tested,
+               COUNT(*) FILTER (WHERE starts_with(lower(title), lower(group_key))) AS matches
+        FROM t JOIN pats ON pats.tenant_id = t.tenant_id GROUP BY t.tenant_id)
+SELECT n.tenant_id, CAST(titles AS BIGINT) AS titles, CAST(patterns AS BIGINT) AS patterns, CAST(titles * patterns AS BIGINT) AS all_pairs,
+       CAST(tested AS BIGINT) AS pairs_tested, CAST(0 AS BIGINT) AS unindexed_pairs, CAST(matches AS BIGINT) AS matches
+FROM n JOIN m USING (tenant_id) JOIN c USING (tenant_id)
+""", "investigations"))(_j08_report)
+
+
 # ---------------------------------------------------------------- A-24 / A-29
 def _a24(spark, sf):
     return tidy(FP.evaluate_closures(TB.closures(spark, sf)))

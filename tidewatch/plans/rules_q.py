@@ -14,6 +14,7 @@ from tidewatch.operators import rules as R
 from tidewatch.plans.oracle_roles import with_roles
 from tidewatch.plans.registry import register, tidy
 from tidewatch.sources import tables as TB
+from tidewatch.streaming import live_rules as LR
 
 NOW = TB.EVENTS_NOW
 INV_NOW = TB.INVESTIGATIONS_NOW
@@ -391,3 +392,29 @@ def _p39(spark, sf):
 
 
 register("p39_detection_alerts", None)(_p39)
+
+
+# ---------------------------------------------------------------- ST-03 rules on a schedule
+LAST_TICK = 474072  # the hour that begins at EVENTS_NOW
+
+
+def _st03(spark, sf):
+    """D-01 at every full hour of the last two days, as the stream over the live baseline raises it."""
+    h = LR.history(TB.audit_log(spark, sf), "ts", LR.poisoning_rule(EVENT_ACTIONS), LAST_TICK - 47, LAST_TICK)
+    return tidy(h.select("tick", "tenant_id", "user_id", "count", "distinct_tables", "baseline_avg", "deviation_factor", "confidence"))
+
+
+register("st03_hourly_poisoning", with_roles(f"""
+, e AS (SELECT tenant_id, user_id, target_resource, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour FROM audit_log WHERE action IN ('purchase', 'error'))
+, ticks AS (SELECT unnest(generate_series({LAST_TICK} - 47, {LAST_TICK})) AS tick)
+, cur AS (SELECT tick, tenant_id, user_id, COUNT(*) AS cnt, COUNT(DISTINCT target_resource) AS tables
+          FROM ticks JOIN e ON hour >= tick - 24 AND hour < tick GROUP BY ALL)
+, base AS (SELECT tick, tenant_id, user_id, COUNT(*) / 30.0 AS daily FROM ticks JOIN e ON hour >= tick - 720 AND hour < tick - 24 GROUP BY ALL)
+, j AS (SELECT c.tick, c.tenant_id, c.user_id, cnt, tables, COALESCE(daily, 0) AS daily,
+               CASE WHEN COALESCE(daily, 0) > 0 THEN cnt / daily ELSE cnt END AS deviation
+        FROM cur c LEFT JOIN base b ON b.tick = c.tick AND b.tenant_id = c.tenant_id AND b.user_id = c.user_id)
+SELECT CAST(tick AS BIGINT) AS tick, tenant_id, user_id, CAST(cnt AS BIGINT) AS count, CAST(tables AS BIGINT) AS distinct_tables,
+       ROUND(CAST(daily AS DOUBLE), 6) AS baseline_avg, ROUND(CAST(deviation AS DOUBLE), 6) AS deviation_factor,
+       ROUND(LEAST(0.95, 0.5 + deviation / 20.0), 6) AS confidence
+FROM j WHERE deviation > 3.0 OR tables > 5 OR cnt > 50
+""", "audit_log"))(_st03)

@@ -123,6 +123,34 @@ FROM r GROUP BY task_type
 """, "call_log").replace("WITH ", "WITH RECURSIVE ", 1))(_st06)
 
 
+def _st06_closures(spark, sf):
+    """Every closed batch of the queue of an event type, by a clock at the end of the events."""
+    c = SQ.batch_closures(_events(spark, sf), "event_type", "ts", TB.EVENTS_NOW)
+    return c.select("event_type", "batch_no", "size", F.unix_micros("opened_at").alias("opened_us"),
+                    F.unix_micros("closed_at").alias("closed_us"), "closed_by")
+
+
+register("st06_batch_closures", """
+WITH RECURSIVE c AS (SELECT event_type, epoch_us(ts) AS t, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM events WHERE event_type IS NOT NULL)
+, r AS (SELECT event_type, n, 0::BIGINT AS no, 1::BIGINT AS size, t AS opened, t AS flushed, 0::BIGINT AS late_size, 0::BIGINT AS late_opened, 0::BIGINT AS late_at,
+               false AS late, false AS counted, t FROM c WHERE n = 1
+        UNION ALL
+        SELECT event_type, n, CASE WHEN s = 50 THEN b + 1 ELSE b END, CASE WHEN s = 50 THEN 0 ELSE s END, o, CASE WHEN s = 50 OR is_late THEN t ELSE flushed END,
+               size, opened, due, is_late, s = 50, t
+        FROM (SELECT *, CASE WHEN is_late THEN no + 1 ELSE no END AS b, CASE WHEN is_late THEN 1 ELSE size + 1 END AS s,
+                     CASE WHEN is_late OR size = 0 THEN t ELSE opened END AS o
+              FROM (SELECT c.event_type, c.n, c.t, r.no, r.size, r.opened, r.flushed, greatest(r.flushed + 21600000000, r.opened) AS due,
+                           r.size > 0 AND greatest(r.flushed + 21600000000, r.opened) <= c.t AS is_late
+                    FROM r JOIN c ON c.event_type = r.event_type AND c.n = r.n + 1)))
+, last AS (SELECT * FROM r QUALIFY ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY n DESC) = 1)
+SELECT event_type, CASE WHEN counted THEN no - 2 ELSE no - 1 END AS batch_no, late_size AS size, late_opened AS opened_us, late_at AS closed_us, 'time' AS closed_by
+FROM r WHERE late
+UNION ALL SELECT event_type, no - 1, 50, opened, t, 'count' FROM r WHERE counted
+UNION ALL SELECT event_type, no, size, opened, greatest(flushed + 21600000000, opened), 'time' FROM last
+WHERE size > 0 AND greatest(flushed + 21600000000, opened) <= epoch_us(TIMESTAMP '2024-01-31 00:00:00')
+""")(_st06_closures)
+
+
 def _st11(spark, sf):
     g = SQ.silent_gaps(_events(spark, sf), "event_type", "ts")
     return g.select("event_type", F.date_format("silent_from", "yyyy-MM-dd HH:mm:ss").alias("silent_from"),

@@ -5,9 +5,10 @@ Each function takes a streaming DataFrame and returns a streaming DataFrame (or
 transformations are the same column expressions and operators as the batch path, so a
 stream and its batch twin agree on the same rows (see tests/test_streaming.py).
 
-State is bounded by construction: chain heads are two values per tenant, the escalation
-budget keeps at most ``limit`` grant times per key, batching keeps one open batch per key,
-windows and de-duplication are bounded by watermarks.
+State is bounded by construction: chain heads are two values per tenant (or rows of a stored table), the
+escalation budget keeps at most ``limit`` grant times per key, batching keeps one open batch per key,
+windows and de-duplication are bounded by watermarks. Budgets and batches set event-time timers: a
+batch nobody adds to closes by the clock, and a key that has been idle longer than its rows can matter leaves no state.
 """
 
 from __future__ import annotations
@@ -181,19 +182,59 @@ def chain_stream(events: DataFrame) -> DataFrame:
                                                          GroupStateTimeout.NoTimeout)
 
 
+def start_chain_table(events: DataFrame, records_path: str, heads_path: str, segments_path: str, checkpoint: str, trigger: dict | None = None):
+    """ST-04 without state in the stream: the heads are a versioned table by tenant, so a tenant that has been idle for years
+    costs a row on disk and goes on from its stored head.
+
+    A micro-batch is chained by the batch build (segments of an hour in parallel, whatever the tenant), its records and its segments'
+    heads replace those of an earlier try of the same batch, and the heads of its tenants are put in place last.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        ship_package(spark)
+        table = VersionedTable(spark, heads_path, "tenant_id", HEAD_SCHEMA)
+        before = [v for v in table.versions() if v < batch_id]
+        stored = table.read(before[-1]) if before else spark.createDataFrame([], HEAD_SCHEMA)
+        heads = stored.join(batch.select("tenant_id").distinct(), "tenant_id", "left_semi")
+        out = f"{records_path}/batch_id={batch_id}"
+        AU.build_chain(batch, heads).write.mode("overwrite").parquet(out)
+        records = spark.read.schema(AU.AUDIT_SCHEMA).parquet(out)
+        AU.chain_segments(records).write.mode("overwrite").parquet(f"{segments_path}/batch_id={batch_id}")
+        table.upsert(AU.chain_heads(records), lambda old, new: old.join(new, "tenant_id", "left_anti").unionByName(new), batch_id)
+    q = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return q.trigger(**(trigger or {"availableNow": True})).start()
+
+
+HEAD_SCHEMA = T.StructType([T.StructField("tenant_id", T.StringType()), T.StructField("sequence_number", T.LongType()),
+                            T.StructField("timestamp", T.StringType()), T.StructField("record_hash", T.StringType())])
+
+
+def _timer(state, at: float) -> None:
+    """Wake the group once the watermark has passed ``at`` (epoch seconds)."""
+    state.setTimeoutTimestamp(max(int(at * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+
+
+def _timed(df: DataFrame, ts: str, delay: str) -> DataFrame:
+    """Rows with their epoch seconds, late by at most ``delay``."""
+    return df.withColumn("_t", epoch_seconds(F.col(ts))).withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay)
+
+
 BUDGET_STATE = T.StructType([T.StructField("grants", T.ArrayType(T.DoubleType()))])
 
 
 def escalation_stream(calls: DataFrame, key: str, ts: str, confidence: str, severity: str, *,
                       limit: int = SQ.MAX_ESCALATIONS_PER_HOUR, window_seconds: int = 3600,
-                      order_col: str | None = None) -> DataFrame:
-    """ST-05: the escalation budget with at most ``limit`` grant times per key in state."""
+                      order_col: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """ST-05: the escalation budget with at most ``limit`` grant times per key in state, dropped by a timer once the
+    last of them is out of the window. Rows later than ``delay`` are dropped."""
     ship_package(calls.sparkSession)
     cols = calls.columns
-    ev = calls.withColumn("_t", epoch_seconds(F.col(ts)))
     schema = T.StructType(calls.schema.fields + [T.StructField("escalated", T.BooleanType())])
 
     def fn(k, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         grants = list(state.get[0]) if state.exists else []
         pdf = pd.concat(list(pdfs), ignore_index=True)
         pdf = pdf.sort_values(["_t"] + ([order_col] if order_col else []))
@@ -204,48 +245,88 @@ def escalation_stream(calls: DataFrame, key: str, ts: str, confidence: str, seve
             if ok:
                 grants.append(t)
             out.append(bool(ok))
-        state.update((grants[-limit:],))
+        if grants:
+            state.update((grants[-limit:],))
+            _timer(state, grants[-1] + window_seconds)
+        elif state.exists:
+            state.remove()
         pdf = pdf[cols].copy()
         pdf["escalated"] = out
         yield pdf
 
-    return ev.groupBy(key).applyInPandasWithState(fn, schema, BUDGET_STATE, "append", GroupStateTimeout.NoTimeout)
+    return _timed(calls, ts, delay).groupBy(key).applyInPandasWithState(fn, schema, BUDGET_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-BATCH_STATE = T.StructType([T.StructField("batch_no", T.LongType()), T.StructField("size", T.LongType()),
-                            T.StructField("last_flush", T.DoubleType())])
+BATCH_STATE = T.StructType([T.StructField("started", T.DoubleType()), T.StructField("batch_no", T.LongType()), T.StructField("size", T.LongType()),
+                            T.StructField("opened", T.DoubleType()), T.StructField("flushed", T.DoubleType())])
 
 
 def batching_stream(tasks: DataFrame, key: str, ts: str, *, count_threshold: int = SQ.BATCH_COUNT_THRESHOLD,
                     time_threshold_hours: float = SQ.BATCH_TIME_THRESHOLD_HOURS,
-                    order_col: str | None = None) -> DataFrame:
-    """ST-06: dual-trigger batches with one open batch per key in state (count or elapsed time)."""
+                    order_col: str | None = None, delay: str = "10 minutes") -> DataFrame:
+    """ST-06 by task: the batch each row goes to, with the state of one open batch per key. A batch that is due closes by a
+    timer, so that the next row begins another. Batch numbers of a key go on, so its five numbers stay."""
     ship_package(tasks.sparkSession)
     cols = tasks.columns
-    ev = tasks.withColumn("_t", epoch_seconds(F.col(ts)))
     schema = T.StructType(tasks.schema.fields + [T.StructField("batch_no", T.LongType()),
                                                  T.StructField("closed_by_count", T.BooleanType())])
-    limit_s = time_threshold_hours * 3600.0
+    limit = time_threshold_hours * 3600.0
+
+    def fn(k, pdfs, state):
+        batcher = SQ.Batcher(count_threshold, limit, state.get if state.exists else None)
+        if state.hasTimedOut:
+            batcher.tick(state.getCurrentWatermarkMs() / 1000)
+        else:
+            pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t"] + ([order_col] if order_col else []))
+            ids, by_count = [], []
+            for t in pdf["_t"]:
+                closed = batcher.add(t)
+                counted = bool(closed) and closed[-1][5] == "count"
+                ids.append(closed[-1][1] if counted else batcher.no)
+                by_count.append(counted)
+            out = pdf[cols].copy()
+            out["batch_no"], out["closed_by_count"] = ids, by_count
+            yield out
+        state.update(batcher.state)
+        if batcher.due is not None:
+            _timer(state, batcher.due)
+
+    return _timed(tasks, ts, delay).groupBy(key).applyInPandasWithState(fn, schema, BATCH_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def batch_closure_stream(tasks: DataFrame, key: str, ts: str, *, count_threshold: int = SQ.BATCH_COUNT_THRESHOLD,
+                         time_threshold_hours: float = SQ.BATCH_TIME_THRESHOLD_HOURS, keep_hours: float | None = None,
+                         delay: str = "10 minutes") -> DataFrame:
+    """ST-06 by batch: one row when a batch closes, by count or, without any further task, by the clock (the watermark).
+    The batch twin is ``sequences.batch_closures``.
+
+    With ``keep_hours`` a key that has had no open batch for so long leaves no state; its next batch has a new
+    ``started_at`` and number 0, so (key, started_at, batch_no) stays unique.
+    """
+    ship_package(tasks.sparkSession)
+    schema = T._parse_datatype_string(f"`{key}` string, {SQ.CLOSURE_COLS}")
+    limit = time_threshold_hours * 3600.0
 
     def fn(k, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t"] + ([order_col] if order_col else []))
-        b, size, last = state.get if state.exists else (None, 0, None)
-        ids, by_count = [], []
-        for t in pdf["_t"]:
-            if b is None:
-                b, size, last = 0, 0, t
-            elif size > 0 and t - last >= limit_s:
-                b, size, last = b + 1, 0, t
-            size += 1
-            ids.append(b)
-            if size >= count_threshold:
-                by_count.append(True)
-                b, size, last = b + 1, 0, t
-            else:
-                by_count.append(False)
-        state.update((b, size, last))
-        out = pdf[cols].copy()
-        out["batch_no"], out["closed_by_count"] = ids, by_count
-        yield out
-
-    return ev.groupBy(key).applyInPandasWithState(fn, schema, BATCH_STATE, "append", GroupStateTimeout.NoTimeout)
+        batcher = SQ.Batcher(count_threshold, limit, state.get if state.exists else None)
+        closed = []
+        if state.hasTimedOut:
+            if not batcher.size:
+                state.remove()
+                return
+            now = state.getCurrentWatermarkMs() / 1000
+            closed += batcher.tick(now)
+        else:
+            times = sorted(t for pdf in pdfs for t in pdf["_t"])
+            now = times[-1]
+            for t in times:
+                closed += batcher.add(t)
+        state.update(batcher.state)
+        if batcher.due is not None:
+            _timer(state, batcher.due)
+        elif keep_hours is not None:
+            _timer(state, now + keep_hours * 3600.0)
+        yield SQ.closure_frame([k[0]] * len(closed), closed, key)
+
+    rows = _timed(tasks.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn(key, F.col(key).cast("string")), ts, delay)
+    return rows.groupBy(key).applyInPandasWithState(fn, schema, BATCH_STATE, "append", GroupStateTimeout.EventTimeTimeout)
