@@ -2,6 +2,7 @@ import re
 import textwrap
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -91,3 +92,27 @@ def test_rows(spark):
         (1, True, 5, "a"), (1, True, 5, "a"), (3, True, len(text), "a")]
     empty = spark.createDataFrame([], schema)
     assert quality.quality(empty).collect() == [] and quality.passing(empty).collect() == []
+
+
+SPACES = "\u00a0\u3000\u2028\u2029\u0085\u1680\u2003\u202f\u205f\x1c\x1d\x1e\x1f"
+
+
+@pytest.mark.parametrize("space", SPACES)
+def test_lines_of_other_white_space(space):
+    bare = "one two three four five six seven eight nine ten"
+    for text in (f"{bare}\n{space}\n{bare}", f"{space}\n{bare}\n{space}", f"{bare}{space}\n{space}{bare}\n{space} {space}", space, f"{bare}\n{space}\r"):
+        got = quality.judge(text)
+        assert got["n_words"] == len(brute.word_list(text)) and got["n_lines"] >= 1
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab. ,A" + SPACES, max_size=60), max_size=8))
+def test_random_lines_never_fail(lines):
+    text = "\n".join(line if i % 2 else "some line of words without a mark and so on " + line for i, line in enumerate(lines))
+    got = quality.judge(text)
+    assert got["n_words"] == len(brute.word_list(text))
+
+
+def test_a_very_long_text_and_line():
+    text = "word " * 300_000 + "\n" + ("a line of eight words or more without mark\n" * 5_000)
+    assert quality.judge(text)["n_words"] == 300_000 + 9 * 5_000

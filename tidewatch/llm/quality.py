@@ -111,8 +111,8 @@ def wrapped_prose(lines: list[str], counts: list[int], rules: Rules) -> set[int]
 
 def _wrapped(lines: list[str], counts: list[int], at: int, end: int) -> set[int]:
     """``wrapped_prose`` of one paragraph, the lines from ``at`` to ``end``."""
-    sizes = {i: len(lines[i].strip()) for i in range(at, end)}
-    first = {i: lines[i].split()[0] for i in range(at, end)}
+    sizes = {i: len(lines[i].strip(" \t\v\f\r")) for i in range(at, end)}
+    first = {i: words(lines[i])[0].decode() for i in range(at, end)}
     width, most = max(sizes.values()), max(counts[at:end])
     # Full lines: the next word had no room, by characters or by words; one alone is no text column.
     full = {i for i in range(at, end - 1) if sizes[i] + 1 + len(first[i + 1]) > width or counts[i] == most}
