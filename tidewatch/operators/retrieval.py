@@ -1,15 +1,19 @@
 """Retrieval: exact cosine top-k (J-15), version de-dup (W-08), incident relevance
 re-ranking (R-01/R-02), technique mapping (R-03/W-07), retrieval quality (E-25).
 
-Exact top-k in blocks: the corpus is hashed into B blocks and the queries into C chunks; every
-(filter value, block, chunk) cell is one ``cogroup`` group, scored with one numpy matrix product, and
-emits only its top-k per query (never the pairs). All pairs of one filter value are scored, so the work is
-queries x corpus; the graph index of the training-data operators is the way beyond that. A final window merges
-at most k x B candidates per query. Corpus rows are copied C times and query rows B times; B and C come from
-counted sizes, for bounded cells alone: ties go by (score, id) in a cell and in the merge, so the result
-does not depend on them.
-With a ``doc_col`` the blocks are keyed by document so all versions of a document meet
-in the same cell and the version preference (W-08) is applied before ranking.
+Exact top-k with pivots: the corpus is dealt into cells, each row to the pivot (a corpus row) of the least angle; pivots number
+as many as blocks of ``rows_per_block`` rows, ``MAX_PIVOTS`` at most, so they and a radius each can go to every task. The angle
+is a metric: a row of a cell is no nearer to a query than the query's angle to the pivot less the cell's radius.
+
+1. Each query is scored in the cell of its nearest pivot; that gives its k-th best score so far.
+2. It goes on only to the cells whose bound reaches that score, all others are skipped whole.
+
+A task loads one block of a cell (cells of more than ``rows_per_block`` rows are cut by hash) and streams the queries that
+visit it through one matrix product a batch; the corpus is dealt once a round and never copied, queries are copied as often as
+they visit blocks. Pairs are never emitted, only each block's top-k per query; ties go by (score, id) in a block and in the merge, so
+the result does not depend on the cells. How much is skipped depends on the vectors: clusters prune well, vectors without structure
+in many dimensions hardly at all (``cells_scored`` counts it).
+With a ``doc_col`` all versions of a document are in one block and the version preference (W-08) is applied before ranking.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.exprs import incident_score, jaccard
-from tidewatch.session import ship_package
+from tidewatch.session import checkpoint_dir, ship_package
 
 RESULT_SCHEMA = T.StructType([
     T.StructField("query_id", T.StringType()),
@@ -39,87 +43,223 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / n
 
 
-def _cell_topk(k: int, threshold: float | None, exclude_self: bool, dedup: bool, preferred: str | None):
-    def fn(key, corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if corpus.empty or queries.empty:
-            return pd.DataFrame({"query_id": [], "corpus_id": [], "score": []})
-        C = _unit(np.stack(corpus["vec"].to_numpy()).astype(np.float64))
-        Q = _unit(np.stack(queries["vec"].to_numpy()).astype(np.float64))
-        S = Q @ C.T
-        cid = corpus["id"].to_numpy()
-        qid = queries["id"].to_numpy()
-        if exclude_self:
-            S[qid[:, None] == cid[None, :]] = -np.inf
-        if threshold is not None:
-            S[S < threshold] = -np.inf
+#: Pivots at most: 4,096 vectors go to each task with their radii.
+MAX_PIVOTS = 4096
+#: Slack of an angle for rounding.
+SLACK = 1e-6
+
+
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
+
+
+class _Block:
+    """One block of the corpus; ``best`` scores a batch of queries in it."""
+
+    def __init__(self, rows: pd.DataFrame, k: int, threshold: float | None, exclude_self: bool, dedup: bool, preferred: str | None):
+        self.k, self.threshold, self.exclude_self = k, threshold, exclude_self
+        self.units = _unit(np.stack(rows["vec"].to_numpy()).astype(np.float64))
+        self.ids = rows["id"].to_numpy()
+        self.layers = None
         if dedup:
             # W-08: per (query, doc) the representative is the doc's first row in preference
             # order (preferred version, then higher version) that survives the filters.
-            docs = corpus["doc"].to_numpy()
-            ver = corpus["ver"].to_numpy().astype(str)
+            ver = rows["ver"].to_numpy().astype(str)
             pref = (ver == preferred) if preferred is not None else np.zeros(len(ver), bool)
-            frame = pd.DataFrame({"doc": docs, "pref": pref, "ver": ver, "j": np.arange(len(ver))})
+            frame = pd.DataFrame({"doc": rows["doc"].to_numpy(), "pref": pref, "ver": ver, "j": np.arange(len(ver))})
             frame = frame.sort_values(["doc", "pref", "ver"], ascending=[True, False, False])
-            frame["layer"] = frame.groupby("doc").cumcount()
-            udocs, dpos = np.unique(frame["doc"].to_numpy(), return_inverse=True)
-            R = np.full((S.shape[0], len(udocs)), -np.inf)
-            RJ = np.full((S.shape[0], len(udocs)), -1)
-            for layer in range(int(frame["layer"].max()) + 1):
-                sel = (frame["layer"] == layer).to_numpy()
-                cols, dcols = frame["j"].to_numpy()[sel], dpos[sel]
-                take = ~np.isfinite(R[:, dcols]) & np.isfinite(S[:, cols])
-                R[:, dcols] = np.where(take, S[:, cols], R[:, dcols])
-                RJ[:, dcols] = np.where(take, cols, RJ[:, dcols])
-            S, col_of = R, RJ
-        else:
-            col_of = None
-        kk = min(k, S.shape[1])
+            layer = frame.groupby("doc").cumcount().to_numpy()
+            docs, at = np.unique(frame["doc"].to_numpy(), return_inverse=True)
+            self.n_docs, j = len(docs), frame["j"].to_numpy()
+            self.layers = [(j[layer == x], at[layer == x]) for x in range(int(layer.max()) + 1)]
+
+    def best(self, qid: np.ndarray, vecs: np.ndarray) -> list[tuple]:
+        """(query, row, score) of each query's first k rows."""
+        S = _unit(vecs) @ self.units.T
+        if self.exclude_self:
+            S[qid[:, None] == self.ids[None, :]] = -np.inf
+        if self.threshold is not None:
+            S[S < self.threshold] = -np.inf
+        col_of = None
+        if self.layers is not None:
+            R, col_of = np.full((len(qid), self.n_docs), -np.inf), np.full((len(qid), self.n_docs), -1)
+            for cols, docs in self.layers:
+                take = ~np.isfinite(R[:, docs]) & np.isfinite(S[:, cols])
+                R[:, docs] = np.where(take, S[:, cols], R[:, docs])
+                col_of[:, docs] = np.where(take, cols, col_of[:, docs])
+            S = R
+        kk = min(self.k, S.shape[1])
         kth = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk]
-        out_q, out_c, out_s = [], [], []
-        for qi in range(S.shape[0]):
+        out = []
+        for i in range(len(qid)):
             # All that tie with the k-th, then by (score, id): equal scores go to the smaller ids.
-            js = np.flatnonzero((S[qi] >= kth[qi]) & np.isfinite(S[qi]))
-            ids = cid[js if col_of is None else col_of[qi, js]]
-            best = sorted(zip(-S[qi, js], ids))[:kk]
-            out_q += [qid[qi]] * len(best)
-            out_c += [i for _, i in best]
-            out_s += [float(-s) for s, _ in best]
-        return pd.DataFrame({"query_id": out_q, "corpus_id": out_c, "score": out_s})
-    return fn
+            js = np.flatnonzero((S[i] >= kth[i]) & np.isfinite(S[i]))
+            ids = self.ids[js if col_of is None else col_of[i, js]]
+            out += [(qid[i], row, float(-s)) for s, row in sorted(zip(-S[i, js], ids))[:kk]]
+        return out
+
+
+def _scored(visits: DataFrame, blocks: DataFrame, k: int, threshold, exclude_self: bool, dedup: bool, preferred) -> DataFrame:
+    """Each visiting query's top-k of each block. Both sides meet sorted: a block's rows, then its queries, in batches."""
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["flt", "cell", "sub"]
+    rows = blocks.select(*keys, F.lit(0).alias("kind"), "id", "vec", "doc", "ver").unionByName(
+        visits.select(*keys, F.lit(1).alias("kind"), "id", "vec", F.lit("").alias("doc"), F.lit("").alias("ver")))
+    rows = rows.repartition(n, *keys).sortWithinPartitions(*keys, "kind")
+
+    def run(it):
+        at, parts, block = None, [], None
+        for pdf in it:
+            out = []
+            for key, g in pdf.groupby(keys, sort=False, dropna=False):
+                if key != at:
+                    at, parts, block = key, [], None
+                corpus = g[g["kind"] == 0]
+                if len(corpus):
+                    parts.append(corpus)
+                queries = g[g["kind"] == 1]
+                if len(queries) and parts and block is None:
+                    block, parts = _Block(pd.concat(parts, ignore_index=True), k, threshold, exclude_self, dedup, preferred), []
+                if len(queries) and block is not None:
+                    out += block.best(queries["id"].to_numpy(), np.stack(queries["vec"].to_numpy()).astype(np.float64))
+            yield pd.DataFrame(out, columns=["query_id", "corpus_id", "score"])
+
+    return rows.mapInPandas(run, RESULT_SCHEMA)
+
+
+def _celled(c: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """The rows with the ``cell`` of their nearest pivot and their ``angle`` to it; rows without a direction are cell -1."""
+    schema = T.StructType([*c.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+
+    def run(it):
+        for pdf in it:
+            if len(pdf):
+                units = _unit(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
+                angles = _angles(units, pivots)
+                cell = angles.argmin(axis=1)
+                none = ~units.any(axis=1)
+                yield pdf.assign(cell=np.where(none, -1, cell).astype(np.int32), angle=np.where(none, 0.0, angles[np.arange(len(cell)), cell]))
+    return c.mapInPandas(run, schema)
+
+
+class _Index:
+    """A corpus in cells: written ``rows`` with (cell, sub), ``cells`` (flt, cell, subs), pivots and radii."""
+
+    def __init__(self, corpus: DataFrame, rows_per_block: int):
+        n = corpus.count()
+        want = min(MAX_PIVOTS, max(1, math.ceil(n / rows_per_block)))
+        picked = corpus.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(want).collect()
+        pivots = np.stack([np.asarray(r["vec"], dtype=np.float64) for r in picked]) if picked else np.zeros((1, 1))
+        self.pivots = _unit(pivots)
+        dealt = _celled(corpus, self.pivots)
+        # A document's rows follow its first one.
+        home = dealt.where("doc <> ''").groupBy("flt", "doc").agg(F.min(F.struct((F.col("cell") < 0).alias("none"), "id", "cell")).alias("h")).select("flt", "doc", F.col("h.cell").alias("home"))
+        dealt = dealt.join(home, ["flt", "doc"], "left").withColumn("cell", F.coalesce("home", "cell")).drop("home", "angle")
+        dealt = dealt.checkpoint()
+        self.cells = (dealt.groupBy("flt", "cell").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("subs"))).checkpoint()
+        key = F.when(F.col("doc") != "", F.col("doc")).otherwise(F.col("id"))
+        # Cells are as many as pivots and filter values.
+        self.rows = dealt.join(self.cells, ["flt", "cell"]).withColumn("sub", F.pmod(F.xxhash64(key), F.col("subs")).cast("int"))
+        self.radii = self._radii(dealt)
+
+    def _radii(self, dealt: DataFrame) -> np.ndarray:
+        pivots = self.pivots
+
+        def run(it):
+            for pdf in it:
+                pdf = pdf[pdf["cell"] >= 0]
+                if len(pdf):
+                    units = _unit(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
+                    cell = pdf["cell"].to_numpy()
+                    # A row without a direction has score 0 with any query, as if it were at a right angle to all.
+                    a = np.where(units.any(axis=1), np.arccos(np.clip((units * pivots[cell]).sum(axis=1), -1.0, 1.0)), np.pi)
+                    yield pd.DataFrame({"cell": cell, "angle": a}).groupby("cell", as_index=False).max()
+        top = dealt.select("cell", "vec").mapInPandas(run, "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("r")).collect()
+        radii = np.zeros(len(pivots))
+        for r in top:  # one row a pivot
+            radii[r["cell"]] = r["r"]
+        return radii
+
+    def visits(self, queries: DataFrame, first: bool) -> DataFrame:
+        """(id, vec, flt, cell, sub): the nearest cell of each query, or all others that its ``floor`` does not rule out."""
+        pivots, radii = self.pivots, self.radii
+
+        def run(it):
+            for pdf in it:
+                if not len(pdf):
+                    continue
+                units = _unit(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
+                angles = _angles(units, pivots)
+                near = angles.argmin(axis=1)
+                if first:
+                    yield pdf.assign(cell=near.astype(np.int32))
+                    continue
+                reach = np.cos(np.clip(angles - radii - SLACK, 0.0, np.pi))
+                reach[~units.any(axis=1)] = 0.0  # such a query has score 0 with every row
+                floor = pdf["floor"].fillna(-np.inf).to_numpy()[:, None]
+                go = reach + SLACK >= floor
+                go[np.arange(len(near)), near] = False
+                q, cell = np.nonzero(go)
+                zero = np.flatnonzero(floor[:, 0] <= SLACK)  # rows without a direction score 0
+                at, cell = np.concatenate([q, zero]), np.concatenate([cell, np.full(len(zero), -1)])
+                yield pdf.drop(columns="floor").iloc[at].assign(cell=cell.astype(np.int32))
+
+        out = queries.mapInPandas(run, "id string, vec array<double>, flt string, cell int")
+        return out.join(self.cells, ["flt", "cell"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
+
+
+def _sides(queries, corpus, query_id, query_vec, corpus_id, corpus_vec, filter_cols, doc_col, version_col):
+    fq = F.col(filter_cols[0]).cast("string") if filter_cols else F.lit("")
+    fc = F.col(filter_cols[1]).cast("string") if filter_cols else F.lit("")
+    c = corpus.select(F.col(corpus_id).cast("string").alias("id"), F.col(corpus_vec).cast("array<double>").alias("vec"), fc.alias("flt"),
+                      (F.col(doc_col).cast("string") if doc_col else F.lit("")).alias("doc"),
+                      (F.col(version_col).cast("string") if version_col else F.lit("")).alias("ver"))
+    q = queries.select(F.col(query_id).cast("string").alias("id"), F.col(query_vec).cast("array<double>").alias("vec"), fq.alias("flt"))
+    # An equality filter is part of the cell's key: pairs that differ in it never meet.
+    return q.where("flt is not null"), c.where("flt is not null")
+
+
+def _rounds(q: DataFrame, index: _Index, k: int, threshold, exclude_self, dedup, preferred) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The candidates of both rounds, and the visits of each."""
+    one = index.visits(q, True)
+    near = _scored(one, index.rows, k, threshold, exclude_self, dedup, preferred).checkpoint()
+    # The k-th best score so far; with fewer, nothing is ruled out but by the threshold.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
+    floor = near.withColumn("_r", rank).where(F.col("_r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    base = F.lit(None).cast("double") if threshold is None else F.lit(float(threshold))
+    two = index.visits(q.join(floor, "id", "left").withColumn("floor", F.coalesce("floor", base)).select("id", "vec", "flt", "floor"), False)
+    return near.unionByName(_scored(two, index.rows, k, threshold, exclude_self, dedup, preferred)), one, two
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "id", query_vec: str = "vec",
                 corpus_id: str = "id", corpus_vec: str = "vec", filter_cols: tuple[str, str] | None = None,
                 threshold: float | None = None, exclude_self: bool = False, doc_col: str | None = None,
-                version_col: str | None = None, preferred_version: str | None = None,
-                rows_per_block: int = 20000, queries_per_chunk: int = 2000) -> DataFrame:
+                version_col: str | None = None, preferred_version: str | None = None, rows_per_block: int = 20000) -> DataFrame:
     """J-15 exact: for each query the ``k`` most cosine-similar corpus rows (score >= threshold,
     equal filter payload), ties broken by corpus id. Returns (query_id, corpus_id, score, rank)."""
-    ship_package(corpus.sparkSession)
-    n_c = corpus.count()
-    n_q = queries.count()
-    B = max(1, math.ceil(n_c / rows_per_block))
-    C = max(1, math.ceil(n_q / queries_per_chunk))
-    fq = F.col(filter_cols[0]).cast("string") if filter_cols else F.lit("")
-    fc = F.col(filter_cols[1]).cast("string") if filter_cols else F.lit("")
-    block_key = F.col(doc_col) if doc_col else F.col(corpus_id)
-    c = corpus.select(F.col(corpus_id).cast("string").alias("id"), F.col(corpus_vec).cast("array<double>").alias("vec"),
-                      fc.alias("flt"),
-                      (F.col(doc_col).cast("string") if doc_col else F.lit("")).alias("doc"),
-                      (F.col(version_col).cast("string") if version_col else F.lit("")).alias("ver"),
-                      F.pmod(F.xxhash64(block_key.cast("string")), F.lit(B)).alias("_b"))
-    c = c.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(C - 1))))
-    q = queries.select(F.col(query_id).cast("string").alias("id"), F.col(query_vec).cast("array<double>").alias("vec"),
-                       fq.alias("flt"), F.pmod(F.xxhash64(F.col(query_id).cast("string")), F.lit(C)).alias("_c"))
-    q = q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    fn = _cell_topk(k, threshold, exclude_self, doc_col is not None, preferred_version)
-    # An equality filter is part of the cell's key: pairs that differ in it never meet.
-    cand = (c.groupBy("flt", "_b", "_c").cogroup(q.groupBy("flt", "_b", "_c"))
-            .applyInPandas(lambda key, a, b: fn(key, a, b), RESULT_SCHEMA))
+    spark = corpus.sparkSession
+    ship_package(spark)
+    checkpoint_dir(spark)
+    q, c = _sides(queries, corpus, query_id, query_vec, corpus_id, corpus_vec, filter_cols, doc_col, version_col)
+    cand = _rounds(q, _Index(c, rows_per_block), k, threshold, exclude_self, doc_col is not None, preferred_version)[0]
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("corpus_id"))
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def cells_scored(queries: DataFrame, corpus: DataFrame, k: int, *, rows_per_block: int = 20000, exclude_self: bool = False) -> DataFrame:
+    """One row: queries, blocks, the visits that scoring every block takes, and those that the pivots leave."""
+    spark = corpus.sparkSession
+    ship_package(spark)
+    checkpoint_dir(spark)
+    q, c = _sides(queries, corpus, "id", "vec", "id", "vec", None, None, None)
+    index = _Index(c, rows_per_block)
+    _, one, two = _rounds(q, index, k, None, exclude_self, False, None)
+    made = one.select("id").unionByName(two.select("id")).agg(F.count(F.lit(1)).alias("visits"))
+    blocks = index.cells.agg(F.sum("subs").cast("bigint").alias("blocks"))
+    return (q.agg(F.count(F.lit(1)).alias("queries")).crossJoin(blocks).crossJoin(made)
+            .select("queries", "blocks", (F.col("queries") * F.col("blocks")).alias("all_visits"), "visits"))
+
+
 def relevance_rerank(hits: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 5, *,
                      default_age_days: float = 30.0) -> DataFrame:
     """R-02: vector hits -> payload (age default 30 d) -> R-01 composite -> re-ranked top-k.

@@ -46,6 +46,20 @@ SELECT query_id, corpus_id, ROUND(score, 6) AS score, CAST(rank AS BIGINT) AS ra
 """, headline=True)(_j15)
 
 
+def _j15_cells(spark, sf):
+    """The same top 5 with cells of about 50 rows, so that the pivots decide which blocks a query visits."""
+    v = _vec(spark, sf)
+    t = RT.cosine_topk(v, v, 5, exclude_self=True, rows_per_block=50)
+    return tidy(t.select("query_id", "corpus_id", "score", F.col("rank").cast("bigint").alias("rank")))
+
+
+register("j15_cosine_top5_cells", VEC_SQL + """
+, r AS (SELECT query_id, corpus_id, score, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, corpus_id) AS rank
+        FROM pairs)
+SELECT query_id, corpus_id, ROUND(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM r WHERE rank <= 5
+""")(_j15_cells)
+
+
 def _j15f(spark, sf):
     v = _vec(spark, sf)
     t = RT.cosine_topk(v, v, 5, exclude_self=True, filter_cols=("label", "label"), threshold=0.1)
