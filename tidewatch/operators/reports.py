@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import (col_type, epoch_seconds, lookup, severity_rank, shift, time_lit,
                                        to_datetime)
+from tidewatch.operators.quantiles import add_percentiles
 
 CLOSED_STATES = ("closed", "failed")
 
@@ -119,13 +120,11 @@ def investigation_kpis(inv: DataFrame, now) -> DataFrame:
 
 def model_latency(calls: DataFrame, now, hours: int = 1) -> DataFrame:
     """A-05: per model in the last hour: calls, successes, mean, exact p50/p95 latency."""
-    return (calls.where(_after(calls, "created_at", shift(now, hours=hours), strict=True, now=now))
-            .groupBy("model_id")
-            .agg(F.count(F.lit(1)).alias("total_calls"),
-                 F.count_if(F.col("status") == "success").alias("success_calls"),
-                 F.avg("latency_ms").alias("avg_latency"),
-                 F.percentile("latency_ms", 0.5).alias("p50_latency"),
-                 F.percentile("latency_ms", 0.95).alias("p95_latency")))
+    seen = calls.where(_after(calls, "created_at", shift(now, hours=hours), strict=True, now=now))
+    g = seen.groupBy("model_id").agg(F.count(F.lit(1)).alias("total_calls"),
+                                     F.count_if(F.col("status") == "success").alias("success_calls"),
+                                     F.avg("latency_ms").alias("avg_latency"))
+    return add_percentiles(g, seen, ["model_id"], "latency_ms", {"p50_latency": 0.5, "p95_latency": 0.95})
 
 
 def month_start(now) -> _dt.datetime:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import (SAFETY_RELEVANT_RULES, confidence_floor, epoch_seconds, in_window, shift,
                                        time_lit, trust_downgrade, trust_level, col_type)
+from tidewatch.operators.quantiles import add_percentiles, gaps
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference): rule identity and defaults
@@ -114,11 +115,9 @@ def poisoning_fired(g: DataFrame, deviation_threshold: float = 3.0, distinct_thr
 def model_extraction(queries: DataFrame, now, *, count_threshold: int = 100,
                      lookback_hours: int = 6) -> DataFrame:
     """Callers with more than ``count_threshold`` queries; exact median token count (A-04)."""
-    g = (queries.where(in_window(queries, "ts", shift(now, hours=lookback_hours), now))
-         .groupBy("tenant_id", "user_id")
-         .agg(F.count(F.lit(1)).alias("query_count"),
-              F.percentile(F.col("token_count"), F.lit(0.5)).alias("median_tokens"))
-         .where(F.col("query_count") > count_threshold))
+    seen, keys = queries.where(in_window(queries, "ts", shift(now, hours=lookback_hours), now)), ["tenant_id", "user_id"]
+    g = (seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("query_count")).where(F.col("query_count") > count_threshold))
+    g = add_percentiles(g, seen, keys, "token_count", {"median_tokens": 0.5})
     return _base("D-02", g).withColumn(
         "confidence", F.least(F.lit(0.9), F.lit(0.6) + F.col("query_count") / 1000.0))
 
@@ -649,10 +648,9 @@ def extraction_by_gap(api: DataFrame, now, *, threshold: int = EXTRACTION_THRESH
                       gap_ms: float = AUTOMATION_GAP_MS, lookback_hours: int = 6,
                       endpoints=EXTRACTION_ENDPOINTS) -> DataFrame:
     """E-02: per tenant and caller over the last 6 h on model endpoints: count, distinct endpoints, median gap
-    between consecutive calls (lag, exact median), session span; automation = median gap < 500 ms or
-    > 2 endpoints; tiered confidence, reported above 0.65. The lag window is per caller inside the
-    time-filtered slice."""
-    from pyspark.sql import Window
+    between consecutive calls (exact median), session span; automation = median gap < 500 ms or
+    > 2 endpoints; tiered confidence, reported above 0.65. Gaps are taken by ranges of a minute and the median by
+    refined counts, so a caller with a third of all rows is no task of its own."""
     dt = col_type(api, "ts")
     like = F.lit(False)
     for p in endpoints:
@@ -660,12 +658,12 @@ def extraction_by_gap(api: DataFrame, now, *, threshold: int = EXTRACTION_THRESH
     w = api.where((F.col("ts") > time_lit(shift(now, hours=lookback_hours), dt)) & (F.col("ts") < time_lit(now, dt)) & like)
     # In whole microseconds: seconds as doubles would lose the last digits.
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = (micros - F.lag(micros).over(Window.partitionBy("tenant_id", "caller_identity").orderBy("ts"))) / 1000
-    g = (w.withColumn("gap_ms", gap).groupBy("tenant_id", "caller_identity")
+    keys = ["tenant_id", "caller_identity"]
+    g = (w.groupBy(*keys)
          .agg(F.count(F.lit(1)).alias("query_count"), F.count_distinct("endpoint").alias("distinct_endpoints"),
-              F.percentile("gap_ms", 0.5).alias("median_gap_ms"),
               ((epoch_seconds(F.max("ts")) - epoch_seconds(F.min("ts"))) / 60.0).alias("session_window_min"))
          .where(F.col("query_count") > threshold))
+    g = add_percentiles(g, gaps(w, keys, micros).withColumn("gap_ms", F.col("gap_us") / 1000), keys, "gap_ms", {"median_gap_ms": 0.5})
     med = F.coalesce(F.col("median_gap_ms"), F.lit(9999.0))
     g = g.where((med < gap_ms) | (F.col("distinct_endpoints") > 2))
     conf = (F.when((F.col("query_count") > 500) & (med < 200), 0.95)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewatch.operators import reports as RP
+from tidewatch.operators.quantiles import add_percentiles
 from tidewatch.plans.oracle_roles import with_roles
 from tidewatch.plans.registry import register, tidy
 from tidewatch.plans.rules_q import ts
@@ -159,8 +160,8 @@ THRESHOLDS = {"p95_latency_ms": 1700.0, "error_rate": 0.25}
 
 def _a39(spark, sf):
     c = _calls(spark, sf)
-    m = c.groupBy("model_id").agg(F.percentile("latency_ms", 0.95).alias("p95"),
-                                  (F.count_if(F.col("status") == "error") / F.count(F.lit(1))).alias("err"))
+    m = c.groupBy("model_id").agg((F.count_if(F.col("status") == "error") / F.count(F.lit(1))).alias("err"))
+    m = add_percentiles(m, c, ["model_id"], "latency_ms", {"p95": 0.95})
     metrics = m.selectExpr("model_id", "stack(2, 'p95_latency_ms', p95, 'error_rate', err) AS (name, value)")
     return tidy(RP.operational_alerts(metrics, THRESHOLDS))
 
