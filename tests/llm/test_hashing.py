@@ -21,6 +21,8 @@ def test_long_texts_and_words():
     assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
     assert h[100] == hashing.word_hashes(words[100])[0] and h[-1] == hashing.word_hashes("z")[0]
     assert h[-3] == hashing.word_hashes(words[-3])[0]
+    # Words of a chunk that a very long word ends.
+    assert h[59_999] == hashing.word_hashes(words[59_999])[0] and hashing.word_hashes("a b " + "y" * (hashing.LONGEST + 5))[1] == hashing.word_hashes("b")[0]
     assert hashing.word_hashes(None).dtype == np.uint64 and len(hashing.word_hashes(" \n ")) == 0
 
 

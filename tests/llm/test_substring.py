@@ -102,3 +102,13 @@ def test_equal_windows_have_equal_anchors():
     for p in range(len(h) - 19):
         got = (key[run[p]], at[run[p]] - p)
         assert by.setdefault(h[p:p + 20].tobytes(), got) == got
+
+
+def test_many_rows_without_an_id(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(None, f"own {i} {' '.join(f'w{i}x{j}' for j in range(30))} {passage} end {i}") for i in range(400)] + [(None, passage)] * 3 + [(7, passage)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string")
+    got = sorted((r["doc_id"] is not None, r["kept_sha256"], r["n_removed"]) for r in substring.substring_dedup(df).collect())
+    kept = brute.substring(rows)
+    want = sorted((i is not None, hashlib.sha256(" ".join(kept[i, t]).encode()).hexdigest(), len(brute.word_list(t)) - len(kept[i, t])) for i, t in rows)
+    assert got == want

@@ -67,8 +67,12 @@ def word_hashes(text: str | None) -> np.ndarray:
         while to < len(b) and not _SPACE[b[to]]:  # to the end of a word
             ahead = np.flatnonzero(_SPACE[b[to:to + CHUNK]])
             to = to + int(ahead[0]) if len(ahead) else min(len(b), to + CHUNK)
-        if to - at > LONGEST:
-            out.append(np.array([xxhash.xxh64_intdigest(w) for w in raw[at:to].split()], dtype=np.uint64))
+        gap = _SPACE[b[at:to]]
+        last = at + int(np.flatnonzero(gap)[-1]) + 1 if to - at > LONGEST and gap.any() else at
+        if to - last > LONGEST:  # the word that ends the chunk; those before it are hashed as anywhere else
+            if last > at:
+                out.append(_hash_chunk(b[at:last]))
+            out.append(np.array([xxhash.xxh64_intdigest(raw[last:to])], dtype=np.uint64))
         else:
             out.append(_hash_chunk(b[at:to]))
         at = to

@@ -22,7 +22,8 @@ repeats from its first window to its last.
 The text is shuffled by doc_id once: the plan uses that exchange three times. Hash tables, anchors and
 spans are small beside it.
 
-Cases: null text has no words; a null id counts as smaller than any other; rows equal in id and text get equal
+Cases: null text has no words; a null id counts as smaller than any other (rows without one are keyed by their text, so any
+number of them is as well dealt as rows with ids); rows equal in id and text get equal
 results and do not repeat each other; rows of one id with different texts count as ordered by a hash of
 their text; texts under 20 words are left alone; words of any length are hashed whole; extra columns are ignored (``deduplicated``
 returns them); an empty table gives no rows.
@@ -222,13 +223,23 @@ def _shared(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The documents dealt by doc_id, each with its md5 and the texts of that id that are later copies. Every
     consumer takes all columns, so that one exchange serves them all."""
     held = docs.select(*columns, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("_text_id"))
-    ids = held.select("doc_id", "_text_id")
+    held = held.withColumn("_row", F.xxhash64("_text_id")).withColumn("_side", _side("doc_id", "_row"))
+    ids = held.select("doc_id", "_side", "_text_id")
     first = ids.groupBy("_text_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNotNull().alias("o"), "doc_id")).alias("f")).where("n > 1")
     copies = (ids.join(first, "_text_id").where(F.struct(F.col("doc_id").isNotNull().alias("o"), "doc_id") > F.col("f"))
-              .groupBy(F.col("doc_id").alias("_copy_id")).agg(F.collect_set("_text_id").alias("_copies")).hint("shuffle_hash"))
-    return (held.join(copies, F.col("doc_id").eqNullSafe(F.col("_copy_id")), "left")
+              .groupBy(F.col("doc_id").alias("_id"), F.col("_side").alias("_id_side")).agg(F.collect_set("_text_id").alias("_copies")).hint("shuffle_hash"))
+    return (held.join(copies, _same_document(), "left")
             .withColumn("_copy", F.coalesce(F.array_contains("_copies", F.col("_text_id")), F.lit(False)))
-            .withColumn("_row", F.xxhash64("_text_id")).drop("_copy_id", "_copies", "_text_id"))
+            .drop("_id", "_id_side", "_copies", "_text_id"))
+
+
+def _side(doc_id: str, row: str):
+    """What tells rows without an id apart, by their text; 0 for all others."""
+    return F.when(F.col(doc_id).isNull(), F.col(row)).otherwise(F.lit(0).cast("long"))
+
+
+def _same_document():
+    return F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_side") == F.col("_id_side"))
 
 
 def _spans_of(shared: DataFrame) -> DataFrame:
@@ -238,19 +249,20 @@ def _spans_of(shared: DataFrame) -> DataFrame:
 
     def find(batches):
         for b in batches:
-            out = {"anchor": [], "doc_id": [], "place": []}
-            for d, text, copy in zip(b["doc_id"], b["text"], b["_copy"]):
+            out = {"anchor": [], "doc_id": [], "side": [], "place": []}
+            for d, side, text, copy in zip(b["doc_id"], b["_side"], b["text"], b["_copy"]):
                 if not copy and text:
                     a, at, _ = anchors(word_hashes(text))
                     out["anchor"] += a.tolist()
                     out["place"] += at.tolist()
                     out["doc_id"] += [d] * len(a)
+                    out["side"] += [side] * len(a)
             yield out
 
-    found = map_columns(shared, find, "anchor long, doc_id long, place int")
+    found = map_columns(shared, find, "anchor long, doc_id long, side long, place int")
     # Counted with map-side sums; Spark splits the join's partition of an anchor that is everywhere.
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    places = (found.join(often, "anchor").groupBy(F.col("doc_id").alias("_id"))
+    places = (found.join(often, "anchor").groupBy(F.col("doc_id").alias("_id"), F.col("side").alias("_id_side"))
               .agg(F.collect_list(F.struct("place", (F.col("n") > HOT).alias("hot"))).alias("_places")))
 
     def cut(batches):
@@ -293,9 +305,9 @@ def _spans_of(shared: DataFrame) -> DataFrame:
         if first:
             yield held()
 
-    wanted = shared.join(places.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").where("_places is not null").drop("_id")
+    wanted = shared.join(places.hint("shuffle_hash"), _same_document(), "left").where("_places is not null").drop("_id", "_id_side")
     runs = map_columns(wanted, cut, RUN_SCHEMA).repartition(n, "key").sortWithinPartitions("key")
-    return (map_columns(runs, _search, SPAN_SCHEMA).groupBy(F.col("doc_id").alias("_id"))
+    return (map_columns(runs, _search, SPAN_SCHEMA).groupBy(F.col("doc_id").alias("_id"), _side("doc_id", "row").alias("_id_side"))
             .agg(F.collect_list(F.struct("row", (F.shiftleft(F.col("first").cast("long"), 32) + F.col("last")).alias("span"))).alias("_spans")))
 
 
@@ -321,7 +333,7 @@ def _joined(docs: DataFrame, columns: list[str]) -> DataFrame:
     prepare(docs.sparkSession)
     shared = _shared(docs, columns)
     spans = _spans_of(shared).hint("shuffle_hash")
-    return shared.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    return shared.join(spans, _same_document(), "left").drop("_id", "_id_side")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
