@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import uuid
@@ -63,6 +64,21 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``checkpoint()``, after which what only the steps before it needed is let go: Spark's cleaner removes shuffles and (with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``) checkpoints once the driver's JVM has collected their handles, which it
+    would else do only when its own memory is short, however full the disks are."""
+    out = df.checkpoint()
+    release(df.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Have the driver's JVM collect what nothing refers to, so that Spark's cleaner removes its files."""
+    gc.collect()  # Python's handles of JVM objects
+    spark._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared checkpoint folder for a written table."""
     return os.path.join(checkpoint_dir(spark), f"{re.sub(r'[^a-z0-9]+', '-', name)}-{uuid.uuid4().hex}")

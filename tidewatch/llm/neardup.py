@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import map_columns, prepare, words
+from tidewatch.llm.common import checkpointed, map_columns, prepare, words
 from tidewatch.llm.hashing import mix, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -181,7 +181,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     seen = None
     while True:
-        e = e.checkpoint()
+        e = checkpointed(e)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             return (e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -202,7 +202,7 @@ def _hubs(rows: DataFrame, seed: int) -> DataFrame:
     company over all its buckets. Copies with edits of their own may be unlike one another, yet all like what they
     were copied from; that text has the most company."""
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(counts, "key").checkpoint()
+    shared = checkpointed(rows.join(counts, "key"))
     company = shared.groupBy("node").agg(F.sum("n").alias("w"))
     hubs = (shared.join(company, "node").groupBy("key").agg(F.max(F.struct("w", F.xxhash64("node", F.lit(seed)), "node")).alias("h"))
             .select("key", F.col("h.node").alias("hub")))
@@ -281,33 +281,33 @@ def _links(sigs: DataFrame, docs: DataFrame, similarity: float) -> tuple[DataFra
     nodes = (sigs.where("node is not null").groupBy("node")
              .agg(F.min(F.struct("doc_id", "text_id", "keys")).alias("r"))
              .select("node", "r.doc_id", "r.text_id", "r.keys"))
-    held = _hubs(nodes.select("node", F.explode("keys").alias("key")), 0).checkpoint()
-    wanted = nodes.select("node", "doc_id", "text_id").join(held.select("node").distinct(), "node", "left_semi").checkpoint()
-    sets = _sets(docs, wanted).checkpoint()
+    held = checkpointed(_hubs(nodes.select("node", F.explode("keys").alias("key")), 0))
+    wanted = checkpointed(nodes.select("node", "doc_id", "text_id").join(held.select("node").distinct(), "node", "left_semi"))
+    sets = checkpointed(_sets(docs, wanted))
 
     def settle(tested: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = tested.where(F.col("similarity") >= similarity)
-        return links, components(links).checkpoint()
+        return links, checkpointed(components(links))
 
     def test(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-        new = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti").checkpoint()
-        return tested.unionByName(_verify(new, sets)).checkpoint()
+        new = checkpointed(pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+        return checkpointed(tested.unionByName(_verify(new, sets)))
 
-    tested = _verify(_star(held).distinct(), sets).checkpoint()
+    tested = checkpointed(_verify(_star(held).distinct(), sets))
     links, comps = settle(tested)
-    left = _unsettled(held, comps, tested, similarity).checkpoint()
+    left = checkpointed(_unsettled(held, comps, tested, similarity))
     if left.isEmpty():
         return links, comps
     tested = test(_across(left.where(F.col("n") <= SMALL), similarity), tested)
     links, comps = settle(tested)
     # Large buckets that the small ones' links have not joined.
-    large = _open(left.where(F.col("n") > SMALL).select("key", "node"), comps).select("node").distinct().checkpoint()
+    large = checkpointed(_open(left.where(F.col("n") > SMALL).select("key", "node"), comps).select("node").distinct())
     if large.isEmpty():
         return links, comps
-    held = _hubs(_rare_items(large, sets, similarity), 1).checkpoint()
+    held = checkpointed(_hubs(_rare_items(large, sets, similarity), 1))
     tested = test(_star(_open(held, comps)), tested)
     comps = settle(tested)[1]
-    left = _unsettled(held, comps, tested, similarity).checkpoint()
+    left = checkpointed(_unsettled(held, comps, tested, similarity))
     return settle(test(_across(left, similarity), tested))
 
 
@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, weights: st
     """``doc_id, text_id, class_id, kept`` for each row: its class and whether it stands for it (``kept`` holds
     for the rows equal to the class's first by id and text)."""
     prepare(docs.sparkSession)
-    sigs = signatures(docs, weights, bands, rows).checkpoint()
+    sigs = checkpointed(signatures(docs, weights, bands, rows))
     _, comps = _links(sigs, docs, similarity)
     placed = (sigs.select("doc_id", "text_id", "node").join(comps, "node", "left")
               .select("doc_id", "text_id", "node", F.coalesce("root", "node").alias("root")))
