@@ -438,14 +438,29 @@ def technique_ids(text) -> Column:
     return F.array_sort(F.array_distinct(extract_all(text, RE_TECHNIQUE, 1)))
 
 
+#: Technique ids that may go to every task as one array (under 2 MB).
+MAX_KNOWN_IDS = 100_000
+
+
 def quarantine_techniques(df: DataFrame, text_col: str, known: DataFrame, id_col: str = "technique_id") -> DataFrame:
     """T-14/U-03: technique ids in the text that are not in the taxonomy, and the text with those ids
-    stripped at word boundaries. The taxonomy is a reference list; it joins as one row with its array of ids (a
-    proven single row), so texts are not shuffled and nulls in other columns do not matter."""
-    ids = known.where(F.col(id_col).isNotNull()).agg(F.collect_set(F.col(id_col)).alias("_known"))
-    found = F.coalesce(technique_ids(text_col), F.array().cast("array<string>"))
-    out = df.crossJoin(F.broadcast(ids)).withColumn("quarantined", F.when(
-        F.size(found) > 0, F.array_sort(F.array_except(found, "_known"))).otherwise(F.array().cast("array<string>"))).drop("_known")
+    stripped at word boundaries. Nulls in other columns do not matter.
+
+    A taxonomy of up to ``MAX_KNOWN_IDS`` ids (they are counted) joins as one row with its array of ids, so texts are not shuffled. A
+    larger one is joined by id with the distinct id lists of the texts, and these come back by their list."""
+    ids = known.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+    nothing = F.array().cast("array<string>")
+    found = F.coalesce(technique_ids(text_col), nothing)
+    if ids.count() <= MAX_KNOWN_IDS:
+        one = ids.agg(F.collect_list("_id").alias("_known"))
+        out = df.crossJoin(F.broadcast(one)).withColumn("quarantined", F.when(
+            F.size(found) > 0, F.array_sort(F.array_except(found, "_known"))).otherwise(nothing)).drop("_known")
+    else:
+        cited = df.withColumn("_found", found)
+        lists = cited.select("_found").distinct()
+        unknown = (lists.select("_found", F.explode("_found").alias("_id")).join(ids, "_id", "left_anti")
+                   .groupBy("_found").agg(F.array_sort(F.collect_set("_id")).alias("_unknown")))
+        out = (cited.join(unknown, "_found", "left").withColumn("quarantined", F.coalesce("_unknown", nothing)).select(*df.columns, "quarantined"))
     pattern = F.concat(F.lit(r"\b(?:"), F.array_join(F.transform(F.col("quarantined"), lambda x: F.regexp_replace(
         x, r"\.", r"\\.")), "|"), F.lit(r")\b"))
     return out.withColumn("validated_text", F.when(F.size("quarantined") > 0, F.regexp_replace(
