@@ -155,6 +155,54 @@ def route_tasks(tasks: DataFrame) -> DataFrame:
         .withColumn("use_extended_thinking", tier == "tier_1_plus")
 
 
+# Fixed values (must equal the reference): what a task asks of a model, as (tool use, context tokens).
+TASK_CAPABILITIES = {
+    "ioc_extraction": (False, 4096), "log_summarisation": (False, 8192), "entity_normalisation": (False, 4096),
+    "fp_suggestion": (False, 4096), "alert_classification": (False, 4096), "severity_assessment": (False, 4096),
+    "investigation": (True, 100_000), "ctem_correlation": (True, 50_000), "atlas_reasoning": (True, 50_000),
+    "attack_path_analysis": (True, 100_000), "incident_report": (False, 50_000), "playbook_selection": (True, 50_000),
+    "fp_pattern_training": (False, 200_000), "playbook_generation": (True, 100_000), "agent_red_team": (True, 200_000),
+    "detection_rule_generation": (True, 100_000), "retrospective_analysis": (False, 200_000), "threat_landscape_summary": (False, 200_000),
+}
+PROVIDER_SCHEMA = "tier string, rank int, provider string, max_context_tokens long, supports_tool_use boolean, supports_extended_thinking boolean"
+
+
+def task_capabilities(spark) -> DataFrame:
+    return spark.createDataFrame([(t, tools, False, ctx) for t, (tools, ctx) in TASK_CAPABILITIES.items()],
+                                 "task_type string, requires_tool_use boolean, requires_extended_thinking boolean, max_context_tokens long")
+
+
+def assign_providers(routed: DataFrame, providers: DataFrame, capabilities: DataFrame, health: DataFrame, bucket: str) -> DataFrame:
+    """P-22 beyond the tier: the provider of each routed task (tier, task_type, reason, ``bucket``).
+
+    ``providers`` (PROVIDER_SCHEMA) rank the models of a tier, 0 being its primary. A fallback counts only if it has all that the task's
+    row of ``capabilities`` asks for (tool use, extended thinking, context); the primary is taken without that, and
+    ``primary_capable`` tells. Where ``health`` (bucket, provider, available; no row is available) says that the primary is down, the first healthy
+    fallback replaces it and the reason says so; with none, it stays and ``unserved`` is true. ``fallbacks`` are those left, in order.
+
+    The choice is made once per (bucket, tier, task type) and joined back, so the tasks meet a table of a few rows a bucket.
+    """
+    keys = [bucket, "tier", "task_type"]
+    h = health.groupBy(F.col(bucket), "provider").agg(F.min("available").alias("available"))
+    c = capabilities.select("task_type", F.col("max_context_tokens").alias("_asks"), "requires_tool_use", "requires_extended_thinking")
+    p = (routed.select(*keys).distinct().join(c, "task_type", "left").join(providers, "tier").join(h, [bucket, "provider"], "left"))
+    capable = (F.col("_asks").isNull() | ((~F.col("requires_tool_use") | F.col("supports_tool_use"))
+                                          & (~F.col("requires_extended_thinking") | F.col("supports_extended_thinking"))
+                                          & (F.col("_asks") <= F.col("max_context_tokens"))))
+    one = F.struct("rank", "provider", capable.alias("capable"), F.coalesce("available", F.lit(True)).alias("up"))
+    g = p.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("p"))  # the models of one tier
+    g = g.select(*keys, F.col("p")[0].alias("first"), F.filter(F.slice("p", 2, F.size("p")), lambda x: x["capable"]).alias("rest"))
+    g = g.withColumn("next", F.get(F.filter("rest", lambda x: x["up"]), F.lit(0)))
+    g = g.withColumn("is_fallback", ~F.col("first.up") & F.col("next").isNotNull())
+    chosen = F.when(F.col("is_fallback"), F.col("next.provider")).otherwise(F.col("first.provider"))
+    left = F.filter("rest", lambda x: ~F.col("is_fallback") | (x["rank"] != F.col("next.rank")))
+    g = g.select(*keys, chosen.alias("provider"), "is_fallback", (~F.col("first.up") & F.col("next").isNull()).alias("unserved"),
+                 F.col("first.capable").alias("primary_capable"), F.transform(left, lambda x: x["provider"]).alias("fallbacks"))
+    out = routed.join(g, keys, "left")
+    return out.withColumn("reason", F.when(F.col("is_fallback"), F.concat("reason", F.lit("; primary_unavailable→fallback("), "provider", F.lit(")")))
+                          .otherwise(F.col("reason")))
+
+
 # ---------------------------------------------------------------------------
 # P-23 degradation level from provider health
 # ---------------------------------------------------------------------------

@@ -110,14 +110,14 @@ TASKS7 = ["ioc_extraction", "investigation", "fp_pattern_training", "alert_class
           "unknown_task", "agent_red_team"]
 
 
-def _tasks(spark, sf):
+def _tasks(spark, sf, *more):
     li = TB.read(spark, sf, "lineitem")
     task = F.element_at(F.array(*[F.lit(t) for t in TASKS7]), F.col("l_linenumber"))
     sev = F.when(F.col("l_returnflag") == "R", "critical").when(F.col("l_returnflag") == "A", "high").otherwise("medium")
     return li.select(task.alias("task_type"), (F.col("l_quantity") / 5.0).alias("time_budget_seconds"),
                      sev.alias("alert_severity"), (F.col("l_linestatus") == "O").alias("requires_reasoning"),
                      (F.col("l_extendedprice") * 2).alias("context_tokens"),
-                     F.when(F.col("l_discount") > 0.05, F.col("l_tax") * 10).alias("previous_confidence"))
+                     F.when(F.col("l_discount") > 0.05, F.col("l_tax") * 10).alias("previous_confidence"), *more)
 
 
 def _p22(spark, sf):
@@ -144,6 +144,54 @@ SELECT tier, reason, CAST(COUNT(*) AS BIGINT) AS tasks FROM f GROUP BY tier, rea
 """)(_p22)
 
 
+#: (tier, rank, provider, context, tool use, extended thinking): the batch tier has a fallback that no task of 200,000 tokens fits.
+PROVIDERS = [("tier_0", 0, "primary", 200_000, True, False), ("tier_0", 1, "secondary", 128_000, True, False),
+             ("tier_1", 0, "primary", 200_000, True, False), ("tier_1", 1, "local", 128_000, False, False), ("tier_1", 2, "secondary", 128_000, True, False),
+             ("tier_1_plus", 0, "primary", 200_000, True, True), ("tier_1_plus", 1, "secondary", 128_000, True, False),
+             ("tier_2", 0, "primary", 200_000, True, False), ("tier_2", 1, "secondary", 128_000, True, False)]
+
+
+def _daily_health(spark, sf, failures: int):
+    from tidewatch.operators import sequences as SQ
+    c = TB.call_log(spark, sf).select(
+        F.when(F.col("model_id").isin("model-0", "model-1"), "primary").otherwise("secondary").alias("provider"),
+        "created_at", F.concat_ws("|", "investigation_id", "task_type").alias("tie"), (F.col("status") == "success").alias("ok"))
+    runs = SQ.failure_runs(c, "provider", "created_at", "ok", "tie")
+    last = runs.groupBy("provider", F.to_date("created_at").alias("bucket")).agg(F.max_by("failure_run", F.struct("created_at", "tie")).alias("run"))
+    return last.select("bucket", "provider", (F.col("run") < failures).alias("available"))
+
+
+def _p22_failover(spark, sf):
+    """Providers by task and day, where a provider is down on a day that ends in a failed call."""
+    tasks = _tasks(spark, sf, F.to_date("l_shipdate").alias("bucket"))
+    r = GT.assign_providers(GT.route_tasks(tasks), spark.createDataFrame(PROVIDERS, GT.PROVIDER_SCHEMA), GT.task_capabilities(spark), _daily_health(spark, sf, 1), "bucket")
+    return r.groupBy("tier", "task_type", "provider", "is_fallback", "unserved", "primary_capable", F.array_join("fallbacks", ",").alias("fallbacks"),
+                     F.contains("reason", F.lit("primary_unavailable→fallback(")).alias("said")).agg(F.count(F.lit(1)).alias("tasks"))
+
+
+register("p22_provider_failover", with_roles(f"""
+, t AS (
+  SELECT list_extract({[t for t in TASKS7]!r}::VARCHAR[], l_linenumber) AS task_type, l_quantity / 5.0 AS budget, CAST(l_shipdate AS DATE) AS bucket,
+         CASE WHEN l_returnflag = 'R' THEN 'critical' WHEN l_returnflag = 'A' THEN 'high' ELSE 'medium' END AS sev,
+         l_linestatus = 'O' AS reasoning, l_extendedprice * 2 AS ctx, CASE WHEN l_discount > 0.05 THEN l_tax * 10 END AS prev FROM lineitem)
+, b AS (SELECT *, CASE {" ".join(f"WHEN task_type = '{k}' THEN '{v}'" for k, v in GT.TASK_TIER.items())} ELSE 'tier_1' END AS base FROM t)
+, d AS (SELECT *, CASE WHEN budget < 3 THEN 'tier_0' WHEN sev = 'critical' AND reasoning AND base = 'tier_0' THEN 'tier_1' ELSE base END AS t1 FROM b)
+, tiered AS (SELECT *, CASE WHEN prev IS NOT NULL AND prev < 0.6 AND sev IN ('critical', 'high') THEN 'tier_1_plus' WHEN ctx > 100000 AND t1 = 'tier_0' THEN 'tier_1' ELSE t1 END AS tier FROM d)
+, e AS (SELECT CASE WHEN model_id IN ('model-0', 'model-1') THEN 'primary' ELSE 'secondary' END AS provider, created_at, investigation_id || '|' || task_type AS tie, status = 'success' AS ok FROM call_log)
+, up AS (SELECT provider, CAST(created_at AS DATE) AS bucket, arg_max(ok, (created_at, tie)) AS ok FROM e GROUP BY 1, 2)
+, caps AS (SELECT * FROM (VALUES {", ".join(f"('{t}', {tools}, {ctx})" for t, (tools, ctx) in GT.TASK_CAPABILITIES.items())}) v(task_type, tools, asks))
+, s AS (SELECT tier, x.task_type, COALESCE(p.ok, true) AS p_up, COALESCE(q.ok, true) AS s_up, COALESCE(asks, 0) <= 128000 AS small, COALESCE(NOT tools, true) AS plain,
+               asks IS NULL AS free
+        FROM tiered x LEFT JOIN caps USING (task_type) LEFT JOIN up p ON p.provider = 'primary' AND p.bucket = x.bucket LEFT JOIN up q ON q.provider = 'secondary' AND q.bucket = x.bucket)
+, f AS (SELECT *, tier = 'tier_1' AND small AND plain AS l_ok FROM s)
+, c AS (SELECT *, CASE WHEN p_up THEN 'primary' WHEN l_ok THEN 'local' WHEN small AND s_up THEN 'secondary' ELSE 'primary' END AS provider FROM f)
+SELECT tier, task_type, provider, provider <> 'primary' AS is_fallback, NOT p_up AND provider = 'primary' AS unserved, true AS primary_capable,
+       concat_ws(',', CASE WHEN l_ok AND provider <> 'local' THEN 'local' END, CASE WHEN small AND provider <> 'secondary' THEN 'secondary' END) AS fallbacks,
+       provider <> 'primary' AS said, CAST(COUNT(*) AS BIGINT) AS tasks
+FROM c GROUP BY ALL
+""", "call_log"))(_p22_failover)
+
+
 def _p23(spark, sf):
     from tidewatch.operators import sequences as SQ
     c = TB.call_log(spark, sf).select(
