@@ -511,8 +511,13 @@ def run_all(evaluations: dict[str, Callable[[], DataFrame]], now) -> DataFrame:
 
 
 def rule_status(spark, evaluations: dict[str, Callable[[], DataFrame]], now) -> DataFrame:
-    """D-12: one row per rule, whether it ran and what was missing if it did not."""
-    return spark.createDataFrame(plan_rules(evaluations, now)[1], RULE_STATUS_SCHEMA)
+    """D-12: one row per rule: whether it could run, what was missing if it could not, and what it detected (null if it did not run)."""
+    frames, status = plan_rules(evaluations, now)
+    planned = spark.createDataFrame(status, RULE_STATUS_SCHEMA)
+    if not frames:
+        return planned.withColumn("detections", F.lit(None).cast("long"))
+    found = reduce(DataFrame.unionByName, frames.values()).groupBy("rule_id").agg(F.count(F.lit(1)).alias("detections"))
+    return planned.join(found, "rule_id", "left").withColumn("detections", F.when(F.col("ok"), F.coalesce("detections", F.lit(0))))
 
 
 def detection_audit(detections: DataFrame) -> DataFrame:

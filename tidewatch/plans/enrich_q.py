@@ -186,7 +186,7 @@ SELECT alert_id, playbook_id, CAST(rank AS BIGINT) AS rank FROM j WHERE rank <=
 def _profiles(spark, sf):
     c = TB.read(spark, sf, "customer")
     upd = time_lit(INV) - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0), (F.col("c_custkey") % 48).cast("int"))
-    return c.where(F.col("c_custkey") % 7 != 0).select(
+    return c.select(
         F.concat(F.lit("t"), (F.col("c_custkey") % 4).cast("string")).alias("tenant_id"),
         F.concat(F.lit("asset-"), (F.col("c_custkey") % 100 + 1).cast("string")).alias("entity_id"),
         (F.col("c_custkey") % 10).cast("int").alias("priority"), upd.alias("updated_at"))
@@ -206,7 +206,7 @@ register("p25_alert_risk_rollup", with_roles(f"""
 , prof0 AS (SELECT 't' || CAST(c_custkey % 4 AS VARCHAR) AS tenant_id,
                    'asset-' || CAST(c_custkey % 100 + 1 AS VARCHAR) AS entity_id, c_custkey % 10 AS priority,
                    {ts(INV)} - to_hours(CAST(c_custkey % 48 AS BIGINT)) AS updated_at
-            FROM customer WHERE c_custkey % 7 <> 0)
+            FROM customer)
 , prof AS (SELECT tenant_id, entity_id, arg_max(priority, updated_at) AS priority, MAX(updated_at) AS updated_at
            FROM prof0 GROUP BY tenant_id, entity_id)
 , e AS (SELECT i.alert_id, p.priority,

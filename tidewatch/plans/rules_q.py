@@ -371,9 +371,10 @@ def _d12_status(spark, sf):
 
 
 register("d12_rule_status", "SELECT r AS rule_id, r <> '" + R.RULES["D-01"].rule_id + "' AS ok, "
-         "CASE WHEN r = '" + R.RULES["D-01"].rule_id + "' THEN 'UNRESOLVED_COLUMN.WITH_SUGGESTION' END AS error FROM (VALUES "
+         "CASE WHEN r = '" + R.RULES["D-01"].rule_id + "' THEN 'UNRESOLVED_COLUMN.WITH_SUGGESTION' END AS error, "
+         "CASE WHEN r <> '" + R.RULES["D-01"].rule_id + "' THEN COALESCE(detections, 0) END AS detections FROM (VALUES "
          + ", ".join(f"('{R.RULES[k].rule_id}')" for k in ("D-01", "D-02", "D-03", "D-04", "D-05", "D-06", "D-07", "D-08", "D-09", "D-10", "D-11"))
-         + ") t(r)")(_d12_status)
+         + f") t(r) LEFT JOIN ({_d12_sql()}) d ON d.rule_id = r")(_d12_status)
 
 
 def _d12_audit(spark, sf):
