@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import (SAFETY_RELEVANT_RULES, confidence_floor, epoch_seconds, in_window, shift,
                                        time_lit, trust_downgrade, trust_level, col_type)
+from tidewatch.operators.common import bounded_collect
 from tidewatch.operators.quantiles import add_percentiles, gaps
 
 # ---------------------------------------------------------------------------
@@ -556,9 +557,12 @@ def training_data_poisoning_detailed(audit: DataFrame, now, *, actions=SUSPICIOU
                                      deviation_threshold: float = 3.0, distinct_threshold: int = 5,
                                      count_threshold: int = 50, high_ratio: float = 10.0,
                                      no_baseline_ratio: float = 999.0) -> DataFrame:
-    """E-01: D-01 with distinct actions, the distinct source-IP set and first/last action time;
+    """E-01: D-01 with distinct actions, source addresses and first/last action time;
     severity High when the ratio exceeds 10; no baseline => ratio 999. One scan:
-    baseline ``[now-30d, now-1d]``, current ``(now-24h, now)``."""
+    baseline ``[now-30d, now-1d]``, current ``(now-24h, now)``.
+
+    A user's addresses are not collected: the row has their exact number, a sketch of fixed size (``ip_sketch``, HyperLogLog: sketches of users
+    or days merge with ``hll_union``) and, as evidence, the first ``EVIDENCE_IPS``. All of them are the rows of ``poisoning_addresses``."""
     dt = col_type(audit, "ts")
     cur = (F.col("ts") > time_lit(shift(now, hours=24), dt)) & (F.col("ts") < time_lit(now, dt))
     base = (F.col("ts") >= time_lit(shift(now, days=30), dt)) & (F.col("ts") <= time_lit(shift(now, days=1), dt))
@@ -568,7 +572,7 @@ def training_data_poisoning_detailed(audit: DataFrame, now, *, actions=SUSPICIOU
          .agg(F.count_if(cur).alias("today_count"),
               F.count_distinct(F.when(cur, F.col("target_resource"))).alias("distinct_tables"),
               F.count_distinct(F.when(cur, F.col("action"))).alias("distinct_actions"),
-              F.array_sort(F.collect_set(F.when(cur, F.col("source_ip")))).alias("source_ips"),
+              F.count_distinct(F.when(cur, F.col("source_ip"))).alias("distinct_source_ips"),
               F.min(F.when(cur, F.col("ts"))).alias("earliest_action"),
               F.max(F.when(cur, F.col("ts"))).alias("latest_action"),
               (F.count_if(base) / F.lit(30.0)).alias("avg_daily"))
@@ -577,9 +581,29 @@ def training_data_poisoning_detailed(audit: DataFrame, now, *, actions=SUSPICIOU
     g = g.withColumn("deviation_factor", dev)
     fired = g.where((F.col("deviation_factor") > deviation_threshold) | (F.col("distinct_tables") > distinct_threshold)
                     | (F.col("today_count") > count_threshold))
-    return _base("D-01", fired).withColumn(
+    fired = _base("D-01", fired).withColumn(
         "severity", F.when(F.col("deviation_factor") > high_ratio, "High").otherwise("Medium")).withColumn(
         "confidence", F.least(F.lit(0.95), F.lit(0.5) + F.col("deviation_factor") / 20.0))
+    ips = poisoning_addresses(audit, now, actions=actions)
+    keys = [F.col(k).alias(f"_{k}") for k in ("tenant_id", "user_id")]
+    sketches = ips.groupBy(*keys).agg(F.hll_sketch_agg("source_ip").alias("ip_sketch"))
+    some = bounded_collect(ips.select(*keys, "source_ip"), ["_tenant_id", "_user_id"], EVIDENCE_IPS, [F.col("source_ip")], F.col("source_ip"), "source_ips")
+    same = F.col("tenant_id").eqNullSafe(F.col("_tenant_id")) & F.col("user_id").eqNullSafe(F.col("_user_id"))
+    for side in (sketches, some):
+        fired = fired.join(side, same, "left").drop("_tenant_id", "_user_id")
+    return fired.withColumn("source_ips", F.coalesce("source_ips", F.array().cast("array<string>")))
+
+
+#: Addresses in a detection's own row.
+EVIDENCE_IPS = 10
+
+
+def poisoning_addresses(audit: DataFrame, now, *, actions=SUSPICIOUS_ACTIONS) -> DataFrame:
+    """E-01's members: one row per tenant, user and source address of the last 24 hours, with its actions and first and last time."""
+    dt = col_type(audit, "ts")
+    cur = (F.col("ts") > time_lit(shift(now, hours=24), dt)) & (F.col("ts") < time_lit(now, dt))
+    return (audit.where(cur & F.col("action").isin(*actions) & F.col("source_ip").isNotNull()).groupBy("tenant_id", "user_id", "source_ip")
+            .agg(F.count(F.lit(1)).alias("action_count"), F.min("ts").alias("first_action"), F.max("ts").alias("last_action")))
 
 
 def oracle_health_bins(oracle: DataFrame, now, *, hours: int = 24, width: str = "5 minutes") -> DataFrame:

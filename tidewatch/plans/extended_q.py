@@ -21,7 +21,7 @@ XNOW = TB.EXPOSURES_NOW
 def _e01(spark, sf):
     d = R.training_data_poisoning_detailed(TB.audit_log(spark, sf), NOW, actions=EVENT_ACTIONS)
     return tidy(d.select("user_id", "today_count", "distinct_tables", "distinct_actions",
-                         F.array_join("source_ips", ",").alias("source_ips"),
+                         "distinct_source_ips", F.hll_sketch_estimate("ip_sketch").alias("sketched_ips"), F.array_join("source_ips", ",").alias("source_ips"),
                          F.date_format("earliest_action", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("earliest_action"),
                          "deviation_factor", "severity", "confidence"))
 
@@ -30,18 +30,29 @@ register("e01_poisoning_detailed", with_roles(f"""
 , b AS (SELECT user_id, COUNT(*) / 30.0 AS avg_daily FROM audit_log
         WHERE ts >= {ts(days=30)} AND ts <= {ts(days=1)} AND action IN ('purchase', 'error') GROUP BY user_id)
 , c AS (SELECT user_id, COUNT(*) AS n, COUNT(DISTINCT target_resource) AS dt, COUNT(DISTINCT action) AS da,
-               array_to_string(list_sort(list_distinct(list(source_ip))), ',') AS ips, MIN(ts) AS first_ts
+               array_to_string(list_sort(list_distinct(list(source_ip)))[1:10], ',') AS ips, COUNT(DISTINCT source_ip) AS n_ips, MIN(ts) AS first_ts
         FROM audit_log WHERE ts > {ts(hours=24)} AND ts < {ts()} AND action IN ('purchase', 'error') GROUP BY user_id)
 , j AS (SELECT c.*, CASE WHEN COALESCE(b.avg_daily, 0) > 0 THEN c.n / b.avg_daily ELSE 999.0 END AS dev
         FROM c LEFT JOIN b ON c.user_id = b.user_id)
 SELECT user_id, CAST(n AS BIGINT) AS today_count, CAST(dt AS BIGINT) AS distinct_tables, CAST(da AS BIGINT) AS distinct_actions,
-       ips AS source_ips, strftime(first_ts, '%Y-%m-%d %H:%M:%S.%f') AS earliest_action,
+       CAST(n_ips AS BIGINT) AS distinct_source_ips, CAST(n_ips AS BIGINT) AS sketched_ips, ips AS source_ips, strftime(first_ts, '%Y-%m-%d %H:%M:%S.%f') AS earliest_action,
        ROUND(CAST(dev AS DOUBLE), 6) AS deviation_factor, CASE WHEN dev > 10 THEN 'High' ELSE 'Medium' END AS severity,
        ROUND(LEAST(0.95, 0.5 + dev / 20.0), 6) AS confidence
 FROM j WHERE dev > 3.0 OR dt > 5 OR n > 50
 """, "audit_log"))(_e01)
 
 
+def _e01_ips(spark, sf):
+    a = R.poisoning_addresses(TB.audit_log(spark, sf), NOW, actions=EVENT_ACTIONS)
+    return tidy(a.select("tenant_id", "user_id", "source_ip", "action_count", F.date_format("last_action", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_action")))
+
+
+register("e01_poisoning_addresses", with_roles(f"""
+SELECT tenant_id, user_id, source_ip, CAST(COUNT(*) AS BIGINT) AS action_count, strftime(MAX(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_action
+FROM audit_log WHERE ts > {ts(hours=24)} AND ts < {ts()} AND action IN ('purchase', 'error') AND source_ip IS NOT NULL GROUP BY ALL
+""", "audit_log"))(_e01_ips)
+
+
 def _e04(spark, sf):
     h = R.oracle_health_bins(TB.oracle_log(spark, sf), NOW)
     return tidy(h.select("tenant_id", "edge_node_id", F.date_format("bin_start", "yyyy-MM-dd HH:mm:ss").alias("bin_start"),
