@@ -115,8 +115,8 @@ def _a34_facts(spark, sf):
 
 register("a34_case_facts_by_state", with_roles(CASES_SQL + """
 , d AS (SELECT *, CASE WHEN r = 'fp' AND tenant_id = 't1' THEN 'received' WHEN r IN ('fp', 'respond') OR classification IN ('true_positive', 'benign') THEN 'closed' ELSE 'awaiting_human' END AS st,
-               LEAST(5, ROW_NUMBER() OVER (PARTITION BY tenant_id, alert_title ORDER BY created_at, investigation_id) - 1) AS similar FROM route)
-SELECT tenant_id, st AS state, CAST(2 AS BIGINT) AS entities, CAST(similar AS BIGINT) AS similar_incidents, CAST(COUNT(*) AS BIGINT) AS cases,
+               LEAST(5, ROW_NUMBER() OVER (PARTITION BY tenant_id, alert_title ORDER BY created_at, investigation_id) - 1) AS sim FROM route)
+SELECT tenant_id, st AS state, CAST(2 AS BIGINT) AS entities, CAST(sim AS BIGINT) AS similar_incidents, CAST(COUNT(*) AS BIGINT) AS cases,
        CAST(SUM(len(atlas_techniques)) AS BIGINT) AS techniques
 FROM d GROUP BY ALL
 """, "investigations"))(_a34_facts)
