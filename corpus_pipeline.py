@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import mixing, neardup, packing, quality, substring
-from tidewatch.llm.common import prepare, scratch
+from tidewatch.llm.common import prepare, release, scratch
 from tidewatch.llm.queries import SEQUENCE_TOKENS, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -22,21 +22,25 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
     prepare(spark)
+    release(spark)
     return neardup.representatives(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without passages that stand earlier; what has nothing left goes."""
+    release(spark)  # files of the stages before
     return substring.deduplicated(docs)
 
 
 def target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents drawn for the target shares of source, language and topic."""
+    release(spark)
     return mixing.drawn_documents(docs, COLUMNS)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents, each with its place in a sequence."""
+    release(spark)
     return packing.pack(docs, tokenizer_path(), SEQUENCE_TOKENS)
 
 
