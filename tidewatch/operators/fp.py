@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.exprs import address_key, col_type, network_range, shift, stable_order_key, time_lit
-from tidewatch.session import ship_package
+from tidewatch.session import checkpoint_dir, ship_package
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference)
@@ -267,21 +267,24 @@ def match_fp_patterns(alerts: DataFrame, patterns: DataFrame, *, threshold: floa
     on them. With a lower or a column threshold every alert meets the patterns of its tenant.
     Ties: highest confidence, then lowest pattern_id (Q13). Threshold comparison is >= (Q14).
     """
-    p = _matchable(patterns, killed_patterns)
+    checkpoint_dir(alerts.sparkSession)
+    p = _matchable(patterns, killed_patterns).checkpoint()  # the small side, read several times
     scopes = ["scope_rule_family", "scope_tenant_id", "scope_asset_class"]
     title = F.coalesce("alert_title", F.lit(""))
     a = alerts.select("alert_id", "tenant_id", title.alias("title"), "entities", "rule_family", "asset_class")
     if not isinstance(threshold, Column) and threshold > 0.5:
         hits = (title_candidates(a.select("tenant_id", "title").distinct(), p).where(F.regexp_like("title", F.col("title_re")))
-                .select("tenant_id", "title", "pattern_id", "title_re"))
+                .select("tenant_id", "title", "pattern_id", "title_re")).checkpoint()
         own = p.select("tenant_id", "pattern_id", "title_re", "entity_checks", *scopes)
+        # Addresses are parsed once an alert, and only where its title matched.
+        a = a.join(hits.select("tenant_id", "title").distinct(), ["tenant_id", "title"], "left_semi").withColumn("entities", parse_entities(F.col("entities")))
         j = a.join(hits.join(own, ["tenant_id", "pattern_id", "title_re"]), ["tenant_id", "title"]).withColumn("_title", F.lit(1.0))
     else:
+        a = a.withColumn("entities", parse_entities(F.col("entities")))
         j = a.join(p.select("tenant_id", "pattern_id", "title_re", "entity_checks", *scopes), "tenant_id")
         j = j.withColumn("_title", F.when(F.coalesce(F.regexp_like("title", F.col("title_re")), F.lit(False)), 1.0).otherwise(0.0))
     j = j.where(scope_matches(F.col("scope_rule_family"), F.col("scope_tenant_id"), F.col("scope_asset_class"),
                               F.col("rule_family"), F.col("tenant_id"), F.col("asset_class")))
-    j = j.withColumn("entities", parse_entities(F.col("entities")))
     conf = F.when(F.size("entity_checks") == 0, F.col("_title")) \
         .otherwise((F.col("_title") + entity_score(F.col("entity_checks"), F.col("entities"))) / 2)
     scored = j.select("alert_id", "tenant_id", "pattern_id", conf.alias("confidence")) \
