@@ -73,3 +73,30 @@ def test_empty_sides(spark):
     v, _ = _vectors(spark, "random", 50)
     none = v.where("id = 'none'")
     assert RT.cosine_topk(none, v, 3).count() == 0 and RT.cosine_topk(v, none, 3).count() == 0
+
+
+def test_packed_cut_and_dealt_blocks_lose_no_row(spark, monkeypatch):
+    """Cells packed into blocks, cells larger than a block, several tasks a block, and slices of a few queries."""
+    v, rows = _vectors(spark, "random", 200)
+    want = {q: x for q, x in _plain(rows, 5).items() if x}
+    deduped = {q: x for q, x in _plain(rows, 3, dedup=True, preferred="v1").items() if x}
+    for size, cap in (("BLOCK_ROWS", 30), ("LANE_QUERIES", 40), ("SCORES", 500)):
+        monkeypatch.setattr(RT, size, cap)
+    for per_cell in (5, 1000):
+        assert _got(RT.cosine_topk(v, v, 5, exclude_self=True, rows_per_block=per_cell)) == want
+    assert _got(RT.cosine_topk(v, v, 3, exclude_self=True, doc_col="doc", version_col="version", preferred_version="v1", rows_per_block=5)) == deduped
+
+
+def test_a_task_holds_a_slice_of_scores():
+    """Memory of a batch of queries in a block does not grow with the batch."""
+    import tracemalloc
+
+    import pandas as pd
+    n, rng = 20_000, np.random.RandomState(3)
+    block = RT._Block(pd.DataFrame({"id": [str(i) for i in range(n)], "cell": 0, "doc": "", "ver": ""}), rng.randn(n, 4), 5, None, True, False, None)
+    queries = pd.DataFrame({"id": [str(i) for i in range(4000)], "cell": 0, "floor": np.nan, "vec": list(rng.randn(4000, 4))})
+    tracemalloc.start()
+    got = sum(len(x) for x in block.best(queries, (np.ones((1, 4)) / 2, np.array([np.pi])), True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == 5 * 4000 and peak < 12 * 8 * RT.SCORES  # a score of every pair would be 640 MB

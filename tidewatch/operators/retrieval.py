@@ -2,15 +2,16 @@
 re-ranking (R-01/R-02), technique mapping (R-03/W-07), retrieval quality (E-25).
 
 Exact top-k with pivots: the corpus is dealt into cells, each row to the pivot (a corpus row) of the least angle; pivots number
-as many as blocks of ``rows_per_block`` rows, ``MAX_PIVOTS`` at most, so they and a radius each can go to every task. The angle
+as many as cells of ``rows_per_block`` rows, ``MAX_PIVOTS`` at most, so they and a radius each can go to every task. The angle
 is a metric: a row of a cell is no nearer to a query than the query's angle to the pivot less the cell's radius.
 
 1. Each query is scored in the cell of its nearest pivot; that gives its k-th best score so far.
 2. It goes on only to the cells whose bound reaches that score, all others are skipped whole.
 
-A task loads one block of a cell (cells of more than ``rows_per_block`` rows are cut by hash) and streams the queries that
-visit it through one matrix product a batch; the corpus is dealt once a round and never copied, queries are copied as often as
-they visit blocks. Pairs are never emitted, only each block's top-k per query; ties go by (score, id) in a block and in the merge, so
+Neighbouring cells are packed into blocks of ``BLOCK_ROWS`` rows (a larger cell is cut by hash), and a query goes once to each block that
+holds a cell it must see; the task finds those cells again and scores only them. A task loads one block and streams its queries
+through in slices of ``SCORES`` scores, whatever the tables' size. With few blocks and many queries the queries of a block are
+dealt to several tasks (``LANES`` in all), each with a copy of the block. Pairs are never emitted, only each block's top-k per query; ties go by (score, id) in a block and in the merge, so
 the result does not depend on the cells. How much is skipped depends on the vectors: clusters prune well, vectors without structure
 in many dimensions hardly at all (``cells_scored`` counts it).
 With a ``doc_col`` all versions of a document are in one block and the version preference (W-08) is applied before ranking.
@@ -45,21 +46,47 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 #: Pivots at most: 4,096 vectors go to each task with their radii.
 MAX_PIVOTS = 4096
-#: Slack of an angle for rounding.
+#: Rows to a block, and scores or angles that a task holds at once.
+BLOCK_ROWS = 50_000
+SCORES = 1 << 22
+#: Tasks that few blocks are dealt to at most, and queries to a task below which they are not.
+LANES, LANE_QUERIES = 32, 25_000
+#: Slack of an angle for rounding, and of a score.
 SLACK = 1e-6
+ROUNDING = 1e-9
 
 
 def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
 
 
+def _slices(n: int, width: int):
+    """Slices of ``n`` rows, with ``SCORES`` values of ``width`` a row at most."""
+    step = max(1, SCORES // max(1, width))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
+def _reached(units: np.ndarray, floor: np.ndarray, pivots: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Whether a cell may hold a row that reaches the query's ``floor``."""
+    reach = np.cos(np.clip(_angles(units, pivots) - radii - SLACK, 0.0, np.pi))
+    reach[~units.any(axis=1)] = 0.0  # such a query has score 0 with every row
+    return reach + SLACK >= floor[:, None]
+
+
 class _Block:
-    """One block of the corpus; ``best`` scores a batch of queries in it."""
+    """One block of the corpus, its rows in the order of their cells; ``best`` scores queries in it."""
 
-    def __init__(self, rows: pd.DataFrame, k: int, threshold: float | None, exclude_self: bool, dedup: bool, preferred: str | None):
+    def __init__(self, rows: pd.DataFrame, vecs: np.ndarray, k: int, threshold: float | None, exclude_self: bool, dedup: bool, preferred: str | None):
         self.k, self.threshold, self.exclude_self = k, threshold, exclude_self
-        self.units = _unit(np.stack(rows["vec"].to_numpy()).astype(np.float64))
+        self.units = _unit(vecs)
         self.ids = rows["id"].to_numpy()
+        self.cells, self.cell_at = np.unique(rows["cell"].to_numpy(), return_inverse=True)
+        self.order = np.empty(len(self.ids), np.int64)  # of the ids among the block's
+        self.order[np.argsort(np.array([x or "" for x in self.ids], dtype=object), kind="stable")] = np.arange(len(self.ids))
+        self.own: dict = {}
+        if exclude_self:
+            for i, x in enumerate(self.ids):
+                self.own.setdefault(x, []).append(i)
         self.layers = None
         if dedup:
             # W-08: per (query, doc) the representative is the doc's first row in preference
@@ -73,95 +100,136 @@ class _Block:
             self.n_docs, j = len(docs), frame["j"].to_numpy()
             self.layers = [(j[layer == x], at[layer == x]) for x in range(int(layer.max()) + 1)]
 
-    def best(self, qid: np.ndarray, vecs: np.ndarray) -> list[tuple]:
-        """(query, row, score) of each query's first k rows."""
-        S = _unit(vecs) @ self.units.T
+    def best(self, queries: pd.DataFrame, index: tuple, first: bool):
+        """(query, row, score) of each query's first k rows, in frames of one slice of the queries."""
+        pivots, radii = index
+        units = _unit(np.stack(queries["vec"].to_numpy()).astype(np.float64))
+        qid, near = queries["id"].to_numpy(), queries["cell"].to_numpy()
+        floor = queries["floor"].fillna(-np.inf).to_numpy(np.float64)
+        for part in _slices(len(qid), len(self.ids)):
+            go = near[part, None] == self.cells
+            if not first:
+                at = self.cells >= 0
+                go = ~go
+                go[:, at] &= _reached(units[part], floor[part], pivots[self.cells[at]], radii[self.cells[at]])
+                go[:, ~at] &= (floor[part] <= SLACK)[:, None]  # rows without a direction score 0
+            if go.any():
+                yield self._slice(qid[part], units[part], floor[part], go)
+
+    def _slice(self, qid, units, floor, go) -> pd.DataFrame:
+        seen = np.arange(len(self.ids)) if self.layers is not None else np.flatnonzero(go.any(axis=0)[self.cell_at])
+        S = units @ self.units[seen].T
+        S[~(go[:, self.cell_at[seen]] & np.isfinite(S))] = -np.inf
         if self.exclude_self:
-            S[qid[:, None] == self.ids[None, :]] = -np.inf
+            place = np.full(len(self.ids), -1)
+            place[seen] = np.arange(len(seen))
+            for i, x in enumerate(qid):
+                own = place[self.own.get(x, [])]
+                S[i, own[own >= 0]] = -np.inf
         if self.threshold is not None:
             S[S < self.threshold] = -np.inf
-        col_of = None
         if self.layers is not None:
-            R, col_of = np.full((len(qid), self.n_docs), -np.inf), np.full((len(qid), self.n_docs), -1)
+            R, col_of = np.full((len(qid), self.n_docs), -np.inf), np.full((len(qid), self.n_docs), -1, np.int32)
             for cols, docs in self.layers:
                 take = ~np.isfinite(R[:, docs]) & np.isfinite(S[:, cols])
                 R[:, docs] = np.where(take, S[:, cols], R[:, docs])
                 col_of[:, docs] = np.where(take, cols, col_of[:, docs])
             S = R
-        kk = min(self.k, S.shape[1])
-        kth = np.partition(S, S.shape[1] - kk, axis=1)[:, S.shape[1] - kk]
-        out = []
-        for i in range(len(qid)):
-            # All that tie with the k-th, then by (score, id): equal scores go to the smaller ids.
-            js = np.flatnonzero((S[i] >= kth[i]) & np.isfinite(S[i]))
-            ids = self.ids[js if col_of is None else col_of[i, js]]
-            out += [(qid[i], row, float(-s)) for s, row in sorted(zip(-S[i, js], ids))[:kk]]
-        return out
-
-
-def _scored(visits: DataFrame, blocks: DataFrame, k: int, threshold, exclude_self: bool, dedup: bool, preferred) -> DataFrame:
+        least, none, kk = floor.copy(), ~np.isfinite(floor), min(self.k, S.shape[1])
+        if none.any():
+            least[none] = np.partition(S[none], S.shape[1] - kk, axis=1)[:, S.shape[1] - kk]
+        # All that tie with the k-th, then by (score, id): equal scores go to the smaller ids.
+        q, j = np.nonzero((S >= (least - ROUNDING)[:, None]) & (S > -np.inf))
+        row = seen[j] if self.layers is None else col_of[q, j]
+        score = np.empty(len(q))
+        for part in _slices(len(q), self.units.shape[1]):
+            score[part] = (units[q[part]] * self.units[row[part]]).sum(axis=1)  # the same for equal rows, wherever they stand
+        by = np.lexsort((self.order[row], -score, q))
+        q, row, score = q[by], row[by], score[by]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < kk
+        return pd.DataFrame({"query_id": qid[q[keep]], "corpus_id": self.ids[row[keep]], "score": score[keep]})
+
+
+def _scored(visits: DataFrame, index: "_Index", lanes: int, first: bool, k: int, threshold, exclude_self: bool, dedup: bool, preferred) -> DataFrame:
     """Each visiting query's top-k of each block. Both sides meet sorted: a block's rows, then its queries, in batches."""
-    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["flt", "cell", "sub"]
-    rows = blocks.select(*keys, F.lit(0).alias("kind"), "id", "vec", "doc", "ver").unionByName(
-        visits.select(*keys, F.lit(1).alias("kind"), "id", "vec", F.lit("").alias("doc"), F.lit("").alias("ver")))
-    rows = rows.repartition(n, *keys).sortWithinPartitions(*keys, "kind")
+    n = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys, at = ["flt", "grp", "sub", "lane"], (index.pivots, index.radii)
+    rows = (index.rows.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+            .select(*keys, F.lit(0).alias("kind"), "cell", "id", "vec", "doc", "ver", F.lit(None).cast("double").alias("floor")))
+    asked = visits.withColumn("lane", F.pmod(F.xxhash64("id"), F.lit(lanes)).cast("int"))
+    rows = rows.unionByName(asked.select(*keys, F.lit(1).alias("kind"), "cell", "id", "vec", F.lit("").alias("doc"), F.lit("").alias("ver"), "floor"))
+    rows = rows.repartition(n, *keys).sortWithinPartitions(*keys, "kind", "cell")
 
     def run(it):
-        at, parts, block = None, [], None
+        at_key, parts, block = None, [], None
         for pdf in it:
-            out = []
             for key, g in pdf.groupby(keys, sort=False, dropna=False):
-                if key != at:
-                    at, parts, block = key, [], None
+                if key != at_key:
+                    at_key, parts, block = key, [], None
                 corpus = g[g["kind"] == 0]
                 if len(corpus):
-                    parts.append(corpus)
+                    parts.append((corpus[["id", "cell", "doc", "ver"]], np.stack(corpus["vec"].to_numpy()).astype(np.float64)))
                 queries = g[g["kind"] == 1]
                 if len(queries) and parts and block is None:
-                    block, parts = _Block(pd.concat(parts, ignore_index=True), k, threshold, exclude_self, dedup, preferred), []
+                    block = _Block(pd.concat([x for x, _ in parts], ignore_index=True), np.concatenate([x for _, x in parts]), k, threshold, exclude_self, dedup, preferred)
+                    parts = []
                 if len(queries) and block is not None:
-                    out += block.best(queries["id"].to_numpy(), np.stack(queries["vec"].to_numpy()).astype(np.float64))
-            yield pd.DataFrame(out, columns=["query_id", "corpus_id", "score"])
+                    yield from block.best(queries, at, first)
 
     return rows.mapInPandas(run, RESULT_SCHEMA)
 
 
 def _celled(c: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """The rows with the ``cell`` of their nearest pivot and their ``angle`` to it; rows without a direction are cell -1."""
-    schema = T.StructType([*c.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
+    """The rows with the ``cell`` of their nearest pivot; rows without a direction are cell -1."""
+    schema = T.StructType([*c.schema.fields, T.StructField("cell", T.IntegerType())])
 
     def run(it):
         for pdf in it:
-            if len(pdf):
-                units = _unit(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
-                angles = _angles(units, pivots)
-                cell = angles.argmin(axis=1)
-                none = ~units.any(axis=1)
-                yield pdf.assign(cell=np.where(none, -1, cell).astype(np.int32), angle=np.where(none, 0.0, angles[np.arange(len(cell)), cell]))
+            for part in _slices(len(pdf), len(pivots)):
+                rows = pdf.iloc[part]
+                units = _unit(np.stack(rows["vec"].to_numpy()).astype(np.float64))
+                yield rows.assign(cell=np.where(~units.any(axis=1), -1, _angles(units, pivots).argmin(axis=1)).astype(np.int32))
     return c.mapInPandas(run, schema)
 
 
 class _Index:
-    """A corpus in cells: written ``rows`` with (cell, sub), ``cells`` (flt, cell, subs), pivots and radii."""
+    """A corpus in cells: written ``rows`` with (cell, grp, sub), ``blocks`` (flt, grp, subs), pivots, radii and the cells' groups."""
 
     def __init__(self, corpus: DataFrame, rows_per_block: int):
         n = corpus.count()
         want = min(MAX_PIVOTS, max(1, math.ceil(n / rows_per_block)))
         picked = corpus.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(want).collect()
         pivots = np.stack([np.asarray(r["vec"], dtype=np.float64) for r in picked]) if picked else np.zeros((1, 1))
-        self.pivots = _unit(pivots)
+        self.pivots, self.empty = _unit(pivots), not picked
         dealt = _celled(corpus, self.pivots)
         # A document's rows follow its first one.
         home = dealt.where("doc <> ''").groupBy("flt", "doc").agg(F.min(F.struct((F.col("cell") < 0).alias("none"), "id", "cell")).alias("h")).select("flt", "doc", F.col("h.cell").alias("home"))
-        dealt = dealt.join(home, ["flt", "doc"], "left").withColumn("cell", F.coalesce("home", "cell")).drop("home", "angle")
+        dealt = dealt.join(home, ["flt", "doc"], "left").withColumn("cell", F.coalesce("home", "cell")).drop("home")
         dealt = dealt.checkpoint()
-        self.cells = (dealt.groupBy("flt", "cell").agg(F.ceil(F.count(F.lit(1)) / rows_per_block).cast("int").alias("subs"))).checkpoint()
+        # One row a cell: the most rows that any filter value has in it.
+        sizes = np.zeros(len(self.pivots) + 1, np.int64)
+        for r in dealt.groupBy("flt", "cell").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.max("n").alias("n")).collect():
+            sizes[r["cell"]] = r["n"]
+        self.used, self.group = sizes > 0, self._packed(sizes)
+        groups = corpus.sparkSession.createDataFrame([(c - (c == len(self.pivots)) * (c + 1), int(g)) for c, g in enumerate(self.group)], "cell int, grp int")
+        dealt = dealt.join(groups, "cell")
+        self.blocks = dealt.groupBy("flt", "grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("subs")).checkpoint()
         key = F.when(F.col("doc") != "", F.col("doc")).otherwise(F.col("id"))
-        # Cells are as many as pivots and filter values.
-        self.rows = dealt.join(self.cells, ["flt", "cell"]).withColumn("sub", F.pmod(F.xxhash64(key), F.col("subs")).cast("int"))
+        self.rows = dealt.join(self.blocks, ["flt", "grp"]).withColumn("sub", F.pmod(F.xxhash64(key), F.col("subs")).cast("int"))
         self.radii = self._radii(dealt)
 
+    def _packed(self, sizes: np.ndarray) -> np.ndarray:
+        """Each cell's group (the rows without a direction, last, are their own): neighbours together, up to ``BLOCK_ROWS`` rows."""
+        group = np.zeros(len(sizes), np.int32)
+        leaders = self.pivots[:max(1, math.ceil(int(sizes.sum()) / BLOCK_ROWS))]
+        held, at = 0, 0
+        for c in np.argsort(_angles(self.pivots, leaders).argmin(axis=1), kind="stable"):
+            if held and held + sizes[c] > BLOCK_ROWS:
+                held, at = 0, at + 1
+            held, group[c] = held + sizes[c], at
+        group[-1] = at + 1
+        return group
+
     def _radii(self, dealt: DataFrame) -> np.ndarray:
         pivots = self.pivots
 
@@ -181,31 +249,30 @@ class _Index:
         return radii
 
     def visits(self, queries: DataFrame, first: bool) -> DataFrame:
-        """(id, vec, flt, cell, sub): the nearest cell of each query, or all others that its ``floor`` does not rule out."""
-        pivots, radii = self.pivots, self.radii
+        """(id, vec, flt, floor, cell, cells, grp, sub): each query at the block of its nearest ``cell``, or at the blocks of all others that its
+        ``floor`` does not rule out; ``cells`` is how many of them the block holds."""
+        pivots, radii, used, group, empty = self.pivots, self.radii, self.used, self.group, self.empty
 
         def run(it):
             for pdf in it:
-                if not len(pdf):
-                    continue
-                units = _unit(np.stack(pdf["vec"].to_numpy()).astype(np.float64))
-                angles = _angles(units, pivots)
-                near = angles.argmin(axis=1)
-                if first:
-                    yield pdf.assign(cell=near.astype(np.int32))
-                    continue
-                reach = np.cos(np.clip(angles - radii - SLACK, 0.0, np.pi))
-                reach[~units.any(axis=1)] = 0.0  # such a query has score 0 with every row
-                floor = pdf["floor"].fillna(-np.inf).to_numpy()[:, None]
-                go = reach + SLACK >= floor
-                go[np.arange(len(near)), near] = False
-                q, cell = np.nonzero(go)
-                zero = np.flatnonzero(floor[:, 0] <= SLACK)  # rows without a direction score 0
-                at, cell = np.concatenate([q, zero]), np.concatenate([cell, np.full(len(zero), -1)])
-                yield pdf.drop(columns="floor").iloc[at].assign(cell=cell.astype(np.int32))
-
-        out = queries.mapInPandas(run, "id string, vec array<double>, flt string, cell int")
-        return out.join(self.cells, ["flt", "cell"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
+                for part in _slices(0 if empty else len(pdf), 4 * len(pivots)):
+                    rows = pdf.iloc[part]
+                    units = _unit(np.stack(rows["vec"].to_numpy()).astype(np.float64))
+                    near = _angles(units, pivots).argmin(axis=1)
+                    rows = rows.assign(cell=near.astype(np.int32))
+                    if first:
+                        yield rows.assign(cells=1, grp=group[near])
+                        continue
+                    floor = rows["floor"].fillna(-np.inf).to_numpy(np.float64)
+                    go = np.column_stack([_reached(units, floor, pivots, radii), floor <= SLACK]) & used
+                    go[np.arange(len(near)), near] = False
+                    q, cell = np.nonzero(go)
+                    pair, cells = np.unique(q * np.int64(len(group)) + group[cell], return_counts=True)
+                    for out in _slices(len(pair), 4 * units.shape[1]):
+                        yield rows.iloc[pair[out] // len(group)].assign(cells=cells[out], grp=pair[out] % len(group))
+
+        out = queries.mapInPandas(run, "id string, vec array<double>, flt string, floor double, cell int, cells long, grp int")
+        return out.join(self.blocks, ["flt", "grp"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
 
 
 def _sides(queries, corpus, query_id, query_vec, corpus_id, corpus_vec, filter_cols, doc_col, version_col):
@@ -221,14 +288,16 @@ def _sides(queries, corpus, query_id, query_vec, corpus_id, corpus_vec, filter_c
 
 def _rounds(q: DataFrame, index: _Index, k: int, threshold, exclude_self, dedup, preferred) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The candidates of both rounds, and the visits of each."""
-    one = index.visits(q, True)
-    near = _scored(one, index.rows, k, threshold, exclude_self, dedup, preferred).checkpoint()
+    blocks = index.blocks.agg(F.sum("subs")).first()[0] or 1
+    lanes = max(1, min(math.ceil(q.count() / LANE_QUERIES), math.ceil(LANES / blocks)))
+    one = index.visits(q.withColumn("floor", F.lit(None).cast("double")), True)
+    near = _scored(one, index, lanes, True, k, threshold, exclude_self, dedup, preferred).checkpoint()
     # The k-th best score so far; with fewer, nothing is ruled out but by the threshold.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
     floor = near.withColumn("_r", rank).where(F.col("_r") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     base = F.lit(None).cast("double") if threshold is None else F.lit(float(threshold))
     two = index.visits(q.join(floor, "id", "left").withColumn("floor", F.coalesce("floor", base)).select("id", "vec", "flt", "floor"), False)
-    return near.unionByName(_scored(two, index.rows, k, threshold, exclude_self, dedup, preferred)), one, two
+    return near.unionByName(_scored(two, index, lanes, False, k, threshold, exclude_self, dedup, preferred)), one, two
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "id", query_vec: str = "vec",
@@ -247,16 +316,15 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str
 
 
 def cells_scored(queries: DataFrame, corpus: DataFrame, k: int, *, rows_per_block: int = 20000, exclude_self: bool = False) -> DataFrame:
-    """One row: queries, blocks, the visits that scoring every block takes, and those that the pivots leave."""
+    """One row: queries, cells (``blocks``), the visits that scoring every cell takes, and those that the pivots leave."""
     spark = corpus.sparkSession
     ship_package(spark)
     checkpoint_dir(spark)
     q, c = _sides(queries, corpus, "id", "vec", "id", "vec", None, None, None)
     index = _Index(c, rows_per_block)
     _, one, two = _rounds(q, index, k, None, exclude_self, False, None)
-    made = one.select("id").unionByName(two.select("id")).agg(F.count(F.lit(1)).alias("visits"))
-    blocks = index.cells.agg(F.sum("subs").cast("bigint").alias("blocks"))
-    return (q.agg(F.count(F.lit(1)).alias("queries")).crossJoin(blocks).crossJoin(made)
+    made = one.where("sub = 0").select("cells").unionByName(two.where("sub = 0").select("cells")).agg(F.sum("cells").alias("visits"))
+    return (q.agg(F.count(F.lit(1)).alias("queries")).crossJoin(made).withColumn("blocks", F.lit(int(index.used.sum())).cast("bigint"))
             .select("queries", "blocks", (F.col("queries") * F.col("blocks")).alias("all_visits"), "visits"))
 
 
