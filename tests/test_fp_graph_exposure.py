@@ -225,3 +225,18 @@ def test_exposures_of_an_asset_stay_in_the_tenant(spark):
                                 "source_tool string, status string, sla_deadline timestamp, ts timestamp")
     assets = spark.createDataFrame([("x", "a1")], "tenant_id string, asset_id string")
     assert {r.exposure_key for r in EX.open_exposures_for_assets(assets, exp, now).collect()} == {f"x{i}" for i in range(7)}
+
+
+def test_playbooks_are_cut_before_the_alerts_meet_them(spark):
+    """J-16: 2,000 playbooks a severity by 2,000 alerts are not paired; alerts may repeat, with another severity too."""
+    books = spark.range(4000).select(F.format_string("pb-%04d", "id").alias("playbook_id"), F.when(F.col("id") % 2 == 0, "high").otherwise("low").alias("severity"))
+    alerts = spark.range(2000).select(F.col("id").cast("string").alias("alert_id"), F.lit("high").alias("severity")).unionByName(
+        spark.createDataFrame([("7", "low"), (None, "low"), ("x", None)], "alert_id string, severity string"))
+    r = EN.select_playbooks(alerts, books, 3)
+    got = {}
+    for x in r.orderBy("alert_id", "rank").collect():
+        got.setdefault(x.alert_id, []).append(x.playbook_id)
+    assert len(got) == 2001 and got["0"] == ["pb-0000", "pb-0002", "pb-0004"] and got["7"] == ["pb-0000", "pb-0001", "pb-0002"]
+    assert got[None] == ["pb-0001", "pb-0003", "pb-0005"]
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("row_number()")  # the cut stands under the join

@@ -136,8 +136,11 @@ def alert_risk(entity_risks: DataFrame, alert_col: str = "alert_id") -> DataFram
 
 
 def select_playbooks(alerts: DataFrame, playbooks: DataFrame, k: int = 3) -> DataFrame:
-    """J-16: playbooks matching the alert severity, first ``k`` by playbook id."""
-    j = alerts.select("alert_id", "severity").join(playbooks, "severity")
+    """J-16: playbooks matching the alert severity, first ``k`` by playbook id. An alert's first ``k`` are among the first ``k`` of
+    its severity, so only those are joined."""
+    first = Window.partitionBy("severity").orderBy("playbook_id")
+    few = playbooks.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_r")
+    j = alerts.select("alert_id", "severity").join(few, "severity")
     w = Window.partitionBy("alert_id").orderBy("playbook_id")
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
