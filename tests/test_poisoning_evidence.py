@@ -19,3 +19,15 @@ def test_addresses_are_counted_sketched_and_listed_apart(spark):
     assert got["v"].source_ips == ["10.9.9.9"] and got["v"].distinct_source_ips == 1
     members = R.poisoning_addresses(df, now, actions=("modify",)).where("user_id = 'u'")
     assert members.count() == 700 and members.agg(F.sum("action_count")).first()[0] == 2100
+
+
+def test_all_addresses_are_listed_where_asked(spark, tmp_path):
+    """The registered query lists every address of the day."""
+    from pyspark.sql import functions as F
+
+    from tidewatch.plans import ORACLES, QUERIES
+    rows = [(i, dt.datetime(2024, 1, 30, 12, i % 60), 7, "purchase", 1.0, f'{{"k": {i}}}') for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    r = QUERIES["e01_poisoning_detailed"](spark, str(tmp_path)).where(F.col("user_id") == "7").first()
+    assert r.source_ips.split(",") == sorted(f"10.0.7.{i}" for i in range(40))
+    assert "[1:10]" not in ORACLES["e01_poisoning_detailed"]

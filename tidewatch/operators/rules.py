@@ -553,16 +553,21 @@ def detections_to_alerts(det: DataFrame) -> DataFrame:
 # E-01 richer poisoning rule (documented form), E-04 binned oracle health
 # ---------------------------------------------------------------------------
 
+#: Addresses in a detection's own row, unless it asks for another number or for all.
+EVIDENCE_IPS = 10
+
+
 def training_data_poisoning_detailed(audit: DataFrame, now, *, actions=SUSPICIOUS_ACTIONS,
                                      deviation_threshold: float = 3.0, distinct_threshold: int = 5,
                                      count_threshold: int = 50, high_ratio: float = 10.0,
-                                     no_baseline_ratio: float = 999.0) -> DataFrame:
+                                     no_baseline_ratio: float = 999.0, evidence_ips: int | None = EVIDENCE_IPS) -> DataFrame:
     """E-01: D-01 with distinct actions, source addresses and first/last action time;
     severity High when the ratio exceeds 10; no baseline => ratio 999. One scan:
     baseline ``[now-30d, now-1d]``, current ``(now-24h, now)``.
 
-    A user's addresses are not collected: the row has their exact number, a sketch of fixed size (``ip_sketch``, HyperLogLog: sketches of users
-    or days merge with ``hll_union``) and, as evidence, the first ``EVIDENCE_IPS``. All of them are the rows of ``poisoning_addresses``."""
+    The row has the exact number of the user's addresses, a sketch of fixed size (``ip_sketch``, HyperLogLog: sketches of users
+    or days merge with ``hll_union``) and, as evidence, the first ``evidence_ips`` of them, or with None all, distinct and sorted. They are also
+    the rows of ``poisoning_addresses``."""
     dt = col_type(audit, "ts")
     cur = (F.col("ts") > time_lit(shift(now, hours=24), dt)) & (F.col("ts") < time_lit(now, dt))
     base = (F.col("ts") >= time_lit(shift(now, days=30), dt)) & (F.col("ts") <= time_lit(shift(now, days=1), dt))
@@ -587,17 +592,17 @@ def training_data_poisoning_detailed(audit: DataFrame, now, *, actions=SUSPICIOU
     ips = poisoning_addresses(audit, now, actions=actions)
     keys = [F.col(k).alias(f"_{k}") for k in ("tenant_id", "user_id")]
     sketches = ips.groupBy(*keys).agg(F.hll_sketch_agg("source_ip").alias("ip_sketch"))
-    some = bounded_collect(ips.select(*keys, "source_ip"), ["_tenant_id", "_user_id"], EVIDENCE_IPS, [F.col("source_ip")], F.col("source_ip"), "source_ips")
+    listed = ips.select(*keys, "source_ip")
+    if evidence_ips is None:
+        some = listed.groupBy("_tenant_id", "_user_id").agg(F.array_sort(F.collect_list("source_ip")).alias("source_ips"))
+    else:
+        some = bounded_collect(listed, ["_tenant_id", "_user_id"], evidence_ips, [F.col("source_ip")], F.col("source_ip"), "source_ips")
     same = F.col("tenant_id").eqNullSafe(F.col("_tenant_id")) & F.col("user_id").eqNullSafe(F.col("_user_id"))
     for side in (sketches, some):
         fired = fired.join(side, same, "left").drop("_tenant_id", "_user_id")
     return fired.withColumn("source_ips", F.coalesce("source_ips", F.array().cast("array<string>")))
 
 
-#: Addresses in a detection's own row.
-EVIDENCE_IPS = 10
-
-
 def poisoning_addresses(audit: DataFrame, now, *, actions=SUSPICIOUS_ACTIONS) -> DataFrame:
     """E-01's members: one row per tenant, user and source address of the last 24 hours, with its actions and first and last time."""
     dt = col_type(audit, "ts")

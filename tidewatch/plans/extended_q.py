@@ -19,7 +19,7 @@ XNOW = TB.EXPOSURES_NOW
 
 
 def _e01(spark, sf):
-    d = R.training_data_poisoning_detailed(TB.audit_log(spark, sf), NOW, actions=EVENT_ACTIONS)
+    d = R.training_data_poisoning_detailed(TB.audit_log(spark, sf), NOW, actions=EVENT_ACTIONS, evidence_ips=None)
     return tidy(d.select("user_id", "today_count", "distinct_tables", "distinct_actions",
                          "distinct_source_ips", F.hll_sketch_estimate("ip_sketch").alias("sketched_ips"), F.array_join("source_ips", ",").alias("source_ips"),
                          F.date_format("earliest_action", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("earliest_action"),
@@ -30,7 +30,7 @@ register("e01_poisoning_detailed", with_roles(f"""
 , b AS (SELECT user_id, COUNT(*) / 30.0 AS avg_daily FROM audit_log
         WHERE ts >= {ts(days=30)} AND ts <= {ts(days=1)} AND action IN ('purchase', 'error') GROUP BY user_id)
 , c AS (SELECT user_id, COUNT(*) AS n, COUNT(DISTINCT target_resource) AS dt, COUNT(DISTINCT action) AS da,
-               array_to_string(list_sort(list_distinct(list(source_ip)))[1:10], ',') AS ips, COUNT(DISTINCT source_ip) AS n_ips, MIN(ts) AS first_ts
+               array_to_string(list_sort(list_distinct(list(source_ip))), ',') AS ips, COUNT(DISTINCT source_ip) AS n_ips, MIN(ts) AS first_ts
         FROM audit_log WHERE ts > {ts(hours=24)} AND ts < {ts()} AND action IN ('purchase', 'error') GROUP BY user_id)
 , j AS (SELECT c.*, CASE WHEN COALESCE(b.avg_daily, 0) > 0 THEN c.n / b.avg_daily ELSE 999.0 END AS dev
         FROM c LEFT JOIN b ON c.user_id = b.user_id)
