@@ -278,7 +278,8 @@ def match_fp_patterns(alerts: DataFrame, patterns: DataFrame, *, threshold: floa
         own = p.select("tenant_id", "pattern_id", "title_re", "entity_checks", *scopes)
         # Addresses are parsed once an alert, and only where its title matched.
         a = a.join(hits.select("tenant_id", "title").distinct(), ["tenant_id", "title"], "left_semi").withColumn("entities", parse_entities(F.col("entities")))
-        j = a.join(hits.join(own, ["tenant_id", "pattern_id", "title_re"]), ["tenant_id", "title"]).withColumn("_title", F.lit(1.0))
+        # By merge: alerts with their maps look small enough to send to every task, and would pass through the driver.
+        j = a.hint("merge").join(hits.join(own, ["tenant_id", "pattern_id", "title_re"]), ["tenant_id", "title"]).withColumn("_title", F.lit(1.0))
     else:
         a = a.withColumn("entities", parse_entities(F.col("entities")))
         j = a.join(p.select("tenant_id", "pattern_id", "title_re", "entity_checks", *scopes), "tenant_id")

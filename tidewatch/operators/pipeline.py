@@ -15,6 +15,7 @@ from tidewatch.operators import enrich as EN
 from tidewatch.operators import fp as FP
 from tidewatch.operators import gates as GT
 from tidewatch.operators.entities import parse_entities_df
+from tidewatch.session import checkpoint_dir
 
 STEP = "struct<agent:string,action:string,pattern_id:string,confidence:double>"
 
@@ -30,6 +31,9 @@ def run_investigations(alerts: DataFrame, verdicts: DataFrame, patterns: DataFra
     """One row per alert: state, classification, confidence, ioc_matches, needs_approval and
     the ordered ``decision_chain`` (X-06 log rows are ``posexplode(decision_chain)``).
 
+    Sides with a row per alert meet by sort and merge: texts and maps made from small columns look small enough to send to
+    every task, and would pass through the driver.
+
     ``alerts``: canonical alerts (alert_id, tenant_id, title, severity, entities_raw, raw_payload,
     rule_family, asset_class); ``verdicts``: (alert_id, classification, confidence, actions).
     """
@@ -39,12 +43,14 @@ def run_investigations(alerts: DataFrame, verdicts: DataFrame, patterns: DataFra
                .agg(F.collect_set("e.primary_value").alias("v"))
                .groupBy("alert_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("entities")))
     base = parsed.select("alert_id", "tenant_id", F.col("title").alias("alert_title"), "severity", "rule_family",
-                         "asset_class").join(grouped, "alert_id", "left") \
+                         "asset_class").join(grouped.hint("merge"), "alert_id", "left") \
         .withColumn("entities", F.coalesce("entities", F.create_map().cast("map<string,array<string>>")))
+    checkpoint_dir(alerts.sparkSession)
+    base = base.checkpoint()  # parsed once, read by every step below
     # FP short-circuit first; matched alerts leave the pipeline here (no enrichment cost)
     fp = FP.match_fp_patterns(base, patterns, threshold=fp_threshold).select(
         "alert_id", F.col("pattern_id").alias("fp_pattern"), F.col("confidence").alias("fp_confidence"))
-    b = base.join(fp, "alert_id", "left")
+    b = base.join(fp.hint("merge"), "alert_id", "left")
     closed = b.where(F.col("fp_pattern").isNotNull()).select(
         "alert_id", "tenant_id", "severity", F.lit("closed").alias("state"),
         F.lit("false_positive").alias("classification"), F.col("fp_confidence").alias("confidence"),
@@ -56,8 +62,8 @@ def run_investigations(alerts: DataFrame, verdicts: DataFrame, patterns: DataFra
     vals = rest.select("alert_id", "tenant_id", F.explode("entities").alias("k", "vs")) \
         .select("alert_id", "tenant_id", F.expr("substring(k, 1, length(k) - 1)").alias("entity_type"),
                 F.explode("vs").alias("value"))
-    hits = EN.enrich_iocs(vals, iocs, now).groupBy("alert_id").agg(F.count_if("ioc_match").alias("ioc_matches"))
-    r = rest.join(hits, "alert_id", "left").join(verdicts, "alert_id", "left") \
+    hits = EN.enrich_iocs(vals, iocs.hint("merge"), now).groupBy("alert_id").agg(F.count_if("ioc_match").alias("ioc_matches"))
+    r = rest.join(hits.hint("merge"), "alert_id", "left").join(verdicts.hint("merge"), "alert_id", "left") \
         .withColumn("ioc_matches", F.coalesce("ioc_matches", F.lit(0)).cast("bigint"))
     needs = GT.needs_human_approval(F.col("actions"), F.coalesce("confidence", F.lit(0.0)), F.col("severity"))
     state = F.when(needs, "awaiting_human").otherwise("responding")

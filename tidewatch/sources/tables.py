@@ -32,6 +32,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to as many tasks as a shuffle has: for small rows that much work follows on."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _k(props: str = "props") -> Column:
     return F.get_json_object(F.col(props), "$.k").cast("bigint")
 
@@ -422,8 +427,9 @@ def vendor_alerts(spark, sf_dir) -> DataFrame:
     """One raw alert per order, as Sentinel, Elastic or Splunk JSON (by order key % 3).
 
     Includes heartbeats/health checks (key % 97 == 0), CSV and list annotations, missing
-    severities and the Elastic rule-level threat fallback, so every adapter branch is exercised."""
-    o = read(spark, sf_dir, "orders")
+    severities and the Elastic rule-level threat fallback, so every adapter branch is exercised. An alert takes much more time than its
+    order takes bytes, so the orders of a few large files are dealt to all tasks first."""
+    o = spread(read(spark, sf_dir, "orders"))
     key, cust, pri = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
     title = F.concat(F.lit("Suspicious sign-in pattern "), _s(cust % 40))
     tenant = F.concat(F.lit("t"), _s(cust % 4))
