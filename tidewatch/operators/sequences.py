@@ -56,17 +56,17 @@ def failure_runs(df: DataFrame, key: str, ts: str, ok_col: str, tie: str,
     """W-14: length of the current run of consecutive failures per key and whether the breaker
     is open (run >= threshold).
 
-    Gaps and islands inside (key, day) partitions; a run that crosses midnight gets a carry-in
+    A row's place less that of the last success before it, inside (key, day) partitions, by one sort; a run that crosses midnight gets a carry-in
     computed on the per-day summary (one row per key-day), so no task sees a key's whole history.
     """
     e = df.withColumn("_day", F.floor(epoch_seconds(F.col(ts)) / 86400))
     w = Window.partitionBy(key, "_day").orderBy(ts, tie)
     cum = w.rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("_grp", F.sum(F.when(F.col(ok_col), 1).otherwise(0)).over(cum))
-    e = e.withColumn("_run", F.sum(F.when(F.col(ok_col), 0).otherwise(1)).over(
-        Window.partitionBy(key, "_day", "_grp").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)))
+    e = e.withColumn("_at", F.row_number().over(w))
+    e = e.withColumn("_succeeded", F.max(F.when(F.col(ok_col), F.col("_at"))).over(cum))
+    e = e.withColumn("_run", F.col("_at").cast("bigint") - F.coalesce("_succeeded", F.lit(0)))
     day = e.groupBy(key, "_day").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_grp").alias("_succ"),
+        F.count(F.lit(1)).alias("_n"), F.max("_succeeded").alias("_succ"),
         F.max_by("_run", F.struct(ts, tie)).alias("_trail"))
     wd = Window.partitionBy(key).orderBy("_day")
     prev = wd.rowsBetween(Window.unboundedPreceding, -1)
@@ -79,9 +79,9 @@ def failure_runs(df: DataFrame, key: str, ts: str, ok_col: str, tie: str,
              .select(key, "_day", F.when(F.col("_last_succ").isNull(), F.col("_before"))
                      .otherwise(F.col("_a_trail") + F.col("_before") - F.col("_a_ncum")).alias("_carry")))
     out = e.join(carry, [key, "_day"], "left").withColumn(
-        "failure_run", F.col("_run") + F.when(F.col("_grp") == 0, F.coalesce("_carry", F.lit(0))).otherwise(0))
+        "failure_run", F.col("_run") + F.when(F.col("_succeeded").isNull(), F.coalesce("_carry", F.lit(0))).otherwise(0))
     return out.withColumn("breaker_open", F.col("failure_run") >= threshold) \
-        .drop("_day", "_grp", "_run", "_carry")
+        .drop("_day", "_at", "_succeeded", "_run", "_carry")
 
 
 def silent_gaps(df: DataFrame, key: str, ts: str, bucket_seconds: int = 3600) -> DataFrame:
