@@ -21,6 +21,7 @@ rewritten up to the end of their hour link well among themselves, but their head
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -146,12 +147,16 @@ def _chain_partition(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-def number_events(events: DataFrame, heads: DataFrame | None = None, *, with_genesis: bool = True) -> DataFrame:
+#: Records that one task of the chain sorts and hashes, about.
+ROWS_PER_TASK = 200_000
+
+
+def number_events(events: DataFrame, heads: DataFrame | None = None, *, with_genesis: bool = True, tasks: int | None = None) -> DataFrame:
     """The events with ``sequence_number``, ``_segment`` and ``_seed`` (first record of a segment).
 
     ``heads`` (tenant_id, sequence_number, timestamp, record_hash: each tenant's last stored record) continues
     stored chains: an event earlier than its tenant's head goes into the head's segment. A tenant without a head
-    gets a genesis record.
+    gets a genesis record. ``tasks``: how many the records are dealt to, by tenant and segment, if not as many as a shuffle has.
     """
     ev = events.select(*_EVENT_FIELDS).withColumn("_genesis", F.lit(1))
     if with_genesis:
@@ -168,6 +173,8 @@ def number_events(events: DataFrame, heads: DataFrame | None = None, *, with_gen
                                                           "_head_segment": F.coalesce("_head_segment", F.lit(""))})
     ev = ev.withColumn("_segment", F.greatest(segment_of(F.col("timestamp")), "_head_segment"))
     counts = ev.groupBy("tenant_id", "_segment").agg(F.count(F.lit(1)).alias("_n"))
+    if tasks is not None:
+        ev = ev.repartition(tasks, "tenant_id", "_segment")
     # tenants x hours rows.
     before = Window.partitionBy("tenant_id").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("tenant_id", "_segment", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -189,11 +196,12 @@ def build_chain(events: DataFrame, heads: DataFrame | None = None, *, with_genes
     """
     spark = events.sparkSession
     ship_package(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = canonical_pieces(number_events(events, heads, with_genesis=with_genesis))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(events.count() / ROWS_PER_TASK))
+    rows = number_events(events, heads, with_genesis=with_genesis, tasks=n)
     kept = _EVENT_FIELDS + ["sequence_number"]
-    ordered = (rows.repartition(n, "tenant_id", "_segment").sortWithinPartitions("tenant_id", "_segment", "sequence_number")
-               .select(*kept, "_seed", "_head", "_mid", "_tail"))
+    # The JSON pieces are as long as a record; they are made of the sorted rows, not sorted with them.
+    ordered = canonical_pieces(rows.repartition(n, "tenant_id", "_segment").sortWithinPartitions("tenant_id", "_segment", "sequence_number")) \
+        .select(*kept, "_seed", "_head", "_mid", "_tail")
     types = {f.name: f for f in AUDIT_SCHEMA.fields}
     out_schema = T.StructType([types[c] for c in kept + ["previous_hash", "record_hash"]])
     return ordered.mapInPandas(_chain_partition, out_schema).select(*AUDIT_SCHEMA.fieldNames())
