@@ -328,16 +328,22 @@ def classify_injection(*cols) -> Column:
 
 
 def sanitise_input(text) -> Column:
-    """T-09: redact fenced role markup then each injection pattern; list what was found."""
+    """T-09: redact fenced role markup then each injection pattern; list what was found. A text in which none is found stays as it
+    is; the others go through the steps one after the other, each on the text that the last one left."""
     t = _c(text)
     steps = [(RE_MARKUP, REDACTED_MARKUP, "embedded_markup")]
     steps += [(p, REDACTED_INJECTION, "injection:" + p.replace("(?i)", "", 1)[:40]) for p in INJECTION_PATTERNS]
-    detections = []
-    cur = t
-    for pat, repl, label in steps:
-        detections.append(F.when(cur.rlike(pat), F.lit(label)))
-        cur = F.regexp_replace(cur, pat, repl)
-    return F.struct(cur.alias("text"), F.array_compact(F.array(*detections)).alias("detections"))
+    found = F.lit(False)
+    for pat, _, _ in steps:
+        found = found | t.rlike(pat)
+    none = F.struct(t.alias("text"), F.array().cast("array<string>").alias("detections"))
+    each = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("pat", "repl", "label"), x)]) for x in steps])
+
+    def step(acc, s):
+        return F.when(F.rlike(acc["text"], s["pat"]), F.struct(
+            F.regexp_replace(acc["text"], s["pat"], s["repl"]).alias("text"),
+            F.concat(acc["detections"], F.array(s["label"])).alias("detections"))).otherwise(acc)
+    return F.when(found, F.aggregate(each, none, step)).otherwise(none)
 
 
 def stricter_verdict(regex_risk, other_risk, regex_conf, other_conf) -> Column:
