@@ -70,3 +70,42 @@ def test_the_chain_takes_more_tasks_with_more_records(spark, monkeypatch):
     monkeypatch.setattr(AU, "ROWS_PER_TASK", 5)
     chain = AU.build_chain(_events(spark, ROWS))
     assert chain.rdd.getNumPartitions() == 20 and sorted(map(tuple, chain.collect())) == want
+
+
+def test_graph_consequence_has_one_row_an_edge(spark, tmp_path, monkeypatch):
+    """J-12: an edge stays one row (no row per zone, no distinct count by edge), dealt to tasks by the number of rows; names past 63 bits,
+    rows that come twice, nulls and single assets of a zone give what the rule says."""
+    import random
+
+    from tidewatch.operators import enrich as EN
+    from tidewatch.plans import enrich_q as EQ
+    rng = random.Random(14)
+    zones = {f"z{i}": f"c{i % 70:02d}" for i in range(140)}
+    resides = [(f"a{i}", rng.choice([*zones, None, "other"])) for i in range(60)] * 2 + [("a1", "z5"), (None, "z6")]
+    deploys = [(f"m{rng.randint(0, 30)}", f"a{rng.randint(0, 65)}") for _ in range(120)] * 2 + [(None, "a1"), ("m1", None)]
+    name = lambda z: zones.get(z, "data_loss")
+    edges, at = set(deploys), set(resides)
+    members = {}
+    for m, a in edges:
+        for b, z in at:
+            if a is not None and a == b:
+                members.setdefault((m, z), set()).add(a)
+    want = {}
+    for m, a in edges:
+        for own in [z for b, z in at if b == a and a is not None]:
+            want.setdefault(a, set()).update(name(z) for (n, z), s in members.items() if n is not None and n == m and (len(s) > 1 or z is None or z != own))
+    d = spark.createDataFrame(deploys, "model_id string, asset_id string")
+    r = spark.createDataFrame(resides, "asset_id string, zone string")
+    c = EN.consequence_by_asset(None, d, r, spark.createDataFrame(list(zones.items()), "zone string, consequence string"), tasks=3)
+    got = c.collect()
+    assert len(got) == len(resides)
+    assert all((x.consequences or []) == sorted(want.get(x.asset_id, ())) and x.path_found == bool(want.get(x.asset_id)) for x in got)
+    assert any(len(x.consequences or []) > 3 for x in got)
+
+    spark.range(1000).selectExpr("id AS l_suppkey", "id % 50 AS l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(50).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(EQ, "EDGES_PER_TASK", 100)
+    plan = _plan(EQ._j12(spark, str(tmp_path)))
+    dealt = set(re.findall(r"hashpartitioning\((\w+)#\d+, 11\), REPARTITION_BY_NUM", plan))
+    assert dealt == {"asset_id", "model_id"}, re.findall(r"hashpartitioning.*", plan)
+    assert "collect_set" not in plan and "distinct" not in plan

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.exprs import (RISK_RANK, classify_risk, col_type, ioc_expires_at, lookup, shift, time_lit,
+from tidewatch.functions.exprs import (RISK_RANK, ZONE_CONSEQUENCE, ZONE_CONSEQUENCE_DEFAULT, classify_risk, col_type, ioc_expires_at, lookup, shift, time_lit,
                                        zone_consequence)
 from tidewatch.operators.common import first_per_key
 from tidewatch.operators.text import let
@@ -72,17 +72,19 @@ def list_iocs(iocs: DataFrame, search: str | None = None, *, limit: int = 50, of
 # ---------------------------------------------------------------------------
 
 def consequence_by_asset(affects: DataFrame, deploys: DataFrame, resides: DataFrame,
-                         zone_consequences: DataFrame | None = None) -> DataFrame:
+                         zone_consequences: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """J-12 per asset: zones reached by finding -> asset <- model -> downstream asset -> zone,
     where the downstream asset differs from the start asset (no edge used twice); the distinct
     consequences reached and the worst one, with the asset's own zone as static fallback.
 
     Instead of enumerating paths, count each model's assets per zone once; a zone is reachable
-    from asset ``a`` through model ``m`` iff ``count(m, z) - [zone(a) = z] > 0``. Work is bounded
-    by (asset, model) edges x zones, never by path count.
+    from asset ``a`` through model ``m`` iff ``count(m, z) - [zone(a) = z] > 0``. A model is then one row:
+    the consequences that all its assets reach, as bits, and its zones with a single asset. So an
+    (asset, model) edge is one row with one set of bits, and an asset's sets are joined by OR.
 
     ``deploys``: (model_id, asset_id); ``resides``: (asset_id, zone); ``zone_consequences``:
-    optional (zone, consequence) table overriding the static zone map.
+    optional (zone, consequence) table overriding the static zone map. ``tasks``: how many tasks the edges
+    are dealt to by model (else as the session says).
     """
     zc = (F.coalesce(F.col("zc.consequence"), zone_consequence(F.col("zone")))
           if zone_consequences is not None else zone_consequence(F.col("zone")))
@@ -90,13 +92,30 @@ def consequence_by_asset(affects: DataFrame, deploys: DataFrame, resides: DataFr
     if zone_consequences is not None:
         res = resides.join(zone_consequences.alias("zc"), "zone", "left")
     res = res.select("asset_id", "zone", zc.alias("consequence"))
-    per_mz = (deploys.join(res, "asset_id").groupBy("model_id", "zone", "consequence")
-              .agg(F.count_distinct("asset_id").alias("n_assets")))
-    start = deploys.join(res.select("asset_id", F.col("zone").alias("own_zone"),
-                                    F.col("consequence").alias("own_consequence")), "asset_id", "left")
-    reach = (start.join(per_mz, "model_id")
-             .where(F.col("n_assets") - F.when(F.col("zone") == F.col("own_zone"), 1).otherwise(0) > 0)
-             .groupBy("asset_id").agg(F.array_sort(F.collect_set("consequence")).alias("consequences")))
+    names = {*ZONE_CONSEQUENCE.values(), ZONE_CONSEQUENCE_DEFAULT}
+    if zone_consequences is not None:  # as many as the table of zones has
+        names |= {r.consequence for r in zone_consequences.select("consequence").distinct().collect()} - {None}
+    words = [sorted(names)[i:i + 63] for i in range(0, len(names), 63)]  # a long has 63 bits beside its sign
+    bits = [lookup({c: 1 << i for i, c in enumerate(w)}, F.col("consequence"), 0).cast("long") for w in words]
+
+    edges = deploys.distinct()
+    per_mz = (edges.join(res.distinct(), "asset_id").groupBy("model_id", "zone", "consequence")
+              .agg(F.count(F.lit(1)).alias("n_assets")))
+    single = F.when(F.col("n_assets") == 1, F.struct("zone", *[b.alias(f"b{i}") for i, b in enumerate(bits)]))
+    models = per_mz.groupBy("model_id").agg(
+        F.collect_list(single).alias("single"),
+        *[F.bit_or(F.when(F.col("n_assets") > 1, b).otherwise(0)).alias(f"b{i}") for i, b in enumerate(bits)])
+    start = edges.join(res.select("asset_id", F.col("zone").alias("own_zone")).distinct(), "asset_id", "left")
+    if tasks:
+        start, models = (x.repartition(tasks, "model_id") for x in (start, models))
+    others = F.filter("single", lambda z: ~F.coalesce(z["zone"] == F.col("own_zone"), F.lit(False)))
+
+    def reached(b):
+        return F.aggregate(others, F.col(b), lambda acc, z: acc.bitwiseOR(z[b]))
+    reach = start.join(models, "model_id").groupBy("asset_id").agg(*[F.bit_or(reached(f"b{i}")).alias(f"b{i}") for i in range(len(words))])
+    held = F.array_compact(F.array(*[F.when(F.col(f"b{i}").bitwiseAND(F.lit(1 << j).cast("long")) != 0, F.lit(c))
+                                     for i, w in enumerate(words) for j, c in enumerate(w)]))
+    reach = reach.select("asset_id", held.alias("consequences")).where(F.size("consequences") > 0)
     own = res.select("asset_id", F.col("consequence").alias("own_consequence"))
     rank = lambda c: lookup(CONSEQUENCE_RANK, c, 0)
     out = own.join(reach, "asset_id", "left")

@@ -115,19 +115,25 @@ ZONES = ("Zone0_Safety", "Zone1_EdgeInference", "Zone2_SCADA", "Zone3_Enterprise
          "IT_UserWorkstations")
 
 
+EDGES_PER_TASK = 250_000
+
+
 def graph(spark, sf):
+    """Edges, zones, and the number of tasks for the edges: by their rows (a count of the files' footers), so that a task's memory
+    does not grow with the table. Edges are dealt by asset, the key of the joins that follow."""
     li = TB.read(spark, sf, "lineitem")
     part = TB.read(spark, sf, "part")
+    tasks = li.count() // EDGES_PER_TASK + 1
     deploys = li.select(F.concat(F.lit("supp-"), F.col("l_suppkey").cast("string")).alias("model_id"),
-                        F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("asset_id")).distinct()
+                        F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("asset_id")).repartition(tasks, "asset_id").distinct()
     zone = F.element_at(F.array(*[F.lit(z) for z in ZONES]), (F.col("p_partkey") % len(ZONES) + 1).cast("int"))
     resides = part.select(F.concat(F.lit("part-"), F.col("p_partkey").cast("string")).alias("asset_id"), zone.alias("zone"))
-    return deploys, resides
+    return deploys, resides, tasks
 
 
 def _j12(spark, sf):
-    deploys, resides = graph(spark, sf)
-    c = EN.consequence_by_asset(None, deploys, resides)
+    deploys, resides, tasks = graph(spark, sf)
+    c = EN.consequence_by_asset(None, deploys, resides, tasks=tasks)
     return c.select("asset_id", F.array_join(F.coalesce("consequences", F.array().cast("array<string>")), "|")
                     .alias("consequences"), "worst_consequence", "consequence_severity", "path_found")
 
