@@ -62,3 +62,36 @@ def test_case_facts(spark):
     got = {r.investigation_id: r for r in IV.case_facts(states, ents, iocs, tech, sim).collect()}
     assert got["a"].entities == ["10.0.0.1", "host1"] and [x.incident_id for x in got["a"].similar_incidents] == [f"i{i}" for i in range(5)]
     assert got["b"].entities == [] and got["a"].token_estimate > got["b"].token_estimate > 0
+
+
+def test_similar_cases_come_from_one_sort(spark):
+    """A-34: the five cases before each of its tenant and title, without a join; a null title or tenant has none, a null id counts as a case."""
+    from tidewatch.plans import investigations_q as IQ
+    rows = [(f"i{i}", "t", "A" if i % 3 else "B", T0 + dt.timedelta(days=i // 2)) for i in range(20)]
+    rows += [("n1", "t", None, T0), ("n2", "t", None, T0), ("n3", None, "A", T0), ("n4", None, "A", T0), (None, "t", "B", T0 + dt.timedelta(days=3))]
+    c = spark.createDataFrame(rows, "investigation_id string, tenant_id string, alert_title string, opened_at timestamp_ntz")
+    got = IQ._similar(c)
+    want = set()
+    for k in "AB":
+        ids = [r[0] for r in sorted((r for r in rows if r[1] == "t" and r[2] == k), key=lambda r: (r[3], r[0] is not None, r[0] or ""))]
+        want |= {(x, ids[n - i], k, i) for n, x in enumerate(ids) for i in range(1, 6) if n >= i}
+    assert {(r.investigation_id, r.incident_id, r.title, r["rank"]) for r in got.collect()} == want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fold_hands_other_columns_through_unread(spark):
+    """X-05: cases that go on over several batches, unknown and null states; the columns do not become Python values."""
+    rows = [("a", "t", T0 + dt.timedelta(seconds=i), i, s, "g", "x", None, None) for i, s in enumerate(["received", None, "odd", "", "parsing", "parsing", "closed", "received"])]
+    rows += [("b", "t", T0, 0, "parsing", "g", "x", 0.5, "p"), ("b", "t", T0, 1, "received", "g", "x", 0.5, "p")]
+    df = spark.createDataFrame(rows, "investigation_id string, tenant_id string, at timestamp_ntz, seq int, to_state string, agent string, action string, confidence double, pattern_id string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        folded = IV.fold(df)
+        got = {(r.investigation_id, r.seq): (r.from_state, r.applied, r.confidence, r.at) for r in folded.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    a = [("", True), ("received", False), ("received", False), ("received", False), ("received", True), ("parsing", False), ("parsing", True), ("closed", True)]
+    assert [got["a", i][:2] for i in range(8)] == a and got["a", 3][3] == T0 + dt.timedelta(seconds=3)
+    assert got["b", 0] == ("", False, 0.5, T0) and got["b", 1][:2] == ("", True)
+    assert "MapInArrow" in folded._jdf.queryExecution().executedPlan().toString()

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,19 +89,31 @@ def fold(log: DataFrame) -> DataFrame:
             .sortWithinPartitions("investigation_id", "at", "seq", "agent", "action"))
     schema = T.StructType([*rows.schema.fields, T.StructField("from_state", T.StringType()), T.StructField("applied", T.BooleanType())])
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        case, state = None, ""
-        for pdf in it:
+    code = {s: i for i, s in enumerate(STATES, 1)}  # 0: no state yet; -1: a name that is none of them
+    allowed = [{code[to] for to in ALLOWED[s]} for s in ("", *STATES)]
+    names = pa.array(["", *STATES])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Only the case's number within the batch and the state's code become Python values; the other columns pass as they are.
+        case, state = None, 0
+        for batch in it:
+            ids = batch.column("investigation_id")
+            to = pc.fill_null(pc.index_in(batch.column("to_state"), names), -1).to_pylist()
+            new = [ids[0].as_py() != case, *pc.not_equal(ids[1:], ids[:-1]).to_pylist()] if len(ids) else []
             before, applied = [], []
-            for i, to in zip(pdf["investigation_id"], pdf["to_state"]):
-                if i != case:
-                    case, state = i, ""
+            for first, t in zip(new, to):
+                if first:
+                    state = 0
                 before.append(state)
-                applied.append(to in ALLOWED[state])
-                state = to if applied[-1] else state
-            yield pdf.assign(from_state=before, applied=applied)
-
-    return rows.mapInPandas(run, schema)
+                ok = t in allowed[state]
+                applied.append(ok)
+                if ok:
+                    state = t
+            case = ids[-1].as_py() if len(ids) else case
+            from_state = names.take(pa.array(before, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, from_state, pa.array(applied, pa.bool_())], [*batch.schema.names, "from_state", "applied"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def current_states(folded: DataFrame) -> DataFrame:

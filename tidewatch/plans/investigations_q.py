@@ -6,6 +6,7 @@ a case with a verdict gets a human decision a day after its last update, and the
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators import gates as GT
@@ -33,8 +34,9 @@ def _cases(spark, sf):
 
 
 def folded(spark, sf, cases=None):
+    """The log of all cases, folded. ``cases``: ``_cases``, where the caller has written them (they are read several times)."""
     checkpoint_dir(spark)
-    c = (cases if cases is not None else _cases(spark, sf)).checkpoint()
+    c = cases if cases is not None else _cases(spark, sf).checkpoint()
     log = IV.pipeline_events(c)
     approved = F.when(F.col("classification") == "true_positive", True).when(F.col("classification") == "benign", False)
     decided = c.select("investigation_id", "tenant_id", (F.col("updated_at") + F.expr("INTERVAL 1 DAY")).alias("at"), approved.alias("approved"))
@@ -94,6 +96,17 @@ FROM s GROUP BY tenant_id, state
 """, "investigations"))(_x05_states)
 
 
+def _similar(c):
+    """The five latest cases before each of the same title and tenant, taken from the rows before it in one sort: no pairs, no join."""
+    w = Window.partitionBy("tenant_id", "alert_title").orderBy("opened_at", "investigation_id")
+    own = F.struct(F.col("investigation_id").alias("incident_id"))
+    before = F.array(*[F.lag(own, i).over(w) for i in range(1, 6)])
+    known = c.where(F.col("tenant_id").isNotNull() & F.col("alert_title").isNotNull())
+    rows = (known.select("investigation_id", F.col("alert_title").alias("title"), before.alias("b"))
+            .select("investigation_id", "title", F.posexplode("b").alias("p", "o")).where(F.col("o").isNotNull()))
+    return rows.select("investigation_id", "o.incident_id", "title", (F.col("p") + 1).alias("rank"))
+
+
 def _a34_facts(spark, sf):
     """Facts of every case: its asset and address, those that an IOC names, its technique, and the five latest earlier cases of the same title and tenant."""
     checkpoint_dir(spark)
@@ -101,12 +114,7 @@ def _a34_facts(spark, sf):
     states = IV.current_states(folded(spark, sf, c))
     ents = c.select("investigation_id", "tenant_id", F.explode(F.array("asset_id", "src_ip")).alias("value"))
     iocs = ents.join(ioc_table(spark, sf).select("tenant_id", "value", "ioc_type").distinct(), ["tenant_id", "value"]).select("investigation_id", F.col("ioc_type").alias("type"), "value")
-    # The cases of a title in order; a case's five before it are found by their numbers, not by pairs.
-    from pyspark.sql import Window
-    n = c.select("investigation_id", "tenant_id", "alert_title", F.row_number().over(Window.partitionBy("tenant_id", "alert_title").orderBy("opened_at", "investigation_id")).alias("n"))
-    back = n.select("investigation_id", "tenant_id", "alert_title", F.explode(F.expr("transform(sequence(1, 5), i -> n - i)")).alias("n"), F.col("n").alias("own"))
-    earlier = n.select("tenant_id", "alert_title", "n", F.col("investigation_id").alias("incident_id"))
-    similar = back.join(earlier, ["tenant_id", "alert_title", "n"]).select("investigation_id", "incident_id", F.col("alert_title").alias("title"), (F.col("own") - F.col("n")).alias("rank"))
+    similar = _similar(c)
     f = IV.case_facts(states, ents.select("investigation_id", "value"), iocs,
                       c.select("investigation_id", F.explode("atlas_techniques").alias("technique_id")), similar)
     return f.groupBy("tenant_id", "state", F.size("entities").cast("bigint").alias("entities"), F.size("similar_incidents").cast("bigint").alias("similar_incidents")).agg(
