@@ -10,6 +10,7 @@ import pytest
 from test_retrieval import SCHEMA, _got, _plain, _vectors
 
 from tidewatch.operators import retrieval as RT
+from tidewatch.plans import retrieval_q as RQ
 
 INDEX = (np.ones((1, 4)) / 2, np.array([np.pi]))
 
@@ -91,3 +92,28 @@ def test_blocks_and_lanes_get_tasks_of_their_own(spark, monkeypatch):
     plan = RT.cosine_topk(v, v, 5, exclude_self=True, rows_per_block=100)._jdf.queryExecution().optimizedPlan().toString()
     dealt = [int(x) for x in re.findall(r"RepartitionByExpression \[flt.*\], (\d+)", plan)]
     assert dealt and min(dealt) >= 4 * 4 * 8
+
+
+def test_context_finds_neighbours_once_and_leaves_texts_where_they_are(spark, tmp_path):
+    """E-26: both stores read the same top-k, and no text goes through a join or a window."""
+    rng, n = np.random.RandomState(5), 60
+    vecs = rng.randn(n, 8).astype(np.float32)
+    spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(vecs)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    texts = [(i, None if i == 4 else "é" * int(rng.randint(1, 8000))) for i in range(n - 5)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    r = RQ._e26(spark, str(tmp_path))
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapIn" not in plan
+    joined = [x for x in plan.splitlines() if re.search(r"Window|Join|Sort", x)]
+    assert joined and not any("text#" in x for x in joined)
+    assert all("length" in x for x in plan.splitlines() if "text#" in x and "Project" in x)
+    u = vecs.astype(float) / np.linalg.norm(vecs.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    got = {x.query_id: x for x in r.collect()}
+    length = dict(texts)
+    for i in range(n):
+        found = [j for j in np.argsort(-s[i])[:5] if j in length]
+        if all((len(length[j] or "") // 4) * 1 for j in found) and sum(len(length[j]) // 4 for j in found) <= 4096 and found:
+            x = got[str(i)]
+            assert (x["items"], x.tokens) == (len(found), sum(len(length[j]) // 4 for j in found))

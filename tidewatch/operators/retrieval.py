@@ -611,15 +611,21 @@ def migrate_embeddings(points: DataFrame, embed_udf, *, target_version: str = CU
     return migrated, progress
 
 
+def token_count(text: str = "text", chars_per_token: int = 4) -> Column:
+    """The tokens of a whole text, as E-26 counts them."""
+    return F.floor(F.length(text) / chars_per_token).cast("bigint")
+
+
 def assemble_context(candidates: DataFrame, budget_tokens: int = 4096, chars_per_token: int = 4) -> DataFrame:
     """E-26: cross-store de-duplication (best score per query and document, then store name),
     source attribution kept, and the token budget enforced by a running sum in score order:
     an item is kept while the total including it stays within the budget.
 
-    ``candidates``: (query_id, doc_id, store, score, text). Windows are per query (bounded)."""
+    ``candidates``: (query_id, doc_id, store, score, text), or with ``tokens`` (``token_count`` of the text, made where the
+    documents are read) for the text, so that texts are not copied to every query that finds them. Windows are per query (bounded)."""
     best = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), F.asc("store"))
-    d = candidates.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1).drop("_r")
-    d = d.withColumn("tokens", F.floor(F.length("text") / chars_per_token).cast("bigint"))
+    d = candidates if "tokens" in candidates.columns else candidates.withColumn("tokens", token_count("text", chars_per_token))
+    d = d.withColumn("_r", F.row_number().over(best)).where(F.col("_r") == 1).drop("_r")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     d = d.withColumn("position", F.row_number().over(order)).withColumn(
         "tokens_so_far", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -185,11 +185,11 @@ FROM documents
 
 def _e26(spark, sf):
     v = _vec(spark, sf)
-    hits = RT.cosine_topk(v, v, 5, exclude_self=True)
+    hits = RT.cosine_topk(v, v, 5, exclude_self=True).checkpoint()  # read by both stores
     q = v.select(F.col("id").alias("query_id"), "tenant_id", "techniques")
     c = v.select(F.col("id").alias("corpus_id"), "tenant_id", "techniques", "age_days", "rare_important")
     hist = RT.relevance_rerank(hits, q, c, 5)
-    docs = TB.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    docs = TB.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), RT.token_count("text").alias("tokens"))
     cand = (hits.select("query_id", F.col("corpus_id").alias("doc_id"), F.lit("semantic").alias("store"), "score")
             .unionByName(hist.select("query_id", F.col("corpus_id").alias("doc_id"), F.lit("history").alias("store"),
                                      F.col("composite").alias("score")))
